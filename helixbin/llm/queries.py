@@ -6,21 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, secrets
+from . import bpe, line_quality, secrets, token_arrow
 from .common import table
 
+#: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_arrow.report(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op7_token_arrow": op7_token_arrow,
     "op8_line_quality": op8_line_quality,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
