@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_quality, secrets, token_arrow
+from . import bpe, line_quality, minhash, secrets, token_arrow
 from .common import table
 
 #: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
@@ -31,6 +31,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.report(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,10 +43,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op7_token_arrow": op7_token_arrow,
     "op8_line_quality": op8_line_quality,
+    "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op1_secret_scan": secrets.oracle,
     "op8_line_quality": line_quality.oracle,
+    "op9_minhash": minhash.oracle,
 }
