@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, line_quality, minhash, secrets, token_arrow
+from . import bpe, hnsw, line_quality, minhash, secrets, token_arrow, toxicity
 from .common import table
 
 #: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
@@ -23,6 +23,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.report(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_hnsw": op5_hnsw,
     "op7_token_arrow": op7_token_arrow,
     "op8_line_quality": op8_line_quality,
