@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, kneser_ney, line_quality, minhash, secrets, token_arrow, toxicity, warc
+from . import bpe, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
 from .common import table
 
 #: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
@@ -39,6 +39,10 @@ def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.report(table(spark, sf_dir, "embeddings"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_arrow.report(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kneser_ney": op3_kneser_ney,
     "op4_toxicity": op4_toxicity,
     "op5_hnsw": op5_hnsw,
+    "op6_mixing": op6_mixing,
     "op7_token_arrow": op7_token_arrow,
     "op8_line_quality": op8_line_quality,
     "op9_minhash": op9_minhash,
