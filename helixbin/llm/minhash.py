@@ -7,7 +7,7 @@ link with nothing. Documents link if the Jaccard similarity of their full sets r
 1. ``signatures``: two small collections of m half keys, each made of k minhashes. Documents of equal sets
    form a class; only its smallest id goes on.
 2. ``table_keys``: m*m tables, keyed by pairs of half keys, one from each collection: 2*m*k minhashes do the
-   work of m*m*2*k. A pair at similarity s is missed with probability at most 2*(1-s^k)^m (0.00009 at 0.8
+   work of m*m*2*k. Half keys that no other document has are dropped before the pairs are formed. A pair at similarity s is missed with probability at most 2*(1-s^k)^m (0.00009 at 0.8
    for the defaults).
 3. Each bucket links its members to its smallest id; the components of these links are families. Every
    candidate pair, sharing some table key, lies within a family.
@@ -80,14 +80,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(keys: np.ndarray, n: int) -> np.ndarray:
-    """``n`` minima of independent 64-bit mixes of a set's keys."""
-    seeds = _mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD)
-    out = np.empty(n, np.uint64)
-    for i, s in enumerate(seeds):
-        x = (keys ^ s) * _ODD
+    """``n`` minima of independent 64-bit mixes of a set's keys, a slice of the keys at a time."""
+    seeds = (_mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD))[:, None]
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(keys), 1024):
+        x = keys[None, k : k + 1024] ^ seeds
+        x *= _ODD
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x7FB5D329728EA185)
-        out[i] = x.min()
+        np.minimum(out, x.min(1), out=out)
     return out
 
 
@@ -127,10 +128,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(work, "id long, n_shingles long, class_a long, class_b long, half array<long>")
 
 
+def shared_halves(reps: DataFrame, m: int = M) -> DataFrame:
+    """``id, a, b``: the half keys of each collection that some other document has too, with their places.
+
+    A table key that two documents share is made of half keys that both share, so the others can go before
+    the m*m combinations are formed.
+    """
+    rows = reps.select("id", F.posexplode("half").alias("place", "half"))
+    common = rows.groupBy("place", "half").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("place", "half")
+    own = rows.join(common, ["place", "half"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "half"))).alias("x"))  # 2*m at most for a text
+    return own.select("id", F.filter("x", lambda h: h["place"] < m).alias("a"), F.filter("x", lambda h: h["place"] >= m).alias("b"))
+
+
 def table_keys(reps: DataFrame, m: int = M) -> DataFrame:
     """``key, id``: a key for each pair of half keys, one from each collection; equal only within a table."""
-    key = lambda a, i: F.transform(F.slice("half", m + 1, m), lambda b, j: F.xxhash64(a, b, i, j))
-    return reps.select("id", F.explode(F.flatten(F.transform(F.slice("half", 1, m), key))).alias("key"))
+    key = lambda a: F.transform("b", lambda b: F.xxhash64(a["place"], a["half"], b["place"], b["half"]))
+    halves = Written(shared_halves(reps, m)).df  # used twice by family_links
+    return halves.select("id", F.explode(F.flatten(F.transform("a", key))).alias("key"))
 
 
 def family_links(keys: DataFrame) -> DataFrame:
@@ -183,7 +197,8 @@ def verified_links(docs: DataFrame, families: DataFrame, width: int, percent: in
     """
     sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     placed = families.join(sizes, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.join(placed, "id")
+    # Never a broadcast: the families grow with the documents.
+    texts = docs.join(placed.hint("merge"), "id")
     # A block meets itself once and every other block once: (i, j) with i <= j.
     each = F.when(
         F.col("blocks") > 1,
