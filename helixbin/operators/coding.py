@@ -33,8 +33,8 @@ def density(genes: DataFrame, gene_len: str = "exact", lengths: DataFrame | None
     more = 1 if gene_len == "compat" else 0
     own = genes.groupBy("seqid").agg(F.sum(F.abs(F.col("end") - (F.col("start") - 1)) + more).alias("coding"), F.max("end").alias("last"))
     if lengths is None:
-        return own.select("seqid", (F.col("coding") / F.col("last")).alias("density"))
-    return lengths.join(own, "seqid", "left").select("seqid", F.coalesce(F.col("coding") / F.col("length"), F.lit(0.0)).alias("density"))
+        return own.select("seqid", F.try_divide("coding", "last").alias("density"))
+    return lengths.join(own, "seqid", "left").select("seqid", F.coalesce(F.try_divide("coding", "length"), F.lit(0.0)).alias("density"))
 
 
 def across_tools(densities: dict[str, DataFrame]) -> DataFrame:

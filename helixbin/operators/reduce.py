@@ -163,7 +163,7 @@ def component_origins(components: DataFrame, models: dict[str, DataFrame], n: in
         one = df.select("chunk_id", F.lit(name).alias("model"), F.posexplode("features").alias("feature_ix", "x"))
         rows = one if rows is None else rows.unionByName(one)
     comp = components.select("chunk_id", F.posexplode(F.slice("features", 1, n)).alias("component", "y"))
-    out = comp.join(rows, "chunk_id").groupBy("component", "model", "feature_ix").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    out = comp.join(rows, "chunk_id").groupBy("component", "model", "feature_ix").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"), F.count("*").alias("n"))
 
     def p_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
