@@ -7,8 +7,8 @@
 3. Graphs are files in the shared scratch space; every block of queries goes through every shard's graph. A beam search returns the neighbours at or above the
    threshold; a beam still full of such neighbours is widened until its worst lies below the threshold, so
    dense groups lose nothing. After each round a recall audit compares audit queries with brute
-   force (their links and their nearest points); while it fails, the block's beam doubles, up to the shard's
-   size, where the search is exact.
+   force (their links and their nearest points); while it fails, the block's beam doubles, up to
+   an eighth of the shard, where comparing with the whole shard is cheaper and exact.
 4. Cosines are confirmed in double precision. Links are counted with multiplicities and their components
    united without moving all links of a dense group: each search task reduces its links to a forest.
 
@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 from .common import Written, components, remove, scratch, short_batches
 
 M = 12
-SHARD = 4096
+SHARD = 65_536  # points at most; fewer shards mean fewer searches for each vector
+MIN_SHARDS = 4
 BLOCK = 1024
-BEAM = 48
-AUDIT = 64
+BEAM = 32
+AUDIT = 128
 LINK_RECALL = 0.995
-NEAREST_RECALL = 0.9
+NEAREST_RECALL = 0.95
+NEAR = 0.3
 MARGIN = 1e-6
 SLACK = 0.1  # a beam is widened until its worst lies this far below the threshold
+EXACT = 8  # beams of an eighth of a shard or more cost more than comparing with the whole shard
 SHARDS_A_TASK = 64
 
 
@@ -242,22 +245,24 @@ def links_in_shard(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: flo
     """(query, point) pairs at or above the threshold by double-precision cosine, and the audited recall.
 
     ``unit`` and ``q`` are unit vectors in double precision. The audit compares some queries with brute
-    force: of their links ``LINK_RECALL`` have to be found, of their nearest points ``NEAREST_RECALL``.
+    force: of their links ``LINK_RECALL`` have to be found, of their nearest points that come near the threshold
+    ``NEAREST_RECALL``.
     """
     n = len(unit)
     picks = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
     cosine = q[picks] @ unit.T
     truth, best = cosine >= threshold, cosine.max(1)
+    near = best >= threshold - NEAR  # nearest points that the search has to find
     while True:
         pairs_q, pairs_p = [], []
         todo, width = np.arange(len(q)), min(beam, n)
         nearest = np.full(len(q), -2.0)
         while len(todo):
             rest = []
-            chunk = max(16, 4_000_000 // n)
+            chunk = max(16, 12_000_000 // n)
             for k in range(0, len(todo), chunk):
                 part = todo[k : k + chunk]
-                if width >= n:
+                if EXACT * width >= n:
                     full = q[part] @ unit.T
                     nearest[part] = full.max(1)
                     a, p = np.nonzero(full >= threshold)
@@ -282,8 +287,8 @@ def links_in_shard(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: flo
         at = where[a]
         got[at[at >= 0], p[at >= 0]] = True
         reached = float((got & truth).sum() / truth.sum()) if truth.any() else 1.0
-        first = float((nearest[picks] >= best - MARGIN).mean())
-        if (reached >= LINK_RECALL and first >= NEAREST_RECALL) or beam >= n:
+        first = float((nearest[picks] >= best - MARGIN)[near].mean()) if near.any() else 1.0
+        if (reached >= LINK_RECALL and first >= NEAREST_RECALL) or EXACT * beam >= n:
             return a, p, min(reached, first)
         beam = min(2 * beam, n)
 
@@ -357,7 +362,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     points = named.df.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     points = Written(points)
     n = points.df.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n // block))
+    shards, blocks = max(MIN_SHARDS, -(-n // shard)), max(1, -(-n // block))
     folder = f"{scratch(spark)}/helixbin-hnsw-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     store, at = fs.FileSystem.from_uri(folder)
