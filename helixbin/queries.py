@@ -10,6 +10,7 @@ from .operators import bank as banks
 from .operators import coding, contig2vec, coverage, ind, kmer, post, reduce, vbgmm
 from .operators.bank import BankSpec
 from .plans import pipeline
+from .session import ship
 
 AUTO = BankSpec(1000, 2000, "auto")
 MERGE0 = BankSpec(500, 2000, 0)
@@ -18,6 +19,7 @@ K_IND = 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -25,3 +30,16 @@ def session(master: str | None = None, app: str = "helixbin", **conf: str) -> Sp
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's sources to the executors, once a context, unless PYTHONPATH leads to them already."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_helixbin_shipped", False) or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    name = Path(tempfile.mkdtemp(prefix="helixbin-src-")) / "helixbin.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(str(name))
+    context._helixbin_shipped = True
