@@ -20,33 +20,45 @@ class PieceCache:
     ``limit`` bounds the pieces kept; beyond it the cache starts anew. Long pieces are never kept.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], limit: int = 700_000) -> None:
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], limit: int = 2_000_000) -> None:
         self.encode_pieces, self.limit = encode_pieces, limit
         self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > self.limit:
             self.kept.clear()
-        kept = self.kept
-        split = [t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in split)).difference(kept) if split else set()
+        kept, new, rows = self.kept, set(), []
+        for text in texts:
+            words = text.split(" ")
+            head = words.pop(0)
+            codes = list(map(kept.get, words))
+            lost = [i for i, c in enumerate(codes) if c is None] if None in codes else ()
+            new.update([words[i] for i in lost])
+            rows.append((head, words, codes, lost))
         odd = {w for w in new if not w or w[-1].isspace()}
         heads: set[str] = set()
         whole: dict[int, list[str]] = {}
-        for i, p in enumerate(split):
-            if (odd and not odd.isdisjoint(p[1:])) or p[0][-1:].isspace():
+        for i, (head, words, _, lost) in enumerate(rows):
+            if (odd and any(words[k] in odd for k in lost)) or head[-1:].isspace():
                 whole[i] = CUT.split(texts[i])
                 heads.update(whole[i])
-            elif p[0]:
-                heads.add(p[0])
+            elif head:
+                heads.add(head)
         new -= odd
-        words, others = list(new), list(heads)
-        codes = self.encode_pieces([" " + w for w in words] + others)
-        kept.update(zip(words, codes))
-        own = dict(zip(others, codes[len(words) :]))
+        found, others = list(new), list(heads)
+        codes = self.encode_pieces([" " + w for w in found] + others)
+        kept.update(zip(found, codes))
+        own = dict(zip(others, codes[len(found) :]))
         own[""] = b""
-        out = [b"".join([own[x] for x in whole[i]]) if i in whole else own[p[0]] + b"".join([kept[w] for w in p[1:]]) for i, p in enumerate(split)]
-        for w in words:
+        out = []
+        for i, (head, words, codes, lost) in enumerate(rows):
+            if i in whole:
+                out.append(b"".join([own[x] for x in whole[i]]))
+            else:
+                for k in lost:
+                    codes[k] = kept[words[k]]
+                out.append(own[head] + b"".join(codes))
+        for w in found:
             if len(w) > KEEP_CHARS:
                 del kept[w]
         return out

@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import Written, scratch, short_batches
 from .pieces import PieceCache
 
@@ -44,10 +46,29 @@ def encoder(path: str) -> PieceCache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    ids = lambda texts: [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    letters = dict(enumerate(byte_letters()))
+    space, merges = letters[32], tokenizer.model.tokenize
+    ends = {"": b"", **dict(zip(".,;:!?", ids(list(".,;:!?")), strict=True))}
+    byte_level = '"ByteLevel"' in tokenizer.pre_tokenizer.__getstate__().decode()
+
     def pieces(texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 4096):
-            out += [np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+        """A word, perhaps with a mark behind it, goes straight to the library's merges; the rest through all of it."""
+        out: list[bytes] = []
+        rest: list[int] = []
+        for i, x in enumerate(texts):
+            mark = x[-1:] if x[-1:] in ends else ""
+            word = x[: len(x) - len(mark)]
+            core = word[1:] if word[:1] == " " else word
+            if byte_level and core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                known = word.encode().decode("latin-1").translate(letters) if core is word or not core.isascii() else space + core
+                out.append(array("i", [t.id for t in merges(known)]).tobytes() + ends[mark])
+            else:
+                out.append(b"")
+                rest.append(i)
+        for k in range(0, len(rest), 4096):
+            for i, x in zip(rest[k : k + 4096], ids([texts[i] for i in rest[k : k + 4096]]), strict=True):
+                out[i] = x
         return out
 
     return PieceCache(pieces)

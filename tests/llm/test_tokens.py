@@ -48,7 +48,8 @@ def test_bpe_random_strings(library):
     letters = list("abc déÉß'st \n\t .,#1٣ \xa0\x1d日")
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(1500)]
     m = bpe.BpeModel(tokenizer_path())
-    for text, coded in zip(texts, m.cache.encode(texts)):
+    for text, coded, other in zip(texts, m.cache.encode(texts), token_arrow.encoder(tokenizer_path()).encode(texts), strict=True):
+        assert coded == other, repr(text)
         assert np.frombuffer(coded, np.int32).tolist() == expected(library, text), repr(text)
 
 
