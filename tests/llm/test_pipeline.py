@@ -3,7 +3,7 @@ import pytest
 from test_minhash import brute
 
 import corpus_pipeline as cp
-from helixbin.llm import line_quality, minhash, mixing, secrets
+from helixbin.llm import line_quality, secrets
 from helixbin.llm.common import table
 from helixbin.llm.queries import tokenizer_path
 
@@ -47,14 +47,7 @@ def test_stages_in_order(spark):
     assert len(out) == len(texts)
     for r in out:
         assert r["decodes"] and r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
-
-
-def test_run_equals_stages_one_by_one(spark):
-    got = rows_of(cp.run(spark, D))
-    docs = table(spark, D, "documents")
-    for _, stage in cp.STAGES:
-        docs = stage(spark, docs, D)
-    assert got == rows_of(docs)
+    assert rows_of(cp.run(spark, D)) == {r["doc_id"]: r for r in out}
 
 
 def test_edges(spark, make_docs, edge_texts):
@@ -63,12 +56,14 @@ def test_edges(spark, make_docs, edge_texts):
     odd = docs.selectExpr("*", "1 AS family", "'x' AS key", "2.0 AS rate")
     for name, stage in cp.STAGES:
         out = stage(spark, odd, D)
-        assert out.count() <= odd.count()
-        assert stage(spark, odd.where("false"), D).count() == 0
+        rows = out.collect()
+        assert 0 < len(rows) <= len(edge_texts) + 4
         if name != "tokens":
             assert tuple(out.columns) == cp.COLUMNS
-            assert any(r["doc_id"] is None for r in out.collect()), name
-    assert cp.near_dedup(spark, docs, D).where("doc_id = 100").count() == 1
+            assert any(r["doc_id"] is None for r in rows), name
+        if name == "near_dedup":
+            assert sum(r["doc_id"] == 100 for r in rows) == 1
+        assert stage(spark, odd.where("false"), D).count() == 0
 
 
 def test_redaction(spark, make_docs):
@@ -77,6 +72,5 @@ def test_redaction(spark, make_docs):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.secret_scan(spark, docs, D).collect()}
     assert got[0][0] == "a <SECRET> b <SECRET>" and got[1][0] == "nothing" and got[2][0] is None
     assert got[3][0] == "<SECRET>'" and got[0][1] == len(got[0][0])
-    assert minhash is not None and mixing is not None
     with pytest.raises(TypeError):
         cp.run(spark)
