@@ -84,39 +84,53 @@ def line_fails(line: Column, n_words: Column) -> Column:
     )
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``quality`` struct: counts, the base verdict, what the line rules removed, and ``kept``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    rows = docs.withColumns({"_w": word_list(text), "_l": lines})
-    w, l = F.col("_w"), F.col("_l")
-    # Each of these is used twice or more below, so the optimizer keeps it as a column of its own.
-    rows = rows.withColumns({"_h": windows(w), "_u": F.array_distinct(l), "_chars": F.length(F.array_join(w, "")).cast("long")})
+def quality(text: Column) -> Column:
+    """Counts, the base verdict, what the line rules removed, and ``kept``, as a struct.
+
+    Every intermediate value is bound by ``let``: a filter on a field that the optimizer moves below a projection
+    then still computes each of them once.
+    """
     n_words = lambda x: F.regexp_count(x, F.lit(WORD))
-    chars = lambda x: F.length(F.regexp_replace(x, BLANK, ""))
-    lost = F.aggregate(F.filter("_u", lambda x: let(n_words(x), lambda n: line_fails(x, n))), F.lit(0).cast("long"), lambda a, x: a + chars(x))
-    rows = rows.withColumns(
-        {
-            "_rep": F.when(F.size(F.array_distinct("_h")) < F.size("_h"), covered(F.col("_h"))).otherwise(F.lit(0)).cast("long"),
-            "_dup": (F.size("_l") - F.size("_u")).cast("long"),
-            "_bad": lost,
-            "_uniq": F.when(F.size("_u") < F.size("_l"), F.aggregate("_u", F.lit(0).cast("long"), lambda a, x: a + chars(x))).otherwise(F.col("_chars")),
-        }
-    )
-    n = F.size("_w").cast("long")
-    base = (n < MIN_WORDS) | (100 * F.col("_rep") > MAX_REPEAT_PERCENT * n)
-    removed = F.col("_bad") + (F.col("_chars") - F.col("_uniq"))
-    quality = F.struct(
-        n.alias("n_words"),
-        F.col("_chars").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.col("_dup").alias("n_dup_lines"),
-        F.col("_rep").alias("n_repeat_words"),
-        base.alias("base_failed"),
-        removed.alias("removed_chars"),
-        (~base & (100 * (F.col("_chars") - removed) > MIN_KEPT_PERCENT * F.col("_chars"))).alias("kept"),
+    chars = lambda x: F.length(F.regexp_replace(x, BLANK, "")).cast("long")
+    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + chars(x))
+
+    def parts(t: Column) -> Column:
+        return F.struct(word_list(t).alias("w"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("l"), F.regexp_count(t, F.lit(SYMBOL)).cast("long").alias("symbols"))
+
+    def wider(p: Column) -> Column:
+        return F.struct(windows(p["w"]).alias("h"), F.array_distinct(p["l"]).alias("u"), F.length(F.array_join(p["w"], "")).cast("long").alias("chars"))
+
+    def counts(p: Column, q: Column) -> Column:
+        lost = total(F.filter(q["u"], lambda x: let(n_words(x), lambda n: line_fails(x, n))))
+        uniq = F.when(F.size(q["u"]) < F.size(p["l"]), total(q["u"])).otherwise(q["chars"])
+        return F.struct(
+            F.size(p["w"]).cast("long").alias("n"),
+            F.when(F.size(F.array_distinct(q["h"])) < F.size(q["h"]), covered(q["h"])).otherwise(F.lit(0)).cast("long").alias("rep"),
+            (lost + q["chars"] - uniq).alias("removed"),
+        )
+
+    def verdict(p: Column, q: Column, c: Column) -> Column:
+        base = (c["n"] < MIN_WORDS) | (100 * c["rep"] > MAX_REPEAT_PERCENT * c["n"])
+        return F.struct(
+            c["n"].alias("n_words"),
+            q["chars"].alias("word_chars"),
+            p["symbols"].alias("n_symbols"),
+            (F.size(p["l"]) - F.size(q["u"])).cast("long").alias("n_dup_lines"),
+            c["rep"].alias("n_repeat_words"),
+            base.alias("base_failed"),
+            c["removed"].alias("removed_chars"),
+            (~base & (100 * (q["chars"] - c["removed"]) > MIN_KEPT_PERCENT * q["chars"])).alias("kept"),
+        )
+
+    return let(
+        F.coalesce(text, F.lit("")),
+        lambda t: let(parts(t), lambda p: let(wider(p), lambda q: let(counts(p, q), lambda c: verdict(p, q, c)))),
     )
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), quality.alias("quality"))
+
+
+def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``quality``, see there; it replaces a column of that name."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "quality"), quality(F.col(text_col)).alias("quality"))
 
 
 def cleaned_text(text: Column) -> Column:
