@@ -140,11 +140,12 @@ def memberships(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, Cla
     return out.mapInArrow(work, "doc_id long, ticket double, n_tokens long, posterior array<double>"), model
 
 
-def _replay(p: np.ndarray, steps: list[np.ndarray], max_rate: float, pull: float) -> tuple[np.ndarray, np.ndarray]:
+def _replay(p: np.ndarray, steps: list[np.ndarray], max_rate: float, pull: float, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the steps, and the point ahead of them that the next step starts from."""
     rate = ahead = np.ones(len(p))
+    low = np.where(p.argmax(1) == 0, floor, 0.0) if len(p) else 0.0
     for i, e in enumerate(steps):
-        new = np.clip(ahead - (p @ e + pull * (ahead - 1)) / (1 + pull), 0, max_rate)
+        new = np.clip(ahead - (p @ e + pull * (ahead - 1)) / (1 + pull), low, max_rate)
         ahead, rate = new + i / (i + 3) * (new - rate), new
     return rate, ahead
 
@@ -158,14 +159,15 @@ class Rates:
     pull: float
     targets: np.ndarray
     reached: np.ndarray
+    floor: float = 0.0
 
     def of(self, members: DataFrame) -> DataFrame:
         """``members`` with ``rate``."""
-        names, steps, most, pull = members.columns, self.steps, self.max_rate, self.pull
+        names, steps, most, pull, floor = members.columns, self.steps, self.max_rate, self.pull, self.floor
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(_matrix(batch), steps, most, pull)[0])], names=[*names, "rate"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(_matrix(batch), steps, most, pull, floor)[0])], names=[*names, "rate"])
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
         return members.mapInArrow(work, f"{schema}, rate double")
@@ -176,8 +178,11 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), len(DOMAINS))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, shares: bool = True, max_rate: float = float("inf"), pull: float = PULL, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
-    """Fits rates to token totals (``shares``: of all tokens; else the totals themselves by domain)."""
+def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, shares: bool = True, max_rate: float = float("inf"), pull: float = PULL, steps: int = STEPS, tolerance: float = TOLERANCE, floor: float = 0.0) -> Rates:
+    """Fits rates to token totals (``shares``: of all tokens; else the totals themselves by domain).
+
+    ``floor`` is the least rate of documents whose likeliest domain is the first, clean text.
+    """
     width = len(DOMAINS)
 
     def total(values) -> np.ndarray:
@@ -199,7 +204,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, share
     everything = float(supply.sum())
     aim = np.array([(targets or TARGETS)[d] for d in DOMAINS]) * (everything if shares else 1)
     if not everything:
-        return Rates([], max_rate, pull, aim, supply)
+        return Rates([], max_rate, pull, aim, supply, floor)
     gram = first[width:].reshape(width, width) / everything
     white = np.linalg.inv(gram + 1e-6 * np.eye(width))
     done: list[np.ndarray] = []
@@ -208,11 +213,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, share
     for _ in range(steps):
         e = white @ ((ahead - aim) / everything)
         done.append(e)
-        both = total(lambda p, t: np.concatenate([p.T @ (t * r) for r in _replay(p, done, max_rate, pull)]))  # noqa: B023
+        both = total(lambda p, t: np.concatenate([p.T @ (t * r) for r in _replay(p, done, max_rate, pull, floor)]))  # noqa: B023
         before, reached, ahead = reached, both[:width], both[width:]
         if np.abs(reached - aim).max() <= tolerance * everything or (len(done) > 3 and np.abs(reached - before).max() <= 0.1 * tolerance * everything):
             break
-    return Rates(done, max_rate, pull, aim, reached)
+    return Rates(done, max_rate, pull, aim, reached, floor)
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = float("inf")) -> DataFrame:
