@@ -38,12 +38,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the tokens of clean text and the shares of ``KEEP`` of the others; nothing is taken twice."""
+    """Aims at the shares of ``KEEP`` of each domain's tokens; nothing is taken twice.
+
+    Documents whose likeliest domain is clean keep rate 1, so the others alone carry the reduction.
+    """
     docs = docs.select(*COLUMNS)
     members = Written(mixing.memberships(docs, table(spark, sf_dir, "labels"))[0]).df
     supply = members.select(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(d) for i, d in enumerate(mixing.DOMAINS))).first()
     aim = {d: (supply[d] or 0.0) * KEEP[d] for d in mixing.DOMAINS}
-    rates = mixing.fit_rates(members, aim, shares=False, max_rate=1.0).of(members)
+    rates = mixing.fit_rates(members, aim, shares=False, max_rate=1.0, floor=1.0).of(members)
     taken = rates.where(mixing.copies(F.col("rate"), F.col("ticket")) > 0)
     some = docs.where("doc_id IS NOT NULL").join(taken.select("doc_id").distinct(), "doc_id", "left_semi")
     return some.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
