@@ -44,6 +44,35 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_whole_texts_of_both_labels_are_indexed(spark, make_docs):
+    """No term stands in five toxic texts, so nothing is over-represented: neighbours come from the plain words."""
+    texts = ["red stone river", "red stone hill", "blue cloud river", "blue cloud lake", "red stone lake", "blue cloud hill", "unseen"]
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5][: len(texts)]
+    labels = spark.createDataFrame([(ids[k], int(k < 2)) for k in range(4)], "doc_id long, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.classify(make_docs(texts, ids), labels).collect()}
+    assert set(rows[ids[4]]["evidence"][:2]) == {ids[0], ids[1]} and set(rows[ids[5]]["evidence"][:2]) == {ids[2], ids[3]}
+    assert rows[ids[4]]["score"] > rows[ids[5]]["score"]
+    assert rows[ids[6]]["evidence"] == []
+    words, gain = toxicity.example_terms(make_docs(texts[:4], ids[:4]).selectExpr("text", "cast(doc_id <= %d as int) AS toxic" % ids[1]))
+    assert words == ["blue", "cloud", "hill", "lake", "red", "river", "stone"] and (gain >= 1).all() and gain[4] > gain[0] == 1
+
+
+def test_many_terms_and_leaving_out():
+    rng = np.random.default_rng(7)
+    n, terms = 500, 1500
+    dense = np.where(rng.random((n, terms)) < 1 / (1 + np.arange(terms) / 9), rng.random((n, terms)), 0)
+    dense[::7] = dense[0]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    rows = [(np.flatnonzero(x), x[x > 0]) for x in dense]
+    index = toxicity.BlockMaxIndex.build(list(range(n)), [k % 2 for k in range(n)], rows, terms)
+    found = index.nearest_of([rows[i] for i in index.ids], 15, list(range(n)))
+    for place, (at, score) in enumerate(found):
+        truth = dense[index.ids] @ dense[index.ids[place]]
+        truth[place] = 0
+        assert set(at.tolist()) == set(np.flatnonzero((truth > 0) & (truth >= np.sort(truth)[-15] - 1e-9)).tolist())
+        assert np.allclose(score, truth[at])
+
+
 def test_edges(spark, make_docs, edge_texts):
     toxic = [f"you are a rude vile thing number {k}" for k in range(40)]
     clean = [f"a kind letter about gardens number {k}" for k in range(60)]
