@@ -134,8 +134,18 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def cleaned_text(text: Column) -> Column:
-    """The text without its failing lines; blank lines stay."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(WORD) | ~let(F.regexp_count(x, F.lit(WORD)), lambda n: line_fails(x, n))), "\n")
+    """The text without its failing lines and without later copies of a line; blank lines stay."""
+
+    def fails(x: Column) -> Column:
+        return let(F.regexp_count(x, F.lit(WORD)), lambda n: line_fails(x, n))
+
+    def kept(lines: Column) -> Column:
+        # The first of equal lines: a stable order by line, then by place.
+        ordered = F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        first = lambda s: F.filter(s, lambda p, k: ~p["x"].rlike(WORD) | ((k == 0) | (F.get(s, k - 1)["x"] != p["x"])) & ~fails(p["x"]))
+        return F.transform(F.array_sort(F.transform(let(ordered, first), lambda p: F.struct(p["i"], p["x"]))), lambda p: p["x"])
+
+    return F.array_join(let(F.split(text, "\n", -1), kept), "\n")
 
 
 def report(documents: DataFrame) -> DataFrame:

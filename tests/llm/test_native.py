@@ -101,3 +101,15 @@ def test_quality_of_documents(spark):
     labels = table(spark, "/root/testdata/sf0.01", "labels")
     good = line_quality.report(docs).join(labels.where("quality = 1"), "doc_id").where("NOT base_failed")
     assert good.where("kept").count() >= 0.99 * good.count()
+
+
+def test_cleaned_text_is_what_the_rules_leave(spark, make_docs, edge_texts):
+    line = "a plain line that stands in this text more than once"
+    texts = [f"{line}\n\nhome | about | news | more\n{line}\nz last\nb later\nz last\n\n", *edge_texts]
+    docs = make_docs(texts).unionByName(table(spark, "/root/testdata/sf0.001", "documents"))
+    rows = line_quality.judged(docs).withColumn("clean", line_quality.cleaned_text(F.col("text"))).collect()
+    assert rows[0]["clean"] == f"{line}\n\nz last\nb later\n\n"
+    for r in rows:
+        left = len(re.sub(line_quality.BLANK, "", r["clean"] or ""))
+        assert left == r["quality"]["word_chars"] - r["quality"]["removed_chars"], r["doc_id"]
+    assert sum(r["quality"]["n_dup_lines"] > 0 for r in rows) > 5
