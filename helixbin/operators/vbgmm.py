@@ -205,8 +205,11 @@ def fit(rows: DataFrame, max_cluster: int, seed: int = 666, restarts: int = DEFA
     if n < 2:
         raise ValueError("too few rows to cluster")
     if n * width * 8 > MAX_BROADCAST:
-        runs = [fit_distributed(rows, max_cluster, seed + SEED_STEP * r, max_iter, epsilon, bound) for r in range(restarts)]
-        best = max(range(restarts), key=lambda r: (runs[r][1], -r))
+        runs = [fit_distributed(rows, max_cluster, seed + SEED_STEP * r, max_iter, epsilon, bound, init, groups) for r in range(restarts)]
+        good = [r for r in range(restarts) if math.isfinite(runs[r][1])]
+        if not good:
+            raise ValueError("no restart reached a finite bound")
+        best = max(good, key=lambda r: (runs[r][1], -r))
         return runs[best][0], spark.createDataFrame([(r, seed + SEED_STEP * r, b, c) for r, (_, b, c) in enumerate(runs)], "restart int, seed long, bound double, n_clusters int")
     linked = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left") if groups is not None else rows.withColumn("contig_id", F.lit(None).cast("string"))
     local = linked.select("chunk_id", "contig_id", "features").orderBy("chunk_id").toPandas()
@@ -229,16 +232,69 @@ def fit(rows: DataFrame, max_cluster: int, seed: int = 666, restarts: int = DEFA
     return labels, spark.createDataFrame([(r["restart"], r["seed"], r["bound"], r["n_clusters"]) for r in runs], "restart int, seed long, bound double, n_clusters int")
 
 
-def fit_distributed(rows: DataFrame, k: int, seed: int = 666, max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat") -> tuple[DataFrame, float, int]:
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
+
+
+def kmeans_distributed(rows: DataFrame, k: int, d: int, seed: int, steps: int = 1000) -> np.ndarray:
+    """Centres by ``init_kmeans`` with the rows (``chunk_id, features, start``) in the cluster; only sums move."""
+    spark = rows.sparkSession
+
+    def sums(before: np.ndarray | None, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Counts and sums by the nearest of ``centre`` (by ``start`` if None), and how many rows change from ``before``."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(k + k * d + 1)
+            for batch in batches:
+                x = _stack(batch)
+                if not len(x):
+                    continue
+                start = batch.column(batch.schema.get_field_index("start")).to_numpy()
+                label = start if centre is None else _nearest(x, centre)
+                first = np.zeros((k, d))
+                np.add.at(first, label, x)
+                changed = 0 if centre is None else (label != (start if before is None else _nearest(x, before))).sum()
+                held += np.concatenate([np.bincount(label, minlength=k), first.ravel(), [changed]])
+            yield pa.record_batch([pa.array(np.arange(len(held)), pa.int32()), pa.array(held)], names=["i", "x"])
+
+        flat = np.zeros(k + k * d + 1)
+        for r in rows.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            flat[r["i"]] = r["x"]
+        return flat[:k], flat[k:-1].reshape(k, d), flat[-1]
+
+    before, centre = None, None
+    n, first, _ = sums(None, None)
+    for step in range(steps):
+        before, centre = centre, first / np.maximum(n, 1)[:, None]
+        empty = np.flatnonzero(n == 0)
+        if len(empty):
+            drawn = rows.orderBy(F.xxhash64("chunk_id", F.lit(seed), F.lit(step)), "chunk_id").select("features").limit(len(empty)).collect()
+            for i, j in enumerate(empty):
+                centre[j] = drawn[i % len(drawn)]["features"]
+        n, first, changed = sums(before, centre)
+        if not changed:
+            break
+    return centre
+
+
+def fit_distributed(rows: DataFrame, k: int, seed: int = 666, max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat", init: str = "kmeans", groups: DataFrame | None = None) -> tuple[DataFrame, float, int]:
     """One restart with the rows in the cluster: each step adds up moments in the executors.
 
-    It starts from a random component for each row, drawn by a hash of its id.
+    It has the starts of ``init_labels``; what is random there is drawn by a hash of the row's id, or of its group's.
     """
     spark = rows.sparkSession
-    rows = rows.select("chunk_id", "features", F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(k)).cast("int").alias("start"))
+    if init not in ("kmeans", "mustlink", "random"):
+        raise ValueError("init has to be 'kmeans', 'mustlink' or 'random'")
+    key = F.col("chunk_id")
+    if init == "mustlink":
+        if groups is None:
+            raise ValueError("must-link initialisation takes the rows' groups")
+        rows, key = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left"), F.coalesce("contig_id", "chunk_id")
+    rows = rows.select("chunk_id", "features", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("start"))
     stats = rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v")).orderBy("i").collect()
     prior = Prior.of(np.maximum(np.array([r["v"] for r in stats]), 1e-12))
     d = len(stats)
+    centre = kmeans_distributed(rows, k, d, seed) if init == "kmeans" else None
 
     def sums(state: Mixture | None) -> tuple[tuple, float]:
         shared = spark.sparkContext.broadcast(state)
@@ -249,7 +305,10 @@ def fit_distributed(rows: DataFrame, k: int, seed: int = 666, max_iter: int = 60
                 x = _stack(batch)
                 if not len(x):
                     continue
-                z = np.eye(k)[batch.column(batch.schema.get_field_index("start")).to_numpy()] if shared.value is None else shared.value.responsibilities(x)
+                if shared.value is None:
+                    z = np.eye(k)[batch.column(batch.schema.get_field_index("start")).to_numpy() if centre is None else _nearest(x, centre)]
+                else:
+                    z = shared.value.responsibilities(x)
                 entropy = float((z[z > 0] * np.log(z[z > 0])).sum())
                 held += np.concatenate([*(m.ravel() for m in moments(x, z)), [entropy]])
             yield pa.record_batch([pa.array(np.arange(len(held)), pa.int32()), pa.array(held)], names=["i", "x"])
@@ -265,7 +324,7 @@ def fit_distributed(rows: DataFrame, k: int, seed: int = 666, max_iter: int = 60
     for i in range(max_iter + 1):
         held, entropy = sums(state)
         bounds.append(state.bound(held, entropy, bound))
-        if i == max_iter or (i and abs(bounds[-1] - bounds[-2]) <= epsilon):
+        if not math.isfinite(bounds[-1]) or i == max_iter or (i and abs(bounds[-1] - bounds[-2]) <= epsilon):
             break
         state = Mixture.from_moments(prior, *held)
     alive = np.flatnonzero(state.pi > 0)

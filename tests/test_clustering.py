@@ -87,6 +87,37 @@ def test_mixture_bound_rises_and_scale_mode_agrees(spark):
     assert np.allclose(vbgmm.covariances(x, z, 0.0)[0], np.cov(x[truth == 0].T, ddof=0))
 
 
+@pytest.mark.parametrize("init", ["kmeans", "mustlink", "random"])
+def test_rows_in_the_cluster_start_the_same_way(spark, monkeypatch, init):
+    x, truth = blobs(3, 40)
+    groups = spark.createDataFrame([(f"r{i:04d}", f"g{truth[i]}-{i % 5}") for i in range(len(x))], "chunk_id string, contig_id string")
+    asked, one = [], vbgmm.fit_distributed
+    monkeypatch.setattr(vbgmm, "fit_distributed", lambda *a: (asked.append(a[6]), one(*a))[1])
+    local = vbgmm.fit(frame(spark, x), 5, restarts=2, init=init, groups=groups, epsilon=1e-2)[0]
+    assert not asked
+    monkeypatch.setattr(vbgmm, "MAX_BROADCAST", 0)
+    labels, runs = vbgmm.fit(frame(spark, x), 5, restarts=2, init=init, groups=groups, epsilon=1e-2)
+    a, b = ([r["cluster"] for r in t.orderBy("chunk_id").collect()] for t in (local, labels))
+    assert asked == [init] * 2 and same_partition(a, b) and runs.count() == 2
+
+
+def test_rows_in_the_cluster_check_start_and_bounds(spark, monkeypatch):
+    x, truth = blobs(3, 20)
+    monkeypatch.setattr(vbgmm, "MAX_BROADCAST", 0)
+    with pytest.raises(ValueError):
+        vbgmm.fit(frame(spark, x), 3, restarts=1, init="mustlink")
+    centre = vbgmm.kmeans_distributed(frame(spark, x).selectExpr("chunk_id", "features", "cast(pmod(hash(chunk_id), 3) as int) AS start"), 3, x.shape[1], 5)
+    near = vbgmm._nearest(x, centre)
+    assert np.allclose(centre, [x[near == j].mean(0) for j in range(3)])
+    bounds = iter([float("nan"), -5.0, float("inf")])
+    monkeypatch.setattr(vbgmm, "fit_distributed", lambda rows, *a: (rows.selectExpr("chunk_id", f"{a[1]} AS cluster"), next(bounds), 1))
+    got = vbgmm.fit(frame(spark, x), 3, seed=1, restarts=3)[0].first()["cluster"]
+    assert got == 1 + vbgmm.SEED_STEP
+    bounds = iter([float("nan")])
+    with pytest.raises(ValueError):
+        vbgmm.fit(frame(spark, x), 3, restarts=1)
+
+
 def test_silhouettes_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x, c = rng.normal(size=(60, 5)), rng.integers(0, 4, 60)
