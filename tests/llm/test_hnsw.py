@@ -66,6 +66,35 @@ def test_documents_table(spark, sf_dir):
         assert (r["n_links"], r["component_id"]) == want[r["vec_id"]]
 
 
+def test_every_size_goes_through_the_graph(spark, monkeypatch):
+    """3,000 points in shards of 400: all links of brute force, found by searches of the shards' graphs."""
+    rng = np.random.default_rng(12)
+    data = vectors(rng, 2875)
+    rows = list(enumerate(data))
+    x = np.array(data)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.95
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=400, block=256).collect()}
+    want = brute(rows)
+    missed = sum(int(links[i].sum()) - got[i]["n_links"] for i in got)
+    assert 0 <= missed <= 0.005 * links.sum() and all(got[i]["recall"] >= 0.95 for i in got)
+    assert sum(got[i]["component_id"] != want[i][1] for i in got) <= 2
+    # The same search in this process: every query goes through Graph.search, in a shard of 40 points too.
+    asked = []
+    search = hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, q, beam: asked.append(len(q)) or search(self, q, beam))
+    for n in (40, 400):
+        asked.clear()
+        pairs = {(int(a), int(p)) for aa, pp in hnsw.links_in_shard(hnsw.Graph(x[-n:]), x[-n:], x[-n:], 0.95) for a, p in zip(aa, pp)}
+        assert asked[0] == n and pairs >= {(int(a), int(b)) for a, b in zip(*np.nonzero(links[-n:, -n:]))}
+
+
+def test_extra_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 5, "x", 0.0), (2, [1.0, 0.0], 5, "y", 1.0)], "vec_id long, embedding array<double>, id int, key string, recall double")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.report(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_null_and_repeated_ids_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [1.0, 0.01]), (6, None)], "vec_id long, embedding array<float>")
     rows = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in hnsw.report(df).collect()), key=str)
