@@ -4,25 +4,29 @@ A document's set holds its distinct w-word shingles (words ``[^\x20\x09-\x0D]+``
 fewer words the whole sequence is one shingle. Null texts and texts without words have an empty set and
 link with nothing. Documents link if the Jaccard similarity of their full sets reaches the threshold.
 
-1. ``signatures``: two small collections of m half keys, each made of k minhashes. Documents of equal sets
-   form a class; only its smallest id goes on.
+1. ``signatures``: two small collections of m half keys, each made of k minhashes, and a sketch of ``SKETCH`` bytes.
+   Documents of equal sets form a class; only its smallest id goes on.
 2. ``table_keys``: m*m tables, keyed by pairs of half keys, one from each collection: 2*m*k minhashes do the
-   work of m*m*2*k. Half keys that no other document has are dropped before the pairs are formed. A pair at similarity s is missed with probability at most 2*(1-s^k)^m (0.00009 at 0.8
-   for the defaults).
-3. Each bucket links its members to its smallest id; the components of these links are families. Every
-   candidate pair, sharing some table key, lies within a family.
-4. Families are dealt into blocks of bounded size; every pair of a family's blocks is one task, which
-   computes the exact overlaps of full sets through a local inverted index and returns a spanning forest of
-   the verified links. No pairs of a group are emitted; no family has to fit into a task.
+   work of m*m*2*k. Half keys that no other document has are dropped before the pairs are formed. A pair at similarity s
+   is missed with probability at most 2*(1-s^k)^m (0.00005 at 0.8 for the defaults).
+3. ``family_links``: candidates, that share a table key, are checked by their sketches; only those whose estimate reaches
+   ``ALIKE`` (six standard deviations below 0.8) make families, so that documents which share a template don't percolate into
+   one. A bucket's members are compared with its smallest id first; buckets that this leaves in several families are compared in full,
+   in blocks that return forests.
+4. ``verified_links``: candidates are confirmed on full sets of 128-bit shingles, within families. Families beyond a block
+   are compared with up to ``LEADERS`` of their members first; what links to these is done with each other, and only the rest
+   is compared with everything, a pair of blocks a task. No pairs are emitted; no family has to fit into a task.
 5. The components of the verified links are the classes.
 
-Rows of equal id are one document, linked by any of its texts; rows with a null id keep a row of their own
-with a null component and link with nothing. Extra columns are ignored. An empty table gives no rows.
+A shingle's key is mixed from its words' 128-bit digests, so different shingles differ however their letters are arranged. Very
+long texts are cut into shingles whole. Rows of equal id are one document, linked by any of its texts; rows with a null id keep
+a row of their own with a null component and link with nothing. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import Written, components, short_batches
 
-M, K = 14, 3
+M, K = 20, 4
+SKETCH = 96
+ALIKE = 0.56
+LEADERS = 8
 SEED = 7919
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 400_000
@@ -47,36 +54,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_keys(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit keys of a text's shingles, from a rolling polynomial over its bytes."""
+class _Digests(dict):
+    """128-bit digests of words. Long words are not kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            self[word] = digest
+        return digest
+
+
+_WORDS = _Digests()
+_WORDS_KEPT = 400_000
+
+
+def shingles(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text as two 64-bit keys each, ascending by the first."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
-    flat = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    # Two independent polynomials over bytes spread to 64 bits; powers of odd numbers have inverses.
-    spread = _mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(SEED))
-    power, inverse = _powers(len(flat) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(spread[flat] * power[: len(flat)], dtype=np.uint64)])
-    n = max(1, len(words) - width + 1)
-    first, last = starts[:n], ends[min(width, len(words)) - 1 :][:n]
-    keys = (sums[last] - sums[first]) * inverse[first]
-    return np.unique(_mix(keys + _mix((last - first).astype(np.uint64))))
-
-
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 17)
-        back = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        for i, base in enumerate((_ODD, back)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if len(_WORDS) > _WORDS_KEPT:
+        _WORDS.clear()
+    lanes = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint64).reshape(-1, 2)
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    keys = []
+    for lane, odd in ((0, _ODD), (1, np.uint64(0xC2B2AE3D27D4EB4F))):
+        x = np.full(n, np.uint64(SEED * (lane + 1) + width), np.uint64)
+        word = np.ascontiguousarray(lanes[:, lane])
+        for i in range(width):
+            x = _mix(x * odd + word[i : i + n])
+        keys.append(x)
+    a, b = keys
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    return a[new], b[new]
 
 
 def minhashes(keys: np.ndarray, n: int) -> np.ndarray:
@@ -94,7 +110,11 @@ def minhashes(keys: np.ndarray, n: int) -> np.ndarray:
 
 def half_keys(keys: np.ndarray, m: int, k: int) -> np.ndarray:
     """The 2*m half keys of a set: the first m are one collection, the rest the other."""
-    mins = minhashes(keys, 2 * m * k).reshape(2 * m, k)
+    return _halves(minhashes(keys, 2 * m * k), m, k)
+
+
+def _halves(mins: np.ndarray, m: int, k: int) -> np.ndarray:
+    mins = mins.reshape(2 * m, k)
     out = np.zeros(2 * m, np.uint64)
     for i in range(k):
         out = _mix(out * _ODD + mins[:, i])
@@ -102,30 +122,33 @@ def half_keys(keys: np.ndarray, m: int, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, m: int = M, k: int = K) -> DataFrame:
-    """``id, n_shingles, class_a, class_b`` (128 bits of the set's digest) ``, half`` array<long> of 2*m half keys."""
+    """``id, n_shingles, class_a, class_b`` (128 bits of the set's digest) ``, half`` array<long> of 2*m half keys, ``sketch``."""
     short_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, halves = [], [], []
+            sizes, digests, halves, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
-                keys = shingle_keys(text, width)
+                keys, more = shingles(text, width)
                 sizes.append(len(keys))
                 if len(keys):
-                    digests.append((int(_mix(keys).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(_mix(keys * _ODD + np.uint64(1))).view(np.int64))))
-                    halves.append(half_keys(keys, m, k))
+                    digests.append((int(_mix(keys ^ _mix(more)).sum(dtype=np.uint64).view(np.int64)), int(_mix(more * _ODD + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))))
+                    mins = minhashes(keys, max(2 * m * k, SKETCH))
+                    halves.append(_halves(mins[: 2 * m * k], m, k))
+                    sketches.append((mins[:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     digests.append((None, None))
                     halves.append(None)
+                    sketches.append(None)
             flat = np.concatenate([h for h in halves if h is not None] or [np.zeros(0, np.int64)])
             ends = np.cumsum([0, *(0 if h is None else 2 * m for h in halves)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["id", "n_shingles", "class_a", "class_b", "half"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(sketches, pa.binary())],
+                names=["id", "n_shingles", "class_a", "class_b", "half", "sketch"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "id long, n_shingles long, class_a long, class_b long, half array<long>")
+    return rows.mapInArrow(work, "id long, n_shingles long, class_a long, class_b long, half array<long>, sketch binary")
 
 
 def shared_halves(reps: DataFrame, m: int = M) -> DataFrame:
@@ -147,23 +170,87 @@ def table_keys(reps: DataFrame, m: int = M) -> DataFrame:
     return halves.select("id", F.explode(F.flatten(F.transform("a", key))).alias("key"))
 
 
-def family_links(keys: DataFrame) -> DataFrame:
-    """``id, low``: each bucket's members with its smallest id, the same link once."""
-    low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    return keys.join(low, "key").where("id <> low").select("id", "low").distinct()
+def _estimates(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The share of equal bytes of sketches, row by row."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (a, b))
+    return (x == y).mean(1)
+
+
+def family_links(keys: DataFrame, sketches: DataFrame, block_docs: int) -> DataFrame:
+    """``id, low``: links whose components hold every candidate pair with an estimate of ``ALIKE`` or more.
 
+    ``keys``: ``key, id``; ``sketches``: ``id, sketch``.
+    """
+    short_batches(keys.sparkSession, 4096)
+    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n")
+    star = keys.join(buckets, "key").where("id <> low").groupBy("id", "low").agg(F.max("n").alias("n"))
+    pairs = star.join(sketches, "id").join(sketches.select(F.col("id").alias("low"), F.col("sketch").alias("other")), "low")
 
-def _linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = _estimates(batch.column("sketch"), batch.column("other")) >= ALIKE
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("low"), batch.column("n"), pa.array(good)], names=["id", "low", "n", "alike"])
+
+    judged = Written(pairs.select("id", "low", "n", "sketch", "other").mapInArrow(judge, "id long, low long, n long, alike boolean"))
+    alike = judged.df.where("alike").select("id", "low")
+    of = components(alike, "id", "low")
+    mine, its = of.select(F.col("node").alias("id"), F.col("component").alias("c")), of.select(F.col("node").alias("low"), F.col("component").alias("d"))
+    # A bucket of two has been compared; larger ones are open where a member is in another component than the smallest.
+    apart = judged.df.where("NOT alike AND n > 2").join(mine, "id", "left").join(its, "low", "left").where("coalesce(c, id) <> coalesce(d, low)")
+    apart = Written(apart.select("id", "low"))
+    if not apart.df.limit(1).count():
+        return alike
+    some = keys.join(buckets.where("n > 2"), "key").join(apart.df, ["id", "low"], "left_semi").groupBy("key").agg(F.max("n").alias("n"))
+    members = keys.join(some, "key").withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = members.join(sketches, "id").join(mine, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"), "sketch", "block", F.explode(_meetings(F.lit(0), F.col("blocks"), F.col("block"))).alias("at"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, c = group.column("id").to_numpy(), group.column("c").to_numpy()
+        far = group.column("block").to_numpy() != group.column("i")[0].as_py()
+        x = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        label, across = np.arange(len(ids)), bool(far.any())
+        for a in range(len(ids)):
+            if across and far[a]:
+                continue
+            other = np.flatnonzero((c != c[a]) & far) if across else a + 1 + np.flatnonzero(c[a + 1 :] != c[a])
+            hit = other[(x[other] == x[a]).mean(1) >= ALIKE] if len(other) else other
+            _unite(label, hit, a)
+        moved = label != np.arange(len(ids))
+        return pa.table({"id": pa.array(ids[moved], pa.int64()), "low": pa.array(ids[label[moved]], pa.int64())})
+
+    open_links = members.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "block", "id", "c", "sketch").groupBy("key", "i", "j").applyInArrow(compare, "id long, low long")
+    return alike.unionByName(open_links)
+
+
+def _unite(label: np.ndarray, hit: np.ndarray, a: int) -> None:
+    roots = np.unique(np.append(label[hit], label[a]))
+    if len(roots) > 1:
+        label[np.isin(label, roots)] = roots[0]
+
+
+def _meetings(open_blocks, blocks, block):
+    """The pairs of blocks (i <= j) that a row of ``block`` takes part in: with every block; with the first ``open_blocks`` alone for a block beyond those (0: all are open)."""
+    last = F.when((open_blocks > 0) & (block >= open_blocks), open_blocks).otherwise(blocks) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
+
+
+def _linked(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, percent: int) -> np.ndarray:
     """Component labels of the documents of one task; ``side`` keeps pairs of one block to that block's own task.
 
     Overlaps come from an inverted index over the task's shingles: a document's postings, counted at once.
     """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
+    sizes = np.array([len(s) for s, _ in sets], np.int64)
+    flat, more = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
-    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    by, rest = flat[order], more[order]
+    if ((by[1:] == by[:-1]) & (rest[1:] != rest[:-1])).any():
+        order = np.lexsort((more, flat))
+        by, rest = flat[order], more[order]
+    new = np.append(True, (by[1:] != by[:-1]) | (rest[1:] != rest[:-1]))
     local = np.empty(len(flat), np.int64)
     local[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
@@ -183,55 +270,81 @@ def _linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarra
         at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
         shared = np.bincount(by_key[at], minlength=n)
         hit = np.flatnonzero(100 * shared >= percent * (sizes[a] + sizes - shared))
-        hit = hit[side[hit] == 1] if across else hit
-        roots = np.unique(np.append(label[hit], label[a]))
-        if len(roots) > 1:
-            label[np.isin(label, roots)] = roots[0]
+        _unite(label, hit[side[hit] == 1] if across else hit, a)
     return label
 
 
 def verified_links(docs: DataFrame, families: DataFrame, width: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``id, low``: a spanning forest of the verified links in each pair of a family's blocks.
+    """``id, low``: links that span the same components as all links within families.
 
     ``docs``: ``id, text``; ``families``: ``id, family, n_shingles``.
     """
-    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    placed = families.join(sizes, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    # Never a broadcast: the families grow with the documents.
-    texts = docs.join(placed.hint("merge"), "id")
-    # A block meets itself once and every other block once: (i, j) with i <= j.
-    each = F.when(
-        F.col("blocks") > 1,
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-    dealt = texts.select("id", "text", "family", "block", F.explode(each).alias("at")).select("family", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "block", "id", "text")
 
     def work(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        text = group.column("text").to_pylist()
-        side = (group.column("block").to_numpy()[order] != group.column("i")[0].as_py()).astype(np.int8)
-        label = _linked([shingle_keys(text[i], width) for i in order], side, percent)
+        ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
+        order = np.lexsort((side, ids))
+        ids, text = ids[order], group.column("text").to_pylist()
+        label = _linked([shingles(text[i], width) for i in order], side[order], percent)
         moved = label != np.arange(len(ids))
         return pa.table({"id": pa.array(ids[moved], pa.int64()), "low": pa.array(ids[label[moved]], pa.int64())})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(work, "id long, low long")
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.select("family", "i", "j", "id", "text", "side").groupBy("family", "i", "j").applyInArrow(work, "id long, low long")
+
+    size = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
+    sizes = families.groupBy("family").agg(size.alias("blocks"))
+    placed = families.join(sizes, "family").select("id", "family", "n_shingles", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    # Never a broadcast: the families grow with the documents.
+    texts = Written(docs.join(placed.hint("merge"), "id"))
+    side = F.lit(0).alias("side")
+    links = compared(texts.df.where("blocks = 1").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), side))
+    large = texts.df.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+    # Up to LEADERS members of a large family meet each of its blocks.
+    chosen = large.groupBy("family", F.pmod("block", F.lit(LEADERS)).alias("part")).agg(F.min("id").alias("id")).select("family", "id")
+    leaders = large.join(chosen, ["family", "id"], "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = large.select("*", F.col("block").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
+    told = Written(compared(members.unionByName(leaders.select(*large.columns, "i", F.lit(0).alias("j"), side))))
+    of = components(told.df, "id", "low").select(F.col("node").alias("id"), "component")
+    state = large.select("id", "family", "n_shingles").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # The largest component of a family is done with itself; the others are compared with everything.
+    chief = state.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", F.col("component"))).alias("m")).select("family", F.col("m.component").alias("component"), F.lit(True).alias("done"))
+    state = state.join(chief, ["family", "component"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    split = Written(state.select("id", "family", "n_shingles", "done"))
+    counts = split.df.groupBy("family", "done").agg(size.alias("blocks")).groupBy("family").agg(*(F.coalesce(F.max(F.when(F.col("done") == d, F.col("blocks"))), F.lit(0)).alias(c) for d, c in ((False, "rest"), (True, "own"))))
+    dealt = split.df.join(counts.where("rest > 0"), "family").distinct()
+    dealt = dealt.select("id", "family", "rest", (F.col("rest") + F.col("own")).alias("all"), F.when(F.col("done"), F.col("rest") + F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int").alias("b"))
+    met = large.select("id", "text").join(dealt, "id").select("family", "id", "text", "b", F.explode(_meetings(F.col("rest"), F.col("all"), F.col("b"))).alias("at"))
+    rest = compared(met.select("family", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "id", "text", (F.col("b") != F.col("at.i")).cast("int").alias("side")))
+    return links.unionByName(told.df).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, m: int = M, k: int = K, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id`` (smallest id reachable by links), ``kept``."""
     sig = Written(signatures(docs, id_col, text_col, width, m, k))
-    one = ["id", "class_a", "class_b"]
-    classes = sig.df.where("n_shingles > 0 AND id IS NOT NULL").groupBy("class_a", "class_b").agg(F.min("id").alias("id"))
-    reps = Written(classes.join(sig.df.select(*one, "n_shingles", "half"), one).dropDuplicates(one))
-    families = components(family_links(table_keys(reps.df, m)), "id", "low").select(F.col("node").alias("id"), F.col("component").alias("family"))
-    families = Written(families.join(reps.df.groupBy("id").agg(F.sum("n_shingles").alias("n_shingles")), "id"))
+    one, digest = ["id", "class_a", "class_b"], ["class_a", "class_b"]
+    real = sig.df.where("n_shingles > 0 AND id IS NOT NULL")
+    classes = real.groupBy(*digest).agg(F.min("id").alias("id"))
+    reps = Written(classes.join(sig.df.select(*one, "n_shingles", "half", "sketch"), one).dropDuplicates(one))
+    # An id that stands for several classes has one sketch for each; they are told apart as points of their own.
+    points = reps.df.select("id", "half", "sketch").withColumn("point", F.monotonically_increasing_id())
+    points = Written(points)
+    keys = Written(table_keys(points.df.select(F.col("point").alias("id"), "half"), m))
+    near = family_links(keys.df, points.df.select(F.col("point").alias("id"), "sketch"), block_docs)
+    families = components(near, "id", "low").select(F.col("node").alias("point"), F.col("component").alias("family"))
+    families = families.join(points.df.select("point", "id"), "point").groupBy("id").agg(F.collect_set("family").alias("f"))  # an id's classes at most
+    families = families.join(reps.df.groupBy("id").agg(F.sum("n_shingles").alias("n_shingles")), "id").select("id", F.explode("f").alias("family"), "n_shingles")
+    families = Written(families)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     links = verified_links(texts.where("id IS NOT NULL"), families.df, width, percent, block_docs)
-    joined = components(links, "id", "low").select(F.col("node").alias("rep"), "component")
-    table = reps.df.select(F.col("id").alias("rep"), "class_a", "class_b").join(joined, "rep", "left")
-    out = sig.df.select("id", "n_shingles", "class_a", "class_b").join(table, ["class_a", "class_b"], "left")
+    # Classes of one id are one document: their representatives are linked.
+    many = real.groupBy("id").agg(F.min(F.struct(*digest)).alias("x"), F.max(F.struct(*digest)).alias("y")).where("x <> y").select("id")
+    own = real.join(many, "id", "left_semi").select(*one).join(reps.df.select(F.col("id").alias("rep"), *digest), digest).select("id", "rep").distinct()
+    same = own.join(own.groupBy("id").agg(F.min("rep").alias("low")), "id").where("rep <> low").select(F.col("rep").alias("id"), "low")
+    joined = components(links.unionByName(same), "id", "low").select(F.col("node").alias("rep"), "component")
+    table = reps.df.select(F.col("id").alias("rep"), *digest).join(joined, "rep", "left")
+    out = sig.df.select("id", "n_shingles", *digest).join(table, digest, "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

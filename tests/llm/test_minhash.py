@@ -70,10 +70,40 @@ def test_empty_table(spark, make_docs):
     assert minhash.report(make_docs(["x"]).where("false")).count() == 0
 
 
-def test_shingle_keys_ignore_spacing_and_case():
-    a, b = minhash.shingle_keys("The quick\tbrown  FOX jumps", 4), minhash.shingle_keys("the QUICK brown fox\n jumps ", 4)
-    assert len(a) == 2 and (a == b).all()
-    assert len(minhash.shingle_keys("one two", 4)) == 1
+def test_shingles_ignore_spacing_and_case():
+    a, b = minhash.shingles("The quick\tbrown  FOX jumps", 4), minhash.shingles("the QUICK brown fox\n jumps ", 4)
+    assert len(a[0]) == 2 and (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert len(minhash.shingles("one two", 4)[0]) == 1
+
+
+def test_words_that_defeat_polynomials(spark, make_docs):
+    """A Thue-Morse word and its complement collide under every polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    word, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [word, other, f"{word} x y z", f"{other} x y z"]
+    check(make_docs(texts), list(enumerate(texts)))
+
+
+def test_template_without_true_links(spark, make_docs):
+    """Documents that share half of their words with a template link with nothing, and make no large family."""
+    rng = np.random.default_rng(9)
+    base = [f"t{k}" for k in range(60)]
+    texts = [" ".join(base + [f"u{k}" for k in rng.integers(0, 10**6, 60)]) for _ in range(600)]
+    df = make_docs(texts)
+    rows = minhash.near_duplicates(df, width=4).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in rows) and len(rows) == 600
+    points = minhash.signatures(df, width=4).select("id", "half", "sketch")
+    links = minhash.family_links(minhash.table_keys(points), points.select("id", "sketch"), 1024)
+    sizes = [r["count"] for r in components(links, "id", "low").groupBy("component").count().collect()]
+    assert max(sizes, default=1) <= 3
+
+
+def test_one_id_with_two_texts(spark, make_docs):
+    """Id 5 has a text of its own and a copy of 2's: both rows, and what is like either, are one document."""
+    own = "one lone text that is like no other text at all"
+    copied = "the very same words stand here in two of the documents"
+    rows = {(r["doc_id"], r["n_shingles"]): r for r in minhash.near_duplicates(make_docs([own, copied, copied, own], [5, 5, 2, 9]), width=4).collect()}
+    assert {r["component_id"] for r in rows.values()} == {2}
 
 
 def test_long_chain_of_components(spark):
