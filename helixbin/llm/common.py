@@ -6,7 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +73,51 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph: ``node``, ``component`` (the smallest node reachable).
+#: A graph of at most so many links is finished by one task (16 MB).
+FEW_LINKS = 1_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (x, smallest) that span the same components as the pairs (a, b)."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inverse[: len(a)], inverse[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        # The roots of both ends take the smaller label, then paths are halved until they are flat.
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = np.minimum(new, new[new])
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    """The components of a bounded number of links (``u, v``), in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if parts:
+            x, low = forest(*(np.concatenate(p) for p in zip(*parts)))
+            roots = np.unique(low)
+            yield pa.record_batch([pa.array(np.concatenate([x, roots])), pa.array(np.concatenate([low, roots]))], names=["node", "component"])
+
+    return links.select("u", "v").coalesce(1).mapInArrow(work, "node long, component long")
+
+
+def components(edges: DataFrame, left: str, right: str, rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
+    """Connected components of an undirected graph over long ids: ``node``, ``component`` (the smallest node reachable).
 
     Alternates large-star and small-star steps until the edges stand still, which takes a number of
-    rounds logarithmic in the graph's size. Each round is written to the shared scratch space. Hub nodes
-    never gather their neighbours in one task: a partial minimum is joined back, and adaptive execution
-    splits a skewed join. Nodes without an edge don't appear.
+    rounds logarithmic in the graph's size, or until ``few`` are left, which one task finishes. Each round is written to the
+    shared scratch space. Hub nodes never gather their neighbours in one task: a partial minimum is joined back, and
+    adaptive execution splits a skewed join. Nodes without an edge don't appear.
     """
     pairs = (
         edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
@@ -87,6 +128,12 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
     now, before = Written(pairs), None
     for _ in range(rounds):
         state = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state[0] <= few:
+            if before is not None:
+                before[1].drop()
+            done = Written(_finished(now.df))
+            now.drop()
+            return done.df
         if before is not None and state == before[0]:
             break
         e = now.df

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, components, remove, scratch, short_batches
+from .common import Written, components, forest, remove, scratch, short_batches
 
 M = 12
 SHARD = 65_536  # points at most; fewer shards mean fewer searches for each vector
@@ -303,26 +303,6 @@ def links_in_shard(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: flo
             yield a, p
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (x, smallest) that span the same components as the pairs (a, b)."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = np.minimum(new, new[label])
-        while (new != new[new]).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _unit(values: np.ndarray) -> np.ndarray:
     x = values / np.abs(values).max(1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -416,10 +396,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     other = ids[a] != own[p]
                     a, p = a[other], p[other]
                     count += np.bincount(a, copies[p], len(ids)).astype(np.int64)
-                    parts.append(_forest(ids[a], own[p]))
+                    parts.append(forest(ids[a], own[p]))
                     if len(parts) > 32:
-                        parts = [_forest(*(np.concatenate(x) for x in zip(*parts)))]
-                x, y = _forest(*(np.concatenate(x) for x in zip(*parts)))
+                        parts = [forest(*(np.concatenate(x) for x in zip(*parts)))]
+                x, y = forest(*(np.concatenate(x) for x in zip(*parts)))
                 blank = np.zeros(len(x), np.int64)
                 yield pa.record_batch([pa.array(np.concatenate([ids, x])), pa.array(np.concatenate([ids, y])), pa.array(np.concatenate([count, blank]))], names=["id", "low", "n"])
 

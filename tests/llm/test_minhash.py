@@ -106,10 +106,11 @@ def test_one_id_with_two_texts(spark, make_docs):
     assert {r["component_id"] for r in rows.values()} == {2}
 
 
-def test_long_chain_of_components(spark):
+@pytest.mark.parametrize("few", [0, 100, 10**6])
+def test_long_chain_of_components(spark, few):
     rng = np.random.default_rng(2)
     name = rng.permutation(400)
     edges = [(int(name[i]), int(name[i + 1])) for i in range(399) if i != 200] + [(5000, 5000), (None, 3)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b", few=few).collect()}
     low, high = int(name[:201].min()), int(name[201:].min())
     assert got == {**{int(x): low for x in name[:201]}, **{int(x): high for x in name[201:]}}
