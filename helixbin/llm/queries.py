@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op1_secret_scan": secrets.oracle,
+    "op2_warc": warc.oracle,
     "op5_hnsw": hnsw.oracle,
     "op8_line_quality": line_quality.oracle,
     "op9_minhash": minhash.oracle,

@@ -7,11 +7,12 @@
 * ``conversion`` (text/plain): the visible text, one line a block.
 
 Both carry WARC-Refers-To (the response's id), its target URI and date, and their own digests. Ids are UUIDs
-of version 5 made from the source's id, so a repeated task makes the same records. ``write`` stores records as
+of version 5: a response's is made from its page, URL and payload digest, a derived record's from the response's, so a repeated
+task makes the same records and different content never shares an id. ``write`` stores records as
 gzip members in files of the shared file system, ``read`` parses such files again.
 
-A null html counts as empty, a null url leaves the target header out; repeated pages give repeated records, null page
-ids stay null. An empty table gives no records. Other columns of the pages are ignored.
+A null html counts as empty, a null url leaves the target header out, blanks and control characters of a url are percent-encoded.
+Equal pages give equal records; null page ids stay null. Texts of any length and with any unclosed tags take time in proportion to their length. An empty table gives no records. Other columns of the pages are ignored.
 """
 
 from __future__ import annotations
@@ -35,24 +36,63 @@ DATE = "2024-01-01T00:00:00Z"
 RESPONSE = "page_id long, record_id string, target_uri string, date string, http string, payload string, payload_digest string, block_digest string"
 RECORD = "page_id long, warc_type string, record_id string, refers_to string, headers array<struct<name:string,value:string>>, block string"
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|head)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>", re.I | re.S)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|form|dl|dt|dd|body|html)\b[^>]*>", re.I)
+#: White space of HTML, which both regex dialects in use read alike.
+_WS = r"[ \t\n\r\f]"
+#: Elements without visible text, and elements that end a line.
+_HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
+_BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|form|dl|dt|dd|body|html"
+# No pattern runs past the next angle bracket, so that unclosed tags cost no more than their own length.
+_REST = rf"(?:{_WS[:-1]}/][^<>]*)?>"
+_OPEN = re.compile(rf"<!--|<!doctype[^<>]*>|<({'|'.join(_HIDDEN)}){_REST}", re.I)
+_CLOSE = {"<!--": re.compile("-->"), **{k: re.compile(rf"</{k}{_WS}*>", re.I) for k in (*_HIDDEN, "title")}}
+_TITLE = re.compile(rf"<title{_REST}", re.I)
+_LANG = re.compile(rf"<html{_WS}(?:[^<>]*?{_WS})??lang{_WS}*={_WS}*[\"']?([A-Za-z-]+)", re.I)
+_LINK = re.compile(rf"<a{_WS[:-1]}/](?:[^<>]*?{_WS[:-1]}/])??href{_WS}*={_WS}*(\"[^\"<>]*\"|'[^'<>]*'|[^ \t\n\r\f<>\"']+)", re.I)
+_BREAK = re.compile(rf"</?(?:{_BLOCKS}){_REST}", re.I)
 _TAG = re.compile(r"<[^<>]*>")
-_SPACE = re.compile(r"[^\S\n]+")
+_SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[\n ]*")
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def visible(page: str) -> str:
+    """The page with a blank for each comment, doctype and hidden element; one pass, whatever is left unclosed.
+
+    An opening without its end hides nothing. Once an end is missing it is missing for all later openings of that kind.
+    """
+    out, kept_from, at, endless = [], 0, 0, set()
+    while (m := _OPEN.search(page, at)) is not None:
+        kind, at = (m[1] or m[0][:4]).lower(), m.end()
+        if kind in _CLOSE:
+            end = None if kind in endless else _CLOSE[kind].search(page, at)
+            if end is None:
+                endless.add(kind)
+                continue
+            at = end.end()
+        out.append(page[kept_from : m.start()])
+        kept_from = at
+    return " ".join([*out, page[kept_from:]])
+
+
 def plain_text(page: str) -> str:
     """The visible text: blocks become lines, white space is folded, entities are resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    return _LINES.sub("\n", _SPACE.sub(" ", entities.unescape(text))).strip()
+    text = _TAG.sub("", _BREAK.sub("\n", visible(page)))
+    return _LINES.sub("\n", _SPACE.sub(" ", entities.unescape(text))).strip(" \n")
+
+
+def title(page: str) -> str:
+    first = _TITLE.search(page)
+    end = _CLOSE["title"].search(page, first.end()) if first else None
+    return " ".join(entities.unescape(page[first.end() : end.start()]).split()) if first and end else ""
+
+
+def header_value(value: str) -> str:
+    """A value without what would end its line: control characters and blanks at the ends are percent-encoded or go."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value.strip(" "))
 
 
 def record_uuid(*parts: object) -> str:
@@ -81,7 +121,8 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     def make(r: dict):
         body = (r["html"] or "").encode()
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
-        yield r["page_id"], record_uuid(r["page_id"], r["url"]), r["url"], date, head, r["html"] or "", digest(body), digest(head.encode() + body)
+        url = None if r["url"] is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", r["url"])
+        yield r["page_id"], record_uuid(r["page_id"], url, digest(body)), url, date, head, r["html"] or "", digest(body), digest(head.encode() + body)
 
     return _map(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), RESPONSE, make)
 
@@ -94,13 +135,13 @@ def _derived(r: dict):
         source.append(("WARC-Target-URI", r["target_uri"]))
     source.append(("WARC-Date", r["date"]))
     status, *fields = (r["http"] or "").rstrip("\r\n").split("\r\n")
-    title, lang = _TITLE.search(payload), _LANG.search(payload)
-    links = [entities.unescape(next(x for x in m if x or x == m[2])) for m in _LINK.findall(payload)]
+    lang = _LANG.search(payload)
+    links = [entities.unescape(m[1:-1] if m[0] in "\"'" else m) for m in _LINK.findall(payload)]
     lines = [
-        ("title", " ".join(entities.unescape(title[1]).split()) if title else ""),
+        ("title", title(payload)),
         ("language", lang[1].lower() if lang else ""),
         ("source-status", status),
-        *(("source-header", x) for x in fields if x),
+        *(("source-header", " ".join(x.split())) for x in fields if x),
         ("source-payload-digest", r["payload_digest"]),
         ("source-block-digest", r["block_digest"]),
         ("text-digest", digest(text.encode())),
@@ -120,7 +161,7 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def serialize(headers: list[dict], block: str) -> bytes:
-    head = "WARC/1.1\r\n" + "".join(f"{h['name']}: {h['value']}\r\n" for h in headers)
+    head = "WARC/1.1\r\n" + "".join(f"{h['name']}: {header_value(h['value'])}\r\n" for h in headers)
     return head.encode() + b"\r\n" + block.encode() + b"\r\n\r\n"
 
 
@@ -184,3 +225,53 @@ def report(pages: DataFrame) -> DataFrame:
         value("Content-Length").cast("long").alias("content_length"),
         F.sha2("block", 256).alias("block_sha256"),
     )
+
+
+def _sql_uuid(name: str) -> str:
+    h = f"sha1('\\x6B\\xA7\\xB8\\x11\\x9D\\xAD\\x11\\xD1\\x80\\xB4\\x00\\xC0\\x4F\\xD4\\x30\\xC8'::BLOB || encode({name}))"
+    nibble = f"substr('89ab', (instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1, 1)"
+    return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {nibble} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+
+def _sql_digest(text: str) -> str:
+    bits = f"('0x' || substr(sha1({text}), 5 * i + 1, 5))::INTEGER"
+    four = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({bits}) >> {k}) % 32 + 1, 1)" for k in (15, 10, 5, 0))
+    return f"'sha1:' || array_to_string(list_transform(range(0, 8), lambda i: {four}), '')"
+
+
+def oracle(date: str = DATE) -> str:
+    """The same rows in DuckDB's SQL, for pages whose entities are among ``amp copy middot quot lt gt nbsp``."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    hidden = "|".join(f"<{k}{_REST}.*?</{k}{_WS}*>" for k in _HIDDEN)
+    known = {"copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "nbsp": "\xa0", "amp": "&"}
+
+    def resolved(x: str) -> str:
+        for name, letter in known.items():
+            x = f"replace({x}, '&{name};', {q(letter)})"
+        return x
+
+    text = f"regexp_replace(regexp_replace(t, {q('<!--.*?-->|<!doctype[^<>]*>|' + hidden)}, ' ', 'gis'), {q(_BREAK.pattern)}, chr(10), 'gi')"
+    text = resolved(f"regexp_replace({text}, '<[^<>]*>', '', 'g')")
+    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\f\\v\\x{{A0}}]+', ' ', 'g'), ' ?\\n[\\n ]*', chr(10), 'g')"
+    folded = lambda x: f"trim(regexp_replace({resolved(x)}, '[ \\t\\r\\f\\v\\n]+', ' ', 'g'))"
+    line = lambda name, value: f"'{name}: ' || {value} || chr(13) || chr(10)"
+    block = " || ".join(
+        [
+            line("title", folded(f"regexp_extract(t, {q(_TITLE.pattern + '(.*?)</title' + _WS + '*>')}, 1, 'is')")),
+            line("language", f"lower(regexp_extract(t, {q(_LANG.pattern)}, 1, 'i'))"),
+            line("source-status", "'HTTP/1.1 200 OK'"),
+            line("source-header", "'Content-Type: text/html; charset=utf-8'"),
+            line("source-header", "'Content-Length: ' || strlen(t)"),
+            line("source-payload-digest", "pd"),
+            line("source-block-digest", "bd"),
+            line("text-digest", _sql_digest("txt")),
+            line("text-chars", "length(txt)"),
+            f"array_to_string(list_transform(regexp_extract_all(t, {q(_LINK.pattern)}, 1, 'i'), lambda x: {line('outlink', folded(chr(116) + 'rim(x, ' + q(chr(34) + chr(39)) + ')'))}), '')",
+        ]
+    )
+    return f"""
+WITH h AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages),
+s AS (SELECT *, {_sql_digest("t")} AS pd, {_sql_digest("'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(t) || chr(13) || chr(10) || chr(13) || chr(10) || t")} AS bd FROM h),
+i AS (SELECT *, trim({text}, ' ' || chr(10)) AS txt, {_sql_uuid("coalesce(page_id::VARCHAR, 'None') || '|' || coalesce(url, 'None') || '|' || pd")} AS rid FROM s),
+b AS (SELECT *, 'metadata' AS kind, {block} AS block FROM i UNION ALL SELECT *, 'conversion', txt FROM i)
+SELECT page_id, kind AS warc_type, {_sql_uuid("rid || '|' || kind")} AS record_id, rid AS refers_to, url AS target_uri, pd AS source_payload_digest, {_sql_digest("block")} AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, sha256(block) AS block_sha256 FROM b"""

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 from helixbin.llm import warc
 from helixbin.llm.common import table
@@ -11,6 +12,34 @@ def test_plain_text():
     assert warc.plain_text("") == "" and warc.plain_text("no tags") == "no tags"
 
 
+def test_unclosed_tags_take_linear_time():
+    for part in ("<svg>", "<script", "<script>", "<!--", "<p ", "<title>", "<a href=", "</script  ", "<html lang", "<a x"):
+        began = time.time()
+        page = part * 200_000
+        assert "tail" in warc.plain_text(page + " tail</b>") or "<" in part
+        warc.title(page)
+        list(warc._derived({"page_id": 1, "record_id": "r", "target_uri": None, "date": "d", "http": "", "payload": page, "payload_digest": "", "block_digest": ""}))
+        assert time.time() - began < 10, part
+
+
+def test_openings_without_end_hide_nothing():
+    assert warc.plain_text("a<script>b<style>c</style>d") == "ab d"
+    assert warc.plain_text("a<!-- b <p>c</p> <!-- d --> e") == "a e"
+    assert warc.plain_text("a<SCRIPT x>1</Script >b<scripty>c</scripty>") == "a bc"
+
+
+def test_control_characters_and_ids(spark):
+    """No header is injected; equal (page, url) with other content, and null pages, have ids of their own."""
+    data = [(1, "http://a/\r\nX-Evil: 1 2", "<p>x"), (1, "http://a/\r\nX-Evil: 1 2", "<p>y"), (None, None, "one"), (None, None, "two"), (2, "  http://b ", "z")]
+    rows = warc.derive(warc.responses(spark.createDataFrame(data, "page_id long, url string, html string"))).collect()
+    assert len({r["record_id"] for r in rows}) == 10 and len({r["refers_to"] for r in rows}) == 5
+    back = list(warc.parse(b"".join(warc.serialize([h.asDict() for h in r["headers"]], r["block"]) for r in rows)))
+    assert len(back) == 10 and all("X-Evil" not in head for head, _ in back)
+    assert back[0][0]["WARC-Target-URI"] == "http://a/%0D%0AX-Evil:%201%202"
+    odd = [{"name": "WARC-Type", "value": "metadata\r\nX: 1"}, {"name": "Content-Length", "value": "2"}]
+    assert list(warc.parse(warc.serialize(odd, "ab"))) == [({"WARC-Type": "metadata%0D%0AX: 1", "Content-Length": "2"}, b"ab")]
+
+
 def test_links_and_digests(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     source = {r["page_id"]: r for r in warc.responses(pages).collect()}
