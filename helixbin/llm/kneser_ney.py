@@ -1,122 +1,190 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's units are characters (folded to 12 bits: code points below 3839 are exact, the others share 256
-classes), its order is 4, with one model for each language and a pooled one, ``*``, for languages without
-trusted text.
-
-1. ``count_ngrams``: every 4-gram of all trusted rows, summed within tasks first, then by (lang, n-gram).
-   Lower orders are continuation counts of the order above.
-2. ``probabilities``: sharded count joins. Count tables are sharded by (lang, context) and joined with their
-   context's totals, then by (lang, suffix) with the order below; discounts come from counts of counts.
-3. ``score``: the joined 4-grams are stored in slices of bounded size, the lower orders, bounded by the
-   alphabet, beside them. Every document's 4-grams are looked up in every slice; unseen ones back off.
-4. ``classify``: a document is kept if its perplexity is at most its language's threshold, the
-   ``QUANTILE`` of the perplexities of that language's trusted rows, widened by ``SLACK``.
+The model's units are characters, unfolded, its order is 5, with one model for each language and a pooled one, ``*``, for
+languages without trusted text.
+
+1. ``requests``: every distinct 5-gram of each split of the input files, of all rows, with its count in trusted rows. A split is
+   what one task reads; its n-grams are summed there, so the table that is shuffled holds no repeats of a split.
+2. ``probabilities``: sharded count joins. Lower orders are continuation counts of the order above. Count tables are sharded by
+   (lang, context) and joined with their context's totals, then by (lang, suffix) with the order below; discounts come from
+   counts of counts.
+3. ``resolved``: the requested n-grams are joined with the seen ones; the others with their context's weight and, as distinct
+   suffixes, with the order below, down to the unknown character. ``answers`` joins the probabilities back to the splits.
+4. ``score``: a second pass over the texts adds up log probabilities from the answers of its own split.
+5. ``classify``: a document is kept if its perplexity is at most its language's threshold: the ``QUANTILE`` of the
+   perplexities of that language's trusted rows that were held out of training, those whose crc32(doc_id as text) mod ``HOLD``
+   is 0. Languages with fewer than ``MIN_HELD`` such rows take the pooled quantile if that is higher; without any such row it is
+   the trusted rows' own.
 
 Trusted rows are those with quality 1 in ``labels``. Null languages count as ``und``. Null and empty texts have
-no perplexity and are not kept. Repeated rows count each; null ids are scored and never trusted. Without any trusted text
-nothing has a perplexity. Extra columns are ignored.
+no perplexity and are not kept; texts of any length are scored whole. A NUL counts as U+0001. Repeated rows count each; null ids are
+scored and never trusted. Without any trusted text nothing has a perplexity. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
 import uuid
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, scratch, short_batches
+from .common import Written, remove, scratch, short_batches
 
-ORDER = 4
+ORDER = 5
 BITS = 12
+START = 0x10FFFF  # stands before a text
 QUANTILE = 0.995
-SLACK = 1.1
-SLICE_ROWS = 2_000_000
-FLUSH = 1_500_000
+HOLD = 5
+MIN_HELD = 100
+FLUSH = 3_000_000
 BROADCAST_ROWS = 2_000_000
+BROADCAST_LANGS = 100_000
 POOLED = "*"
 
 
-def codes(text: str) -> np.ndarray:
-    """A text's folded characters, from 1 to 4095."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.where(cp < 3839, cp + 1, 3840 + cp % 256)
-
-
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character of non-empty texts, one text after the other, and their lengths."""
-    parts, gap = [], np.zeros(ORDER - 1, np.int64)
-    for t in texts:
-        parts += [gap, codes(t)]
-    flat = np.concatenate(parts)
-    gram = flat[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        gram |= flat[ORDER - 1 - k : len(flat) - k] << (BITS * k)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    inside = np.ones(len(gram), bool)
-    at = np.cumsum(sizes + ORDER - 1)[:-1] - (ORDER - 1)
-    for k in range(ORDER - 1):
-        inside[at + k] = False
-    return gram[inside], sizes
-
-
-def _lang(name: str = "lang"):
-    return F.coalesce(F.col(name), F.lit("und"))
-
-
-def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose id has quality 1. Ids are broadcast up to a checked number of rows, else shuffled."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    small = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return documents.join(F.broadcast(good) if small else good.hint("shuffle_hash"), "doc_id", "left_semi")
-
-
-def count_ngrams(rows: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over all ``rows`` (``lang, text``), with the pooled counts."""
+class Alphabet:
+    """Numbers for the letters met so far, at most 4095, so that a 5-gram fits into 60 bits."""
+
+    def __init__(self) -> None:
+        self.place = np.zeros(START + 1, np.int64)
+        self.letters = np.array([START], np.uint32)
+
+    def codes(self, texts: list[str]) -> np.ndarray | None:
+        """The letters of all texts, four blanks (0) before each; None if they don't fit."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.maximum(points, 1)
+        out = self.place[points]
+        new = np.unique(points[(out == 0) & (points != START)])
+        if len(new):
+            if len(self.letters) + len(new) > 1 << BITS:
+                return None
+            self.place[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+            self.letters = np.concatenate([self.letters, new.astype(np.uint32)])
+            out = self.place[points]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        at = np.arange(len(out)) + np.repeat(np.arange(1, len(texts) + 1) * (ORDER - 1), sizes)
+        flat = np.zeros(len(out) + len(texts) * (ORDER - 1), np.int64)
+        flat[at] = out
+        gram = out.copy()
+        for k in range(1, ORDER):
+            gram |= flat[at - k] << (BITS * k)
+        return gram
+
+    def strings(self, gram: np.ndarray) -> list[str]:
+        places = (gram[:, None] >> (BITS * np.arange(ORDER - 1, -1, -1))) & ((1 << BITS) - 1)
+        return np.ascontiguousarray(self.letters[places]).view(f"<U{ORDER}").ravel().tolist()
+
+
+def plain_grams(text: str) -> list[str]:
+    """The 5-gram that ends at each character."""
+    padded = chr(START) * (ORDER - 1) + text.replace("\0", "\1")
+    return [padded[i : i + ORDER] for i in range(len(text))]
+
+
+def _lang() -> Column:
+    return F.coalesce(F.col("lang"), F.lit("und"))
+
+
+def located(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, lang, text, trusted`` (0, 1, or 2 for held out) and ``split``, what a task reads of a file.
+
+    A table that isn't read from files is written to the shared scratch space first. Trusted ids are broadcast up to a checked
+    number of rows; beyond it their join with the documents is written.
+    """
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = good.withColumn("trusted", F.when(F.crc32(F.col("doc_id").cast("string")) % HOLD == 0, 2).otherwise(1))
+    names = [F.col("doc_id").cast("long").alias("doc_id"), _lang().alias("lang"), "text"]
+    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("split")
+    flag = F.coalesce("trusted", F.lit(0)).alias("trusted")
+    if good.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        rows = documents.select(*names).join(good, "doc_id", "left").select("doc_id", "lang", "text", flag)
+        return Written(rows).df.select("*", split)
+    try:
+        rows = documents.select(*names, split)
+    except AnalysisException:
+        rows = Written(documents.select(*names)).df.select("*", split)
+    return rows.join(F.broadcast(good), "doc_id", "left").select("doc_id", "lang", "text", flag, "split")
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, list[int]]]]:
+    """Rows with text by language, for each split of a batch, in order."""
+    split, lang, text = (batch.column(c).to_pylist() for c in ("split", "lang", "text"))
+    i = 0
+    while i < len(split):
+        by: dict[str, list[int]] = {}
+        j = i
+        while j < len(split) and split[j] == split[i]:
+            if text[j]:
+                by.setdefault(lang[j], []).append(j)
+            j += 1
+        yield split[i], by
+        i = j
+
+
+def requests(rows: DataFrame, flush: int = FLUSH) -> DataFrame:
+    """``split, lang, gram, n``: the 5-grams of each split's texts; ``n`` counts those of training rows."""
     short_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
+        letters, size, now = Alphabet(), 0, None
+
+        def batch_of(lang: str, grams: list[str], n) -> pa.RecordBatch:
+            k = len(grams)
+            return pa.record_batch([pa.array([now] * k, pa.int64()), pa.array([lang] * k, pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["split", "lang", "gram", "n"])
 
-        def merged() -> Iterator[pa.RecordBatch]:
+        def flushed() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 gram, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
                 n = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
+                for k in range(0, len(gram), 100_000):
+                    yield batch_of(lang, letters.strings(gram[k : k + 100_000]), n[k : k + 100_000])
 
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                gram, n = np.unique(ngrams(texts)[0], return_counts=True)
-                held.setdefault(lang, []).append((gram, n))
-                size += len(gram)
-            if size > FLUSH:
-                yield from merged()
-                held, size = {}, 0
-        yield from merged()
-
-    own = rows.select(_lang().alias("lang"), "text").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    own = Written(own).df
-    return own.unionByName(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n"))
-
-
-def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seen, contexts): ``lang, k, gram, p`` of seen n-grams, ``lang, k, gram, gamma`` of contexts, for each order k."""
+            texts, trusted = batch.column("text").to_pylist(), batch.column("trusted").to_pylist()
+            for split, by in _groups(batch):
+                if split != now or size > flush:
+                    yield from flushed()
+                    held, size, now = {}, 0, split
+                todo = [(lang, [i for i in found if (trusted[i] == 1) == train], train) for lang, found in by.items() for train in (True, False)]
+                while todo:
+                    lang, found, train = todo.pop()
+                    if not found:
+                        continue
+                    gram = letters.codes([texts[i] for i in found])
+                    if gram is None and len(letters.letters) > 1:
+                        yield from flushed()
+                        held, size, letters = {}, 0, Alphabet()
+                        todo.append((lang, found, train))
+                    elif gram is not None:
+                        gram, n = np.unique(gram, return_counts=True)
+                        held.setdefault(lang, []).append((gram, n * train))
+                        size += len(gram)
+                    elif len(found) > 1:
+                        half = len(found) // 2
+                        todo += [(lang, found[:half], train), (lang, found[half:], train)]
+                    else:  # one text of more letters than an alphabet holds
+                        counted = Counter(plain_grams(texts[found[0]]))
+                        yield batch_of(lang, list(counted), [c * train for c in counted.values()])
+        yield from flushed()
+
+    return rows.select("split", "lang", "text", "trusted").mapInArrow(work, "split long, lang string, gram string, n long")
+
+
+def probabilities(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """(seen, contexts): ``lang, gram, p`` of seen n-grams and ``lang, gram, gamma`` of contexts, by order."""
     tables = {ORDER: Written(counts).df}
     for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1).cast("long")).alias("gram")
-        tables[k] = Written(tables[k + 1].select("lang", suffix).groupBy("lang", "gram").agg(F.count("*").alias("n"))).df
-    seen, contexts, below = [], [], None
+        tables[k] = Written(tables[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))).df
+    seen, contexts = {}, {}
     for k in range(1, ORDER + 1):
         t = tables[k]
         of = t.groupBy("lang").agg(*(F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)), F.count("*").alias("kinds"))
@@ -125,148 +193,170 @@ def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         for i in (1, 2, 3):
             low, high = F.col(f"c{i}"), F.col(f"c{i + 1}")
             d.append(F.when((low > 0) & (high > 0), F.least(F.greatest(i - (i + 1) * y * high / low, F.lit(0.1)), F.lit(i - 0.05))).otherwise(F.lit(0.5)))
-        of = of.select("lang", "kinds", *(x.alias(f"d{i + 1}") for i, x in enumerate(d)))
+        of = Written(of.select("lang", "kinds", *(x.alias(f"d{i + 1}") for i, x in enumerate(d)))).df
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = t.join(F.broadcast(of), "lang").select("lang", "gram", "n", "kinds", cut.alias("cut"), F.shiftright("gram", BITS).alias("context"))  # a row a language
-        totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
-        joined = rows.join(totals, ["lang", "context"])
+        rows = t.join(_small(of), "lang").select("lang", "gram", "n", "kinds", cut.alias("cut"), F.substring("gram", 1, k - 1).alias("context"))
+        totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"), F.max("kinds").alias("kinds"))
+        totals = Written(totals).df
+        joined = rows.drop("kinds").join(totals, ["lang", "context"])
         rest = (F.col("n") - F.col("cut")) / F.col("total")
-        if below is None:
-            p = joined.select("lang", "gram", (rest + F.col("gamma") / (F.col("kinds") + 1)).alias("p"))
-            contexts.append(totals.join(F.broadcast(of.select("lang", "kinds")), "lang").select("lang", F.lit(k).alias("k"), F.col("context").alias("gram"), (F.col("gamma") / (F.col("kinds") + 1)).alias("gamma")))
+        if k == 1:
+            gamma = F.col("gamma") / (F.col("kinds") + 1)
+            p = joined.select("lang", "gram", (rest + gamma).alias("p"))
         else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1).cast("long"))
-            lower = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            p = joined.withColumn("suffix", suffix).join(lower, ["lang", "suffix"]).select("lang", "gram", (rest + F.col("gamma") * F.col("q")).alias("p"))
-            contexts.append(totals.select("lang", F.lit(k).alias("k"), F.col("context").alias("gram"), "gamma"))
-        below = Written(p).df
-        seen.append(below.select("lang", F.lit(k).alias("k"), "gram", "p"))
-    out = lambda xs: xs[0].unionByName(xs[1]).unionByName(xs[2]).unionByName(xs[3])
-    return out(seen), out(contexts)
-
-
-def store_model(counts: DataFrame, slice_rows: int = SLICE_ROWS) -> list[str]:
-    """Writes the model's files into the shared scratch space: the base (orders below the top), then its slices."""
-    spark = counts.sparkSession
-    seen, contexts = probabilities(counts)
-    top = seen.where(F.col("k") == ORDER)
-    slices = max(1, -(-top.count() // slice_rows))
-    part = F.when(F.col("k") == ORDER, F.pmod("gram", F.lit(slices)).cast("int")).otherwise(F.lit(-1))
-    rows = seen.select(part.alias("part"), "lang", F.col("k"), "gram", F.col("p").alias("x"))
-    rows = rows.unionByName(contexts.select(F.lit(-1).alias("part"), "lang", (F.col("k") + 10).alias("k"), "gram", F.col("gamma").alias("x")))
+            gamma = F.col("gamma")
+            lower = seen[k - 1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            p = joined.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"]).select("lang", "gram", (rest + F.col("gamma") * F.col("q")).alias("p"))
+        contexts[k] = totals.select("lang", F.col("context").alias("gram"), gamma.alias("gamma"))
+        seen[k] = Written(p).df
+    return seen, contexts
+
+
+def _small(by_lang: DataFrame) -> DataFrame:
+    """A row a language, broadcast up to a checked number of them."""
+    return F.broadcast(by_lang) if by_lang.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else by_lang
+
+
+def resolved(wanted: DataFrame, seen: dict[int, DataFrame], contexts: dict[int, DataFrame], k: int = ORDER) -> DataFrame:
+    """``lang, gram, p`` of the distinct n-grams ``wanted`` of order k, seen or not."""
+    found = Written(wanted.join(seen[k], ["lang", "gram"], "left")).df
+    missed = found.where("p IS NULL").select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+    weighed = missed.join(contexts[k].select("lang", F.col("gram").alias("context"), "gamma"), ["lang", "context"], "left").withColumn("gamma", F.coalesce("gamma", F.lit(1.0)))
+    if k == 1:
+        p = weighed.select("lang", "gram", F.col("gamma").alias("p"))
+    else:
+        lower = resolved(missed.select("lang", F.col("suffix").alias("gram")).distinct(), seen, contexts, k - 1)
+        p = weighed.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["lang", "suffix"]).select("lang", "gram", (F.col("gamma") * F.col("q")).alias("p"))
+    return found.where("p IS NOT NULL").unionByName(p)
+
+
+def _key() -> Column:
+    return F.xxhash64("lang", "gram")
+
+
+def answers(asked: DataFrame) -> str | None:
+    """The folder of each split's n-gram log probabilities, a file a split; None without any trusted text."""
+    spark = asked.sparkSession
+    every = Written(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n"))).df
+    own = every.where("n > 0")
+    langs = Written(every.groupBy("lang").agg(F.sum("n").alias("n"))).df
+    if not langs.where("n > 0").limit(1).count():
+        return None
+    if langs.where("n = 0").limit(1).count():  # some have no model of their own
+        counts = own.unionByName(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n"))
+        seen, contexts = probabilities(counts)
+        of = every.select("lang", "gram").join(_small(langs.select("lang", F.when(F.col("n") > 0, F.col("lang")).otherwise(F.lit(POOLED)).alias("model"))), "lang")
+        p = resolved(of.select(F.col("model").alias("lang"), "gram").distinct(), seen, contexts)
+        p = of.join(p.select(F.col("lang").alias("model"), "gram", "p"), ["model", "gram"]).select("lang", "gram", "p")
+    else:
+        p = resolved(every.select("lang", "gram"), *probabilities(own))
+    table = p.select(_key().alias("key"), F.log("p").alias("log_p"))
+    told = asked.select("split", _key().alias("key")).join(table, "key")
     folder = f"{scratch(spark)}/helixbin-kn-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
 
     def save(group: pa.Table) -> pa.Table:
-        lang, k, gram, x = (group.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "k", "gram", "x"))
-        arrays = {}
-        for name in np.unique(lang.astype(str)):
-            for kind in np.unique(k):
-                pick = np.flatnonzero((lang == name) & (k == kind))
-                pick = pick[np.argsort(gram[pick], kind="stable")]
-                if len(pick):
-                    arrays[f"{kind}|g|{name}"], arrays[f"{kind}|x|{name}"] = gram[pick], np.log(x[pick])
+        key, first = np.unique(group.column("key").to_numpy(), return_index=True)
         held = io.BytesIO()
-        np.savez(held, **arrays)
-        path = f"{folder}/{uuid.uuid4().hex}.npz"
-        s, p = fs.FileSystem.from_uri(path)
-        with s.open_output_stream(p) as out:
+        np.savez(held, key=key, log_p=group.column("log_p").to_numpy()[first])
+        s, p = fs.FileSystem.from_uri(_file(folder, group.column("split")[0].as_py()))
+        # A repeated task writes the same bytes, under a name of its own until they are complete.
+        own = f"{p}.{uuid.uuid4().hex}"
+        with s.open_output_stream(own) as out:
             out.write(held.getbuffer())
-        return pa.table({"part": group.column("part")[:1].cast(pa.int32()), "path": pa.array([path])})
-
-    found = {r["part"]: r["path"] for r in rows.groupBy("part").applyInArrow(save, "part int, path string").collect()}
-    return [found[i] for i in sorted(found)]
+        s.move(own, p)
+        return pa.table({"n": pa.array([len(key)], pa.int64())})
 
+    told.groupBy("split").applyInArrow(save, "n long").agg(F.sum("n")).collect()
+    return folder
 
-def _read(path: str) -> dict[str, np.ndarray]:
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_file(at) as f, np.load(io.BytesIO(f.read())) as z:
-        return {k: z[k] for k in z.files}
 
+def _file(folder: str, split: int) -> str:
+    return f"{folder}/{split & (1 << 64) - 1:016x}.npz"
 
-@lru_cache(maxsize=1)
-def _base(path: str) -> dict[str, np.ndarray]:
-    return _read(path)
 
+class _Answers:
+    """A split's log probabilities by n-gram."""
 
-@lru_cache(maxsize=1)
-def _slice(path: str) -> dict[str, np.ndarray]:
-    return _read(path)
+    def __init__(self, path: str) -> None:
+        store, at = fs.FileSystem.from_uri(path)
+        with store.open_input_file(at) as f, np.load(io.BytesIO(f.read())) as z:
+            self.key, self.log_p = z["key"], z["log_p"]
 
+    def of(self, lang: str, grams: list[str]) -> np.ndarray:
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        key = np.array([xxhash.xxh64_intdigest(g.encode(), seed) for g in grams], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        if len(key) and not (self.key[at] == key).all():
+            raise RuntimeError("the input's splits have changed between the passes")
+        return self.log_p[at]
 
-def _find(table: dict[str, np.ndarray], kind: int, lang: str, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the n-grams' values, and which are there."""
-    keys = table.get(f"{kind}|g|{lang}")
-    if keys is None or not len(keys):
-        return np.zeros(len(gram)), np.zeros(len(gram), bool)
-    at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-    return table[f"{kind}|x|{lang}"][at], keys[at] == gram
 
-
-def _backed_off(base: dict[str, np.ndarray], lang: str, gram: np.ndarray) -> np.ndarray:
-    """Log probabilities of unseen 4-grams: the weights of known contexts, down to the longest seen suffix."""
-    total, todo = np.zeros(len(gram)), np.arange(len(gram))
-    for k in range(ORDER, 0, -1):
-        own = gram[todo] & ((1 << (BITS * k)) - 1)
-        if k < ORDER:
-            value, hit = _find(base, k, lang, own)
-            total[todo[hit]] += value[hit]
-            todo, own = todo[~hit], own[~hit]
-        weight, known = _find(base, 10 + k, lang, own >> BITS)
-        total[todo] += np.where(known, weight, 0)
-    return total
-
-
-def log_probabilities(paths: list[str], lang: str, gram: np.ndarray) -> np.ndarray | None:
-    """None where the model has no such language and no pooled one."""
-    base = _base(paths[0])
-    name = lang if f"1|g|{lang}" in base else POOLED
-    if f"1|g|{name}" not in base:
-        return None
-    out, missed = np.zeros(len(gram)), np.ones(len(gram), bool)
-    for i, path in enumerate(paths[1:]):
-        mine = np.arange(len(gram)) if len(paths) == 2 else np.flatnonzero(gram % (len(paths) - 1) == i)
-        value, hit = _find(_slice(path), ORDER, name, gram[mine])
-        out[mine[hit]] = value[hit]
-        missed[mine[hit]] = False
-    out[missed] = _backed_off(base, name, gram[missed])
-    return out
-
-
-def score(documents: DataFrame, paths: list[str]) -> DataFrame:
-    """``doc_id, lang, n_chars, log_prob`` of each row; ``log_prob`` is null for texts without characters."""
-    short_batches(documents.sparkSession)
+def score(rows: DataFrame, folder: str | None) -> DataFrame:
+    """``doc_id, lang, trusted, n_chars, log_prob`` of each row; ``log_prob`` is null for texts without characters."""
+    short_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, now, told = Alphabet(), None, None
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def logs(lang: str, gram: np.ndarray) -> np.ndarray:
+            keys, values = known.get(lang, (np.zeros(0, np.int64), np.zeros(0)))
+            at = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
+            new = np.unique(gram[keys[at] != gram]) if len(keys) else np.unique(gram)
+            if len(new):
+                keys, values = np.concatenate([keys, new]), np.concatenate([values, told.of(lang, letters.strings(new))])
+                order = np.argsort(keys, kind="stable")
+                known[lang] = keys, values = keys[order], values[order]
+                at = np.searchsorted(keys, gram)
+            return values[at]
+
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             found: list[float | None] = [None] * len(texts)
-            for lang in dict.fromkeys(langs):
-                rows = [i for i, x in enumerate(langs) if x == lang and texts[i]]
-                if not rows or not paths:
-                    continue
-                gram, sizes = ngrams([texts[i] for i in rows])
-                logs = log_probabilities(paths, lang, gram)
-                if logs is not None:
-                    for i, x in zip(rows, np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist(), strict=True):
-                        found[i] = x
-            yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(found, pa.float64())], names=["doc_id", "lang", "n_chars", "log_prob"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _lang().alias("lang"), "text").mapInArrow(work, "doc_id long, lang string, n_chars long, log_prob double")
-
-
-def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+            for split, by in _groups(batch) if folder else ():
+                if split != now and by:
+                    now, told, known = split, _Answers(_file(folder, split)), {}
+                todo = list(by.items())
+                while todo:
+                    lang, mine = todo.pop()
+                    own = [texts[i] for i in mine]
+                    gram = letters.codes(own)
+                    if gram is None and len(letters.letters) > 1:
+                        letters, known = Alphabet(), {}
+                        todo.append((lang, mine))
+                    elif gram is not None:
+                        total = np.add.reduceat(logs(lang, gram), np.concatenate([[0], np.cumsum([len(t) for t in own])[:-1]]).astype(int))
+                        for i, x in zip(mine, total.tolist(), strict=True):
+                            found[i] = x
+                    elif len(mine) > 1:
+                        half = len(mine) // 2
+                        todo += [(lang, mine[:half]), (lang, mine[half:])]
+                    else:
+                        found[mine[0]] = float(told.of(lang, plain_grams(own[0])).sum())
+            n = pa.array([len(t or "") for t in texts], pa.int64())
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "lang", "trusted")), n, pa.array(found, pa.float64())], names=["doc_id", "lang", "trusted", "n_chars", "log_prob"])
+
+    return rows.select("doc_id", "lang", "trusted", "text", "split").mapInArrow(work, "doc_id long, lang string, trusted int, n_chars long, log_prob double")
+
+
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for every row of ``documents``."""
-    docs = documents.select("doc_id", "lang", "text")
-    counts = count_ngrams(trusted(docs, labels))
-    paths = store_model(counts)
-    paths = paths if len(paths) > 1 else []
-    scored = Written(score(docs, paths)).df.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_prob") / F.col("n_chars"))))
-    known = trusted(scored, labels).where("perplexity IS NOT NULL")
-    cut = F.percentile_approx("perplexity", quantile, 100_000) * slack
-    limits = known.groupBy("lang").agg(cut.alias("threshold"))
-    pooled = known.agg(cut.alias("pooled"))  # one row
-    out = scored.join(limits, "lang", "left").crossJoin(F.broadcast(pooled)).withColumn("threshold", F.coalesce("threshold", "pooled"))
+    rows = located(documents, labels)
+    asked = Written(requests(rows))
+    folder = answers(asked.df)
+    asked.drop()
+    scored = Written(score(rows, folder)).df.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_prob") / F.col("n_chars"))))
+    if folder:
+        remove(documents.sparkSession, folder)
+    known = scored.where("trusted > 0 AND perplexity IS NOT NULL")
+    held = F.when(F.col("trusted") == 2, F.col("perplexity"))
+    cut = lambda x: F.percentile_approx(x, quantile, 100_000)
+    pooled = known.agg(F.coalesce(cut(held), cut("perplexity")).alias("pooled"))  # one row
+    pooled = Written(pooled).df
+    own = known.groupBy("lang").agg(cut(held).alias("own"), F.count(held).alias("n_held"))
+    limits = Written(own.join(F.broadcast(pooled)).select("lang", F.when(F.col("n_held") >= MIN_HELD, F.col("own")).otherwise(F.greatest("own", "pooled")).alias("threshold"))).df
+    out = scored.join(_small(limits), "lang", "left").join(F.broadcast(pooled)).withColumn("threshold", F.coalesce("threshold", "pooled"))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
