@@ -88,7 +88,7 @@ def test_quality_counts_against_brute_force(spark, make_docs, edge_texts):
         assert not (r["base_failed"] and r["kept"])
     kept = {texts[r["doc_id"] or 0]: r["kept"] for r in rows}
     assert kept[extra[4]] and not kept[extra[2]] and not kept[extra[3]]
-    clean = docs.where(f"doc_id = {len(texts) - 1}").select(line_quality.cleaned_text(F.col("text"))).first()[0]
+    clean = docs.where(f"doc_id = {len(texts) - 1}").select(line_quality.cleaned_text(F.col("text"), F.array().cast("array<bigint>"))).first()[0]
     assert clean == extra[4].split("\n")[1]
     assert line_quality.report(docs.where("false")).count() == 0
 
@@ -104,12 +104,25 @@ def test_quality_of_documents(spark):
 
 
 def test_cleaned_text_is_what_the_rules_leave(spark, make_docs, edge_texts):
-    line = "a plain line that stands in this text more than once"
-    texts = [f"{line}\n\nhome | about | news | more\n{line}\nz last\nb later\nz last\n\n", *edge_texts]
+    line = "A plain line that stands in this text more than once."
+    texts = [f"{line}\n\nhome | about | news | more.\n{line}\nno mark at the end\nz last!\nb later?\nz last!\n(A quote: “yes.”)\n\n", *edge_texts]
     docs = make_docs(texts).unionByName(table(spark, "/root/testdata/sf0.001", "documents"))
-    rows = line_quality.judged(docs).withColumn("clean", line_quality.cleaned_text(F.col("text"))).collect()
-    assert rows[0]["clean"] == f"{line}\n\nz last\nb later\n\n"
+    rows = line_quality.judged(docs).withColumn("clean", line_quality.cleaned_text(F.col("text"), F.col("quality.boilerplate"))).collect()
+    assert rows[0]["clean"] == f"{line}\n\nz last!\nb later?\n(A quote: “yes.”)\n\n"
     for r in rows:
         left = len(re.sub(line_quality.BLANK, "", r["clean"] or ""))
         assert left == r["quality"]["word_chars"] - r["quality"]["removed_chars"], r["doc_id"]
     assert sum(r["quality"]["n_dup_lines"] > 0 for r in rows) > 5
+
+
+def test_common_lines_are_learned(spark, make_docs):
+    """A line between different neighbours is boilerplate in any language; lines of copies are not; copies are kept."""
+    own = [f"Der {k}. Text hat hier zehn Wörter, die sonst nirgends genau so stehen {k}." for k in range(40)]
+    seite = "Diese Seite benutzt Kekse."
+    mixed = [f"{t}\n{seite}\n{t[::-1]}." for t in own]
+    lines = [f"a{j} b{j} copied c{j} d{j} e{j} f{j} g{j}." for j in range(12)]
+    copies = ["\n".join(x.replace("copied", f"x{k}") if j == k % 12 else x for j, x in enumerate(lines)) for k in range(60)]
+    rows = line_quality.judged(make_docs(mixed + copies)).withColumn("clean", line_quality.cleaned_text(F.col("text"), F.col("quality.boilerplate"))).collect()
+    for r, text in zip(rows, mixed + copies):
+        assert r["quality"]["kept"], text
+        assert r["clean"] == "\n".join(x for x in text.split("\n") if x != seite)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from test_minhash import brute
@@ -22,7 +24,14 @@ def test_stages_in_order(spark):
     assert tuple(kept.columns) == cp.COLUMNS
     good = {r["doc_id"] for r in line_quality.report(docs).where("kept").collect()}
     assert set(rows_of(kept)) == good and 0 < len(good) < docs.count()
-    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
+    judged = line_quality.judged(docs).where("quality.kept").collect()
+    words = lambda x: len(re.sub(line_quality.BLANK, "", x))
+    by_id = rows_of(kept)
+    for r in judged:
+        got = by_id[r["doc_id"]]
+        assert words(got["text"]) == r["quality"]["word_chars"] - r["quality"]["removed_chars"] and (got["text"] == r["text"]) == (r["quality"]["removed_chars"] == 0)
+        assert got["n_chars"] == len(got["text"]) and set(got["text"].split("\n")) <= set(r["text"].split("\n"))
+    assert any(r["quality"]["removed_chars"] for r in judged)
 
     one = cp.near_dedup(spark, kept, D).cache()
     want = {c for _, c in brute([(r["doc_id"], r["text"]) for r in kept.collect()], 5).values()}
