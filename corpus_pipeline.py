@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the shared scratch
 space and read again as the next stage's documents. All but the last return the columns of ``documents``.
+
+Null and empty texts have no word, so the quality rules drop them; later stages keep them. Very long texts stay whole. Rows with a
+null id are never duplicates and take part in the mix as any other row. Of rows of one id near-dedup leaves one, the first by text, language,
+source and length. Other columns are ignored, whatever their names. An empty table gives no rows of any stage.
 """
 
 from __future__ import annotations
@@ -19,16 +23,24 @@ KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.25}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go; the others stay as they are."""
-    return line_quality.judged(docs.select(*COLUMNS)).where("quality.kept").select(*COLUMNS)
+    """Failing lines go from every text; documents that lose too much, or fail the base rule, go."""
+    rows = line_quality.judged(docs.select(*COLUMNS)).where("quality.kept")
+    lost = F.col("quality.removed_chars") > 0
+    text = F.when(lost, line_quality.cleaned_text(F.col("text"), F.col("quality.boilerplate"))).otherwise(F.col("text"))
+    rows = rows.select("doc_id", text.alias("text"), "lang", "source", "n_chars", lost.alias("_lost"))
+    return rows.withColumn("n_chars", F.when(F.col("_lost"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays (5-word shingles, similarity 0.8)."""
+    """The document of the smallest id of each group stays (5-word shingles, similarity 0.8).
+
+    Of the texts of one id the first in order stays; rows with a null id stay.
+    """
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    found = Written(minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")))
+    once = docs.join(found.df.where("n = 1"), "doc_id", "left_semi")
+    texts = docs.join(found.df.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return once.unionByName(texts).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
