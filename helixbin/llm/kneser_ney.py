@@ -1,9 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's units are characters, unfolded, its order is 5, with one model for each language and a pooled one, ``*``, for
+The model's units are characters, unfolded, its order is 4, with one model for each language and a pooled one, ``*``, for
 languages without trusted text.
 
-1. ``requests``: every distinct 5-gram of each split of the input files, of all rows, with its count in trusted rows. A split is
+1. ``requests``: every distinct 4-gram of each split of the input files, of all rows, with its count in trusted rows. A split is
    what one task reads; its n-grams are summed there, so the table that is shuffled holds no repeats of a split.
 2. ``probabilities``: sharded count joins. Lower orders are continuation counts of the order above. Count tables are sharded by
    (lang, context) and joined with their context's totals, then by (lang, suffix) with the order below; discounts come from
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import Written, remove, scratch, short_batches
 
-ORDER = 5
-BITS = 12
+ORDER = 4
+BITS = 15
 START = 0x10FFFF  # stands before a text
 QUANTILE = 0.995
 HOLD = 5
@@ -51,20 +51,21 @@ POOLED = "*"
 
 
 class Alphabet:
-    """Numbers for the letters met so far, at most 4095, so that a 5-gram fits into 60 bits."""
+    """Numbers for the letters met so far, at most 32767, so that a 4-gram fits into 60 bits."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int = BITS) -> None:
+        self.bits = bits
         self.place = np.zeros(START + 1, np.int64)
         self.letters = np.array([START], np.uint32)
 
     def codes(self, texts: list[str]) -> np.ndarray | None:
-        """The letters of all texts, four blanks (0) before each; None if they don't fit."""
+        """The letters of all texts, ``ORDER - 1`` blanks (0) before each; None if they don't fit."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         points = np.maximum(points, 1)
         out = self.place[points]
         new = np.unique(points[(out == 0) & (points != START)])
         if len(new):
-            if len(self.letters) + len(new) > 1 << BITS:
+            if len(self.letters) + len(new) > 1 << self.bits:
                 return None
             self.place[new] = np.arange(len(self.letters), len(self.letters) + len(new))
             self.letters = np.concatenate([self.letters, new.astype(np.uint32)])
@@ -75,16 +76,16 @@ class Alphabet:
         flat[at] = out
         gram = out.copy()
         for k in range(1, ORDER):
-            gram |= flat[at - k] << (BITS * k)
+            gram |= flat[at - k] << (self.bits * k)
         return gram
 
     def strings(self, gram: np.ndarray) -> list[str]:
-        places = (gram[:, None] >> (BITS * np.arange(ORDER - 1, -1, -1))) & ((1 << BITS) - 1)
+        places = (gram[:, None] >> (self.bits * np.arange(ORDER - 1, -1, -1))) & ((1 << self.bits) - 1)
         return np.ascontiguousarray(self.letters[places]).view(f"<U{ORDER}").ravel().tolist()
 
 
 def plain_grams(text: str) -> list[str]:
-    """The 5-gram that ends at each character."""
+    """The 4-gram that ends at each character."""
     padded = chr(START) * (ORDER - 1) + text.replace("\0", "\1")
     return [padded[i : i + ORDER] for i in range(len(text))]
 
@@ -129,13 +130,13 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, list[int]]]]
         i = j
 
 
-def requests(rows: DataFrame, flush: int = FLUSH) -> DataFrame:
-    """``split, lang, gram, n``: the 5-grams of each split's texts; ``n`` counts those of training rows."""
+def requests(rows: DataFrame, flush: int = FLUSH, bits: int = BITS) -> DataFrame:
+    """``split, lang, gram, n``: the 4-grams of each split's texts; ``n`` counts those of training rows."""
     short_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        letters, size, now = Alphabet(), 0, None
+        letters, size, now = Alphabet(bits), 0, None
 
         def batch_of(lang: str, grams: list[str], n) -> pa.RecordBatch:
             k = len(grams)
@@ -162,7 +163,7 @@ def requests(rows: DataFrame, flush: int = FLUSH) -> DataFrame:
                     gram = letters.codes([texts[i] for i in found])
                     if gram is None and len(letters.letters) > 1:
                         yield from flushed()
-                        held, size, letters = {}, 0, Alphabet()
+                        held, size, letters = {}, 0, Alphabet(bits)
                         todo.append((lang, found, train))
                     elif gram is not None:
                         gram, n = np.unique(gram, return_counts=True)
@@ -294,12 +295,12 @@ class _Answers:
         return self.log_p[at]
 
 
-def score(rows: DataFrame, folder: str | None) -> DataFrame:
+def score(rows: DataFrame, folder: str | None, bits: int = BITS) -> DataFrame:
     """``doc_id, lang, trusted, n_chars, log_prob`` of each row; ``log_prob`` is null for texts without characters."""
     short_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, now, told = Alphabet(), None, None
+        letters, now, told = Alphabet(bits), None, None
         known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def logs(lang: str, gram: np.ndarray) -> np.ndarray:
@@ -325,7 +326,7 @@ def score(rows: DataFrame, folder: str | None) -> DataFrame:
                     own = [texts[i] for i in mine]
                     gram = letters.codes(own)
                     if gram is None and len(letters.letters) > 1:
-                        letters, known = Alphabet(), {}
+                        letters, known = Alphabet(bits), {}
                         todo.append((lang, mine))
                     elif gram is not None:
                         total = np.add.reduceat(logs(lang, gram), np.concatenate([[0], np.cumsum([len(t) for t in own])[:-1]]).astype(int))
@@ -342,13 +343,13 @@ def score(rows: DataFrame, folder: str | None) -> DataFrame:
     return rows.select("doc_id", "lang", "trusted", "text", "split").mapInArrow(work, "doc_id long, lang string, trusted int, n_chars long, log_prob double")
 
 
-def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bits: int = BITS) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for every row of ``documents``."""
     rows = located(documents, labels)
-    asked = Written(requests(rows))
+    asked = Written(requests(rows, bits=bits))
     folder = answers(asked.df)
     asked.drop()
-    scored = Written(score(rows, folder)).df.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_prob") / F.col("n_chars"))))
+    scored = Written(score(rows, folder, bits)).df.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("log_prob") / F.col("n_chars"))))
     if folder:
         remove(documents.sparkSession, folder)
     known = scored.where("trusted > 0 AND perplexity IS NOT NULL")

@@ -11,11 +11,11 @@ from helixbin.llm.common import table
 def brute(train, texts):
     """Interpolated modified Kneser-Ney over characters, from its published equations."""
     def grams(t):
-        s = [0] * 4 + [ord(c) + 1 for c in t]
-        return [tuple(s[i : i + 5]) for i in range(len(t))]
+        s = [0] * 3 + [ord(c) + 1 for c in t]
+        return [tuple(s[i : i + 4]) for i in range(len(t))]
 
-    c = {5: Counter(g for t in train for g in grams(t))}
-    for k in (4, 3, 2, 1):
+    c = {4: Counter(g for t in train for g in grams(t))}
+    for k in (3, 2, 1):
         c[k] = Counter(g[1:] for g in c[k + 1])
     disc, ctx = {}, {}
     for k in c:
@@ -45,7 +45,7 @@ def trains(k):
     return zlib.crc32(str(k).encode()) % kn.HOLD != 0
 
 
-def test_equals_published_equations(spark, make_docs, monkeypatch):
+def test_equals_published_equations(spark, make_docs):
     """Two languages with models of their own and one without, over several splits, with forced flushes and small alphabets."""
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdeé日😀"), rng.integers(1, 6)))
@@ -67,19 +67,19 @@ def test_equals_published_equations(spark, make_docs, monkeypatch):
 
 
 def test_more_letters_than_an_alphabet(spark, make_docs):
-    """A text of 5,000 different letters, one of 3,000 others, and plain ones."""
+    """A text of 5,000 different letters, one of 3,000 others, and plain ones, with room for 4,095 letters."""
     wide = "".join(chr(0x4E00 + k) for k in range(5000))
     texts = [wide, "".join(chr(0xAC00 + k) for k in range(3000)), "abc abd abe " * 20, wide[:2500] + " abc", "abc"]
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
     ids = [k for k in range(5) if trains(k)]
     labels = spark.createDataFrame([(k, 1) for k in ids], "doc_id long, quality int")
-    got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs, labels).collect()}
+    got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs, labels, bits=12).collect()}
     for k, x in enumerate(brute([texts[k] for k in ids], texts)):
         assert math.isclose(got[k], x, rel_tol=1e-9), (k, got[k], x)
 
 
 def test_keys_are_those_of_spark(spark):
-    rows = [("en", "abcde"), ("日本", chr(kn.START) * 4 + "é"), ("", "😀\x01 x\n")]
+    rows = [("en", "abcd"), ("日本", chr(kn.START) * 3 + "é"), ("", "😀\x01 x\n")]
     df = spark.createDataFrame(rows, "lang string, gram string").select("lang", "gram", kn._key().alias("key"))
     told = kn._Answers.__new__(kn._Answers)
     for r in df.collect():
