@@ -10,9 +10,9 @@ link with nothing. Documents link if the Jaccard similarity of their full sets r
    work of m*m*2*k. Half keys that no other document has are dropped before the pairs are formed. A pair at similarity s
    is missed with probability at most 2*(1-s^k)^m (0.00005 at 0.8 for the defaults).
 3. ``family_links``: candidates, that share a table key, are checked by their sketches; only those whose estimate reaches
-   ``ALIKE`` (six standard deviations below 0.8) make families, so that documents which share a template don't percolate into
-   one. A bucket's members are compared with its smallest id first; buckets that this leaves in several families are compared in full,
-   in blocks that return forests.
+   ``ALIKE`` (over five standard deviations below 0.8) make families, so that documents which share a template don't percolate into
+   one. A document is compared with the smallest id of all its buckets, then with those of buckets that this leaves in another
+   family; buckets that are still in several families are compared in full, in blocks that return forests.
 4. ``verified_links``: candidates are confirmed on full sets of 128-bit shingles, within families. Families beyond a block
    are compared with up to ``LEADERS`` of their members first; what links to these is done with each other, and only the rest
    is compared with everything, a pair of blocks a task. No pairs are emitted; no family has to fit into a task.
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import Written, components, short_batches
 
-M, K = 20, 4
-SKETCH = 96
-ALIKE = 0.56
+M, K = 14, 3
+SKETCH = 84
+ALIKE = 0.55
 LEADERS = 8
 SEED = 7919
 BLOCK_DOCS = 1024
@@ -183,21 +183,31 @@ def family_links(keys: DataFrame, sketches: DataFrame, block_docs: int) -> DataF
     """
     short_batches(keys.sparkSession, 4096)
     buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n")
-    star = keys.join(buckets, "key").where("id <> low").groupBy("id", "low").agg(F.max("n").alias("n"))
-    pairs = star.join(sketches, "id").join(sketches.select(F.col("id").alias("low"), F.col("sketch").alias("other")), "low")
+    star = Written(keys.join(buckets, "key").where("id <> low").groupBy("id", "low").agg(F.max("n").alias("n")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = _estimates(batch.column("sketch"), batch.column("other")) >= ALIKE
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("low"), batch.column("n"), pa.array(good)], names=["id", "low", "n", "alike"])
 
-    judged = Written(pairs.select("id", "low", "n", "sketch", "other").mapInArrow(judge, "id long, low long, n long, alike boolean"))
-    alike = judged.df.where("alike").select("id", "low")
-    of = components(alike, "id", "low")
-    mine, its = of.select(F.col("node").alias("id"), F.col("component").alias("c")), of.select(F.col("node").alias("low"), F.col("component").alias("d"))
+    def judged(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(sketches, "id").join(sketches.select(F.col("id").alias("low"), F.col("sketch").alias("other")), "low")
+        return Written(rows.select("id", "low", "n", "sketch", "other").mapInArrow(judge, "id long, low long, n long, alike boolean")).df
+
+    def united(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        of = components(links, "id", "low")
+        return of.select(F.col("node").alias("id"), F.col("component").alias("c")), of.select(F.col("node").alias("low"), F.col("component").alias("d"))
+
+    def split(pairs: DataFrame, mine: DataFrame, its: DataFrame) -> DataFrame:
+        return pairs.join(mine, "id", "left").join(its, "low", "left").where("coalesce(c, id) <> coalesce(d, low)").select("id", "low", "n")
+
+    first = judged(star.df.groupBy("id").agg(F.min(F.struct("low", "n")).alias("x")).select("id", "x.low", "x.n"))
+    alike = first.where("alike").select("id", "low")
+    second = judged(split(star.df, *united(alike)))
+    alike = alike.unionByName(second.where("alike").select("id", "low"))
+    mine, its = united(alike)
     # A bucket of two has been compared; larger ones are open where a member is in another component than the smallest.
-    apart = judged.df.where("NOT alike AND n > 2").join(mine, "id", "left").join(its, "low", "left").where("coalesce(c, id) <> coalesce(d, low)")
-    apart = Written(apart.select("id", "low"))
+    apart = Written(split(second.where("NOT alike AND n > 2"), mine, its).select("id", "low"))
     if not apart.df.limit(1).count():
         return alike
     some = keys.join(buckets.where("n > 2"), "key").join(apart.df, ["id", "low"], "left_semi").groupBy("key").agg(F.max("n").alias("n"))
