@@ -101,14 +101,22 @@ def chunk(contigs: DataFrame, spec: BankSpec) -> DataFrame:
 def build(contigs: DataFrame, spec: BankSpec | None = None) -> DataFrame:
     """The bank of ``contig_id, contig_ord, seq``; a later contig of the same id replaces an earlier one."""
     spec = spec or BankSpec()
-    kept = keep_contigs(contigs, spec).withColumn("seq", sanitize(F.col("seq"), spec.mode, spec.case))
+    kept = latest_by_id(keep_contigs(contigs, spec)).withColumn("seq", sanitize(F.col("seq"), spec.mode, spec.case))
     return chunk(kept, spec).withColumn("seq_ord", F.shiftleft(F.col("contig_ord").cast("long"), 24) + F.col("chunk_ix"))
 
 
+#: Replaced contigs whose numbers may be broadcast.
+FEW_REPEATS = 1_000_000
+
+
 def latest_by_id(contigs: DataFrame) -> DataFrame:
-    """Keeps the last contig of each id."""
-    last = contigs.groupBy("contig_id").agg(F.max("contig_ord").alias("contig_ord"))
-    return contigs.join(last, ["contig_id", "contig_ord"], "left_semi")
+    """Keeps the last contig of each id. Ids alone are looked at first; sequences only move where many repeat."""
+    last = contigs.groupBy("contig_id").agg(F.max("contig_ord").alias("_last"), F.count("*").alias("_n")).where("_n > 1 AND contig_id IS NOT NULL").select("contig_id", "_last")
+    n = last.limit(FEW_REPEATS + 1).count()
+    if not n:
+        return contigs
+    old = contigs.join(F.broadcast(last) if n <= FEW_REPEATS else last, "contig_id", "left")
+    return old.where("_last IS NULL OR contig_ord = _last").drop("_last")
 
 
 def must_link_pairs(bank: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import shutil
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..scratch import cut
 
 #: The gene finders and their command lines.
 TOOLS = {
@@ -54,7 +57,26 @@ def parse_mga(lines: DataFrame) -> DataFrame:
     Headers name the sequence of the lines below; ``# gc`` and ``# self`` lines are skipped.
     """
     head = F.when(F.col("value").startswith("# ") & ~F.col("value").rlike("^# (gc|self)"), F.substring("value", 3, 1 << 20))
-    named = lines.withColumn("seqid", F.last(head, True).over(W.orderBy("row_ord").rowsBetween(W.unboundedPreceding, 0)))
+    rows = lines.select("row_ord", "value", head.alias("head")).orderBy("row_ord").withColumn("part", F.spark_partition_id())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            seqid = []
+            for x in batch.column("head").to_pylist():
+                now = x if x is not None else now
+                seqid.append(now)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("part", "row_ord", "value")] + [pa.array(seqid, pa.string())], names=["part", "row_ord", "value", "seqid"])
+
+    filled = cut(rows.mapInArrow(fill, "part int, row_ord long, value string, seqid string"))
+    # Lines before a part's first header belong to the last header of the parts before it: a row a part.
+    parts = filled.groupBy("part").agg(F.min("row_ord").alias("first"), F.max(F.when(F.col("seqid").isNotNull(), F.struct("row_ord", "seqid"))).alias("last")).orderBy("first").collect()
+    before, now = [], None
+    for r in parts:
+        before.append((r["part"], now))
+        now = r["last"]["seqid"] if r["last"] else now
+    told = lines.sparkSession.createDataFrame(before, "part int, before string")
+    named = filled.join(F.broadcast(told), "part").withColumn("seqid", F.coalesce("seqid", "before"))
     f = F.split("value", "\t")
     return named.where(~F.col("value").startswith("#") & (F.size(f) >= 11)).select(
         "seqid", F.lit("MGA").alias("source"), F.lit("gene").alias("type"), f[1].cast("int").alias("start"), f[2].cast("int").alias("end"), f[6].cast("double").alias("score"), f[3].alias("strand"), f[4].alias("phase"), F.lit("-").alias("attributes")

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .reduce import gram
+from ..scratch import cut, vector_array
+from .kmer import LETTERS, window_codes
+from .reduce import _stack, gram
 
 
 def tokens(bank: DataFrame, k: int) -> DataFrame:
@@ -35,11 +37,12 @@ def frequencies(counts: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("total")))).select("word", (F.col("n") / F.col("total")).alias("p"))
 
 
-def train(bank: DataFrame, k: int = 4, size: int = 100, window: int = 5, seed: int = 666, min_count: int = 1) -> DataFrame:
-    """``word, vector``: word vectors of the bank's own k-mers."""
+def train(bank: DataFrame, k: int = 4, size: int = 100, window: int = 5, seed: int = 666, min_count: int = 1, chunks_a_task: int = 5000) -> DataFrame:
+    """``word, vector``: word vectors of the bank's own k-mers; tasks train on ``chunks_a_task`` chunks and are averaged."""
     from pyspark.ml.feature import Word2Vec
 
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="tokens", outputCol="v", numPartitions=1).fit(tokens(bank, k))
+    partitions = max(1, -(-bank.count() // chunks_a_task))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="tokens", outputCol="v", numPartitions=partitions).fit(tokens(bank, k))
     return model.getVectors().select("word", F.col("vector").cast("string").alias("_v")).select("word", F.from_json("_v", "array<double>").alias("vector"))
 
 
@@ -67,13 +70,47 @@ def remove_common(means: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch.column("features").to_pylist()) if batch.num_rows else np.zeros((0, len(u)))
-            yield pa.record_batch([batch.column("chunk_id"), pa.array(list(x - np.outer(x @ u, u)), pa.list_(pa.float64()))], names=["chunk_id", "features"])
+            if batch.num_rows:
+                x = _stack(batch)
+                yield pa.record_batch([batch.column("chunk_id"), vector_array(x - np.outer(x @ u, u))], names=["chunk_id", "features"])
 
     return means.select("chunk_id", "features").mapInArrow(work, "chunk_id string, features array<double>")
 
 
+#: Word vectors up to this k are a table of at most 4^k rows that every task holds.
+SMALL_K = 8
+
+
+def means(bank: DataFrame, k: int, table: DataFrame, a: float = 1e-3) -> DataFrame:
+    """``weighted_means`` of a bank's own words for k up to ``SMALL_K``: counts times weighted vectors, within each chunk's task."""
+    held = table.toArrow()
+    words, weights, vectors = (held.column(c).to_pylist() for c in ("word", "weight", "vector"))
+    codes = np.array([sum(LETTERS.index(c) << (4 * (k - 1 - i)) for i, c in enumerate(w)) for w in words], np.int64)
+    order = np.argsort(codes)
+    codes, matrix = codes[order], (np.array(vectors, float) * np.array(weights)[:, None])[order]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for chunk, seq in zip(batch.column("chunk_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                found = window_codes(seq or "", "1" * k, both_strands=False)
+                if len(found):
+                    ids.append(chunk)
+                    rows.append(np.bincount(np.searchsorted(codes, found), minlength=len(codes)) / len(found))
+            if ids:
+                yield pa.record_batch([pa.array(ids), vector_array(np.stack(rows) @ matrix)], names=["chunk_id", "features"])
+
+    return bank.select("chunk_id", "seq").mapInArrow(work, "chunk_id string, features array<double>")
+
+
 def embed(bank: DataFrame, k: int = 4, vectors: DataFrame | None = None, a: float = 1e-3, **training) -> DataFrame:
-    """``chunk_id, features``; without a table of word vectors they are trained on the bank."""
-    counts = word_counts(bank, k)
-    return remove_common(weighted_means(counts, vectors if vectors is not None else train(bank, k, **training), a))
+    """``chunk_id, features``; without a table of word vectors they are trained on the bank. A word without a vector is an error."""
+    vectors = vectors if vectors is not None else train(bank, k, **training)
+    if k > SMALL_K:
+        return remove_common(weighted_means(word_counts(bank, k), vectors, a))
+    p = cut(frequencies(word_counts(bank, k)))
+    table = cut(p.join(vectors, "word", "left").select("word", (a / (a + F.col("p"))).alias("weight"), "vector"))
+    missing = table.where("vector IS NULL").limit(1).collect()
+    if missing:
+        raise KeyError(f"no vector for {missing[0]['word']}")
+    return remove_common(cut(means(bank, k, table, a)))

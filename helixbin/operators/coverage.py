@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
 from ..sources.tables import coverage_csv, coverage_tsv, file_format
 
 
@@ -18,10 +19,7 @@ def by_id(bank: DataFrame, tables: list[DataFrame], prefix: str = "cov_") -> Dat
 
 def by_position(bank: DataFrame, values: DataFrame, order: str = "seq_ord") -> DataFrame:
     """``chunk_id, value``: the n-th value belongs to the n-th chunk; a difference in number is an error."""
-    from .bank import with_positions
-
-    numbered = with_positions(bank.select(order, "chunk_id").orderBy(order), "row")
-    joined = numbered.join(values.withColumnRenamed("row_ord", "row"), "row", "full")
+    joined = numbered(bank.select(order, "chunk_id"), order, name="row").join(values.withColumnRenamed("row_ord", "row"), "row", "full")
     bad = joined.where("chunk_id IS NULL OR value IS NULL").limit(1).count()
     if bad:
         raise ValueError("the file has not as many values as the bank has chunks")

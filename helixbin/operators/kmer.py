@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import vector_array
 from ..functions.dna import CODES, COMPLEMENTS, canonical, check_mask, maskify
 
 LETTERS = "".join(sorted(CODES))
@@ -106,11 +107,43 @@ def matrix(bank: DataFrame, counts: DataFrame, vocabulary: list[str]) -> DataFra
     return bank.select("chunk_id").join(wide, "chunk_id", "left").select("chunk_id", *(F.coalesce(f"`{v}`", F.lit(0)).cast("long").alias(v) for v in vocabulary))
 
 
+#: Features that a broadcast vocabulary may have.
+MAX_BROADCAST = 1 << 20
+
+
 def vectors(bank: DataFrame, counts: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``chunk_id, features`` array<double> over the vocabulary; chunks without any k-mer are zero."""
-    index = {v: i for i, v in enumerate(vocabulary)}
-    spark = bank.sparkSession
-    places = spark.createDataFrame(list(index.items()), "feature string, ix int")
-    pairs = counts.join(F.broadcast(places), "feature").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("ix", F.col("n").cast("double")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return bank.select("chunk_id").join(pairs, "chunk_id", "left").select("chunk_id", dense.alias("features"))
+    spark, width = bank.sparkSession, len(vocabulary)
+    places = spark.createDataFrame(list(zip(vocabulary, range(width))), "feature string, ix int")
+    pairs = counts.join(F.broadcast(places) if width <= MAX_BROADCAST else places, "feature").groupBy("chunk_id").agg(F.collect_list(F.struct("ix", "n")).alias("m"))
+    rows = bank.select("chunk_id").join(pairs, "chunk_id", "left").select("chunk_id", F.transform("m", lambda e: e["ix"]).alias("ix"), F.transform("m", lambda e: e["n"]).alias("n"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ix = batch.column("ix").fill_null([])
+            x = np.zeros((batch.num_rows, width))
+            row = np.repeat(np.arange(batch.num_rows), ix.value_lengths().to_numpy(zero_copy_only=False))
+            x[row, ix.flatten().to_numpy()] = batch.column("n").fill_null([]).flatten().to_numpy()
+            yield pa.record_batch([batch.column("chunk_id"), vector_array(x)], names=["chunk_id", "features"])
+
+    return rows.mapInArrow(work, "chunk_id string, features array<double>")
+
+
+def dense(bank: DataFrame, mask: str) -> DataFrame:
+    """``vectors`` over the full vocabulary, counted within each chunk: nothing is shuffled or joined."""
+    words = full_vocabulary(mask)
+    ones = [i for i, c in enumerate(mask) if c == "1"]
+    codes = np.array([sum(LETTERS.index(w[p]) << (4 * (len(ones) - 1 - i)) for i, p in enumerate(ones)) for w in words], np.int64)
+    order = np.argsort(codes)
+    codes = codes[order]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.zeros((batch.num_rows, len(codes)))
+            for i, seq in enumerate(batch.column("seq").to_pylist()):
+                found = window_codes(seq or "", mask)
+                at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+                x[i, order] = np.bincount(at[codes[at] == found], minlength=len(codes))
+            yield pa.record_batch([batch.column("chunk_id"), vector_array(x)], names=["chunk_id", "features"])
+
+    return bank.select("chunk_id", "seq").mapInArrow(work, "chunk_id string, features array<double>")

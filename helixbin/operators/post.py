@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut, numbered
+
 MIN_TINY = 50
+MANY_GROUPS = 100_000
 UNBINNED = -1
 
 
@@ -55,16 +60,19 @@ def reassign_tiny(labels: DataFrame) -> DataFrame:
     def vote(group: pa.Table) -> pa.Table:
         group = group.sort_by("seq_ord")
         label = group.column("cluster").to_pylist()
+        n = Counter(label)
         for i, t in enumerate(group.column("tiny").to_pylist()):
             if not t:
                 continue
             if len(label) < 2:
                 label[i] = UNBINNED
                 continue
-            n: dict[int, int] = {}
-            for x in label:
-                n[x] = n.get(x, 0) + 1
-            label[i] = max(n, key=n.get)
+            most = max(n.values())
+            best = [x for x, c in n.items() if c == most]
+            new = best[0] if len(best) == 1 else next(x for x in label if x in best)
+            n[label[i]] -= 1
+            n[new] += 1
+            label[i] = new
         return group.drop_columns(["tiny"]).append_column("curated", pa.array(label, pa.int32())).select(["chunk_id", "seq_ord", "contig_id", "cluster", "curated"])
 
     voted = marked.join(touched, "contig_id", "left_semi").select("chunk_id", "seq_ord", "contig_id", "cluster", "tiny").groupBy("contig_id").applyInArrow(vote, "chunk_id string, seq_ord long, contig_id string, cluster int, curated int")
@@ -92,7 +100,7 @@ def silhouettes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u = np.stack(batch.column(2).to_pylist())
+            u = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             own = np.searchsorted(names, batch.column(1).to_numpy())
             dots = u @ total.T
             at = np.arange(len(u))
@@ -109,20 +117,39 @@ def silhouettes(rows: DataFrame) -> DataFrame:
     return units.mapInArrow(work, f"chunk_id string, cluster {rows.schema['cluster'].dataType.simpleString()}, silhouette double")
 
 
+def percentiles(scores: DataFrame, shares: dict[str, float], by: str | None = None, value: str = "silhouette") -> DataFrame:
+    """Exact percentiles with linear interpolation, of all rows or by group: a distributed sort, then the rows of the ranks asked for.
+
+    No task holds more than its range of the sorted values. Columns: ``by``, ``n``, and those named by ``shares``.
+    """
+    group = F.col(by) if by else F.lit(0)
+    ranked = numbered(scores.select(group.alias("_g"), F.col(value).alias("_v")).where("_v IS NOT NULL"), "_g", "_v", name="_at")
+    sizes = cut(ranked.groupBy("_g").agg(F.count("*").alias("n"), F.min("_at").alias("_first")))
+    asked = F.array(*(F.struct(F.lit(k).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("rank")) for k, q in shares.items()))
+    ranks = sizes.select("_g", "n", "_first", F.explode(asked).alias("e")).select("_g", "n", "e.name", "e.rank", (F.col("_first") + F.floor("e.rank")).alias("low"), (F.col("_first") + F.ceil("e.rank")).alias("high"))
+    ends = ranks.select("_g", F.explode(F.array("low", "high")).alias("_at")).distinct()
+    values = cut(ranked.join(F.broadcast(ends) if sizes.count() <= MANY_GROUPS else ends, ["_g", "_at"]).select("_at", "_v"))  # two rows a percentile
+    low, high = (values.select(F.col("_at").alias(c), F.col("_v").alias(f"_{c}")) for c in ("low", "high"))
+    told = ranks.join(low, "low").join(high, "high").withColumn("_p", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("rank") - F.floor("rank")))
+    out = told.groupBy("_g", "n").agg(*(F.max(F.when(F.col("name") == k, F.col("_p"))).alias(k) for k in shares))
+    return out.select(F.col("_g").alias(by), "n", *shares) if by else out.select("n", *shares)
+
+
 def verdicts(scores: DataFrame, keep_unbinned: bool = False, min_cluster_size: int = 0) -> DataFrame:
     """``cluster, n, p10, q1, accepted``: a cluster needs its first quartile at the global median or above and its 10th percentile at 0 or above."""
-    middle = scores.agg(F.median("silhouette").alias("global_median"))
-    by = scores.groupBy("cluster").agg(F.count("*").alias("n"), F.percentile("silhouette", 0.10).alias("p10"), F.percentile("silhouette", 0.25).alias("q1"))
-    good = (F.col("q1") >= F.col("global_median")) & (F.col("p10") >= 0) & (F.col("n") >= min_cluster_size)
+    scores = cut(scores.select("cluster", "silhouette"))
+    middle = percentiles(scores, {"global_median": 0.5}).first()
+    by = percentiles(scores, {"p10": 0.10, "q1": 0.25}, "cluster")
+    good = (F.col("q1") >= F.lit(middle["global_median"] if middle else None)) & (F.col("p10") >= 0) & (F.col("n") >= min_cluster_size)
     if not keep_unbinned:
         good = good & (F.col("cluster") != UNBINNED)
-    return by.crossJoin(F.broadcast(middle)).select("cluster", "n", "p10", "q1", good.alias("accepted"))  # one row
+    return by.select("cluster", "n", "p10", "q1", good.alias("accepted"))
 
 
 def box_stats(scores: DataFrame, min_size: int = 25) -> DataFrame:
     """The numbers of a box plot for each cluster of ``min_size`` rows or more: percentiles 10, 25, 50, 75, 90."""
     parts = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
-    return scores.groupBy("cluster").agg(F.count("*").alias("n"), *(F.percentile("silhouette", v).alias(k) for k, v in parts.items())).where(F.col("n") >= min_size)
+    return percentiles(scores, parts, "cluster").where(F.col("n") >= min_size)
 
 
 def extract_validated(scores: DataFrame, verdict: DataFrame) -> tuple[DataFrame, DataFrame]:

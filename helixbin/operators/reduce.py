@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import pearson_p
+from ..scratch import array_sum, cut, vector_array
 
 VECTORS = "chunk_id string, features array<double>"
 
@@ -27,24 +28,16 @@ def _stack(batch: pa.RecordBatch) -> np.ndarray:
 def gram(rows: DataFrame, unit: bool = False) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, sum of rows, sum of outer products), added up in the executors; ``unit`` scales rows to length 1."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, square = 0, 0.0, 0.0
-        for batch in batches:
-            x = _stack(batch)
-            x = _unit(x) if unit else x
-            n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
-        if n:
-            yield pa.record_batch([pa.array([n]), pa.array([np.append(total, square.ravel())], pa.list_(pa.float64()))], names=["n", "m"])
-
-    parts = rows.select("features").mapInArrow(work, "n long, m array<double>")
-    summed = parts.select("n", F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
-    if not summed:
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        x = _stack(batch)
+        x = _unit(x) if unit else x
+        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
+    flat = array_sum(rows.select("features"), values)
+    if flat is None:
         return 0, np.zeros(0), np.zeros((0, 0))
-    flat = np.zeros(len(summed))
-    for r in summed:
-        flat[r["i"]] = r["x"]
-    d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)
-    return summed[0]["n"], flat[:d], flat[d:].reshape(d, d)
+    d = int((np.sqrt(4 * len(flat) - 3) - 1) / 2)
+    return int(flat[0]), flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -89,25 +82,26 @@ class Projection:
                 x = _stack(batch)
                 if len(x):
                     y = ((_unit(x) if unit else x) - mean) @ comp
-                    yield pa.record_batch([batch.column(0), pa.array(list(y), pa.list_(pa.float64()))], names=["chunk_id", "features"])
+                    yield pa.record_batch([batch.column(0), vector_array(y)], names=["chunk_id", "features"])
 
         return rows.select("chunk_id", "features").mapInArrow(work, VECTORS)
 
 
 def z_scores(rows: DataFrame) -> DataFrame:
     """Columns of mean 0 and population deviation 1; constant columns become 0."""
-    n, total, square = gram(rows)
-    if not n:
+    flat = array_sum(rows.select("features"), lambda batch: np.concatenate([[batch.num_rows], (x := _stack(batch)).sum(0), (x * x).sum(0)]))
+    if flat is None:
         return rows
+    n, (total, square) = flat[0], flat[1:].reshape(2, -1)
     mean = total / n
-    spread = np.sqrt(np.maximum(np.diag(square) / n - mean**2, 0))
+    spread = np.sqrt(np.maximum(square / n - mean**2, 0))
     scale = np.where(spread > 1e-12 * (1 + np.abs(mean)), 1 / np.where(spread > 0, spread, 1), 0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _stack(batch)
             if len(x):
-                yield pa.record_batch([batch.column(0), pa.array(list((x - mean) * scale), pa.list_(pa.float64()))], names=["chunk_id", "features"])
+                yield pa.record_batch([batch.column(0), vector_array((x - mean) * scale)], names=["chunk_id", "features"])
 
     return rows.select("chunk_id", "features").mapInArrow(work, VECTORS)
 
@@ -119,11 +113,12 @@ def cosine_kpca(rows: DataFrame, inertia: float = 0.85, t: float = 0.2, min_comp
     """
     if not 0 < inertia <= 1 or not 0 < t <= 1:
         raise ValueError("inertia and t have to lie in (0, 1]")
+    rows = cut(rows.select("chunk_id", "features"))  # read four times
     part = rows if t == 1 else sample(rows, max(2, int(rows.count() * t)), seed)
     fitted = Projection.fit(part, True)
     positive = int((fitted.ratio > 1e-12).sum())
     n = min(max(int((np.cumsum(fitted.ratio) < inertia).sum()), min_comp), max(positive, 1))
-    return z_scores(fitted.cut(n).transform(rows)), fitted.ratio[:n]
+    return z_scores(cut(fitted.cut(n).transform(rows))), fitted.ratio[:n]
 
 
 def sample_size(n: int, t: float) -> int:
@@ -148,7 +143,7 @@ def merge_models(models: dict[str, DataFrame], ids: DataFrame, pca_inertia: floa
     kpca = {"seed": seed} | (kpca or {})
     n = ids.count()
     reduced = {name: cosine_kpca(ids.join(df, "chunk_id"), **{**kpca, "t": sample_size(n, kpca.get("t", 0.2)) / n})[0] for name, df in models.items()}
-    rows = joined(reduced, ids)
+    rows = cut(joined(reduced, ids))
     fitted = Projection.fit(sample(rows, sample_size(n, kpca.get("t", 0.2)), seed), False)
     keep = int((np.cumsum(fitted.ratio) <= pca_inertia).sum()) + 1
     keep = min(keep, int((fitted.ratio > 1e-12).sum())) if keep <= len(fitted.ratio) else min(3, len(fitted.ratio))
@@ -157,18 +152,33 @@ def merge_models(models: dict[str, DataFrame], ids: DataFrame, pca_inertia: floa
 
 
 def component_origins(components: DataFrame, models: dict[str, DataFrame], n: int) -> DataFrame:
-    """``component, model, feature_ix, r, p, abs_r``: correlation of the first n components with every feature."""
-    rows = None
-    for name, df in models.items():
-        one = df.select("chunk_id", F.lit(name).alias("model"), F.posexplode("features").alias("feature_ix", "x"))
-        rows = one if rows is None else rows.unionByName(one)
-    comp = components.select("chunk_id", F.posexplode(F.slice("features", 1, n)).alias("component", "y"))
-    out = comp.join(rows, "chunk_id").groupBy("component", "model", "feature_ix").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"), F.count("*").alias("n"))
+    """``component, model, feature_ix, r, p, abs_r``: correlation of the first n components with every feature.
 
-    def p_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r, k = batch.column("r").to_pylist(), batch.column("n").to_pylist()
-            p = [pearson_p(float("nan") if x is None else x, m) for x, m in zip(r, k, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(p, pa.float64()), pa.array([None if x is None else abs(x) for x in r], pa.float64())], names=["component", "model", "feature_ix", "r", "p", "abs_r"])
-
-    return out.mapInArrow(p_values, "component int, model string, feature_ix int, r double, p double, abs_r double")
+    Executors add up n by d cross moments of each model's rows, centred at a first row; nothing is exploded.
+    """
+    y = components.select("chunk_id", F.slice("features", 1, n).alias("y"))
+    out: list[tuple] = []
+    for name, df in models.items():
+        rows = y.join(df.select("chunk_id", "features"), "chunk_id").select("y", "features")
+        first = rows.limit(1).collect()
+        if not first:
+            continue
+        base_y, base_x = np.array(first[0]["y"]), np.array(first[0]["features"])
+
+        def values(batch: pa.RecordBatch) -> np.ndarray:
+            a = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - base_y  # noqa: B023
+            x = _stack(batch) - base_x  # noqa: B023
+            return np.concatenate([[len(x)], a.sum(0), (a * a).sum(0), x.sum(0), (x * x).sum(0), (a.T @ x).ravel()])
+
+        flat = array_sum(rows, values)
+        k, d = len(base_y), len(base_x)
+        m, a, aa, x, xx, ax = np.split(flat, np.cumsum([1, k, k, d, d]))
+        m = m[0]
+        cov = ax.reshape(k, d) / m - np.outer(a, x) / m**2
+        var_y, var_x = aa / m - (a / m) ** 2, xx / m - (x / m) ** 2
+        flat_y, flat_x = var_y <= 1e-14 * np.maximum(aa / m, 1e-300), var_x <= 1e-14 * np.maximum(xx / m, 1e-300)
+        for c in range(k):
+            for j in range(d):
+                r = None if flat_y[c] or flat_x[j] else float(np.clip(cov[c, j] / np.sqrt(var_y[c] * var_x[j]), -1, 1))
+                out.append((c, name, j, r, pearson_p(float("nan") if r is None else r, int(m)), None if r is None else abs(r)))
+    return components.sparkSession.createDataFrame(out, "component int, model string, feature_ix int, r double, p double, abs_r double")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, lgamma
+from ..scratch import array_sum, cut
 from .reduce import _stack
 
 #: Fixed values.
@@ -212,9 +213,9 @@ def fit(rows: DataFrame, max_cluster: int, seed: int = 666, restarts: int = DEFA
         best = max(good, key=lambda r: (runs[r][1], -r))
         return runs[best][0], spark.createDataFrame([(r, seed + SEED_STEP * r, b, c) for r, (_, b, c) in enumerate(runs)], "restart int, seed long, bound double, n_clusters int")
     linked = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left") if groups is not None else rows.withColumn("contig_id", F.lit(None).cast("string"))
-    local = linked.select("chunk_id", "contig_id", "features").orderBy("chunk_id").toPandas()
-    x = np.stack(local["features"].to_list())
-    group = None if groups is None else np.where(local["contig_id"].isna(), local["chunk_id"], local["contig_id"]).astype(str)
+    local = linked.select("chunk_id", F.coalesce("contig_id", "chunk_id").alias("contig_id"), "features").orderBy("chunk_id").toArrow()
+    x = local.column("features").combine_chunks().flatten().to_numpy().reshape(n, width)
+    group = None if groups is None else np.array(local.column("contig_id").to_pylist())
     shared = spark.sparkContext.broadcast((x, group))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,7 @@ def fit(rows: DataFrame, max_cluster: int, seed: int = 666, restarts: int = DEFA
     if not good:
         raise ValueError("no restart reached a finite bound")
     best = max(good, key=lambda r: (r["bound"], -r["restart"]))
-    labels = spark.createDataFrame(list(zip(local["chunk_id"].tolist(), best["labels"], strict=True)), "chunk_id string, cluster int")
+    labels = spark.createDataFrame(list(zip(local.column("chunk_id").to_pylist(), best["labels"], strict=True)), "chunk_id string, cluster int")
     return labels, spark.createDataFrame([(r["restart"], r["seed"], r["bound"], r["n_clusters"]) for r in runs], "restart int, seed long, bound double, n_clusters int")
 
 
@@ -243,23 +244,15 @@ def kmeans_distributed(rows: DataFrame, k: int, d: int, seed: int, steps: int =
     def sums(before: np.ndarray | None, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
         """Counts and sums by the nearest of ``centre`` (by ``start`` if None), and how many rows change from ``before``."""
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(k + k * d + 1)
-            for batch in batches:
-                x = _stack(batch)
-                if not len(x):
-                    continue
-                start = batch.column(batch.schema.get_field_index("start")).to_numpy()
-                label = start if centre is None else _nearest(x, centre)
-                first = np.zeros((k, d))
-                np.add.at(first, label, x)
-                changed = 0 if centre is None else (label != (start if before is None else _nearest(x, before))).sum()
-                held += np.concatenate([np.bincount(label, minlength=k), first.ravel(), [changed]])
-            yield pa.record_batch([pa.array(np.arange(len(held)), pa.int32()), pa.array(held)], names=["i", "x"])
-
-        flat = np.zeros(k + k * d + 1)
-        for r in rows.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            flat[r["i"]] = r["x"]
+        def values(batch: pa.RecordBatch) -> np.ndarray:
+            x, start = _stack(batch), batch.column(batch.schema.get_field_index("start")).to_numpy()
+            label = start if centre is None else _nearest(x, centre)
+            total = np.zeros((k, d))
+            np.add.at(total, label, x)
+            changed = 0 if centre is None else (label != (start if before is None else _nearest(x, before))).sum()
+            return np.concatenate([np.bincount(label, minlength=k), total.ravel(), [changed]])
+
+        flat = array_sum(rows, values)
         return flat[:k], flat[k:-1].reshape(k, d), flat[-1]
 
     before, centre = None, None
@@ -291,31 +284,25 @@ def fit_distributed(rows: DataFrame, k: int, seed: int = 666, max_iter: int = 60
             raise ValueError("must-link initialisation takes the rows' groups")
         rows, key = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left"), F.coalesce("contig_id", "chunk_id")
     rows = rows.select("chunk_id", "features", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("start"))
-    stats = rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v")).orderBy("i").collect()
-    prior = Prior.of(np.maximum(np.array([r["v"] for r in stats]), 1e-12))
-    d = len(stats)
+    rows = cut(rows)  # read once a step
+    base = np.array(rows.select("features").first()["features"])
+    d = len(base)
+    flat = array_sum(rows.select("features"), lambda batch: np.concatenate([[batch.num_rows], (x := _stack(batch) - base).sum(0), (x * x).sum(0)]))
+    prior = Prior.of(np.maximum((flat[1 + d :] - flat[1 : d + 1] ** 2 / flat[0]) / (flat[0] - 1), 1e-12))
     centre = kmeans_distributed(rows, k, d, seed) if init == "kmeans" else None
 
     def sums(state: Mixture | None) -> tuple[tuple, float]:
         shared = spark.sparkContext.broadcast(state)
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(k + k * d + k * d * d + 1)
-            for batch in batches:
-                x = _stack(batch)
-                if not len(x):
-                    continue
-                if shared.value is None:
-                    z = np.eye(k)[batch.column(batch.schema.get_field_index("start")).to_numpy() if centre is None else _nearest(x, centre)]
-                else:
-                    z = shared.value.responsibilities(x)
-                entropy = float((z[z > 0] * np.log(z[z > 0])).sum())
-                held += np.concatenate([*(m.ravel() for m in moments(x, z)), [entropy]])
-            yield pa.record_batch([pa.array(np.arange(len(held)), pa.int32()), pa.array(held)], names=["i", "x"])
-
-        flat = np.zeros(k + k * d + k * d * d + 1)
-        for r in rows.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            flat[r["i"]] = r["x"]
+        def values(batch: pa.RecordBatch) -> np.ndarray:
+            x = _stack(batch)
+            if shared.value is None:
+                z = np.eye(k)[batch.column(batch.schema.get_field_index("start")).to_numpy() if centre is None else _nearest(x, centre)]
+            else:
+                z = shared.value.responsibilities(x)
+            return np.concatenate([*(m.ravel() for m in moments(x, z)), [float((z[z > 0] * np.log(z[z > 0])).sum())]])
+
+        flat = array_sum(rows, values)
         shared.unpersist()
         return (flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : -1].reshape(k, d, d)), float(flat[-1])
 

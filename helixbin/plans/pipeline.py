@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,16 +12,19 @@ from pyspark.sql import functions as F
 from ..operators import bank as banks
 from ..operators import contig2vec, ind, kmer, post, reduce, vbgmm
 from ..operators.bank import BankSpec
+from ..scratch import cut
 from ..sources.tables import Store
 
 #: The raw models of the default characterisation.
 DEFAULT_MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "kmers4": lambda b: kmer.vectors(b, kmer.count(b, "1111"), kmer.full_vocabulary("1111")),
-    "kmers110011": lambda b: kmer.vectors(b, kmer.count(b, "110011"), kmer.full_vocabulary("110011")),
-    "kmers3": lambda b: kmer.vectors(b, kmer.count(b, "111"), kmer.full_vocabulary("111")),
-    "kmers1001001": lambda b: kmer.vectors(b, kmer.count(b, "1001001"), kmer.full_vocabulary("1001001")),
+    "kmers4": lambda b: kmer.dense(b, "1111"),
+    "kmers110011": lambda b: kmer.dense(b, "110011"),
+    "kmers3": lambda b: kmer.dense(b, "111"),
+    "kmers1001001": lambda b: kmer.dense(b, "1001001"),
+    "kmers11000100011": lambda b: kmer.dense(b, "11000100011"),
     "ind15": lambda b: ind.vectors(b, 15),
     "contig2vec4": lambda b: contig2vec.embed(b, 4),
+    "contig2vec6": lambda b: contig2vec.embed(b, 6),
 }
 
 
@@ -65,29 +67,6 @@ class Extraction:
             raise ValueError("unknown init or mode")
 
 
-def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        elif spark.sparkContext.master.startswith("local"):
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="helixbin-")
-            spark.sparkContext.setCheckpointDir(folder)
-        else:
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return str(folder)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared scratch space and read again, which cuts the loop's lineage."""
-    path = f"{_scratch(df.sparkSession)}/extract-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame], params: Extraction | None = None) -> DataFrame:
     """``chunk_id, cluster, iter, status``: every chunk of the models once.
 
@@ -98,7 +77,7 @@ def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame],
     spec = bank.select("chunk_id", "contig_id", "seq_ord")
     first = next(iter(models.values()))
     width = sum(len(df.select("features").first()["features"]) for df in models.values())
-    remaining = _cut(first.select("chunk_id"))
+    remaining = cut(first.select("chunk_id"))
     done: list[DataFrame] = []
     number, clusters_left, n = 0, p.max_cluster, 0
 
@@ -117,12 +96,12 @@ def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame],
         if fitted.components.shape[1] > min(p.max_components, width // 3):
             leave(remaining, F.lit(f"unbinned_{n}"))
             break
-        merged = _cut(merged)
+        merged = cut(merged)
         labels, _ = vbgmm.fit(merged, clusters_left, p.seed, p.restarts, p.init, spec, p.vb_iter, p.epsilon, p.bound)
-        labels = _cut(labels.join(spec, "chunk_id"))
+        labels = cut(labels.join(spec, "chunk_id"))
         curated = post.reassign_tiny(labels) if p.mode == "reassigntiny" else labels.withColumn("curated", F.col("cluster"))
-        rows = _cut(curated.select("chunk_id", "seq_ord", F.col("curated").alias("cluster")).join(merged, "chunk_id"))
-        scores = _cut(post.silhouettes(rows).join(spec.select("chunk_id", "seq_ord"), "chunk_id"))
+        rows = cut(curated.select("chunk_id", "seq_ord", F.col("curated").alias("cluster")).join(merged, "chunk_id"))
+        scores = cut(post.silhouettes(rows).join(spec.select("chunk_id", "seq_ord"), "chunk_id"))
         verdict = post.verdicts(scores)
         good = verdict.where("accepted").count()
         if not good:
@@ -131,8 +110,8 @@ def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame],
         kept, rest = post.extract_validated(scores, verdict)
         order = kept.groupBy("cluster").agg(F.min("seq_ord").alias("first")).withColumn("k", F.row_number().over(W.orderBy("first")) - 1 + number)  # a row a cluster
         named = kept.join(F.broadcast(order), "cluster")
-        done.append(_cut(named.select("chunk_id", F.col("k").cast("string").alias("cluster"), F.lit(n).alias("iter"), F.lit("validated").alias("status"))))
-        remaining = _cut(rest)
+        done.append(cut(named.select("chunk_id", F.col("k").cast("string").alias("cluster"), F.lit(n).alias("iter"), F.lit("validated").alias("status"))))
+        remaining = cut(rest)
         number, clusters_left, n = number + good, clusters_left - good, n + 1
     out = done[0]
     for df in done[1:]:

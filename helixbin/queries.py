@@ -10,6 +10,7 @@ from .operators import bank as banks
 from .operators import coding, contig2vec, coverage, ind, kmer, post, reduce, vbgmm
 from .operators.bank import BankSpec
 from .plans import pipeline
+from .scratch import cut
 from .session import ship
 
 AUTO = BankSpec(1000, 2000, "auto")
@@ -193,8 +194,8 @@ def vbgmm_bins(spark, sf_dir):
 
 def extract_pipeline(spark, sf_dir):
     b, models = _models(spark, sf_dir)
-    b = pipeline._cut(b)
-    models = {k: pipeline._cut(v) for k, v in models.items()}
+    b = cut(b)
+    models = {k: cut(v) for k, v in models.items()}
     return pipeline.extract(spark, b, models, pipeline.Extraction(max_iter=3, max_cluster=20, restarts=4, vb_iter=100))
 
 

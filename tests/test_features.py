@@ -196,3 +196,56 @@ def test_contig2vec(spark):
         assert np.allclose(r["features"], want[r["chunk_id"]] - (want[r["chunk_id"]] @ u) * u)
     with pytest.raises(KeyError):
         contig2vec.weighted_means(counts, table.where("word <> 'GGG'"))
+
+
+def test_places_in_a_sort_of_many_files(spark):
+    """Files of very different sizes, read back in any order, keep the places of the sort."""
+    from helixbin.operators import post
+    from helixbin.scratch import array_sum, numbered
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=3000) ** 3
+    df = spark.createDataFrame([(float(v), int(k % 3)) for k, v in enumerate(x)], "silhouette double, cluster int").repartition(13)
+    got = [r["silhouette"] for r in numbered(df, "silhouette", name="at").orderBy("at").collect()]
+    assert got == sorted(x.tolist())
+    rows = {r["cluster"]: r for r in post.percentiles(df, {"a": 0.1, "b": 0.5, "c": 1.0}, "cluster").collect()}
+    for k in range(3):
+        assert np.allclose([rows[k][c] for c in "abc"], np.quantile(x[k::3], [0.1, 0.5, 1.0])) and rows[k]["n"] == 1000
+    total = array_sum(df.repartition(300), lambda b: np.array([b.num_rows, b.column("silhouette").to_numpy().sum()]))
+    assert total[0] == 3000 and np.isclose(total[1], x.sum())
+
+
+def test_repeated_contigs(spark):
+    df = spark.createDataFrame([("c", 0, "A" * 30), ("d", 1, "G" * 20), ("c", 2, "T" * 25), (None, 3, "C" * 20), (None, 4, "C" * 20)], "contig_id string, contig_ord long, seq string")
+    rows = banks.build(df, BankSpec(min_length=10, chunk_size=0, overlap=0)).orderBy("seq_ord").collect()
+    assert [(r["chunk_id"], r["seq"][0]) for r in rows] == [("d__0", "G"), ("c__0", "T"), ("0", "C"), ("0", "C")]
+
+
+def test_dense_vectors_equal_counted_ones(spark):
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGTN"), rng.integers(0, 90), p=[0.24] * 4 + [0.04])) for _ in range(40)]
+    b = spark.createDataFrame([(f"s{k}", s) for k, s in enumerate(seqs)], "chunk_id string, seq string")
+    for mask in ("111", "1001", "11011"):
+        want = {r["chunk_id"]: r["features"] for r in kmer.vectors(b, kmer.count(b, mask), kmer.full_vocabulary(mask)).collect()}
+        assert {r["chunk_id"]: r["features"] for r in kmer.dense(b, mask).collect()} == want
+
+
+def test_gene_reports_over_many_parts(spark):
+    lines = []
+    for k in range(40):
+        lines += [f"# seq{k}", "# gc = 0.5", "# self: -"] + [f"gene_{j}\t{j + 1}\t{j + 50}\t+\t0\t11\t1.5\t-\t-\t-\t-" for j in range(k % 5)]
+    df = spark.createDataFrame(list(enumerate(lines)), "row_ord long, value string").repartition(7)
+    got = {(r["seqid"], r["n"]) for r in coding.parse_mga(df).groupBy("seqid").agg(F.count("*").alias("n")).collect()}
+    assert got == {(f"seq{k}", k % 5) for k in range(40) if k % 5}
+
+
+def test_word_means_in_the_task_equal_joined_ones(spark):
+    rng = np.random.default_rng(4)
+    b = spark.createDataFrame([(f"s{k}", "".join(rng.choice(list("ACGT"), 60))) for k in range(20)], "chunk_id string, seq string")
+    words = ["".join(w) for w in __import__("itertools").product("ACGT", repeat=2)]
+    table = spark.createDataFrame([(w, rng.normal(size=4).tolist()) for w in words], "word string, vector array<double>")
+    want = {r["chunk_id"]: r["features"] for r in contig2vec.remove_common(contig2vec.weighted_means(contig2vec.word_counts(b, 2), table)).collect()}
+    got = {r["chunk_id"]: r["features"] for r in contig2vec.embed(b, 2, table).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+    with pytest.raises(KeyError):
+        contig2vec.embed(b, 2, table.where("word <> 'GG'"))
