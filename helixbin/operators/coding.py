@@ -99,3 +99,44 @@ def run_tool(name: str, fasta: str, output: str, force: bool = False) -> str:
     with open(output if name == "metageneannotator" else "/dev/null", "w") as out:
         subprocess.run([program, *(a.format(input=fasta, output=output, stem=stem) for a in args)], check=True, stdout=out)
     return output
+
+
+GENES = "seqid string, source string, type string, start int, end int, score double, strand string, phase string, attributes string"
+
+
+def _genes_of(tool: str, text: str) -> Iterator[tuple]:
+    """Gene rows of a finder's output: GFF, or MetaGeneAnnotator's report."""
+    seqid = None
+    number = lambda x: float(x) if x.replace(".", "", 1).replace("-", "", 1).isdigit() else None
+    for line in text.splitlines():
+        f = line.split("\t")
+        if tool == "metageneannotator":
+            if line.startswith("# ") and not line.startswith(("# gc", "# self")):
+                seqid = line[2:]
+            elif not line.startswith("#") and len(f) >= 11:
+                yield seqid, "MGA", "gene", int(f[1]), int(f[2]), number(f[6]), f[3], f[4], "-"
+        elif not line.startswith("#") and len(f) == 9:
+            yield f[0], f[1], f[2], int(f[3]), int(f[4]), number(f[5]), f[6], f[7], f[8]
+
+
+def predict(bank: DataFrame, tool: str) -> DataFrame:
+    """Genes (``GENES``) of a bank's chunks: every task hands its chunks to the finder, a batch a run, in a folder of its own."""
+    program, args = TOOLS[tool]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tempfile
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with tempfile.TemporaryDirectory() as d:  # the program's own files; nothing is read back later
+                stem, source = f"{d}/genes", Path(d, "chunks.fasta")
+                output = stem + ".gff"
+                source.write_text("".join(f">{i}\n{s}\n" for i, s in zip(batch.column("chunk_id").to_pylist(), batch.column("seq").to_pylist(), strict=True)))
+                ran = subprocess.run([program, *(a.format(input=source, output=output, stem=stem) for a in args)], check=True, capture_output=True, text=True)
+                text = ran.stdout if tool == "metageneannotator" else Path(output).read_text()
+            rows = list(_genes_of(tool, text))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in GENES.split(", ")])
+
+    return bank.select("chunk_id", "seq").mapInArrow(work, GENES)

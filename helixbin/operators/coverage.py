@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +40,19 @@ def model(bank: DataFrame, files: list[str], prefix: str = "cov_") -> DataFrame:
         elif kind == "TSV":
             tables.append(coverage_tsv(spark, path))
     return by_id(bank, tables, prefix)
+
+
+#: An external k-mer coverage program, its index and its look-up.
+KMER_TOOL = "gattaca"
+KMER_INDEX = ["index", "-k", "{k}", "-i", "{fasta}"]
+KMER_LOOKUP = ["lookup", "-c", "{fasta}", "-i", "{fasta}.k{k}.gatc", "-o", "{output}", "-m"]
+
+
+def kmer_coverage(fasta: str, output: str, k: int = 31, program: str = KMER_TOOL) -> str:
+    """Median k-mer coverages of a FASTA file's sequences, as a CSV file for ``model``; an existing file is a cache hit."""
+    if not Path(output).exists():
+        if shutil.which(program) is None:
+            raise FileNotFoundError(f"{program} is not installed")
+        for args in (KMER_INDEX, KMER_LOOKUP):
+            subprocess.run([program, *(a.format(k=k, fasta=fasta, output=output) for a in args)], check=True)
+    return output

@@ -33,6 +33,12 @@ def must_link_purity(labels: DataFrame) -> DataFrame:
     return m.groupBy(F.col("cj").alias("cluster")).agg((F.sum(F.when(F.col("ci") == F.col("cj"), F.col("n")).otherwise(0)) / F.sum("n")).alias("purity"))
 
 
+def must_link_report(labels: DataFrame) -> DataFrame:
+    """``ci, cj, n, perc``: the matrix, and in each row the share of column ``ci``'s pairs that stay inside it."""
+    purity = must_link_purity(labels).select(F.col("cluster").alias("ci"), F.col("purity").alias("perc"))
+    return must_link_matrix(labels).join(purity, "ci").select("ci", "cj", "n", "perc")
+
+
 def pure_clusters(labels: DataFrame, tolerance: float = 0.9) -> DataFrame:
     """The rows of clusters whose purity reaches the tolerance."""
     return labels.join(must_link_purity(labels).where(F.col("purity") >= tolerance), "cluster", "left_semi")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,22 @@ def cosine_kpca(rows: DataFrame, inertia: float = 0.85, t: float = 0.2, min_comp
     return z_scores(cut(fitted.cut(n).transform(rows))), fitted.ratio[:n]
 
 
+def coordinates(rows: DataFrame, path: str | None = None, force: bool = False) -> DataFrame:
+    """``chunk_id, x, y``: the first two principal components of the z-scores, for plots. A table at ``path`` is reused unless ``force``."""
+    spark = rows.sparkSession
+    if path and not force:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    scores = cut(z_scores(cut(rows.select("chunk_id", "features"))))
+    out = Projection.fit(scores, False).cut(2).transform(scores).select("chunk_id", F.get("features", F.lit(0)).alias("x"), F.coalesce(F.get("features", F.lit(1)), F.lit(0.0)).alias("y"))
+    if path:
+        out.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    return out
+
+
 def sample_size(n: int, t: float) -> int:
     return min(max(int(n * t), 3333), n)
 

@@ -194,6 +194,27 @@ def covariances(x: np.ndarray, z: np.ndarray, ridge: float = 1e-3) -> np.ndarray
     return (second - n[:, None, None] * m[:, :, None] * m[:, None, :] + ridge * np.eye(x.shape[1])) / np.maximum(n, 1e-300)[:, None, None]
 
 
+def parameters(rows: DataFrame, ridge: float = 1e-3) -> DataFrame:
+    """``cluster, n, mean, covariance``: means and maximum-likelihood covariances of labelled rows (``features, cluster``), a row a cluster."""
+    names = sorted(r["cluster"] for r in rows.select("cluster").distinct().collect())  # a row a cluster
+
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        x = _stack(batch)
+        z = np.eye(len(names))[np.searchsorted(names, batch.column(batch.schema.get_field_index("cluster")).to_numpy())]
+        return np.concatenate([m.ravel() for m in moments(x, z)])
+
+    flat = array_sum(rows.select("features", "cluster"), values)
+    if flat is None:
+        return rows.sparkSession.createDataFrame([], "cluster int, n long, mean array<double>, covariance array<array<double>>")
+    k = len(names)
+    d = int((np.sqrt(4 * (len(flat) // k) - 3) - 1) / 2)
+    n, first, second = flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d :].reshape(k, d, d)
+    m = first / n[:, None]
+    cov = (second - n[:, None, None] * m[:, :, None] * m[:, None, :] + ridge * np.eye(d)) / n[:, None, None]
+    out = [(int(names[j]), int(n[j]), m[j].tolist(), cov[j].tolist()) for j in range(k)]
+    return rows.sparkSession.createDataFrame(out, "cluster int, n long, mean array<double>, covariance array<array<double>>")
+
+
 def fit(rows: DataFrame, max_cluster: int, seed: int = 666, restarts: int = DEFAULT_RESTARTS, init: str = "kmeans", groups: DataFrame | None = None, max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat") -> tuple[DataFrame, DataFrame]:
     """(``chunk_id, cluster``; ``restart, seed, bound, n_clusters``) of the restart with the best bound, ties to the first.
 

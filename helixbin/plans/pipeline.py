@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..models import CoverageModel
 from ..operators import bank as banks
 from ..operators import contig2vec, ind, kmer, post, reduce, vbgmm
 from ..operators.bank import BankSpec
@@ -28,10 +29,12 @@ DEFAULT_MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def characterize(spark: SparkSession, contigs: DataFrame, path: str, spec: BankSpec | None = None, models: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> Store:
-    """Writes the bank and those raw models that the store hasn't yet."""
+def characterize(spark: SparkSession, contigs: DataFrame, path: str, spec: BankSpec | None = None, models: dict[str, Callable[[DataFrame], DataFrame]] | None = None, coverage_files: list[str] | None = None) -> Store:
+    """Writes the bank and those raw models that the store hasn't yet; coverage files make the model ``coverage``."""
     store, spec = Store(spark, path), spec or BankSpec()
-    models = DEFAULT_MODELS if models is None else models
+    models = dict(DEFAULT_MODELS if models is None else models)
+    if coverage_files:
+        models["coverage"] = CoverageModel(coverage_files, fill=0.0).transform
     try:
         bank, _ = store.bank()
     except Exception as e:
@@ -67,9 +70,12 @@ class Extraction:
             raise ValueError("unknown init or mode")
 
 
-def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame], params: Extraction | None = None) -> DataFrame:
+def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame], params: Extraction | None = None, reports: str | None = None) -> DataFrame:
     """``chunk_id, cluster, iter, status``: every chunk of the models once.
 
+    ``reports`` is a folder for tables of each iteration: ``inputs, explained_variance, component_origins, clusters,
+    mustlink, verdicts, boxes`` and ``coordinates``, each partitioned by ``iter``.
+
     Validated clusters are numbered from 0 across iterations, in order of their first chunk. What is left carries the
     reason: ``maxiter_n, lastcluster_n, notenough_n, unbinned_n`` or ``badbinned_c``.
     """
@@ -81,6 +87,10 @@ def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame],
     done: list[DataFrame] = []
     number, clusters_left, n = 0, p.max_cluster, 0
 
+    def report(name: str, df: DataFrame) -> None:
+        if reports:
+            df.write.mode("overwrite").parquet(f"{reports.rstrip('/')}/{name}/iter={n}")
+
     def leave(rows: DataFrame, label) -> None:
         done.append(rows.select("chunk_id", label.alias("cluster"), F.lit(n).alias("iter"), F.lit("left").alias("status")))
 
@@ -97,12 +107,22 @@ def extract(spark: SparkSession, bank: DataFrame, models: dict[str, DataFrame],
             leave(remaining, F.lit(f"unbinned_{n}"))
             break
         merged = cut(merged)
+        report("inputs", merged)
+        report("explained_variance", spark.createDataFrame(list(enumerate(fitted.ratio.tolist())), "component int, ratio double"))
+        if reports:
+            report("component_origins", reduce.component_origins(merged, models, min(10, fitted.components.shape[1])))
         labels, _ = vbgmm.fit(merged, clusters_left, p.seed, p.restarts, p.init, spec, p.vb_iter, p.epsilon, p.bound)
         labels = cut(labels.join(spec, "chunk_id"))
         curated = post.reassign_tiny(labels) if p.mode == "reassigntiny" else labels.withColumn("curated", F.col("cluster"))
         rows = cut(curated.select("chunk_id", "seq_ord", F.col("curated").alias("cluster")).join(merged, "chunk_id"))
         scores = cut(post.silhouettes(rows).join(spec.select("chunk_id", "seq_ord"), "chunk_id"))
-        verdict = post.verdicts(scores)
+        verdict = cut(post.verdicts(scores))
+        if reports:
+            report("clusters", curated.select("chunk_id", "cluster", "curated"))
+            report("mustlink", post.must_link_report(curated.select("contig_id", F.col("curated").alias("cluster"))))
+            report("verdicts", verdict)
+            report("boxes", post.box_stats(scores))
+            report("coordinates", reduce.coordinates(merged))
         good = verdict.where("accepted").count()
         if not good:
             leave(scores, F.concat(F.lit("badbinned_"), F.col("cluster").cast("string")))

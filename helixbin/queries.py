@@ -166,7 +166,7 @@ def component_origin(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    b = bank(spark, sf_dir)
+    b = cut(bank(spark, sf_dir))
     return b, {"kmers4": pipeline.DEFAULT_MODELS["kmers4"](b), "kmers3": pipeline.DEFAULT_MODELS["kmers3"](b)}
 
 
@@ -194,7 +194,6 @@ def vbgmm_bins(spark, sf_dir):
 
 def extract_pipeline(spark, sf_dir):
     b, models = _models(spark, sf_dir)
-    b = cut(b)
     models = {k: cut(v) for k, v in models.items()}
     return pipeline.extract(spark, b, models, pipeline.Extraction(max_iter=3, max_cluster=20, restarts=4, vb_iter=100))
 

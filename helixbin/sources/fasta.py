@@ -83,3 +83,8 @@ def write(bank: DataFrame, path: str, ids: DataFrame | None = None, compress: bo
     text = rows.orderBy("seq_ord") if "seq_ord" in bank.columns else rows
     text.select(F.concat(F.lit(">"), "chunk_id", F.lit("\n"), wrapped).alias("value")).write.mode("append" if append else "overwrite").option("compression", "gzip" if compress else "none").text(path)
     return path
+
+
+def count_records(spark: SparkSession, path: str, min_length: int = 0, format: str = "fasta") -> int:
+    """How many records of a file have ``min_length`` letters or more."""
+    return read(spark, path, format).where(F.length("seq") >= min_length).count()

@@ -90,3 +90,24 @@ def write_clustering(result: DataFrame, path: str) -> None:
 
 def read_clustering(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").csv(path).toDF("chunk_id", "cluster")
+
+
+def reindexed(ids: DataFrame, clustering: DataFrame) -> DataFrame:
+    """The clusters of ``ids`` (``chunk_id``), each once; null where the clustering has none."""
+    return ids.select("chunk_id").join(clustering.select("chunk_id", "cluster"), "chunk_id", "left")
+
+
+def count_sequences(genes: DataFrame) -> int:
+    """How many sequences a gene table names."""
+    return genes.agg(F.count_distinct("seqid")).first()[0]
+
+
+def rewrite(store: Store, files: int = 1) -> None:
+    """Writes each stored model again in fewer files; the new partition replaces the old one once it is complete."""
+    for name in store.models():
+        path = f"{store.path}/rawmodel/model={name}"
+        df = store.spark.read.parquet(path)
+        df.coalesce(files).write.mode("overwrite").parquet(f"{store.path}/_repack")
+        store.spark.read.parquet(f"{store.path}/_repack").write.mode("overwrite").parquet(path)
+    fs_path = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.path}/_repack")
+    fs_path.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).delete(fs_path, True)
