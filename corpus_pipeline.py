@@ -18,7 +18,7 @@ from helixbin.llm.common import Written, table
 from helixbin.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: How much of each domain's tokens the mix keeps.
+#: How much the mix keeps of the tokens of each domain, beyond likely clean documents.
 KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.25}
 
 
@@ -49,19 +49,29 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def mix_targets(members: DataFrame) -> dict[str, float]:
+    """Tokens of each domain if likely clean documents stay and the others by the shares of ``KEEP`` that their posteriors mix:
+    totals that rates within [0, 1] can reach."""
+    p = [F.get("posterior", F.lit(i)) for i in range(len(mixing.DOMAINS))]
+    rate = F.when(p[0] >= F.greatest(*p), 1.0).otherwise(sum((x * KEEP[d] for x, d in zip(p, mixing.DOMAINS)), F.lit(0.0)))
+    supply = members.select(*(F.sum(F.col("n_tokens") * x * rate).alias(d) for x, d in zip(p, mixing.DOMAINS))).first()
+    return {d: supply[d] or 0.0 for d in mixing.DOMAINS}
+
+
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aims at the shares of ``KEEP`` of each domain's tokens; nothing is taken twice.
+    """Aims at ``mix_targets``; nothing is taken twice.
 
-    Documents whose likeliest domain is clean keep rate 1, so the others alone carry the reduction.
+    Documents whose likeliest domain is clean keep rate 1, so the others alone carry the reduction. A fit that doesn't
+    settle warns. Rows with a null id are taken by their own rate, told apart by their text.
     """
     docs = docs.select(*COLUMNS)
     members = Written(mixing.memberships(docs, table(spark, sf_dir, "labels"))[0]).df
-    supply = members.select(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(d) for i, d in enumerate(mixing.DOMAINS))).first()
-    aim = {d: (supply[d] or 0.0) * KEEP[d] for d in mixing.DOMAINS}
-    rates = mixing.fit_rates(members, aim, shares=False, max_rate=1.0, floor=1.0).of(members)
-    taken = rates.where(mixing.copies(F.col("rate"), F.col("ticket")) > 0)
-    some = docs.where("doc_id IS NOT NULL").join(taken.select("doc_id").distinct(), "doc_id", "left_semi")
-    return some.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    rates = mixing.fit_rates(members, mix_targets(members), shares=False, max_rate=1.0, floor=1.0).of(members)
+    taken = Written(rates.where(mixing.copies(F.col("rate"), F.col("ticket")) > 0).select("doc_id", "ticket").distinct()).df
+    some = docs.where("doc_id IS NOT NULL").join(taken.select("doc_id"), "doc_id", "left_semi")
+    rest = docs.where("doc_id IS NULL").withColumn("_ticket", mixing.ticket())
+    rest = rest.join(taken.where("doc_id IS NULL").select(F.col("ticket").alias("_ticket")), "_ticket", "left_semi")
+    return some.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

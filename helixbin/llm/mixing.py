@@ -1,42 +1,46 @@
 """Mixing to target weights by soft membership.
 
 1. ``train`` fits a softmax classifier of the domain of labelled rows: at most ``MAX_ROWS`` of them (a bounded,
-   documented sample), on selected terms and on shape features. ``memberships`` gives every document its
-   posteriors and its tokens (white-space words).
+   documented sample), on the evidence of all their terms (log ratios of a term's share of a domain's rows, smoothed; a
+   row's own count is left out while training) and on shape features. ``memberships`` gives every document its posteriors and its
+   tokens (white-space words).
 2. ``fit_rates`` finds document rates 0 <= r <= max_rate whose expected domain token totals, the sums of
    r * tokens * posterior, match the targets: least squares over the residuals, whitened by the domains' Gram
    matrix, with a small pull towards rate 1, by accelerated projected gradient. A step needs one number for each
-   domain from the cluster. A document's rate follows from its posteriors and the steps' residuals, so a task
-   computes it anew instead of keeping state, and a lost executor costs nothing but its tasks.
+   domain from the cluster. A document's rate follows from its posteriors and the steps' residuals since the rates were last
+   written (every ``REPLAY`` steps), so a lost executor costs nothing but its tasks. A fit that hasn't settled after ``STEPS``
+   steps warns with its gap; ``Rates.reached`` and ``Rates.settled`` tell.
 3. ``resample`` turns rates into copies, rounding by a hash of the document, so that expectations hold.
 
 The domain of a labelled row: ``toxic`` if toxic is 1, else ``low`` if quality is 0, else ``clean``. Rows with a null
-id or null labels aren't used; repeated labels of an id use the worst one. Null texts count as empty and have no tokens;
-null ids get a rate as any row. Without labelled rows all posteriors are equal. An empty table gives no rows.
+id or null labels aren't used; repeated labels of an id use the worst one, repeated documents of a labelled id the first text. Null texts
+count as empty and have no tokens; null ids get a rate as any row, repeated rows each their own. Texts of any length are read whole.
+Without labelled rows all posteriors are equal. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, short_batches
-from .toxicity import vocabulary
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the corpus' tokens that the query aims at.
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 MAX_ROWS = 6_000
-MAX_TERMS = 600
+SMOOTH = 5.0  # rows that the prior counts as in a term's share
+STRONG = 1.0  # a log ratio beyond which a term is evidence by itself
 PULL = 1e-3
-STEPS = 80
+STEPS = 400
+REPLAY = 16
 TOLERANCE = 1e-6
 TERM = re.compile(r"[^\W\d_]+")
 SYMBOLS = "#*$%&|<>"
@@ -47,7 +51,7 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> D
     named = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("quality").alias("q"))
     domain = F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0)
     picked = named.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("doc_id", "text", "domain")
 
 
 def shape(text: str) -> list[float]:
@@ -60,18 +64,30 @@ def shape(text: str) -> list[float]:
 
 @dataclass
 class Classifier:
-    words: dict[str, int]
+    terms: dict[str, int]
+    counts: np.ndarray  # (term, domain): in how many examples
+    rows: np.ndarray  # examples of each domain
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray | None  # (features + 1, domains)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 8 + len(self.words)))
-        for i, text in enumerate(texts):
-            out[i, :8] = shape(text)
-            for t, c in Counter(w for w in TERM.findall(text.lower()) if w in self.words).items():
-                out[i, 8 + self.words[t]] = np.log1p(c)
-        return out
+    def evidence(self, text: str, own: int | None = None) -> list[float]:
+        """For each domain but the first: the mean and the strong part of the log ratios of a text's terms; ``own``: an example's domain."""
+        found = np.array([i for w in set(TERM.findall(text.lower())) if (i := self.terms.get(w)) is not None], np.int64)
+        if not len(found):
+            return [0.0] * (3 * len(DOMAINS))
+        n = self.counts[found].astype(float)
+        rows = self.rows.astype(float)
+        if own is not None:
+            n[:, own] -= 1
+            rows[own] -= 1
+        share = (rows + 1) / (rows.sum() + len(rows))
+        ratio = np.log((n + SMOOTH * share) / ((n.sum(1, keepdims=True) + SMOOTH) * share))
+        strong = np.maximum(ratio - STRONG, 0)
+        return [*(ratio.sum(0) / np.sqrt(len(found))), *np.log1p(strong.sum(0)), *strong.max(0)]
+
+    def features(self, texts: list[str], own: list[int] | None = None) -> np.ndarray:
+        return np.array([shape(t) + self.evidence(t, own[i] if own else None) for i, t in enumerate(texts)]).reshape(len(texts), 8 + 3 * len(DOMAINS))
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -86,25 +102,38 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def train(rows: DataFrame, ridge: float = 2e-3, steps: int = 400) -> Classifier:
     """A softmax regression by accelerated gradient descent on the driver; ``rows`` is bounded."""
-    words: dict[str, int] = {}
-    for d in range(1, len(DOMAINS)):
-        for w in vocabulary(rows.select("text", (F.col("domain") == d).cast("int").alias("toxic")), MAX_TERMS // (len(DOMAINS) - 1)):
-            words.setdefault(w, len(words))
-    model = Classifier(words, np.zeros(8 + len(words)), np.ones(8 + len(words)), None)
-    schema = "x array<double>, domain int"
+    width = len(DOMAINS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list[int]] = {}
+            for text, d in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist(), strict=True):
+                for w in set(TERM.findall((text or "").lower())):
+                    held.setdefault(w, [0] * width)[d] += 1
+            yield pa.record_batch([pa.array(list(held), pa.string()), *(pa.array([n[d] for n in held.values()], pa.int64()) for d in range(width))], names=["term", *(f"n{d}" for d in range(width))])
+
+    counted = rows.select("text", "domain").mapInArrow(count, "term string, " + ", ".join(f"n{d} long" for d in range(width)))
+    got = counted.groupBy("term").agg(*(F.sum(f"n{d}").alias(f"n{d}") for d in range(width))).orderBy("term").toArrow()  # terms of the bounded sample
+    of = np.zeros(width)
+    for r in rows.groupBy("domain").count().collect():
+        of[r["domain"]] = r["count"]
+    counts = np.column_stack([got.column(f"n{d}").to_numpy() for d in range(width)]).astype(np.int32).reshape(-1, width)
+    k = 8 + 3 * width
+    model = Classifier({w: i for i, w in enumerate(got.column("term").to_pylist())}, counts, of, np.zeros(k), np.ones(k), None)
+    if (of > 0).sum() < 2:
+        return model
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = model.features([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column("domain").cast(pa.int32())], names=["x", "domain"])
+            own = batch.column("domain").to_pylist()
+            x = shared.value.features([t or "" for t in batch.column("text").to_pylist()], own)
+            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), pa.array(own, pa.int32())], names=["x", "domain"])
 
-    got = rows.orderBy("doc_id", "text").select("text", "domain").mapInArrow(work, schema).toPandas()
-    y = got["domain"].to_numpy(int)
-    if len(set(y.tolist())) < 2:
-        return model
-    x = np.stack(got["x"].to_list())
+    got = rows.orderBy("doc_id", "text").select("text", "domain").mapInArrow(work, "x array<double>, domain int").toArrow()
+    y = got.column("domain").to_numpy()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), k)
     model.mean = x.mean(0)
-    model.mean[8:] = 0  # a term's absence stays zero
     model.scale = np.sqrt(((x - model.mean) ** 2).mean(0)) + 1e-9
     x = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
     aim = np.eye(len(DOMAINS))[y]
@@ -118,6 +147,11 @@ def train(rows: DataFrame, ridge: float = 2e-3, steps: int = 400) -> Classifier:
     return model
 
 
+def ticket() -> Column:
+    """A document's draw from [0, 1), by a hash of its id, or of its text where it has none."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 53)) / float(1 << 53)
+
+
 def memberships(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, Classifier]:
     """``documents`` without text, with ``n_tokens`` and ``posterior``; and the classifier."""
     spark = documents.sparkSession
@@ -125,7 +159,7 @@ def memberships(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, Cla
     rows = Written(labelled(documents, labels))
     model = train(rows.df)
     rows.drop()
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_TERMS
+    shared = spark.sparkContext.broadcast(model)  # the terms of MAX_ROWS texts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,18 +169,23 @@ def memberships(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, Cla
                 names=["doc_id", "ticket", "n_tokens", "posterior"],
             )
 
-    ticket = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 53)) / float(1 << 53)
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ticket.alias("ticket"))
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ticket().alias("ticket"))
     return out.mapInArrow(work, "doc_id long, ticket double, n_tokens long, posterior array<double>"), model
 
 
-def _replay(p: np.ndarray, steps: list[np.ndarray], max_rate: float, pull: float, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps, and the point ahead of them that the next step starts from."""
-    rate = ahead = np.ones(len(p))
-    low = np.where(p.argmax(1) == 0, floor, 0.0) if len(p) else 0.0
-    for i, e in enumerate(steps):
-        new = np.clip(ahead - (p @ e + pull * (ahead - 1)) / (1 + pull), low, max_rate)
-        ahead, rate = new + i / (i + 3) * (new - rate), new
+def _step(p: np.ndarray, e: np.ndarray, rate: np.ndarray, ahead: np.ndarray, bounds: tuple[float, float, float]) -> np.ndarray:
+    """A projected gradient step from ``ahead``; ``bounds``: largest rate, pull, least rate of likely clean documents."""
+    most, pull, floor = bounds
+    return np.clip(ahead - (p @ e + pull * (ahead - 1)) / (1 + pull), np.where(p.argmax(1) == 0, floor, 0.0), most)
+
+
+def _replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], bounds: tuple[float, float, float], rate: np.ndarray | None = None, ahead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps, and the point ahead of them, by each step's momentum, that the next step starts from."""
+    rate = np.ones(len(p)) if rate is None else rate
+    ahead = np.ones(len(p)) if ahead is None else ahead
+    for e, momentum in steps:
+        new = _step(p, e, rate, ahead, bounds)
+        ahead, rate = new + momentum * (new - rate), new
     return rate, ahead
 
 
@@ -154,20 +193,19 @@ def _replay(p: np.ndarray, steps: list[np.ndarray], max_rate: float, pull: float
 class Rates:
     """The steps' whitened residuals, from which any document's rate follows."""
 
-    steps: list[np.ndarray]
-    max_rate: float
-    pull: float
+    steps: list[tuple[np.ndarray, float]]
+    bounds: tuple[float, float, float]
     targets: np.ndarray
     reached: np.ndarray
-    floor: float = 0.0
+    settled: bool = True
 
     def of(self, members: DataFrame) -> DataFrame:
         """``members`` with ``rate``."""
-        names, steps, most, pull, floor = members.columns, self.steps, self.max_rate, self.pull, self.floor
+        names, steps, bounds = members.columns, self.steps, self.bounds
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(_matrix(batch), steps, most, pull, floor)[0])], names=[*names, "rate"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(_matrix(batch), steps, bounds)[0])], names=[*names, "rate"])
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
         return members.mapInArrow(work, f"{schema}, rate double")
@@ -183,20 +221,22 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, share
 
     ``floor`` is the least rate of documents whose likeliest domain is the first, clean text.
     """
-    width = len(DOMAINS)
+    width, bounds = len(DOMAINS), (max_rate, pull, floor)
+
+    state, since = members.select("n_tokens", "posterior"), 0  # later with the rates after ``since`` steps
 
     def total(values) -> np.ndarray:
-        """Sums over all rows of what ``values(posteriors, tokens)`` gives for each."""
+        """Sums over all rows of what ``values(posteriors, tokens, rate, ahead)`` gives for each."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
-                part = values(_matrix(batch), batch.column("n_tokens").to_numpy().astype(float))
+                part = values(_matrix(batch), batch.column("n_tokens").to_numpy().astype(float), *(batch.column(c).to_numpy() for c in batch.schema.names[2:]))
                 held = part if held is None else held + part
             if held is not None:
                 yield pa.record_batch([pa.array(np.arange(len(held)), pa.int32()), pa.array(held)], names=["i", "x"])
 
-        rows = members.select("n_tokens", "posterior").mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row a domain or pair
+        rows = state.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row a domain or pair
         return np.array([r["x"] for r in sorted(rows, key=lambda r: r["i"])])
 
     first = total(lambda p, t: np.concatenate([p.T @ t, ((p * t[:, None]).T @ p).ravel()]))
@@ -204,20 +244,45 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, share
     everything = float(supply.sum())
     aim = np.array([(targets or TARGETS)[d] for d in DOMAINS]) * (everything if shares else 1)
     if not everything:
-        return Rates([], max_rate, pull, aim, supply, floor)
+        return Rates([], bounds, aim, supply)
     gram = first[width:].reshape(width, width) / everything
     white = np.linalg.inv(gram + 1e-6 * np.eye(width))
-    done: list[np.ndarray] = []
-    reached = supply
-    ahead = supply
+    done: list[tuple[np.ndarray, float]] = []
+    reached = ahead = supply
+    settled, kept, pace = False, None, 0
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now = _replay(_matrix(batch), done[since:], bounds, *(batch.column(c).to_numpy() for c in batch.schema.names[2:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, now)], names=["n_tokens", "posterior", "rate", "ahead"])
+
+    def tried(p: np.ndarray, t: np.ndarray, *at: np.ndarray) -> np.ndarray:
+        """Domain totals of the next step's rates, and whether the momentum led away from them."""
+        rate, there = _replay(p, done[since:], bounds, *at)
+        new = _step(p, e, rate, there, bounds)
+        return np.append(p.T @ (t * new), ((there - new) * t * (new - rate)).sum())
+
     for _ in range(steps):
         e = white @ ((ahead - aim) / everything)
-        done.append(e)
-        both = total(lambda p, t: np.concatenate([p.T @ (t * r) for r in _replay(p, done, max_rate, pull, floor)]))  # noqa: B023
-        before, reached, ahead = reached, both[:width], both[width:]
+        found = total(tried)
+        pace = 0 if found[-1] > 0 else pace + 1  # the momentum starts anew where it led away
+        before, reached = reached, found[:width]
+        momentum = max(0, pace - 1) / (max(0, pace - 1) + 3)
+        done.append((e, momentum))
+        ahead = reached + momentum * (reached - before)
         if np.abs(reached - aim).max() <= tolerance * everything or (len(done) > 3 and np.abs(reached - before).max() <= 0.1 * tolerance * everything):
+            settled = True
             break
-    return Rates(done, max_rate, pull, aim, reached, floor)
+        if len(done) - since == REPLAY:
+            now = Written(state.mapInArrow(carry, "n_tokens long, posterior array<double>, rate double, ahead double"))
+            if kept is not None:
+                kept.drop()
+            kept, state, since = now, now.df, len(done)
+    if kept is not None:
+        kept.drop()
+    if not settled:
+        warnings.warn(f"the mix has not settled after {steps} steps: {reached.round(1).tolist()} of {aim.round(1).tolist()} tokens", stacklevel=2)
+    return Rates(done, bounds, aim, reached, settled)
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = float("inf")) -> DataFrame:

@@ -12,7 +12,9 @@ r"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max
   A document without a term of any example gets the share of label 1 among such examples.
 
 Labels, lang, source and doc_id are never inputs of a score. A null text counts as empty. Rows with a null id are
-scored, never held out and never examples; repeated labels of an id count as toxic if one is. Without labelled rows every score is 0.
+scored, never held out and never examples; repeated labels of an id count as toxic if one is, and of repeated documents of a labelled id
+the first text is the example. Texts of any length are read whole. Without labelled rows every score is 0. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +37,6 @@ NEIGHBOURS = 15
 BLOCK = 64
 HOT = 512
 FIRST = 4
-MIN_TOXIC_ROWS = 5
-MIN_Z = 5.0
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -49,7 +49,7 @@ def examples(documents: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES)
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def _terms(text: str | None) -> list[str]:
@@ -80,17 +80,6 @@ def _term_rows(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(distinct, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def vocabulary(rows: DataFrame, most: int) -> list[str]:
-    """Terms that occur in rows of label 1 far above chance, the surest first; only op6's bounded model uses them."""
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    if not total["n"] or not total["t"]:
-        return []
-    p = total["t"] / total["n"]
-    z = (F.col("t") - p * F.col("n")) / F.sqrt(F.col("n") * (p * (1 - p) + 1e-9))
-    best = _term_rows(rows).where(F.col("t") >= MIN_TOXIC_ROWS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(most)
-    return [r["term"] for r in best.collect()]
-
-
 def example_terms(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Every term of the bounded ``rows``, in order, and its relevance."""
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()

@@ -24,6 +24,7 @@ def test_rates_against_brute_force(spark, most, shares):
     t = rng.integers(0, 300, 400)
     df = spark.createDataFrame([(k, int(t[k]), p[k].tolist()) for k in range(400)], "doc_id long, n_tokens long, posterior array<double>")
     fit = mixing.fit_rates(df, dict(zip(mixing.DOMAINS, shares, strict=True)), max_rate=most, steps=300, tolerance=1e-9)
+    assert fit.settled and np.abs(fit.reached - fit.targets).max() < 0.012 * t.sum()  # the pull keeps it off a little
     got = np.array([r["rate"] for r in fit.of(df).orderBy("doc_id").collect()])
     want = solve(p, t.astype(float), np.array(shares) * t.sum(), most)
     assert (got >= 0).all() and (got <= most).all()
@@ -39,7 +40,8 @@ def test_targets_and_held_out_accuracy(spark):
     held = rows.join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
     true = [2 if r["toxic"] == 1 else 1 if r["quality"] == 0 else 0 for r in held]
     said = [int(np.argmax(r["posterior"])) for r in held]
-    assert np.mean(np.array(true) == said) > 0.85
+    print("accuracy", np.mean(np.array(true) == said), "of toxic", np.mean(np.array(said)[np.array(true) == 2] == 2), "of low", np.mean(np.array(said)[np.array(true) == 1] == 1), "of clean", np.mean(np.array(said)[np.array(true) == 0] == 0))
+    assert np.mean(np.array(true) == said) > 0.9 and np.mean(np.array(said)[np.array(true) == 0] == 0) > 0.97
     total = rows.agg(F.sum("n_tokens")).first()[0]
     sums = rows.select(*(F.sum(F.col("rate") * F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(x) for i, x in enumerate(mixing.DOMAINS))).first()
     for x in mixing.DOMAINS:
@@ -60,3 +62,27 @@ def test_copies_keep_expectations(spark):
     df = spark.range(20000).select((F.col("id") % 7 / 3.0).alias("rate"), (F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / float(1 << 53)).alias("ticket"))
     got = df.select(F.sum(mixing.copies(F.col("rate"), F.col("ticket"))).alias("n"), F.sum("rate").alias("r")).first()
     assert abs(got["n"] / got["r"] - 1) < 0.02
+
+
+def test_evidence_leaves_the_example_out():
+    """Against a direct count: each example's terms weighed by the other examples alone."""
+    texts, domain = ["a b c", "a b", "c d", "d e rude", "rude f", "a rude"], [0, 0, 1, 2, 2, 2]
+    terms = sorted({w for t in texts for w in t.split()})
+    counts = np.array([[sum(w in t.split() for t, d in zip(texts, domain) if d == k) for k in range(3)] for w in terms])
+    model = mixing.Classifier({w: i for i, w in enumerate(terms)}, counts, np.array([2, 1, 3]), np.zeros(1), np.ones(1), None)
+    for i, text in enumerate(texts):
+        rows = [(t, d) for j, (t, d) in enumerate(zip(texts, domain)) if j != i]
+        share = np.array([sum(d == k for _, d in rows) + 1 for k in range(3)]) / (len(rows) + 3)
+        ratio = np.array([[np.log((sum(w in t.split() and d == k for t, d in rows) + mixing.SMOOTH * share[k]) / ((sum(w in t.split() for t, _ in rows) + mixing.SMOOTH) * share[k])) for k in range(3)] for w in text.split()])
+        strong = np.maximum(ratio - mixing.STRONG, 0)
+        assert np.allclose(model.evidence(text, domain[i]), [*ratio.sum(0) / np.sqrt(len(ratio)), *np.log1p(strong.sum(0)), *strong.max(0)])
+
+
+def test_unsettled_fits_warn_and_repeated_ids_stay_bounded(spark, make_docs):
+    df = spark.createDataFrame([(k, 10, [0.5, 0.3, 0.2]) for k in range(50)], "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="not settled"):
+        assert not mixing.fit_rates(df, {"clean": 0.1, "low": 0.1, "toxic": 0.9}, steps=2).settled
+    docs = make_docs([f"text {k}" for k in range(30)], [k // 10 for k in range(30)]).selectExpr("*", "1 AS domain", "2.0 AS rate", "0 AS posterior")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(r["text"] for r in mixing.labelled(docs, labels).collect()) == ["text 0", "text 10", "text 20"]
+    assert mixing.report(docs, labels).count() == 30
