@@ -4,11 +4,13 @@ r"""Secret scan: a trigram inverted index picks candidates, the rules' regexes v
    of clauses, each a disjunction of trigram sets. A regex without a mandatory trigram has no clause.
 2. ``postings`` is the inverted index over the trigrams that any query names: (trigram, row).
 3. ``candidates`` intersects postings: rows whose trigrams satisfy a rule's query.
-4. ``find_secrets`` runs a rule's regex on its candidates only; rules without a query scan every text.
+4. ``find_secrets`` runs a rule's regex on its candidates only; rules without a query scan every text. Candidates, an id and a
+   few bits each, go to the texts: they are broadcast up to a checked number of rows, and beyond it joined by id.
 
 Everything is built-in DataFrame expressions. Case folding only widens the candidates, so the index loses
-no match. A null or empty text has no spans. Repeated rows, repeated ids and null ids each keep their own
-row: postings of equal ids are pooled, which can only add candidates. Other columns pass through.
+no match. A null or empty text has no spans; texts of any length are searched whole. Repeated rows, repeated ids and null ids each keep
+their own row: postings of equal ids are pooled, which can only add candidates. Other columns pass through, whatever their names, but for
+``secret_spans``, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Written
+
 try:
     from re import _constants as _c
     from re import _parser as _p
@@ -50,6 +54,8 @@ RULES = (
 )
 
 MAX_STRINGS = 96
+#: Candidates (12 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 
 
 def _join(a: set[str], b: set[str]) -> set[str] | None:
@@ -209,7 +215,9 @@ def find_secrets(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Spans are ordered by start, then by the rules' order. Candidates come from the index; a rule without
     mandatory trigrams scans every text.
     """
-    found = candidates(postings(texts, id_col, text_col, rules), rules).select(F.col("id").alias("_cand"), F.col("rules").alias("_rules"))
+    found = Written(candidates(postings(texts, id_col, text_col, rules), rules).select(F.col("id").alias("_cand"), F.col("rules").alias("_rules"))).df
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     rows = texts.join(found, texts[id_col].eqNullSafe(found["_cand"]), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     text = F.col(text_col)

@@ -57,6 +57,15 @@ def test_secret_report(spark):
     assert secrets.report(docs.where("false")).count() == 0
 
 
+def test_secrets_beyond_the_broadcast(spark, make_docs, edge_texts, monkeypatch):
+    texts = SECRETS + edge_texts
+    docs = make_docs(texts, [None, 3, 3, *range(len(texts) - 3)]).withColumn("rules", F.lit(1)).withColumn("_low", F.lit(2))
+    spans = lambda: sorted((r["text"] or "", r["rules"], r["_low"], str(r["secret_spans"])) for r in secrets.find_secrets(docs).collect())
+    want = spans()
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert spans() == want and len(want) == len(texts)
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.regex) for r in secrets.RULES}
     assert q["hex"] == [] and q["access"] == [frozenset({frozenset({"aki", "kia"})})]
