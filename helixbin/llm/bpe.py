@@ -2,14 +2,14 @@
 
 ``encode`` adds token ids to texts, ``decode`` turns ids back by concatenating vocabulary strings,
 ``round_trip`` does both in one pass. Ids equal those of the tokenizers library for the same file.
-A null text counts as empty and has no ids. Rows are independent: ties, repeated rows, null ids and
-other columns pass through; an empty table gives an empty table with the added columns.
+The file has to be a plain byte-level BPE tokenizer; any other is an error. A null text counts as empty and has no ids; texts of
+any length are encoded whole. Rows are independent: ties, repeated rows, null ids and other columns pass through, but for those of the
+added columns' names, which are replaced; an empty table gives an empty table with the added columns.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import short_batches
-from .pieces import PieceCache
+from .pieces import PieceCache, byte_level
 
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,8 +39,7 @@ class BpeModel:
     """Ranks, vocabulary and special strings of a tokenizer file."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = byte_level(path)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]

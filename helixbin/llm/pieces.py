@@ -7,6 +7,7 @@ past it: the ids of a text are the ids of its pieces, one after the other.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -14,6 +15,19 @@ CUT = re.compile(r"(?<=\S)(?= )")
 KEEP_CHARS = 48
 
 
+def byte_level(path: str) -> dict:
+    """The parsed tokenizer file; an error if its ids may not be those of its pieces."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre, added = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    bytewise = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and (spec.get("decoder") or {}).get("type") == "ByteLevel"
+    exact = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")) and not any(" " in t["content"] for t in added)
+    if spec.get("normalizer") or not (plain and bytewise and exact):
+        raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+    return spec
+
+
 class PieceCache:
     """Ids of texts as bytes (little-endian int32). ``encode_pieces`` encodes a list of pieces.
 

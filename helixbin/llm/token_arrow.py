@@ -1,7 +1,8 @@
 """Token ids in Arrow files of fixed-size lists: equal-length sequences and masks, open to random access.
 
 ``write`` deals documents by ascending id into ranges, encodes each range with the tokenizers library and
-writes two Arrow IPC files for it into a folder that all executors share:
+writes two Arrow IPC files for it into a folder that all executors share. There are as many ranges as shuffle partitions, and more
+where a file would otherwise hold over ``FILE_BYTES`` of text:
 
 * ``*.tokens.arrow``: ``tokens`` fixed_size_list<uint16|uint32>[L] and ``mask`` fixed_size_list<bool>[L]. The
   documents follow each other, each closed by the end id; only the last sequence of a file is padded.
@@ -9,12 +10,15 @@ writes two Arrow IPC files for it into a folder that all executors share:
 
 A file is complete once its manifest row exists: a task writes under a name of its own, so a repeated or
 lost task leaves at most a file that no manifest names. ``read_documents`` maps the files into memory and
-slices documents out of the flat values without copying. A null text counts as empty and has the end id
-only; null ids come first, rows of equal id are ordered by text.
+slices documents out of the flat values without copying. The tokenizer's file has to be a plain byte-level BPE tokenizer; any other is an
+error. A null text counts as empty and has the end id only; texts of any length are encoded whole. Null ids come first; rows of equal id
+are ordered by their first ``PREFIX`` letters, then by a hash of the text, and may be dealt to several ranges, as may repeated rows. An
+empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 import zlib
@@ -29,11 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Written, scratch, short_batches
-from .pieces import PieceCache
+from .common import Written, remove, scratch, short_batches
+from .pieces import PieceCache, byte_level
 
 LENGTH = 512
 BATCH_SEQUENCES = 1024
+BATCH_DOCS = 8192
+FILE_BYTES = 256 << 20
+PREFIX = 64
+DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "bucket int, path string, n_docs long, n_tokens long"
 
 
@@ -42,6 +50,7 @@ def encoder(path: str) -> PieceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    byte_level(path)
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -50,7 +59,6 @@ def encoder(path: str) -> PieceCache:
     letters = dict(enumerate(byte_letters()))
     space, merges = letters[32], tokenizer.model.tokenize
     ends = {"": b"", **dict(zip(".,;:!?", ids(list(".,;:!?")), strict=True))}
-    byte_level = '"ByteLevel"' in tokenizer.pre_tokenizer.__getstate__().decode()
 
     def pieces(texts: list[str]) -> list[bytes]:
         """A word, perhaps with a mark behind it, goes straight to the library's merges; the rest through all of it."""
@@ -60,7 +68,7 @@ def encoder(path: str) -> PieceCache:
             mark = x[-1:] if x[-1:] in ends else ""
             word = x[: len(x) - len(mark)]
             core = word[1:] if word[:1] == " " else word
-            if byte_level and core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
                 known = word.encode().decode("latin-1").translate(letters) if core is word or not core.isascii() else space + core
                 out.append(array("i", [t.id for t in merges(known)]).tobytes() + ends[mark])
             else:
@@ -85,7 +93,7 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class _TokenFile:
-    """Packs documents into sequences; at most one batch of them is in memory."""
+    """Packs documents into sequences; at most one batch of them, and of the documents' places, is in memory."""
 
     def __init__(self, folder: str, stem: str, kind: np.dtype, length: int) -> None:
         self.fs, root = _open(folder)
@@ -94,18 +102,27 @@ class _TokenFile:
         self.schema = pa.schema([("tokens", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.fs.open_output_stream(f"{self.base}.tokens.arrow")
         self.out = ipc.new_file(self.sink, self.schema)
+        self.docs_sink = self.fs.open_output_stream(f"{self.base}.docs.arrow")
+        self.docs_out = ipc.new_file(self.docs_sink, DOCS)
         self.rest: list[np.ndarray] = []
-        self.held = self.total = 0
+        self.held = self.total = self.n_docs = 0
         self.docs: list[tuple[int | None, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, self.total, len(ids)))
+        if len(self.docs) >= BATCH_DOCS:
+            self._place()
         self.total += len(ids)
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= BATCH_SEQUENCES * self.length:
             self._flush(False)
 
+    def _place(self) -> None:
+        self.docs_out.write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in zip(*self.docs, strict=True)], schema=DOCS))
+        self.n_docs += len(self.docs)
+        self.docs = []
+
     def _flush(self, last: bool) -> None:
         flat = np.concatenate([*self.rest, np.zeros(0, self.kind)]).astype(self.kind)
         n = len(flat) // self.length * self.length
@@ -125,28 +142,27 @@ class _TokenFile:
         self._flush(True)
         self.out.close()
         self.sink.close()
-        ids, starts, sizes = zip(*self.docs, strict=True)
-        docs = pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "start", "n_tokens"])
-        with self.fs.open_output_stream(f"{self.base}.docs.arrow") as sink, ipc.new_file(sink, docs.schema) as out:
-            out.write_batch(docs)
-        return self.name, len(self.docs), self.total
+        if self.docs:
+            self._place()
+        self.docs_out.close()
+        self.docs_sink.close()
+        return self.name, self.n_docs, self.total
 
 
 def write(documents: DataFrame, path: str, folder: str, end_id: int = 2, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """Writes the files into ``folder``; the manifest: ``bucket, path, n_docs, n_tokens, start``, in id order.
 
-    Ranges are quantiles of the ids, taken from the id column alone. ``start`` is the number of ids in all
-    files before. ``folder`` is a URI of pyarrow's file systems that every executor reaches.
+    ``start`` is the number of ids in all files before. ``folder`` is a URI of pyarrow's file systems that every executor reaches.
     """
     spark = documents.sparkSession
     short_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = buckets or 4 * parts
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    n = buckets or max(parts, -(-(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+    # Rows alike in all else are told apart by their place, so that no group of copies has to fit into a file.
+    keys = {"_prefix": F.substring("text", 1, PREFIX), "_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(keys)
     kind = np.dtype(np.uint16 if vocabulary_size(path) <= 1 << 16 else np.uint32)
-    bucket = F.coalesce(_rank("doc_id", [int(c) for c in cuts]), F.lit(0))
-    dealt = rows.withColumn("bucket", bucket.cast("int")).repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    dealt = rows.repartitionByRange(n, "doc_id", *keys).sortWithinPartitions("doc_id", *keys).select("doc_id", "text", F.spark_partition_id().alias("bucket"))
     store = _open(folder)
     store[0].create_dir(store[1], recursive=True)
 
@@ -176,18 +192,6 @@ def write(documents: DataFrame, path: str, folder: str, end_id: int = 2, length:
     return spark.createDataFrame(listed, f"{MANIFEST}, start long")
 
 
-def _rank(column: str, cuts: list[int]):
-    """How many of the sorted ``cuts`` are at or below the column: a balanced tree of comparisons."""
-
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(column) < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return F.when(F.col(column).isNotNull(), tree(0, len(cuts)))
-
-
 def _arrow(path: str) -> pa.ipc.RecordBatchFileReader:
     store, at = _open(path)
     return ipc.open_file(pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at))
@@ -201,7 +205,7 @@ class TokenReader:
         self.sizes = np.array([self.file.get_batch(i).num_rows for i in range(self.file.num_record_batches)], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.length = self.file.schema.field("tokens").type.list_size
-        self.docs = _arrow(f"{base}.docs.arrow").read_all()
+        self.docs = _arrow(f"{base}.docs.arrow")
 
     def __len__(self) -> int:
         return int(self.first[-1])
@@ -237,17 +241,17 @@ def read_documents(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 r = TokenReader(row["path"])
-                docs = r.docs.to_pydict()
-                crc = [zlib.crc32(r.ids(s, n).astype("<u4").tobytes()) for s, n in zip(docs["start"], docs["n_tokens"])]
-                yield pa.record_batch(
-                    [r.docs.column("doc_id").combine_chunks(), pa.array(np.array(docs["start"], np.int64) + row["start"]), r.docs.column("n_tokens").combine_chunks(), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for k in range(r.docs.num_record_batches):
+                    docs = r.docs.get_batch(k)
+                    start, size = docs.column("start").to_numpy(), docs.column("n_tokens").to_numpy()
+                    crc = [zlib.crc32(r.ids(s, n).astype("<u4").tobytes()) for s, n in zip(start.tolist(), size.tolist())]
+                    yield pa.record_batch([docs.column("doc_id"), pa.array(start + row["start"]), docs.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(spark: SparkSession, documents: DataFrame, path: str) -> DataFrame:
-    """The contract's columns for every row of ``documents``, from files in the shared scratch space."""
+    """The contract's columns for every row of ``documents``, from files in the shared scratch space, which go when the driver ends."""
     folder = f"{scratch(spark)}/helixbin-tokens-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
     return read_documents(write(documents, path, folder))

@@ -102,3 +102,24 @@ def test_arrow_report_on_documents(spark, sf_dir, library):
         assert (got[r["doc_id"]]["start"], got[r["doc_id"]]["n_tokens"]) == (at, len(want))
         assert got[r["doc_id"]]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
         at += len(want)
+
+
+def test_other_tokenizers_are_refused():
+    path = tokenizer_path("word_bpe_49k.json")
+    for build in (bpe.BpeModel, token_arrow.encoder):
+        with pytest.raises(ValueError, match="plain byte-level"):
+            build(path)
+
+
+def test_arrow_files_split_a_hot_id(spark, make_docs, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_arrow, "BATCH_DOCS", 8)
+    texts = ["the same text"] * 200 + [f"other text {k % 50}" for k in range(100)]
+    docs = make_docs(texts, [None] * 250 + [7] * 50).withColumnRenamed("n_chars", "start")
+    manifest = token_arrow.write(docs, tokenizer_path(), f"file://{tmp_path}/t", buckets=5)
+    assert max(r["n_docs"] for r in manifest.collect()) < 150
+    rows = sorted(token_arrow.read_documents(manifest).collect(), key=lambda r: r["start"])
+    sizes = [r["n_tokens"] for r in rows]
+    assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
+    assert [r["doc_id"] for r in rows] == [None] * 250 + [7] * 50
+    want = sorted(zlib.crc32(np.array([*expected(library, t), 2], "<u4").tobytes()) for t in texts)
+    assert sorted(r["ids_crc32"] for r in rows) == want
