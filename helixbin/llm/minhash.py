@@ -18,7 +18,7 @@ link with nothing. Documents link if the Jaccard similarity of their full sets r
    is compared with everything, a pair of blocks a task. No pairs are emitted; no family has to fit into a task.
 5. The components of the verified links are the classes.
 
-A shingle's key is mixed from its words' 128-bit digests, so different shingles differ however their letters are arranged. Very
+A shingle's key is mixed from its words' 128-bit hashes, so different shingles differ however their letters are arranged. Very
 long texts are cut into shingles whole. Rows of equal id are one document, linked by any of its texts; rows with a null id keep
 a row of their own with a null component and link with nothing. Extra columns are ignored. An empty table gives no rows.
 """
@@ -26,10 +26,10 @@ a row of their own with a null component and link with nothing. Extra columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,39 +54,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Digests(dict):
-    """128-bit digests of words. Long words are not kept."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        digest = blake2b(word, digest_size=16).digest()
-        if len(word) <= 64:
-            self[word] = digest
-        return digest
-
-
-_WORDS = _Digests()
-_WORDS_KEPT = 400_000
-
-
 def shingles(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a text as two 64-bit keys each, ascending by the first."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    if len(_WORDS) > _WORDS_KEPT:
-        _WORDS.clear()
-    lanes = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint64).reshape(-1, 2)
+    lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
     width = min(width, len(words))
     n = len(words) - width + 1
     keys = []
-    for lane, odd in ((0, _ODD), (1, np.uint64(0xC2B2AE3D27D4EB4F))):
-        x = np.full(n, np.uint64(SEED * (lane + 1) + width), np.uint64)
+    for lane in (0, 1):
+        # The words' digests times an odd number for each place: 128 bits that depend on every word and on their order.
         word = np.ascontiguousarray(lanes[:, lane])
+        odd = _mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(SEED + lane)) | np.uint64(1)
+        x = np.full(n, np.uint64(width), np.uint64)
         for i in range(width):
-            x = _mix(x * odd + word[i : i + n])
+            x += word[i : i + n] * odd[i]
         keys.append(x)
-    a, b = keys
-    order = np.argsort(a, kind="stable")
+    a, b = _mix(keys[0]), keys[1]
+    order = np.argsort(a)
     a, b = a[order], b[order]
     if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
         order = np.lexsort((b, a))
@@ -96,16 +82,20 @@ def shingles(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(keys: np.ndarray, n: int) -> np.ndarray:
-    """``n`` minima of independent 64-bit mixes of a set's keys, a slice of the keys at a time."""
-    seeds = (_mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD))[:, None]
-    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(keys), 1024):
-        x = keys[None, k : k + 1024] ^ seeds
-        x *= _ODD
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x7FB5D329728EA185)
+    """``n`` minima of independent 32-bit mixes of the upper halves of a set's keys, a slice of the keys at a time.
+
+    Keys that meet in 32 bits can only add candidates, which are verified.
+    """
+    half = (keys >> np.uint64(32)).astype(np.uint32)
+    seeds = (_mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD) >> np.uint64(32)).astype(np.uint32)[:, None]
+    out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(half), 1024):
+        x = half[None, k : k + 1024] ^ seeds
+        x *= np.uint32(0x9E3779B1)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x85EBCA77)
         np.minimum(out, x.min(1), out=out)
-    return out
+    return out.astype(np.uint64)
 
 
 def half_keys(keys: np.ndarray, m: int, k: int) -> np.ndarray:
@@ -163,11 +153,11 @@ def shared_halves(reps: DataFrame, m: int = M) -> DataFrame:
     return own.select("id", F.filter("x", lambda h: h["place"] < m).alias("a"), F.filter("x", lambda h: h["place"] >= m).alias("b"))
 
 
-def table_keys(reps: DataFrame, m: int = M) -> DataFrame:
-    """``key, id``: a key for each pair of half keys, one from each collection; equal only within a table."""
+def table_keys(halves: DataFrame) -> DataFrame:
+    """``halves`` with ``key`` for each pair of half keys, one from each collection; equal only within a table."""
     key = lambda a: F.transform("b", lambda b: F.xxhash64(a["place"], a["half"], b["place"], b["half"]))
-    halves = Written(shared_halves(reps, m)).df  # used twice by family_links
-    return halves.select("id", F.explode(F.flatten(F.transform("a", key))).alias("key"))
+    kept = [c for c in halves.columns if c not in ("a", "b")]
+    return halves.select(*kept, F.explode(F.flatten(F.transform("a", key))).alias("key"))
 
 
 def _estimates(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -176,44 +166,51 @@ def _estimates(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x == y).mean(1)
 
 
-def family_links(keys: DataFrame, sketches: DataFrame, block_docs: int) -> DataFrame:
+def family_links(halves: DataFrame, sketches: DataFrame, block_docs: int) -> DataFrame:
     """``id, low``: links whose components hold every candidate pair with an estimate of ``ALIKE`` or more.
 
-    ``keys``: ``key, id``; ``sketches``: ``id, sketch``.
+    ``halves``: ``id, a, b`` of ``shared_halves``; ``sketches``: ``id, sketch``. A document's component goes along as its keys are formed,
+    so that a bucket tells by itself whether it holds several, and pairs are formed in such buckets alone.
     """
-    short_batches(keys.sparkSession, 4096)
-    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n")
-    star = Written(keys.join(buckets, "key").where("id <> low").groupBy("id", "low").agg(F.max("n").alias("n")))
+    short_batches(halves.sparkSession, 4096)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = _estimates(batch.column("sketch"), batch.column("other")) >= ALIKE
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("low"), batch.column("n"), pa.array(good)], names=["id", "low", "n", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("low"), pa.array(good)], names=["id", "low", "alike"])
 
     def judged(pairs: DataFrame) -> DataFrame:
+        """Those ``pairs`` that are alike."""
         rows = pairs.join(sketches, "id").join(sketches.select(F.col("id").alias("low"), F.col("sketch").alias("other")), "low")
-        return Written(rows.select("id", "low", "n", "sketch", "other").mapInArrow(judge, "id long, low long, n long, alike boolean")).df
-
-    def united(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        of = components(links, "id", "low")
-        return of.select(F.col("node").alias("id"), F.col("component").alias("c")), of.select(F.col("node").alias("low"), F.col("component").alias("d"))
-
-    def split(pairs: DataFrame, mine: DataFrame, its: DataFrame) -> DataFrame:
-        return pairs.join(mine, "id", "left").join(its, "low", "left").where("coalesce(c, id) <> coalesce(d, low)").select("id", "low", "n")
-
-    first = judged(star.df.groupBy("id").agg(F.min(F.struct("low", "n")).alias("x")).select("id", "x.low", "x.n"))
-    alike = first.where("alike").select("id", "low")
-    second = judged(split(star.df, *united(alike)))
-    alike = alike.unionByName(second.where("alike").select("id", "low"))
-    mine, its = united(alike)
-    # A bucket of two has been compared; larger ones are open where a member is in another component than the smallest.
-    apart = Written(split(second.where("NOT alike AND n > 2"), mine, its).select("id", "low"))
-    if not apart.df.limit(1).count():
+        return Written(rows.select("id", "low", "sketch", "other").mapInArrow(judge, "id long, low long, alike boolean")).df.where("alike").select("id", "low")
+
+    def keyed(links: DataFrame) -> DataFrame:
+        """``id, c, key``: keys with the component of ``links`` that a document is in."""
+        of = components(links, "id", "low").select(F.col("node").alias("id"), F.col("component").alias("c"))
+        return table_keys(Written(halves.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))).df)
+
+    def still_open(keys: DataFrame) -> DataFrame:
+        """``key, first, n`` of the buckets that hold several components."""
+        several = keys.groupBy("key").agg(F.min(F.struct("id", "c")).alias("first"), F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n"))
+        return Written(several.where("least < most").select("key", "first", "n")).df
+
+    keys = table_keys(halves)
+    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    alike = judged(keys.join(buckets, "key").where("id <> low").groupBy("id").agg(F.min("low").alias("low")))
+    keys = keyed(alike)
+    open_keys = still_open(keys)
+    pairs = keys.join(open_keys, "key").where("c <> first.c").select("id", F.col("first.id").alias("low")).distinct()
+    alike = alike.unionByName(judged(pairs))
+    if not open_keys.where("n > 2").limit(1).count():
+        return alike
+    # A bucket of two has been compared; larger ones are open where they still hold several components.
+    keys = keyed(alike)
+    some = still_open(keys).where("n > 2")
+    if not some.limit(1).count():
         return alike
-    some = keys.join(buckets.where("n > 2"), "key").join(apart.df, ["id", "low"], "left_semi").groupBy("key").agg(F.max("n").alias("n"))
-    members = keys.join(some, "key").withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
+    members = keys.join(some.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.join(sketches, "id").join(mine, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"), "sketch", "block", F.explode(_meetings(F.lit(0), F.col("blocks"), F.col("block"))).alias("at"))
+    members = members.join(sketches, "id").select("key", "id", "c", "sketch", "block", F.explode(_meetings(F.lit(0), F.col("blocks"), F.col("block"))).alias("at"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
@@ -340,8 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # An id that stands for several classes has one sketch for each; they are told apart as points of their own.
     points = reps.df.select("id", "half", "sketch").withColumn("point", F.monotonically_increasing_id())
     points = Written(points)
-    keys = Written(table_keys(points.df.select(F.col("point").alias("id"), "half"), m))
-    near = family_links(keys.df, points.df.select(F.col("point").alias("id"), "sketch"), block_docs)
+    halves = Written(shared_halves(points.df.select(F.col("point").alias("id"), "half"), m))
+    near = family_links(halves.df, points.df.select(F.col("point").alias("id"), "sketch"), block_docs)
     families = components(near, "id", "low").select(F.col("node").alias("point"), F.col("component").alias("family"))
     families = families.join(points.df.select("point", "id"), "point").groupBy("id").agg(F.collect_set("family").alias("f"))  # an id's classes at most
     families = families.join(reps.df.groupBy("id").agg(F.sum("n_shingles").alias("n_shingles")), "id").select("id", F.explode("f").alias("family"), "n_shingles")

@@ -93,7 +93,7 @@ def test_template_without_true_links(spark, make_docs):
     rows = minhash.near_duplicates(df, width=4).collect()
     assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in rows) and len(rows) == 600
     points = minhash.signatures(df, width=4).select("id", "half", "sketch")
-    links = minhash.family_links(minhash.table_keys(points), points.select("id", "sketch"), 1024)
+    links = minhash.family_links(minhash.shared_halves(points), points.select("id", "sketch"), 1024)
     sizes = [r["count"] for r in components(links, "id", "low").groupBy("component").count().collect()]
     assert max(sizes, default=1) <= 3
 
