@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
+from . import bpe, bpe_scan, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
 from .common import table
 
 #: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
 TOKENIZER = "byte_bpe_50k.json"
+#: And op13 this file of ranks.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_scan_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_scan.report(table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
+    "op13_scan_bpe": op13_scan_bpe,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
