@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bpe_scan, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
+from . import bpe, bpe_scan, centroids, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
 from .common import table
 
 #: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
@@ -61,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_scan_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_scan.report(table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
+    "op11_centroids": op11_centroids,
     "op13_scan_bpe": op13_scan_bpe,
 }
 
@@ -85,4 +90,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op5_hnsw": hnsw.oracle,
     "op8_line_quality": line_quality.oracle,
     "op9_minhash": minhash.oracle,
+    "op11_centroids": centroids.oracle,
 }
