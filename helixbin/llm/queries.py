@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bpe_scan, centroids, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
+from . import bpe, bpe_scan, centroids, hard_negatives, hnsw, kneser_ney, line_quality, minhash, mixing, secrets, token_arrow, toxicity, warc
 from .common import table
 
 #: The tokenizer file of op7 and op10 is a parameter of their operators; the queries use this one.
@@ -65,6 +65,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_scan_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_scan.report(table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
     "op11_centroids": op11_centroids,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_scan_bpe": op13_scan_bpe,
 }
 
@@ -91,4 +96,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op8_line_quality": line_quality.oracle,
     "op9_minhash": minhash.oracle,
     "op11_centroids": centroids.oracle,
+    "op12_hard_negatives": hard_negatives.oracle,
 }
