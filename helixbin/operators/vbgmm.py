@@ -1,12 +1,15 @@
 """A variational-Bayes Gaussian mixture (Bishop, PRML 10.2) with point-estimated weights.
 
-Restarts run as one task each over a broadcast matrix of checked size; ``fit_distributed`` keeps the rows in the
-cluster and moves only K*D*D moments. Components whose weight falls to ``ALIVE`` rows or less die.
+Starts are hashes of ids, computed once for all restarts. A matrix of up to ``TASK_BYTES`` goes to one task for each restart; a
+larger one stays in the cluster, where a pass over the rows adds up the moments of all restarts, by restart and component. Both
+ways have the same starts and the same arithmetic, up to the order of sums. Labels stay in the cluster.
+Components whose weight falls to ``ALIVE`` rows or less die.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, lgamma
-from ..scratch import array_sum, cut
+from ..scratch import AT_DRIVER, array_sum, cut, keyed_sum, vector_array
+from ..session import ship
 from .reduce import _stack
 
 #: Fixed values.
@@ -25,7 +29,11 @@ MIN_Z = 1e-6
 ALIVE = 0.1
 SEED_STEP = 1009
 DEFAULT_RESTARTS = 10
-MAX_BROADCAST = 512 << 20
+KMEANS_STEPS = 1000
+#: A matrix of up to so many bytes goes to one task a restart.
+TASK_BYTES = 512 << 20
+#: Moments that a task adds up in one pass, and those of restarts that run together; sums beyond ``WIDE_BYTES`` reach the driver once.
+SLICE_BYTES, GROUP_BYTES, WIDE_BYTES = 256 << 20, 256 << 20, 32 << 20
 
 
 @dataclass
@@ -103,12 +111,28 @@ class Mixture:
         dist = np.full((len(x), k), np.inf)
         for j in np.flatnonzero(self.pi > 0):
             y = x - self.mean[j]
-            dist[:, j] = self.nu[j] * np.einsum("ij,jk,ik->i", y, self.w[j], y, optimize=True) - self.log_lambda[j] + d / self.beta[j]
+            dist[:, j] = self.nu[j] * ((y @ self.w[j]) * y).sum(1) - self.log_lambda[j] + d / self.beta[j]
         z = self.pi * np.exp(-0.5 * (dist - dist.min(1, keepdims=True)))
         z /= z.sum(1, keepdims=True)
         z[z < MIN_Z] = 0
         return z / z.sum(1, keepdims=True)
 
+    def alive(self) -> np.ndarray:
+        return np.flatnonzero(self.pi > 0)
+
+    def places(self) -> np.ndarray:
+        """Dense numbers of the components that are alive, in their order; -1 for the others."""
+        place = np.full(len(self.pi), -1, np.int32)
+        place[self.alive()] = np.arange(len(self.alive()))
+        return place
+
+    def labelled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``chunk_id, cluster`` of batches of ``chunk_id, features``."""
+        for batch in batches:
+            x = _stack(batch)
+            if len(x):
+                yield pa.record_batch([batch.column(0), pa.array(self.places()[self.responsibilities(x).argmax(1)])], names=["chunk_id", "cluster"])
+
     def bound(self, z_moments: tuple[np.ndarray, np.ndarray, np.ndarray], entropy: float, kind: str) -> float:
         """The lower bound from the moments of z under this state; ``entropy`` is the sum of z ln z.
 
@@ -133,58 +157,71 @@ class Mixture:
 
 
 def moments(x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return z.sum(0), z.T @ x, np.einsum("nk,ni,nj->kij", z, x, x, optimize=True)
+    """Sums of z, z x and z x x', a component after the other."""
+    second = np.zeros((z.shape[1], x.shape[1], x.shape[1]))
+    for j in range(z.shape[1]):
+        at = np.flatnonzero(z[:, j])
+        y = x[at]
+        second[j] = y.T @ (y * z[at, j, None])
+    return z.sum(0), z.T @ x, second
+
+
+def entropy(z: np.ndarray) -> float:
+    own = z[z > 0]
+    return float((own * np.log(own)).sum())
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
+
 
+def _lot(ids: np.ndarray, seed: int, draw: int) -> np.ndarray:
+    """A hash of the rows' id hashes for the given draw; its smallest value draws a row."""
+    x = ids.view(np.uint64) + np.uint64((seed * 1_000_003 + draw + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
-def init_kmeans(x: np.ndarray, k: int, rng: np.random.RandomState, steps: int = 1000) -> np.ndarray:
-    """Labels by Lloyd's steps from a random assignment; an empty cluster restarts at a random row."""
-    label = rng.randint(0, k, len(x))
-    for _ in range(steps):
+
+def init_kmeans(x: np.ndarray, k: int, start: np.ndarray, ids: np.ndarray, seed: int, steps: int = KMEANS_STEPS) -> np.ndarray:
+    """Labels by Lloyd's steps from the labels ``start``; an empty cluster restarts at a row drawn by ``_lot``."""
+    label = start
+    for step in range(steps):
         n = np.bincount(label, minlength=k)
         centre = np.zeros((k, x.shape[1]))
         np.add.at(centre, label, x)
         centre /= np.maximum(n, 1)[:, None]
-        for j in np.flatnonzero(n == 0):
-            centre[j] = x[rng.randint(0, len(x))]
-        new = ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
+        for j in np.flatnonzero(n == 0).tolist():
+            centre[j] = x[_lot(ids, seed, step * k + j).argmin()]
+        new = _nearest(x, centre)
         if (new == label).all():
             break
         label = new
     return label
 
 
-def init_labels(x: np.ndarray, k: int, rng: np.random.RandomState, kind: str, groups: np.ndarray | None) -> np.ndarray:
-    if kind == "kmeans":
-        return init_kmeans(x, k, rng)
-    if kind == "mustlink":
-        if groups is None:
-            raise ValueError("must-link initialisation takes the rows' groups")
-        _, inverse = np.unique(groups, return_inverse=True)
-        return rng.randint(0, k, inverse.max() + 1)[inverse]
-    if kind == "random":
-        return rng.randint(0, k, len(x))
-    raise ValueError("init has to be 'kmeans', 'mustlink' or 'random'")
+def _ended(bounds: list[float], step: int, max_iter: int, epsilon: float) -> bool:
+    return not math.isfinite(bounds[-1]) or step == max_iter or (step > 0 and abs(bounds[-1] - bounds[-2]) <= epsilon)
 
 
-def fit_one(x: np.ndarray, k: int, seed: int = 666, init: str = "kmeans", groups: np.ndarray | None = None, max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat") -> tuple[np.ndarray, Mixture]:
-    """Labels (dense, from 0, in component order) and the state of one restart."""
+def fit_one(x: np.ndarray, k: int, start: np.ndarray | None = None, ids: np.ndarray | None = None, seed: int = 666, init: str = "random", max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat") -> tuple[np.ndarray, Mixture]:
+    """Labels (dense, from 0, in component order) and the state of one restart from the labels ``start`` (row number modulo k if None)."""
     if len(x) < 2:
         raise ValueError("too few rows")
+    start = np.arange(len(x)) % k if start is None else start
     prior = Prior.of(np.maximum(x.var(0, ddof=1), 1e-12))
-    z = np.eye(k)[init_labels(x, k, np.random.RandomState(seed % (1 << 32)), init, groups)]
-    state, bounds = Mixture.from_moments(prior, *moments(x, z)), []
+    if init == "kmeans":
+        start = init_kmeans(x, k, start, np.arange(len(x)) if ids is None else ids, seed)
+    state, bounds = Mixture.from_moments(prior, *moments(x, np.eye(k)[start])), []
     for i in range(max_iter + 1):
         z = state.responsibilities(x)
         held = moments(x, z)
-        bounds.append(state.bound(held, float((z[z > 0] * np.log(z[z > 0])).sum()), bound))
-        if not math.isfinite(bounds[-1]) or i == max_iter or (i and abs(bounds[-1] - bounds[-2]) <= epsilon):
+        bounds.append(state.bound(held, entropy(z), bound))
+        if _ended(bounds, i, max_iter, epsilon):
             break
         state = Mixture.from_moments(prior, *held)
     state.bounds = bounds
-    alive = np.flatnonzero(state.pi > 0)
-    place = np.full(k, -1)
-    place[alive] = np.arange(len(alive))
-    return place[z.argmax(1)], state
+    return state.places()[z.argmax(1)], state
 
 
 def covariances(x: np.ndarray, z: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -215,134 +252,258 @@ def parameters(rows: DataFrame, ridge: float = 1e-3) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "cluster int, n long, mean array<double>, covariance array<array<double>>")
 
 
+INITS = ("kmeans", "mustlink", "random", "given")
+
+
+def _started(rows: DataFrame, k: int, seed: int, restarts: int, init: str, groups: DataFrame | None) -> DataFrame:
+    """``chunk_id, features, ids, start``: a hash of the id, and a label for each restart."""
+    if init not in INITS:
+        raise ValueError(f"init has to be one of {', '.join(INITS)}")
+    key = F.col("chunk_id")
+    if init == "given":
+        start = F.array_repeat(F.col("start").cast("int"), restarts)
+    else:
+        if init == "mustlink":
+            if groups is None:
+                raise ValueError("must-link initialisation takes the rows' groups")
+            rows, key = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left"), F.coalesce("contig_id", "chunk_id")
+        start = F.array(*(F.pmod(F.xxhash64(key, F.lit(seed + SEED_STEP * r)), F.lit(k)).cast("int") for r in range(restarts)))
+    return cut(rows.select("chunk_id", "features", F.xxhash64("chunk_id").alias("ids"), start.alias("start")))
+
+
 def fit(rows: DataFrame, max_cluster: int, seed: int = 666, restarts: int = DEFAULT_RESTARTS, init: str = "kmeans", groups: DataFrame | None = None, max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat") -> tuple[DataFrame, DataFrame]:
     """(``chunk_id, cluster``; ``restart, seed, bound, n_clusters``) of the restart with the best bound, ties to the first.
 
-    ``rows``: ``chunk_id, features``. The matrix is broadcast if it takes ``MAX_BROADCAST`` bytes or less;
-    beyond that ``fit_distributed`` runs the restarts one after the other. ``groups``: ``chunk_id, contig_id``.
+    ``rows``: ``chunk_id, features``, and with ``init='given'`` the labels to ``start`` from, below ``max_cluster``. ``groups``: ``chunk_id, contig_id``.
     """
     spark = rows.sparkSession
-    n = rows.count()
-    width = len(rows.select("features").first()["features"]) if n else 0
+    ship(spark)
+    started = _started(rows, max_cluster, seed, restarts, init, groups)
+    n = started.count()
     if n < 2:
         raise ValueError("too few rows to cluster")
-    if n * width * 8 > MAX_BROADCAST:
-        runs = [fit_distributed(rows, max_cluster, seed + SEED_STEP * r, max_iter, epsilon, bound, init, groups) for r in range(restarts)]
-        good = [r for r in range(restarts) if math.isfinite(runs[r][1])]
-        if not good:
-            raise ValueError("no restart reached a finite bound")
-        best = max(good, key=lambda r: (runs[r][1], -r))
-        return runs[best][0], spark.createDataFrame([(r, seed + SEED_STEP * r, b, c) for r, (_, b, c) in enumerate(runs)], "restart int, seed long, bound double, n_clusters int")
-    linked = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left") if groups is not None else rows.withColumn("contig_id", F.lit(None).cast("string"))
-    local = linked.select("chunk_id", F.coalesce("contig_id", "chunk_id").alias("contig_id"), "features").orderBy("chunk_id").toArrow()
-    x = local.column("features").combine_chunks().flatten().to_numpy().reshape(n, width)
-    group = None if groups is None else np.array(local.column("contig_id").to_pylist())
-    shared = spark.sparkContext.broadcast((x, group))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.column(0).to_pylist():
-                labels, state = fit_one(shared.value[0], max_cluster, seed + SEED_STEP * r, init, shared.value[1], max_iter, epsilon, bound)
-                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([seed + SEED_STEP * r]), pa.array([state.bounds[-1]]), pa.array([int(labels.max()) + 1], pa.int32()), pa.array([labels.tolist()], pa.list_(pa.int32()))], names=["restart", "seed", "bound", "n_clusters", "labels"])
-
-    runs = spark.range(0, restarts, 1, restarts).mapInArrow(work, "restart int, seed long, bound double, n_clusters int, labels array<int>").collect()
-    good = [r for r in runs if math.isfinite(r["bound"])]
+    width = len(started.select("features").first()["features"])
+    run = _fit_in_tasks if n * width * 8 <= TASK_BYTES else _fit_in_cluster
+    labels, runs = run(started, max_cluster, seed, restarts, init, max_iter, epsilon, bound)
+    good = [r for r in runs if math.isfinite(r[2])]
     if not good:
         raise ValueError("no restart reached a finite bound")
-    best = max(good, key=lambda r: (r["bound"], -r["restart"]))
-    labels = spark.createDataFrame(list(zip(local.column("chunk_id").to_pylist(), best["labels"], strict=True)), "chunk_id string, cluster int")
-    return labels, spark.createDataFrame([(r["restart"], r["seed"], r["bound"], r["n_clusters"]) for r in runs], "restart int, seed long, bound double, n_clusters int")
-
-
-def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
-
-
-def kmeans_distributed(rows: DataFrame, k: int, d: int, seed: int, steps: int = 1000) -> np.ndarray:
-    """Centres by ``init_kmeans`` with the rows (``chunk_id, features, start``) in the cluster; only sums move."""
-    spark = rows.sparkSession
-
-    def sums(before: np.ndarray | None, centre: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Counts and sums by the nearest of ``centre`` (by ``start`` if None), and how many rows change from ``before``."""
-
-        def values(batch: pa.RecordBatch) -> np.ndarray:
-            x, start = _stack(batch), batch.column(batch.schema.get_field_index("start")).to_numpy()
-            label = start if centre is None else _nearest(x, centre)
-            total = np.zeros((k, d))
-            np.add.at(total, label, x)
-            changed = 0 if centre is None else (label != (start if before is None else _nearest(x, before))).sum()
-            return np.concatenate([np.bincount(label, minlength=k), total.ravel(), [changed]])
-
-        flat = array_sum(rows, values)
-        return flat[:k], flat[k:-1].reshape(k, d), flat[-1]
-
-    before, centre = None, None
-    n, first, _ = sums(None, None)
+    best = max(good, key=lambda r: (r[2], -r[0]))
+    return labels(best[0]), spark.createDataFrame(runs, "restart int, seed long, bound double, n_clusters int")
+
+
+def _fit_in_tasks(rows: DataFrame, k: int, seed: int, restarts: int, init: str, max_iter: int, epsilon: float, bound: str):
+    """A task for each restart, which gets all rows; labels are rows of a table."""
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk_id").combine_chunks()
+        r = group.column("restart")[0].as_py()
+        x = group.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        labels, state = fit_one(x, k, group.column("own").to_numpy(), group.column("ids").to_numpy(), seed + SEED_STEP * r, init, max_iter, epsilon, bound)
+        same = lambda v, kind: pa.array(np.full(len(x), v), kind)
+        return pa.table({"chunk_id": group.column("chunk_id"), "cluster": pa.array(labels, pa.int32()), "restart": same(r, pa.int32()), "bound": same(state.bounds[-1], pa.float64()), "n_clusters": same(len(state.alive()), pa.int32())})
+
+    # Dealt by range, so that no two restarts meet in a task.
+    each = rows.select("chunk_id", "features", "ids", F.posexplode("start").alias("restart", "own")).repartitionByRange(restarts, "restart")
+    done = cut(each.groupBy("restart").applyInArrow(work, "chunk_id string, cluster int, restart int, bound double, n_clusters int"))
+    runs = done.groupBy("restart").agg(F.first("bound").alias("bound"), F.first("n_clusters").alias("n")).collect()  # a row a restart
+    return (lambda best: done.where(F.col("restart") == best).select("chunk_id", "cluster")), [(r["restart"], seed + SEED_STEP * r["restart"], r["bound"], r["n"]) for r in sorted(runs)]
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _own_start(batch: pa.RecordBatch, r: int) -> np.ndarray:
+    starts = _column(batch, "start")
+    return starts.flatten().to_numpy().reshape(len(starts), -1)[:, r]
+
+
+def kmeans_in_cluster(rows: DataFrame, k: int, d: int, seeds: dict[int, int], steps: int = KMEANS_STEPS) -> dict[int, np.ndarray]:
+    """The centres whose nearest rows are ``init_kmeans``' labels, for each restart of ``seeds``; one pass a step serves all of them."""
+    before: dict[int, np.ndarray | None] = dict.fromkeys(seeds)
+    centre: dict[int, np.ndarray | None] = dict.fromkeys(seeds)
+    done: dict[int, np.ndarray] = {}
+
+    def sums(live: list[int]) -> dict[int, np.ndarray]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+            held = {r: np.zeros(k + k * d + 1) for r in live}
+            for batch in batches:
+                x = _stack(batch)
+                if not len(x):
+                    continue
+                for r in live:
+                    label = _own_start(batch, r) if centre[r] is None else _nearest(x, centre[r])
+                    total = np.zeros((k, d))
+                    np.add.at(total, label, x)
+                    changed = 0 if centre[r] is None else (label != (_own_start(batch, r) if before[r] is None else _nearest(x, before[r]))).sum()
+                    held[r] += np.concatenate([np.bincount(label, minlength=k), total.ravel(), [changed]])
+            yield from held.items()
+
+        return keyed_sum(rows.select("features", "start"), work)
+
+    def drawn(lots: list[tuple[int, int, int]]) -> dict[tuple[int, int], list[float]]:
+        """The rows that (restart, cluster, draw) get by lot."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ids, x = _column(batch, "ids").to_numpy(), _column(batch, "features")
+                    for r, j, draw in lots:
+                        lot = _lot(ids, seeds[r], draw)
+                        at = int(lot.argmin())
+                        yield pa.record_batch([pa.array([r]), pa.array([j]), pa.array([int(lot[at])]), x.slice(at, 1)], names=["r", "j", "lot", "x"])
+
+        least = rows.select("ids", "features").mapInArrow(work, "r long, j long, lot long, x array<double>").groupBy("r", "j").agg(F.min_by("x", "lot").alias("x"))
+        return {(r["r"], r["j"]): r["x"] for r in least.collect()}  # a row a lot
+
+    found = sums(list(seeds))
     for step in range(steps):
-        before, centre = centre, first / np.maximum(n, 1)[:, None]
-        empty = np.flatnonzero(n == 0)
-        if len(empty):
-            drawn = rows.orderBy(F.xxhash64("chunk_id", F.lit(seed), F.lit(step)), "chunk_id").select("features").limit(len(empty)).collect()
-            for i, j in enumerate(empty):
-                centre[j] = drawn[i % len(drawn)]["features"]
-        n, first, changed = sums(before, centre)
-        if not changed:
+        live = [r for r in seeds if r not in done]
+        lots = []
+        for r in live:
+            n, total = found[r][:k], found[r][k:-1].reshape(k, d)
+            before[r], centre[r] = centre[r], total / np.maximum(n, 1)[:, None]
+            lots += [(r, j, step * k + j) for j in np.flatnonzero(n == 0).tolist()]
+        for (r, j), x in (drawn(lots) if lots else {}).items():
+            centre[r][j] = x
+        found = sums(live)
+        done |= {r: centre[r] for r in live if not found[r][-1] or step == steps - 1}
+        if len(done) == len(seeds):
             break
-    return centre
-
+    return done
+
+
+class Group:
+    """Restarts that go through the same passes over the rows (``features, start``)."""
+
+    def __init__(self, rows: DataFrame, k: int, d: int, seeds: dict[int, int], init: str) -> None:
+        self.rows, self.k, self.d = rows, k, d
+        self.prior = Prior.of(_variances(rows, d))
+        self.centres = kmeans_in_cluster(rows, k, d, seeds) if init == "kmeans" else {}
+        self.states: dict[int, Mixture] = {}
+        held = self.sums(list(seeds), True)
+        self.states = {r: Mixture.from_moments(self.prior, *held[r][0]) for r in seeds}
+
+    def sums(self, live: list[int], start: bool = False) -> dict[int, tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]]:
+        """Moments and entropies of the given restarts' responsibilities, or of their start; a pass for each slice of components."""
+        k, d, cell = self.k, self.d, self.d * (self.d + 3) // 2 + 1
+        cells = [(r, j) for r in live for j in range(k)]
+        per = max(1, SLICE_BYTES // (8 * self.d * self.d))
+        found: dict[int, np.ndarray] = {}
+        for at in range(0, len(cells), per):
+            found |= self._pass(cells[at : at + per], start, 1 if per * cell * 8 > WIDE_BYTES and len(cells) * cell * 8 > WIDE_BYTES else AT_DRIVER)
+        out = {}
+        for r in live:
+            flat = np.array([found[r * (k + 1) + j] for j in range(k)])
+            second = np.zeros((k, d, d))
+            upper = np.triu_indices(d)
+            second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = flat[:, 1 + d :]
+            out[r] = (flat[:, 0], flat[:, 1 : 1 + d], second), float(found[r * (k + 1) + k][0])
+        return out
+
+    def _pass(self, cells: list[tuple[int, int]], start: bool, at_driver: int) -> dict[int, np.ndarray]:
+        k, d, own = self.k, self.d, {}
+        for r, j in cells:
+            own.setdefault(r, []).append(j)
+        centres = self.centres if start else {}
+        shared = self.rows.sparkSession.sparkContext.broadcast({} if start else {r: self.states[r] for r in own})
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+            held = {r: [np.zeros(len(js)), np.zeros((len(js), d)), np.zeros((len(js), d, d)), 0.0] for r, js in own.items()}
+            for batch in batches:
+                x = _stack(batch)
+                for r, js in own.items() if len(x) else ():
+                    if start:
+                        z = np.eye(k)[_nearest(x, centres[r]) if r in centres else _own_start(batch, r)]
+                    else:
+                        z = shared.value[r].responsibilities(x)
+                    for total, part in zip(held[r], moments(x, z[:, js])):
+                        total += part
+                    held[r][3] += entropy(z)
+            upper = np.triu_indices(d)
+            for r, js in own.items():
+                n, first, second, e = held[r]
+                for i, j in enumerate(js):
+                    yield r * (k + 1) + j, np.concatenate([[n[i]], first[i], second[i][upper]])
+                if js[0] == 0:  # the restart's entropy, once
+                    yield r * (k + 1) + k, np.array([e])
+
+        found = keyed_sum(self.rows.select("features", "start"), work, at_driver)
+        shared.unpersist()
+        return found
 
-def fit_distributed(rows: DataFrame, k: int, seed: int = 666, max_iter: int = 600, epsilon: float = 1e-4, bound: str = "compat", init: str = "kmeans", groups: DataFrame | None = None) -> tuple[DataFrame, float, int]:
-    """One restart with the rows in the cluster: each step adds up moments in the executors.
 
-    It has the starts of ``init_labels``; what is random there is drawn by a hash of the row's id, or of its group's.
-    """
-    spark = rows.sparkSession
-    if init not in ("kmeans", "mustlink", "random"):
-        raise ValueError("init has to be 'kmeans', 'mustlink' or 'random'")
-    key = F.col("chunk_id")
-    if init == "mustlink":
-        if groups is None:
-            raise ValueError("must-link initialisation takes the rows' groups")
-        rows, key = rows.join(groups.select("chunk_id", "contig_id"), "chunk_id", "left"), F.coalesce("contig_id", "chunk_id")
-    rows = rows.select("chunk_id", "features", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("start"))
-    rows = cut(rows)  # read once a step
+def _variances(rows: DataFrame, d: int) -> np.ndarray:
+    """Sample variances of the columns, about a first row."""
     base = np.array(rows.select("features").first()["features"])
-    d = len(base)
     flat = array_sum(rows.select("features"), lambda batch: np.concatenate([[batch.num_rows], (x := _stack(batch) - base).sum(0), (x * x).sum(0)]))
-    prior = Prior.of(np.maximum((flat[1 + d :] - flat[1 : d + 1] ** 2 / flat[0]) / (flat[0] - 1), 1e-12))
-    centre = kmeans_distributed(rows, k, d, seed) if init == "kmeans" else None
-
-    def sums(state: Mixture | None) -> tuple[tuple, float]:
-        shared = spark.sparkContext.broadcast(state)
-
-        def values(batch: pa.RecordBatch) -> np.ndarray:
-            x = _stack(batch)
-            if shared.value is None:
-                z = np.eye(k)[batch.column(batch.schema.get_field_index("start")).to_numpy() if centre is None else _nearest(x, centre)]
-            else:
-                z = shared.value.responsibilities(x)
-            return np.concatenate([*(m.ravel() for m in moments(x, z)), [float((z[z > 0] * np.log(z[z > 0])).sum())]])
-
-        flat = array_sum(rows, values)
-        shared.unpersist()
-        return (flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : -1].reshape(k, d, d)), float(flat[-1])
-
-    state = Mixture.from_moments(prior, *sums(None)[0])
-    bounds: list[float] = []
-    for i in range(max_iter + 1):
-        held, entropy = sums(state)
-        bounds.append(state.bound(held, entropy, bound))
-        if not math.isfinite(bounds[-1]) or i == max_iter or (i and abs(bounds[-1] - bounds[-2]) <= epsilon):
-            break
-        state = Mixture.from_moments(prior, *held)
-    alive = np.flatnonzero(state.pi > 0)
-    place = np.full(k, -1)
-    place[alive] = np.arange(len(alive))
+    return np.maximum((flat[1 + d :] - flat[1 : d + 1] ** 2 / flat[0]) / (flat[0] - 1), 1e-12)
+
+
+def _fit_in_cluster(rows: DataFrame, k: int, seed: int, restarts: int, init: str, max_iter: int, epsilon: float, bound: str):
+    """Rows stay where they are; restarts go through the passes in groups whose moments take ``GROUP_BYTES`` or less, or singly."""
+    d = len(rows.select("features").first()["features"])
+    together = max(1, GROUP_BYTES // (8 * k * d * d))
+    best: Mixture | None = None
+    number, runs = -1, []
+    for at in range(0, restarts, together):
+        seeds = {r: seed + SEED_STEP * r for r in range(at, min(at + together, restarts))}
+        group = Group(rows, k, d, seeds, init)
+        bounds: dict[int, list[float]] = {r: [] for r in seeds}
+        live = list(seeds)
+        for i in range(max_iter + 1):
+            held = group.sums(live)
+            for r in live:
+                bounds[r].append(group.states[r].bound(*held[r], bound))
+            live = [r for r in live if not _ended(bounds[r], i, max_iter, epsilon)]
+            if not live:
+                break
+            group.states |= {r: Mixture.from_moments(group.prior, *held[r][0]) for r in live}
+        for r, state in group.states.items():
+            state.bounds = bounds[r]
+            runs.append((r, seeds[r], bounds[r][-1], len(state.alive())))
+            if math.isfinite(bounds[r][-1]) and (best is None or bounds[r][-1] > best.bounds[-1]):
+                best, number = state, r  # one winner is kept, whatever the number of restarts
+
+    def labels(r: int) -> DataFrame:
+        assert r == number
+        return rows.select("chunk_id", "features").mapInArrow(best.labelled, "chunk_id string, cluster int")
+
+    return labels, runs
+
+
+def trace(rows: DataFrame, k: int, steps: int, in_cluster: bool, bound: str = "compat") -> list[tuple[Mixture, float]]:
+    """The states before each of the first ``steps`` E steps from the rows' labels ``start``, and the bound each reaches."""
+    started = _started(rows, k, 0, 1, "given", None)
+    d = len(started.select("features").first()["features"])
+    if in_cluster:
+        group, out = Group(started, k, d, {0: 0}, "given"), []
+        for _ in range(steps):
+            state, (held, e) = group.states[0], group.sums([0])[0]
+            out.append((state, state.bound(held, e, bound)))
+            group.states[0] = Mixture.from_moments(group.prior, *held)
+        return out
+
+    def work(table: pa.Table) -> pa.Table:
+        x = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        kept, start = [], table.column("own").to_numpy()
+        for i in range(steps):
+            state = fit_one(x, k, start, max_iter=i, epsilon=-1.0, bound=bound)[1]
+            kept.append(pickle.dumps((state, state.bounds[-1])))
+        return pa.table({"state": pa.array(kept, pa.binary())})
+
+    one = started.select("features", F.get("start", F.lit(0)).alias("own"), F.lit(0).alias("g"))
+    return [pickle.loads(r["state"]) for r in one.groupBy("g").applyInArrow(work, "state binary").collect()]  # a row a step
+
+
+def responsibilities(rows: DataFrame, state: Mixture) -> DataFrame:
+    """``chunk_id, z``: the rows' shares in the components of ``state``."""
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _stack(batch)
             if len(x):
-                yield pa.record_batch([batch.column(0), pa.array(place[state.responsibilities(x).argmax(1)].astype(np.int32))], names=["chunk_id", "cluster"])
+                yield pa.record_batch([batch.column(0), vector_array(state.responsibilities(x))], names=["chunk_id", "z"])
 
-    return rows.mapInArrow(label, "chunk_id string, cluster int"), bounds[-1], len(alive)
+    return rows.select("chunk_id", "features").mapInArrow(work, "chunk_id string, z array<double>")

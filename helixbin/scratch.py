@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 FAN_IN = 32
 AT_DRIVER = 8
+SLICE = 1 << 20  # numbers of an array that travel together
 
 
 def folder(spark: SparkSession) -> str:
@@ -57,32 +58,52 @@ def numbered(rows: DataFrame, *order: str, name: str) -> DataFrame:
     return written.withColumn(name, F.get(F.array(*map(F.lit, first)), F.col("_part")).cast("long") + F.col("_in")).drop("_part", "_in")
 
 
-def array_sum(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
-    """The sum over all batches of what ``values`` gives for each; None without rows.
+def keyed_sum(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], at_driver: int = AT_DRIVER) -> dict[int, np.ndarray]:
+    """Sums of arrays by key: ``work`` gives a task's (key, array), each key once.
 
-    A task keeps one array; tasks' arrays are added up as binaries in a tree, and at most ``AT_DRIVER`` reach the driver.
+    Tasks' arrays are added up as binaries in a tree: a task of the tree adds ``FAN_IN`` arrays of one key, in the order of the
+    partitions they come from, and at most ``at_driver`` arrays of a key reach the driver.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, x in work(batches):
+            yield pa.record_batch([pa.array([key]), pa.array([np.asarray(x, float).tobytes()], pa.binary())], names=["key", "x"])
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("p")
+        total = None
+        for x in group.column("x"):
+            part = np.frombuffer(x.as_py(), float)
+            total = part.copy() if total is None else np.add(total, part, out=total)
+        return pa.table({"key": group.column("key").slice(0, 1), "p": pa.array([group.column("g")[0].as_py()], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.rdd.getNumPartitions()
+    sums = rows.mapInArrow(first, "key long, x binary").select("key", F.spark_partition_id().alias("p"), "x")
+    while parts > at_driver:
+        parts = -(-parts // FAN_IN)
+        sums = sums.withColumn("g", F.pmod(F.col("p"), F.lit(parts))).groupBy("key", "g").applyInArrow(add, "key long, p int, x binary")
+    out: dict[int, np.ndarray] = {}
+    for r in sorted(sums.collect(), key=lambda r: (r["key"], r["p"])):  # a few arrays of each key
+        part = np.frombuffer(r["x"], float)
+        out[r["key"]] = out[r["key"]] + part if r["key"] in out else part
+    return out
+
+
+def array_sum(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """The sum over all batches of what ``values`` gives for each; None without rows. Long arrays are added up slice by slice."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         held = None
         for batch in batches:
             if batch.num_rows:
                 part = np.asarray(values(batch), float)
                 held = part if held is None else held + part
         if held is not None:
-            yield pa.record_batch([pa.array([held.tobytes()], pa.binary())], names=["x"])
+            for k in range(0, len(held), SLICE):
+                yield k, held[k : k + SLICE]
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, float) for x in group.column("x").to_pylist())
-        return pa.table({"x": pa.array([total.tobytes()], pa.binary())})
-
-    parts = rows.rdd.getNumPartitions()
-    sums = rows.mapInArrow(work, "x binary")
-    while parts > AT_DRIVER:
-        parts = -(-parts // FAN_IN)
-        sums = sums.groupBy(F.pmod(F.spark_partition_id(), F.lit(parts)).alias("g")).applyInArrow(add, "x binary")
-    found = sums.toArrow().column("x").to_pylist()
-    return sum(np.frombuffer(x, float) for x in found) if found else None
+    found = keyed_sum(rows, work)
+    return np.concatenate([found[k] for k in sorted(found)]) if found else None
 
 
 def vector_array(x: np.ndarray) -> pa.Array:

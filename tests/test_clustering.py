@@ -74,50 +74,75 @@ def test_mixture_finds_blobs(spark, init):
     assert [r["cluster"] for r in again.orderBy("chunk_id").collect()] == got
 
 
-def test_mixture_bound_rises_and_scale_mode_agrees(spark):
+def test_mixture_bound_rises(spark):
     x, truth = blobs(3, 40)
     _, state = vbgmm.fit_one(x, 6, bound="elbo", epsilon=1e-6)
     assert all(b >= a - 1e-6 for a, b in zip(state.bounds, state.bounds[1:]))
-    labels, _, n = vbgmm.fit_distributed(frame(spark, x), 3, seed=5, max_iter=60, epsilon=1e-4)
-    one = np.array([r["cluster"] for r in labels.orderBy("chunk_id").collect()])
-    assert len(one) == len(x) and n == len(set(one.tolist()))
     with pytest.raises(ValueError):
         vbgmm.fit(frame(spark, x[:1]), 3)
+    with pytest.raises(ValueError):
+        vbgmm.fit(frame(spark, x), 3, restarts=1, init="mustlink")
+    with pytest.raises(ValueError):
+        vbgmm.fit(frame(spark, x), 3, init="other")
     z = np.eye(3)[truth]
     assert np.allclose(vbgmm.covariances(x, z, 0.0)[0], np.cov(x[truth == 0].T, ddof=0))
 
 
-@pytest.mark.parametrize("init", ["kmeans", "mustlink", "random"])
-def test_rows_in_the_cluster_start_the_same_way(spark, monkeypatch, init):
-    x, truth = blobs(3, 40)
-    groups = spark.createDataFrame([(f"r{i:04d}", f"g{truth[i]}-{i % 5}") for i in range(len(x))], "chunk_id string, contig_id string")
-    asked, one = [], vbgmm.fit_distributed
-    monkeypatch.setattr(vbgmm, "fit_distributed", lambda *a: (asked.append(a[6]), one(*a))[1])
-    local = vbgmm.fit(frame(spark, x), 5, restarts=2, init=init, groups=groups, epsilon=1e-2)[0]
-    assert not asked
-    monkeypatch.setattr(vbgmm, "MAX_BROADCAST", 0)
-    labels, runs = vbgmm.fit(frame(spark, x), 5, restarts=2, init=init, groups=groups, epsilon=1e-2)
-    a, b = ([r["cluster"] for r in t.orderBy("chunk_id").collect()] for t in (local, labels))
-    assert asked == [init] * 2 and same_partition(a, b) and runs.count() == 2
-
-
-def test_rows_in_the_cluster_check_start_and_bounds(spark, monkeypatch):
-    x, truth = blobs(3, 20)
-    monkeypatch.setattr(vbgmm, "MAX_BROADCAST", 0)
-    with pytest.raises(ValueError):
-        vbgmm.fit(frame(spark, x), 3, restarts=1, init="mustlink")
-    centre = vbgmm.kmeans_distributed(frame(spark, x).selectExpr("chunk_id", "features", "cast(pmod(hash(chunk_id), 3) as int) AS start"), 3, x.shape[1], 5)
-    near = vbgmm._nearest(x, centre)
-    assert np.allclose(centre, [x[near == j].mean(0) for j in range(3)])
-    bounds = iter([float("nan"), -5.0, float("inf")])
-    monkeypatch.setattr(vbgmm, "fit_distributed", lambda rows, *a: (rows.selectExpr("chunk_id", f"{a[1]} AS cluster"), next(bounds), 1))
-    got = vbgmm.fit(frame(spark, x), 3, seed=1, restarts=3)[0].first()["cluster"]
-    assert got == 1 + vbgmm.SEED_STEP
-    bounds = iter([float("nan")])
+def overlapping(seed=5, n=70, d=4):
+    """Blobs that touch, rows that repeat, and a column that hardly varies."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 1.0, size=(n, d)) for c in (0.0, 1.5, 3.0)])
+    x[:, -1] *= 1e-3
+    x[:20] = x[0]
+    return x
+
+
+@pytest.mark.parametrize("init,bound,few", [("kmeans", "compat", False), ("mustlink", "elbo", False), ("random", "compat", True), ("given", "elbo", False)])
+def test_both_ways_give_equal_labels_and_bounds(spark, monkeypatch, init, bound, few):
+    x = overlapping()
+    groups = spark.createDataFrame([(f"r{i:04d}", f"g{i // 3}") for i in range(len(x))], "chunk_id string, contig_id string")
+    rows = frame(spark, x).repartition(3).selectExpr("*", "cast(pmod(hash(chunk_id), 7) as int) AS start")
+    run = lambda: [sorted(map(tuple, t.collect())) for t in vbgmm.fit(rows, 8, restarts=2, init=init, groups=groups, epsilon=1e-2, max_iter=6, bound=bound)]
+    labels, runs = run()
+    monkeypatch.setattr(vbgmm, "TASK_BYTES", 0)
+    if few:  # passes of three components, and a restart after the other
+        for name, value in (("SLICE_BYTES", 3 * 8 * 4 * 4), ("GROUP_BYTES", 0), ("WIDE_BYTES", 0)):
+            monkeypatch.setattr(vbgmm, name, value)
+    got, again = run()
+    assert got == labels
+    assert [r[:2] + r[3:] for r in again] == [r[:2] + r[3:] for r in runs] and np.allclose([r[2] for r in again], [r[2] for r in runs], rtol=1e-9)
+
+
+def test_empty_clusters_restart_at_the_same_rows(spark):
+    x = overlapping()[:40]
+    rows = frame(spark, x).selectExpr("chunk_id", "features", "xxhash64(chunk_id) AS ids", "array(cast(pmod(hash(chunk_id), 2) as int)) AS start").repartition(3)
+    local = rows.orderBy("chunk_id").collect()
+    ids, start = np.array([r["ids"] for r in local]), np.array([r["start"][0] for r in local])
+    centre = vbgmm.kmeans_in_cluster(rows, 9, x.shape[1], {0: 77})[0]  # seven clusters start empty
+    assert (vbgmm._nearest(x, centre) == vbgmm.init_kmeans(x, 9, start, ids, 77)).all()
+
+
+def test_winner_is_the_best_finite_bound(spark, monkeypatch):
+    x, _ = blobs(3, 20)
+    for bounds, best in (([float("nan"), -5.0, float("inf")], 1), ([-5.0, -7.0, -5.0], 0)):
+        runs = [(r, 1, b, 1) for r, b in enumerate(bounds)]
+        monkeypatch.setattr(vbgmm, "_fit_in_tasks", lambda rows, *a: ((lambda r: rows.selectExpr("chunk_id", f"{r} AS cluster")), runs))  # noqa: B023
+        assert vbgmm.fit(frame(spark, x), 3, seed=1, restarts=3)[0].first()["cluster"] == best
+    monkeypatch.setattr(vbgmm, "_fit_in_tasks", lambda rows, *a: (None, [(0, 1, float("nan"), 1)]))
     with pytest.raises(ValueError):
         vbgmm.fit(frame(spark, x), 3, restarts=1)
 
 
+def test_long_arrays_are_added_up_in_slices(spark, monkeypatch):
+    from helixbin import scratch
+
+    monkeypatch.setattr(scratch, "SLICE", 7)
+    monkeypatch.setattr(scratch, "FAN_IN", 2)
+    rows = spark.range(0, 100, 1, 25)
+    got = scratch.array_sum(rows, lambda b: np.arange(20.0) * b.column(0).to_numpy().sum())
+    assert np.allclose(got, np.arange(20.0) * sum(range(100))) and scratch.array_sum(rows.where("id < 0"), lambda b: np.ones(3)) is None
+
+
 def test_silhouettes_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x, c = rng.normal(size=(60, 5)), rng.integers(0, 4, 60)
