@@ -82,6 +82,16 @@ class CoverageModel(Model):
         return _columns(wide if self.fill is None else wide.na.fill(self.fill))
 
 
+@dataclass
+class KmerCoverageModel(Model):
+    """The median number of times that a chunk's k-mers occur in the bank."""
+
+    k: int = 31
+
+    def transform(self, bank: DataFrame) -> DataFrame:
+        return coverage.from_kmers(bank, self.k).select("chunk_id", F.array("value").alias("features"))
+
+
 @dataclass
 class CodingDensityModel(Model):
     """A column for each gene finder: ``fit`` runs those that are installed over the bank, ``transform`` joins their densities."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import shutil
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import numbered
+from ..scratch import cut, numbered
 from ..sources.tables import coverage_csv, coverage_tsv, file_format
 
 
@@ -56,3 +59,115 @@ def kmer_coverage(fasta: str, output: str, k: int = 31, program: str = KMER_TOOL
         for args in (KMER_INDEX, KMER_LOOKUP):
             subprocess.run([program, *(a.format(k=k, fasta=fasta, output=output) for a in args)], check=True)
     return output
+
+
+#: Letters of a minimizer; k-mers of a bucket on average; k-mers beyond which a bucket's k-mers are counted one by one, by any number of tasks.
+MINIMIZER, BUCKET, HOT = 13, 500_000, 4_000_000
+_CODE = np.full(256, 4, np.uint64)
+_CODE[[ord(c) for c in "ACGT"]] = np.arange(4)
+
+
+def _packed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(canonical k-mers, two bits a letter; whether a window has only A, C, G and T) of all windows of ``codes``."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    bad = np.concatenate([[0], np.cumsum(codes == 4)])
+    letters = codes & np.uint64(3)
+    forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i in range(k):
+        forward = (forward << np.uint64(2)) | letters[i : i + n]
+        backward |= (np.uint64(3) - letters[i : i + n]) << np.uint64(2 * i)
+    return np.minimum(forward, backward), bad[k:] == bad[:-k]
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A hash, so that runs of one letter aren't everyone's minimizer."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _minimizers(codes: np.ndarray, k: int, m: int) -> np.ndarray:
+    """The smallest hash of the canonical m-mers in each window of k letters."""
+    low, span, window = _scattered(_packed(codes, m)[0]), 1, k - m + 1
+    while 2 * span <= window:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    rest = window - span
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+
+
+def super_kmers(bank: DataFrame, k: int, buckets: int) -> DataFrame:
+    """``chunk_id, bucket, n, letters``: the longest pieces of n neighbouring k-mers with one minimizer; the minimizer gives the bucket.
+
+    A k-mer and its reverse complement have the same minimizer, so all occurrences of a canonical k-mer meet in one bucket.
+    """
+    m = min(MINIMIZER, k)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [(s or "").encode("latin-1", "replace") for s in batch.column("seq").to_pylist()]
+            data = b"\n".join(seqs)  # no k-mer reaches over the break
+            codes = _CODE[np.frombuffer(data, np.uint8)]
+            good = _packed(codes, k)[1]
+            if not good.any():
+                continue
+            low = _minimizers(codes, k, m)
+            edge = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (good[1:] != good[:-1])]))
+            size = np.diff(edge, append=len(good))
+            edge, size = edge[good[edge]], size[good[edge]]
+            first = np.cumsum([0, *(len(s) + 1 for s in seqs)])[:-1]
+            owner = np.searchsorted(first, edge, "right") - 1
+            yield pa.record_batch(
+                [batch.column("chunk_id").take(pa.array(owner)), pa.array((low[edge] % np.uint64(buckets)).astype(np.int64)), pa.array(size.astype(np.int32)), pa.array([data[a:b] for a, b in zip(edge.tolist(), (edge + size + k - 1).tolist())], pa.binary())],
+                names=["chunk_id", "bucket", "n", "letters"],
+            )
+
+    return bank.select("chunk_id", "seq").mapInArrow(work, "chunk_id string, bucket long, n int, letters binary")
+
+
+def _kmers_of(letters: list[bytes], k: int) -> np.ndarray:
+    """The canonical k-mers of super-k-mers, one after the other."""
+    kmers, good = _packed(_CODE[np.frombuffer(b"\n".join(letters), np.uint8)], k)
+    return kmers[good]
+
+
+def kmer_counts_by_chunk(bank: DataFrame, k: int = 31) -> DataFrame:
+    """``chunk_id, count, n``: n of the chunk's k-mers occur ``count`` times in the whole bank, strands alike; k-mers with N don't count.
+
+    Super-k-mers are shuffled once, by minimizer, and a bucket's k-mers are counted and looked up together. A bucket of more than
+    ``HOT`` k-mers is split into single k-mers, summed before they are shuffled and joined with their sums.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("k has to lie between 1 and 31")
+    total = bank.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
+    supers = cut(super_kmers(bank, k, max(1, -(-total // BUCKET))))
+    hot = supers.groupBy("bucket").agg(F.sum("n").alias("size")).where(F.col("size") > HOT).select("bucket")
+
+    def counted(group: pa.Table) -> pa.Table:
+        owners = group.column("chunk_id").combine_chunks().dictionary_encode()
+        owner = np.repeat(owners.indices.to_numpy(), group.column("n").to_numpy())
+        _, inverse, times = np.unique(_kmers_of(group.column("letters").to_pylist(), k), return_inverse=True, return_counts=True)
+        own, n = np.unique(np.stack([owner, times[inverse]]), axis=1, return_counts=True)
+        return pa.table({"chunk_id": owners.dictionary.take(pa.array(own[0])), "count": pa.array(own[1].astype(np.int64)), "n": pa.array(n)})
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            owners = batch.column("chunk_id").dictionary_encode()
+            owner = np.repeat(owners.indices.to_numpy(), batch.column("n").to_numpy())
+            own, n = np.unique(np.stack([owner.astype(np.int64), _kmers_of(batch.column("letters").to_pylist(), k).view(np.int64)]), axis=1, return_counts=True)
+            yield pa.record_batch([owners.dictionary.take(pa.array(own[0])), pa.array(own[1]), pa.array(n)], names=["chunk_id", "kmer", "n"])
+
+    out = supers.join(hot, "bucket", "left_anti").groupBy("bucket").applyInArrow(counted, "chunk_id string, count long, n long")
+    if hot.limit(1).count():
+        each = cut(supers.join(hot, "bucket", "left_semi").mapInArrow(single, "chunk_id string, kmer long, n long"))
+        sums = each.groupBy("kmer").agg(F.sum("n").alias("count"))
+        out = out.unionByName(each.join(sums, "kmer").select("chunk_id", "count", "n"))
+    return out.groupBy("chunk_id", "count").agg(F.sum("n").alias("n"))
+
+
+def from_kmers(bank: DataFrame, k: int = 31) -> DataFrame:
+    """``chunk_id, value``: the exact median, over a chunk's k-mers, of how often each occurs in the bank; 0 for a chunk without k-mers."""
+    medians = kmer_counts_by_chunk(bank, k).groupBy("chunk_id").agg(F.percentile("count", F.lit(0.5), F.col("n")).alias("value"))
+    return bank.select("chunk_id").join(medians, "chunk_id", "left").select("chunk_id", F.coalesce("value", F.lit(0.0)).alias("value"))

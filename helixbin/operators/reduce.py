@@ -46,9 +46,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+#: Hexadecimal digits that a pass counts by, and rows among which a sort finds the last one of a sample.
+DIGITS, FEW = 3, 10_000
+
+
 def sample(rows: DataFrame, k: int, seed: int = 666) -> DataFrame:
-    """Exactly k rows, the same ones for a seed whatever the partitions."""
-    return rows.orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id").limit(k)
+    """Exactly k rows (all, if fewer), the same ones for a seed whatever the partitions: those of the smallest md5 of ``seed:chunk_id``.
+
+    Counts by the hash's leading digits lead to the k-th hash, pass by pass; what is left is a filter, without a shuffle. Ids have to differ.
+    """
+    if k <= 0:
+        return rows.limit(0)
+    lot, prefix, left = F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id"))), "", k
+    while True:
+        inside = rows.where(lot.startswith(prefix)).groupBy(F.substring(lot, 1, len(prefix) + DIGITS).alias("p")).count().collect()  # at most 4096 rows
+        if not prefix and sum(r["count"] for r in inside) <= k:
+            return rows
+        for r in sorted(inside):
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        prefix = r["p"]
+        if r["count"] <= FEW or len(prefix) + DIGITS > 32:
+            break
+    near = rows.where(lot.startswith(prefix)).select(lot.alias("lot"), "chunk_id").orderBy("lot", "chunk_id").limit(left)
+    last = near.agg(F.max(F.struct("lot", "chunk_id")).alias("last")).first()["last"]
+    return rows.where((lot < last["lot"]) | ((lot == last["lot"]) & (F.col("chunk_id") <= last["chunk_id"])))
 
 
 @dataclass

@@ -47,7 +47,16 @@ def test_merge_models(spark):
     share = np.cumsum(fitted.ratio)
     assert share[-1] > 0.9 and (len(share) == 1 or share[-2] <= 0.9) and y.shape[1] == len(share)
     assert np.allclose(np.cov(y.T) - np.diag(np.diag(np.cov(y.T))), 0, atol=1e-8)
-    assert [r[0] for r in reduce.sample(ids, 10).collect()] == [r[0] for r in reduce.sample(ids.repartition(5), 10).collect()]
+    import hashlib
+
+    for few, k in ((1, 10), (10_000, 10), (1, 0), (1, ids.count()), (1, 1), (1, 10**6)):
+        reduce.FEW = few
+        want = sorted((hashlib.md5(f"666:{r[0]}".encode()).hexdigest(), r[0]) for r in ids.collect())[:k]
+        for part in (ids, ids.repartition(5)):
+            some = reduce.sample(part, k)
+            assert sorted(r[0] for r in some.collect()) == sorted(i for _, i in want)
+        assert k == 0 or "SinglePartition" not in some._jdf.queryExecution().executedPlan().toString()
+    reduce.FEW = 10_000
     with pytest.raises(ValueError):
         reduce.joined({"a": models["a"].limit(5)}, ids)
 
