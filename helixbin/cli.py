@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     m = sub.add_parser("model")
     m.add_argument("--input", required=True)
-    m.add_argument("--format", default="fasta", choices=["fasta", "fastq"])
+    m.add_argument("--format", default="fasta", choices=[*fasta.FIRST, "auto"])
     m.add_argument("--min_length", type=int, default=1000)
     m.add_argument("--chunk_size", type=int, default=10000)
     m.add_argument("--overlap", default="auto")
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     spark.sparkContext.setLogLevel(("OFF", "FATAL", "ERROR", "WARN", "INFO")[a.verbosity])
     if a.command == "model":
         spec = BankSpec(a.min_length, a.chunk_size, a.overlap if a.overlap == "auto" else int(a.overlap))
-        characterize(spark, fasta.read(spark, a.input, a.format), a.outfile or spec.file_stem(a.input.rsplit(".", 1)[0]), spec, {m: DEFAULT_MODELS[m] for m in a.models}, a.coverage)
+        characterize(spark, fasta.read(spark, a.input, None if a.format == "auto" else a.format), a.outfile or spec.file_stem(a.input.rsplit(".", 1)[0]), spec, {m: DEFAULT_MODELS[m] for m in a.models}, a.coverage)
     elif a.command == "describe":
         store = Store(spark, a.input)
         if a.db_size or not a.list_models:
