@@ -1,15 +1,17 @@
 """Mixing to target weights by soft membership.
 
 1. ``train`` fits a softmax classifier of the domain of labelled rows: at most ``MAX_ROWS`` of them (a bounded,
-   documented sample), on the evidence of all their terms (log ratios of a term's share of a domain's rows, smoothed; a
-   row's own count is left out while training) and on shape features. ``memberships`` gives every document its posteriors and its
-   tokens (white-space words).
+   documented sample), on the evidence of all their terms (log ratios of a term's share of a domain's rows, smoothed) and on
+   shape features. Texts fall into ``FOLDS`` by a hash; any text, labelled or not, is judged by the terms' counts in the other folds, so neither
+   it nor a copy of it is evidence for itself, and what is learned holds for texts seen and unseen alike. ``memberships`` gives
+   every document its posteriors and its tokens (white-space words).
 2. ``fit_rates`` finds document rates 0 <= r <= max_rate whose expected domain token totals, the sums of
    r * tokens * posterior, match the targets: least squares over the residuals, whitened by the domains' Gram
    matrix, with a small pull towards rate 1, by accelerated projected gradient. A step needs one number for each
    domain from the cluster. A document's rate follows from its posteriors and the steps' residuals since the rates were last
    written (every ``REPLAY`` steps), so a lost executor costs nothing but its tasks. A fit that hasn't settled after ``STEPS``
-   steps warns with its gap; ``Rates.reached`` and ``Rates.settled`` tell.
+   steps warns with its gap, and so does one that stands still off its targets, which rates within their bounds may not be able to
+   reach; ``Rates.reached``, ``Rates.settled`` and ``Rates.met`` tell.
 3. ``resample`` turns rates into copies, rounding by a hash of the document, so that expectations hold.
 
 The domain of a labelled row: ``toxic`` if toxic is 1, else ``low`` if quality is 0, else ``clean``. Rows with a null
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 import warnings
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,11 +40,14 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 MAX_ROWS = 6_000
 SMOOTH = 5.0  # rows that the prior counts as in a term's share
+FOLDS = 10
+RIDGE = 2.0  # rows that the prior of the weights counts as
 STRONG = 1.0  # a log ratio beyond which a term is evidence by itself
 PULL = 1e-3
 STEPS = 400
 REPLAY = 16
 TOLERANCE = 1e-6
+MET = 0.02
 TERM = re.compile(r"[^\W\d_]+")
 SYMBOLS = "#*$%&|<>"
 
@@ -62,32 +68,34 @@ def shape(text: str) -> list[float]:
     return [np.log1p(len(words)), symbols / n, text.count("|") / n, text.count("\n") / n, len("".join(words)) / n, (text.count(".") + text.count(",")) / n, len(set(words)) / n, symbols / chars]
 
 
+def fold(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) % FOLDS
+
+
 @dataclass
 class Classifier:
     terms: dict[str, int]
-    counts: np.ndarray  # (term, domain): in how many examples
-    rows: np.ndarray  # examples of each domain
+    counts: np.ndarray  # (term, fold, domain): in how many examples of the other folds
+    rows: np.ndarray  # (fold, domain): examples of the other folds
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray | None  # (features + 1, domains)
 
-    def evidence(self, text: str, own: int | None = None) -> list[float]:
-        """For each domain but the first: the mean and the strong part of the log ratios of a text's terms; ``own``: an example's domain."""
+    def evidence(self, text: str) -> list[float]:
+        """For each domain: the sum, the strong part and the strongest of the log ratios of a text's terms in the other folds."""
+        own = fold(text)
         found = np.array([i for w in set(TERM.findall(text.lower())) if (i := self.terms.get(w)) is not None], np.int64)
-        if not len(found):
+        n, rows = self.counts[found, own].astype(float), self.rows[own].astype(float)
+        n = n[n.sum(1) > 0]  # terms that the other folds have
+        if not len(n):
             return [0.0] * (3 * len(DOMAINS))
-        n = self.counts[found].astype(float)
-        rows = self.rows.astype(float)
-        if own is not None:
-            n[:, own] -= 1
-            rows[own] -= 1
         share = (rows + 1) / (rows.sum() + len(rows))
         ratio = np.log((n + SMOOTH * share) / ((n.sum(1, keepdims=True) + SMOOTH) * share))
         strong = np.maximum(ratio - STRONG, 0)
-        return [*(ratio.sum(0) / np.sqrt(len(found))), *np.log1p(strong.sum(0)), *strong.max(0)]
+        return [*(ratio.sum(0) / np.sqrt(len(n))), *np.log1p(strong.sum(0)), *strong.max(0)]
 
-    def features(self, texts: list[str], own: list[int] | None = None) -> np.ndarray:
-        return np.array([shape(t) + self.evidence(t, own[i] if own else None) for i, t in enumerate(texts)]).reshape(len(texts), 8 + 3 * len(DOMAINS))
+    def features(self, texts: list[str]) -> np.ndarray:
+        return np.array([shape(t) + self.evidence(t) for t in texts]).reshape(len(texts), 8 + 3 * len(DOMAINS))
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -100,35 +108,43 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def train(rows: DataFrame, ridge: float = 2e-3, steps: int = 400) -> Classifier:
+def train(rows: DataFrame, ridge: float = RIDGE, steps: int = 400) -> Classifier:
     """A softmax regression by accelerated gradient descent on the driver; ``rows`` is bounded."""
     width = len(DOMAINS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list[int]] = {}
+            held: dict[tuple[str, int, int], int] = {}
             for text, d in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist(), strict=True):
+                f = fold(text or "")
                 for w in set(TERM.findall((text or "").lower())):
-                    held.setdefault(w, [0] * width)[d] += 1
-            yield pa.record_batch([pa.array(list(held), pa.string()), *(pa.array([n[d] for n in held.values()], pa.int64()) for d in range(width))], names=["term", *(f"n{d}" for d in range(width))])
-
-    counted = rows.select("text", "domain").mapInArrow(count, "term string, " + ", ".join(f"n{d} long" for d in range(width)))
-    got = counted.groupBy("term").agg(*(F.sum(f"n{d}").alias(f"n{d}") for d in range(width))).orderBy("term").toArrow()  # terms of the bounded sample
-    of = np.zeros(width)
-    for r in rows.groupBy("domain").count().collect():
-        of[r["domain"]] = r["count"]
-    counts = np.column_stack([got.column(f"n{d}").to_numpy() for d in range(width)]).astype(np.int32).reshape(-1, width)
+                    held[w, f, d] = held.get((w, f, d), 0) + 1
+            terms, cells = [w for w, _, _ in held], [f * width + d for _, f, d in held]
+            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(cells, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["term", "cell", "n"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [fold(t or "") * width + d for t, d in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist())]
+            yield pa.record_batch([pa.array(cells, pa.int32())], names=["cell"])
+
+    counted = rows.select("text", "domain").mapInArrow(count, "term string, cell int, n long").groupBy("term", "cell").agg(F.sum("n").alias("n"))
+    got = counted.orderBy("term", "cell").toArrow()  # terms of the bounded sample
+    term, place = np.unique(np.array(got.column("term").to_pylist(), object).astype(str), return_inverse=True)
+    of, counts = np.zeros(FOLDS * width), np.zeros((len(term), FOLDS * width), np.int16)
+    counts[place, got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    for r in rows.select("text", "domain").mapInArrow(tally, "cell int").groupBy("cell").count().collect():
+        of[r["cell"]] = r["count"]
+    of, counts = of.reshape(FOLDS, width), counts.reshape(-1, FOLDS, width)
     k = 8 + 3 * width
-    model = Classifier({w: i for i, w in enumerate(got.column("term").to_pylist())}, counts, of, np.zeros(k), np.ones(k), None)
-    if (of > 0).sum() < 2:
+    model = Classifier(dict(zip(term.tolist(), range(len(term)))), counts.sum(1, keepdims=True, dtype=np.int16) - counts, of.sum(0) - of, np.zeros(k), np.ones(k), None)
+    if (of.sum(0) > 0).sum() < 2:
         return model
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("domain").to_pylist()
-            x = shared.value.features([t or "" for t in batch.column("text").to_pylist()], own)
-            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), pa.array(own, pa.int32())], names=["x", "domain"])
+            x = shared.value.features([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column("domain")], names=["x", "domain"])
 
     got = rows.orderBy("doc_id", "text").select("text", "domain").mapInArrow(work, "x array<double>, domain int").toArrow()
     y = got.column("domain").to_numpy()
@@ -136,7 +152,7 @@ def train(rows: DataFrame, ridge: float = 2e-3, steps: int = 400) -> Classifier:
     model.mean = x.mean(0)
     model.scale = np.sqrt(((x - model.mean) ** 2).mean(0)) + 1e-9
     x = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
-    aim = np.eye(len(DOMAINS))[y]
+    aim, ridge = np.eye(len(DOMAINS))[y], ridge / len(y)
     step = 1 / (0.5 * float(np.linalg.norm(x, 2)) ** 2 / len(x) + ridge)
     w = ahead = np.zeros((x.shape[1], len(DOMAINS)))
     for i in range(steps):
@@ -199,6 +215,11 @@ class Rates:
     reached: np.ndarray
     settled: bool = True
 
+    @property
+    def met(self) -> bool:
+        """Whether each total lies within ``MET`` of its target, or within a thousandth of all tokens."""
+        return bool((np.abs(self.reached - self.targets) <= np.maximum(MET * self.targets, 1e-3 * self.targets.sum())).all())
+
     def of(self, members: DataFrame) -> DataFrame:
         """``members`` with ``rate``."""
         names, steps, bounds = members.columns, self.steps, self.bounds
@@ -282,7 +303,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, share
         kept.drop()
     if not settled:
         warnings.warn(f"the mix has not settled after {steps} steps: {reached.round(1).tolist()} of {aim.round(1).tolist()} tokens", stacklevel=2)
-    return Rates(done, bounds, aim, reached, settled)
+    fit = Rates(done, bounds, aim, reached, settled)
+    if settled and not fit.met:
+        warnings.warn(f"the mix misses its targets: {reached.round(1).tolist()} of {aim.round(1).tolist()} tokens", stacklevel=2)
+    return fit
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = float("inf")) -> DataFrame:

@@ -64,18 +64,42 @@ def test_copies_keep_expectations(spark):
     assert abs(got["n"] / got["r"] - 1) < 0.02
 
 
-def test_evidence_leaves_the_example_out():
-    """Against a direct count: each example's terms weighed by the other examples alone."""
-    texts, domain = ["a b c", "a b", "c d", "d e rude", "rude f", "a rude"], [0, 0, 1, 2, 2, 2]
-    terms = sorted({w for t in texts for w in t.split()})
-    counts = np.array([[sum(w in t.split() for t, d in zip(texts, domain) if d == k) for k in range(3)] for w in terms])
-    model = mixing.Classifier({w: i for i, w in enumerate(terms)}, counts, np.array([2, 1, 3]), np.zeros(1), np.ones(1), None)
-    for i, text in enumerate(texts):
-        rows = [(t, d) for j, (t, d) in enumerate(zip(texts, domain)) if j != i]
-        share = np.array([sum(d == k for _, d in rows) + 1 for k in range(3)]) / (len(rows) + 3)
-        ratio = np.array([[np.log((sum(w in t.split() and d == k for t, d in rows) + mixing.SMOOTH * share[k]) / ((sum(w in t.split() for t, _ in rows) + mixing.SMOOTH) * share[k])) for k in range(3)] for w in text.split()])
+def test_evidence_comes_from_the_other_folds(spark):
+    """Against a direct count: a text's terms weighed by the examples of the other folds alone."""
+    texts = ["a b c", "a b", "c d", "d e rude", "rude f", "a rude", "a b d", "c rude d", "b c", "", "a b c"]
+    domain = [0, 0, 1, 2, 2, 2, 0, 2, 1, 0, 0]
+    rows = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate(zip(texts, domain))], "doc_id long, text string, domain int")
+    model = mixing.train(rows)
+    assert len({mixing.fold(t) for t in texts}) > 2
+    for text in [*texts, "new rude words", "a"]:
+        others = [(t, d) for t, d in zip(texts, domain) if mixing.fold(t) != mixing.fold(text)]
+        share = np.array([sum(d == k for _, d in others) + 1 for k in range(3)]) / (len(others) + 3)
+        known = [w for w in set(text.split()) if any(w in t.split() for t, _ in others)]
+        if not known:
+            assert model.evidence(text) == [0.0] * 9
+            continue
+        ratio = np.array([[np.log((sum(w in t.split() and d == k for t, d in others) + mixing.SMOOTH * share[k]) / ((sum(w in t.split() for t, _ in others) + mixing.SMOOTH) * share[k])) for k in range(3)] for w in known])
         strong = np.maximum(ratio - mixing.STRONG, 0)
-        assert np.allclose(model.evidence(text, domain[i]), [*ratio.sum(0) / np.sqrt(len(ratio)), *np.log1p(strong.sum(0)), *strong.max(0)])
+        assert np.allclose(model.evidence(text), [*ratio.sum(0) / np.sqrt(len(ratio)), *np.log1p(strong.sum(0)), *strong.max(0)])
+
+
+def test_few_rows_of_a_domain(spark, make_docs):
+    """Eight rows of a domain don't pull the others' rows over, and are told apart themselves."""
+    rng = np.random.default_rng(0)
+    plain = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(plain, 60)) for _ in range(120)]
+    toxic = set(range(0, 120, 15))
+    texts = [t + " vile" * 3 + " wretch fool" if i in toxic else t for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: int(np.argmax(r["posterior"])) for r in mixing.memberships(make_docs(texts), labels)[0].collect()}
+    assert np.mean([got[i] == 0 for i in range(120) if i not in toxic]) > 0.97 and sum(got[i] == 2 for i in toxic) >= 6
+
+
+def test_targets_out_of_reach_are_told(spark):
+    df = spark.createDataFrame([(k, 10, [0.9, 0.05, 0.05]) for k in range(50)], "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        fit = mixing.fit_rates(df, {"clean": 0.2, "low": 0.1, "toxic": 0.7}, max_rate=1.0)
+    assert fit.settled and not fit.met
 
 
 def test_unsettled_fits_warn_and_repeated_ids_stay_bounded(spark, make_docs):
