@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, let
 
 try:
     from re import _constants as _c
@@ -192,41 +192,56 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("id", flags.alias("rules")).where("rules <> 0")
 
 
+#: Items that one array grows by before it is put aside, and code points of a block that texts are cut from: neither spans nor cuts cost more in long texts.
+RUN, CUT = 128, 512
+
+
+def _running(items: Column, kind: str, move, emit) -> Column:
+    """``at`` after all items, starting from 0, and ``found``: the ``kind`` that ``emit(at, item)`` gives for each, an array of one or none.
+
+    Items are taken in runs, so that no array is copied more than ``RUN`` times.
+    """
+    start = lambda at, of: F.struct(at.alias("at"), F.array().cast(of).alias("found"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / F.lit(RUN)).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * RUN + 1, RUN))
+    inner = lambda acc, run: F.aggregate(run, start(acc["at"], f"array<{kind}>"), lambda a, x: F.struct(move(a["at"], x).alias("at"), F.concat(a["found"], emit(a["at"], x)).alias("found")))
+    step = lambda acc, run: let(inner(acc, run), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["found"], F.array(r["found"])).alias("found")))
+    return F.aggregate(runs, start(F.lit(0), f"array<array<{kind}>>"), step, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["found"]).alias("found")))
+
+
+SPAN = "struct<s:int,k:int,e:int>"
+
+
 def _spans(text: Column, number: int, rule: Rule) -> Column:
     """All spans of a rule in a text: its gaps and matches alternate, so their lengths give the places."""
     matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     gaps = F.split(text, rule.regex, -1)
     group = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else matches
     parts = F.arrays_zip(F.transform(matches, F.length).alias("m"), F.transform(gaps, F.length).alias("g"), F.transform(group, F.length).alias("w"))
-    span = "struct<s:int,k:int,e:int>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        one = F.array(F.struct(s.alias("s"), F.lit(number).alias("k"), (s + x["m"]).alias("e")).cast(span))
-        return F.struct((s + F.coalesce(x["m"], F.lit(0))).alias("at"), F.when(x["w"] >= rule.min_chars, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(parts, start, step)["found"]
+    end = lambda at, x: at + x["g"] + F.coalesce(x["m"], F.lit(0))
+    span = lambda at, x: F.array(F.struct((at + x["g"]).alias("s"), F.lit(number).alias("k"), end(at, x).alias("e"))).cast(f"array<{SPAN}>")
+    return let(parts, lambda p: _running(p, SPAN, end, lambda at, x: F.when(x["w"] >= rule.min_chars, span(at, x)).otherwise(F.array().cast(f"array<{SPAN}>"))))["found"]
 
 
 def find_secrets(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """Adds ``secret_spans`` array<struct<s,k,e>> (start and end in code points, end exclusive; k numbers the rule).
 
     Spans are ordered by start, then by the rules' order. Candidates come from the index; a rule without
-    mandatory trigrams scans every text.
+    mandatory trigrams scans every text. Other columns pass through, whatever their names; an earlier ``secret_spans`` is replaced.
     """
-    found = Written(candidates(postings(texts, id_col, text_col, rules), rules).select(F.col("id").alias("_cand"), F.col("rules").alias("_rules"))).df
+    texts = texts.select(*(f"`{c}`" for c in texts.columns if c != "secret_spans"))
+    own = {c: f"c{k}" for k, c in enumerate(texts.columns)}  # names that clash with nothing
+    rows = texts.toDF(*own.values())
+    found = Written(candidates(postings(rows, own[id_col], own[text_col], rules), rules).select(F.col("id").alias("candidate"), "rules")).df
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = texts.join(found, texts[id_col].eqNullSafe(found["_cand"]), "left")
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    text = F.col(text_col)
+    rows = rows.join(found, rows[own[id_col]].eqNullSafe(found["candidate"]), "left")
+    text = F.col(own[text_col])
     each = []
     for r, rule in enumerate(rules):
-        picked = F.col("_rules").bitwiseAND(F.lit(1 << r)) != 0 if trigram_query(rule.regex) else F.lit(True)
-        each.append(F.when(picked & text.rlike(rule.regex), _spans(text, r, rule)).otherwise(none).alias(f"_k{r}"))
-    rows = rows.select(*(texts[c] for c in texts.columns), *each)
-    return rows.select(*texts.columns, F.array_sort(F.concat(*(F.col(f"_k{r}") for r in range(len(rules))))).alias("secret_spans"))
+        picked = F.col("rules").bitwiseAND(F.lit(1 << r)) != 0 if trigram_query(rule.regex) else F.lit(True)
+        each.append(F.when(picked & text.rlike(rule.regex), _spans(text, r, rule)).otherwise(F.array().cast(f"array<{SPAN}>")).alias(f"k{r}"))
+    rows = rows.select(*own.values(), *each)
+    return rows.select(*own.values(), F.array_sort(F.concat(*(F.col(f"k{r}") for r in range(len(rules)))))).toDF(*own, "secret_spans")
 
 
 def span_text(spans: Column, rules=RULES) -> Column:
@@ -237,15 +252,28 @@ def span_text(spans: Column, rules=RULES) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """Replaces each span of ``secret_spans`` by ``<SECRET>``; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.col(text_col)
+    text, gap = F.col(f"`{text_col}`"), "struct<s:int,e:int>"
+    none = F.array().cast(f"array<{gap}>")
+    # The gaps between spans; a span that begins inside an earlier one opens none.
+    gaps = _running(F.col("secret_spans"), gap, lambda at, x: F.greatest(at, x["e"]), lambda at, x: F.when(x["s"] >= at, F.array(F.struct(at.alias("s"), x["s"].alias("e"))).cast(f"array<{gap}>")).otherwise(none))
+
+    def piece(blocks: Column, s: Column, e: Column) -> Column:
+        first = F.floor(s / CUT).cast("int")
+        last = F.floor(F.greatest(e - 1, s) / CUT).cast("int")
+
+        def part(block: Column, i: Column) -> Column:
+            at = (first + i) * CUT
+            begin = F.greatest(s - at, F.lit(0))
+            return F.substring(block, begin + 1, F.greatest(e - at - begin, F.lit(0)))
+
+        return F.array_join(F.transform(F.slice(blocks, first + 1, last - first + 1), part), "")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<SECRET>"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+    def whole(x: Column) -> Column:
+        kept = F.transform(x["gaps"]["found"], lambda g: F.concat(piece(x["blocks"], g["s"], g["e"]), F.lit("<SECRET>")))
+        return F.concat(F.array_join(kept, ""), piece(x["blocks"], x["gaps"]["at"], F.length(text)))
 
-    whole = F.aggregate(F.col("secret_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("secret_spans") > 0, whole).otherwise(text))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("blocks"), gaps.alias("gaps"))
+    return df.withColumn(text_col, F.when(F.size("secret_spans") > 0, let(parts, whole)).otherwise(text))
 
 
 def report(documents: DataFrame, rules=RULES) -> DataFrame:
