@@ -5,7 +5,7 @@
 2. Points are dealt into shards of bounded size by a hash of the vector. ``Graph`` builds a shard's hierarchy:
    levels drawn by id, each inserted in blocks, neighbours chosen by the usual diversity rule.
 3. A recall audit compares ``AUDIT`` queries with brute force in each shard; while it fails, the shard's beam doubles.
-   Graphs are files in the shared scratch space; every block of points goes through every shard's graph, one task each. A
+   Graphs are files in the shared scratch space; every block of points goes through every shard's graph, many blocks a task. A
    beam still full of neighbours near the threshold is widened until its worst lies below it, so dense groups lose nothing.
 4. Cosines are confirmed in double precision. Links are counted with multiplicities and their components
    united without moving all links of a dense group: each search task folds its links into a forest, chunk by chunk.
@@ -33,6 +33,7 @@ M = 12
 SHARD = 65_536  # points at most; fewer shards mean fewer searches for each vector
 SHARD_BYTES = 256 << 20  # of a shard's vectors, at most
 BLOCK = 1024
+TASKS = 4096  # of a search, at most
 BEAM = 32
 AUDIT = 256  # queries of a shard's audit
 SEEN, PAIRS = 48_000_000, 4_000_000  # a chunk's marks of seen points, and its compared pairs
@@ -57,6 +58,7 @@ class Graph:
         top = int(level.max(initial=0))
         self.layers: list[np.ndarray] = [np.full((n, 2 * m if k == 0 else m), -1, np.int32) for k in range(top + 1)]
         self.m = m
+        self.loose = np.zeros(0, np.int64)  # points that the graph doesn't lead to, compared with every query
         self.entry = int(self.order[0]) if n else -1
         done = 1
         while done < n:
@@ -87,9 +89,13 @@ class Graph:
 
     def _repair(self) -> None:
         """Gives points that only far ones link to a link from their nearest, and points that no walk reaches
-        in layer 0 one from the nearest point that a walk does reach."""
+        in layer 0 one from the nearest point that a walk does reach.
+
+        A host has ``2 * m`` slots for such links. What would go beyond them, as round a centre that is everyone's nearest, is ``loose``: the
+        memory of a shard stays linear, and no point is lost.
+        """
         table, n = self.layers[0], len(self.x)
-        extra: dict[int, list[int]] = {}
+        slots, used, loose = np.full((n, 2 * self.m), -1, np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
         host, slot = np.nonzero(table >= 0)
         to = table[host, slot]
         score = np.einsum("ij,ij->i", self.x[host], self.x[to])
@@ -98,42 +104,41 @@ class Graph:
         np.maximum.at(best_out, host, score)
         far = best_in < best_out - 0.02
         at = far[host] & (score >= best_out[host])
-        for h, p in zip(to[at].tolist(), host[at].tolist()):
-            extra.setdefault(h, []).append(p)
-        table = self._widened(extra)
-        extra = {}
+        order = np.lexsort((-score[at], to[at]))
+        owner, point = to[at][order], host[at][order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        fits = place < slots.shape[1]
+        slots[owner[fits], place[fits]] = point[fits]
+        np.maximum.at(used, owner[fits], place[fits] + 1)
+        loose[point[~fits]] = True
+        loose[point[fits]] = False  # a tie gave it another host
         reached, front = np.zeros(n, bool), np.array([self.entry])
         reached[front] = True
         while True:
             while len(front):
-                near = np.unique(table[front])
+                near = np.unique(np.concatenate([table[front], slots[front]], 1))
                 front = near[near >= 0]
                 front = front[~reached[front]]
                 reached[front] = True
-            lost = np.flatnonzero(~reached)
+            lost = np.flatnonzero(~reached & ~loose)
             if not len(lost):
                 break
             # The lost points nearest to reached ones come first; their own links may reach the others.
-            inside = np.flatnonzero(reached)
+            inside = np.flatnonzero(reached & (used < slots.shape[1]))
             some = lost[:512]
+            if not len(inside):
+                loose[some] = True
+                continue
             score = self.x[some] @ self.x[inside].T
-            host = inside[score.argmax(1)]
             best = int(score.max(1).argmax())
-            extra.setdefault(int(host[best]), []).append(int(some[best]))
+            owner = int(inside[score[best].argmax()])
+            slots[owner, used[owner]] = some[best]
+            used[owner] += 1
             front = np.array([some[best]])
             reached[front] = True
-        self._widened(extra)
-
-    def _widened(self, extra: dict[int, list[int]]) -> np.ndarray:
-        """Layer 0 with further links."""
-        table = self.layers[0]
-        if extra:
-            wide = np.full((len(self.x), table.shape[1] + max(map(len, extra.values()))), -1, np.int32)
-            wide[:, : table.shape[1]] = table
-            for host, new in extra.items():
-                wide[host, table.shape[1] : table.shape[1] + len(new)] = new
-            self.layers[0] = wide
-        return self.layers[0]
+        self.loose = np.flatnonzero(loose)
+        if used.any():
+            self.layers[0] = np.concatenate([table, slots[:, : used.max()]], 1)
 
     def _pick(self, center: np.ndarray, found: np.ndarray, score: np.ndarray, width: int) -> np.ndarray:
         """Diverse neighbours, nearest first; what diversity leaves free is filled by the nearest left."""
@@ -227,9 +232,9 @@ class Graph:
         return ids, sim, fresh
 
     @classmethod
-    def restored(cls, unit: np.ndarray, layers: list[np.ndarray], entry: int) -> Graph:
+    def restored(cls, unit: np.ndarray, layers: list[np.ndarray], entry: int, loose: np.ndarray) -> Graph:
         self = cls.__new__(cls)
-        self.x, self.layers, self.entry = np.ascontiguousarray(unit, np.float32), layers, entry
+        self.x, self.layers, self.entry, self.loose = np.ascontiguousarray(unit, np.float32), layers, entry, loose
         return self
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +276,13 @@ def _searched(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, b
     """
     n = len(unit)
     todo, width = np.arange(len(q)), min(beam, n)
+    apart = np.zeros(n, bool)
+    apart[graph.loose] = True
+    for k in range(0, len(q), step := max(16, PAIRS // max(1, len(graph.loose)))) if len(graph.loose) else ():
+        part = np.arange(k, min(k + step, len(q)))
+        full = q[part] @ unit[graph.loose].T
+        a, p = np.nonzero(full >= threshold)
+        yield part, part[a], graph.loose[p], full.max(1)
     while len(todo):
         rest = []
         whole = width > beam and WHOLE * width >= n
@@ -279,7 +291,7 @@ def _searched(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, b
             part = todo[k : k + chunk]
             if whole:
                 full = q[part] @ unit.T
-                a, p = np.nonzero(full >= threshold)
+                a, p = np.nonzero((full >= threshold) & ~apart)
                 yield part, part[a], p, full.max(1)
                 continue
             ids, sim = graph.search(q[part], width)
@@ -287,7 +299,7 @@ def _searched(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, b
             rest.append(part[more])
             a, c = np.nonzero((sim >= threshold - MARGIN) & ~more[:, None])
             p = ids[a, c]
-            sure = np.einsum("ij,ij->i", q[part[a]], unit[p]) >= threshold
+            sure = (np.einsum("ij,ij->i", q[part[a]], unit[p]) >= threshold) & ~apart[p]
             yield part, part[a][sure], p[sure], sim[:, 0].astype(float)
         todo = np.concatenate(rest) if rest else np.zeros(0, int)
         width = min(4 * width, n)
@@ -331,16 +343,16 @@ def _save(path: str, **arrays: np.ndarray) -> None:
 
 @lru_cache(maxsize=1)
 def _graph(path: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    unit, ids, copies, layers, entry = _points(path)
-    return Graph.restored(unit, layers, entry), unit, ids, copies
+    unit, ids, copies, layers, entry, loose = _points(path)
+    return Graph.restored(unit, layers, entry, loose), unit, ids, copies
 
 
 @lru_cache(maxsize=2)
-def _points(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], int]:
+def _points(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], int, np.ndarray]:
     store, at = fs.FileSystem.from_uri(path)
     with store.open_input_file(at) as f:
         z = np.load(io.BytesIO(f.read()))
-        return z["unit"], z["ids"], z["copies"], [z[f"layer{k}"] for k in range(int(z["layers"]))], int(z["entry"])
+        return z["unit"], z["ids"], z["copies"], [z[f"layer{k}"] for k in range(int(z["layers"]))], int(z["entry"]), z["loose"]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -371,7 +383,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             g, path = Graph(unit), f"{folder}/{uuid.uuid4().hex}.npz"
             own = [x for x in asked if len(x) == unit.shape[1]]
             beam, recall = audit(g, unit, _unit(np.stack(own)) if own else unit[:0], threshold)
-            _save(path, unit=unit, ids=ids[r], copies=copies[r], entry=np.array(g.entry), layers=np.array(len(g.layers)), **{f"layer{k}": t for k, t in enumerate(g.layers)})
+            _save(path, unit=unit, ids=ids[r], copies=copies[r], entry=np.array(g.entry), loose=g.loose, layers=np.array(len(g.layers)), **{f"layer{k}": t for k, t in enumerate(g.layers)})
             out.append({"path": path, "dim": unit.shape[1], "n": len(unit), "beam": beam, "recall": recall})
         return pa.Table.from_pylist(out, schema=pa.schema([("path", pa.string()), ("dim", pa.int64()), ("n", pa.int64()), ("beam", pa.int64()), ("recall", pa.float64())]))
 
@@ -379,20 +391,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = points.df.select("id", "copies", "v", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("s")).repartitionByRange(shards, "s")
     built = Written(dealt.groupBy("s").applyInArrow(build, "path string, dim long, n long, beam long, recall double"))
     graphs = built.df.orderBy("path").collect()  # a row for each shard
-    # Every block of points is asked in every shard of its dimension; a shard's tasks follow each other.
-    width = {d: sorted((g["path"], k, min(k + block, g["n"])) for g in graphs if g["dim"] == d for k in range(0, g["n"], block)) for d in {g["dim"] for g in graphs}}
-    first = np.cumsum([0, *(len(width[g["dim"]]) for g in graphs)])
-    tasks = int(first[-1])
+    # Every block of points is asked in every shard of its dimension. A search's number gives the shard, then the block; tasks take runs
+    # of them, so that a shard's graph is read once for many blocks.
+    own = {d: [g for g in graphs if g["dim"] == d] for d in {g["dim"] for g in graphs}}
+    blocks = {d: np.cumsum([0, *(-(-g["n"] // block) for g in gs)]) for d, gs in own.items()}
+    asking = {d: [(g["path"], g["n"]) for g in gs] for d, gs in own.items()}
+    asked_in = [(g["path"], g["dim"], g["beam"]) for g in graphs]
+    first = np.cumsum([0, *(int(blocks[g["dim"]][-1]) for g in graphs)])
+    searches = int(first[-1])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 i = int(np.searchsorted(first, t, "right")) - 1
-                path, low, high = width[graphs[i]["dim"]][t - int(first[i])]
-                graph, unit, own, copies = _graph(graphs[i]["path"])
-                q, ids = (x[low:high] for x in _points(path)[:2])
+                path, dim, beam = asked_in[i]
+                at = t - int(first[i])
+                j = int(np.searchsorted(blocks[dim], at, "right")) - 1
+                low = (at - int(blocks[dim][j])) * block
+                graph, unit, own, copies = _graph(path)
+                q, ids = (x[low : low + block] for x in _points(asking[dim][j][0])[:2])
                 count, parts = np.zeros(len(ids), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-                for a, p in links_in_shard(graph, unit, q, threshold, graphs[i]["beam"]):
+                for a, p in links_in_shard(graph, unit, q, threshold, beam):
                     other = ids[a] != own[p]
                     a, p = a[other], p[other]
                     count += np.bincount(a, copies[p], len(ids)).astype(np.int64)
@@ -403,7 +422,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 blank = np.zeros(len(x), np.int64)
                 yield pa.record_batch([pa.array(np.concatenate([ids, x])), pa.array(np.concatenate([ids, y])), pa.array(np.concatenate([count, blank]))], names=["id", "low", "n"])
 
-    found = Written(spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(search, "id long, low long, n long"))
+    found = Written(spark.range(0, searches, 1, max(1, min(searches, TASKS))).mapInArrow(search, "id long, low long, n long"))
     remove(spark, folder)
     recall = min((g["recall"] for g in graphs), default=1.0)
     count = found.df.groupBy("id").agg(F.sum("n").alias("n"))

@@ -110,3 +110,34 @@ def test_graph_recall():
     ids, sim = g.search(q, 96)
     assert (sim[:, 0] >= (q @ x[:1200].T).max(1) - 1e-6).mean() >= 0.9
     assert ((ids[:, :1] >= 0) & (ids[:, :1] < 1200)).all()
+
+
+def test_a_centre_keeps_the_graph_linear():
+    """Points round one centre: all would link to it, and all are found."""
+    rng = np.random.default_rng(3)
+    for n in (1000, 3000):
+        centre = np.zeros(32)
+        centre[0] = 1
+        side = rng.normal(size=(n, 32))
+        side[:, 0] = 0
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        unit = np.concatenate([centre[None], 0.9 * centre + np.sqrt(1 - 0.81) * side])
+        graph = hnsw.Graph(unit)
+        assert graph.layers[0].shape[1] <= 4 * hnsw.M and graph.layers[0].nbytes <= 16 * hnsw.M * (n + 1)
+        for threshold in (0.95, 0.89):
+            beam, recall = hnsw.audit(graph, unit, unit[::7], threshold)
+            got = {(int(a), int(p)) for x in hnsw.links_in_shard(graph, unit, unit, threshold, beam) for a, p in zip(*x)}
+            want = set(zip(*(x.tolist() for x in np.nonzero(unit @ unit.T >= threshold))))
+            assert got <= want and len(got) >= 0.99 * len(want) and recall >= 0.99
+            pairs = sum(len(x[0]) for x in hnsw.links_in_shard(graph, unit, unit, threshold, beam))
+            assert pairs == len(got)  # none twice
+
+
+def test_few_tasks_stream_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = vectors(rng, 120)
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    want = brute(list(enumerate(data)))
+    monkeypatch.setattr(hnsw, "TASKS", 3)
+    for r in hnsw.near_duplicates(df, shard=60, block=16).collect():
+        assert (r["n_links"], r["component_id"]) == want[r["vec_id"]]
