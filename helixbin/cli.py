@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--seed", type=int, default=666)
     e.add_argument("--label", default="helixbin", help="names the reports' folder")
     e.add_argument("--reports", default=None, help="a folder for tables of each iteration")
+    e.add_argument("--state", default=None, help="a folder where iterations are committed, so that a run that ended early goes on")
     e.add_argument("--pca_inertia", type=float, default=0.99)
     e.add_argument("--max_components", type=int, default=250)
     e.add_argument("--restarts", type=int, default=DEFAULT_RESTARTS)
@@ -79,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         store = Store(spark, a.input)
         p = Extraction(max_iter=a.max_iter, max_cluster=a.max_cluster, min_rows=a.min_cluster_size, kpca={"inertia": a.kpca_inertia, "t": a.kpca_t}, init=a.init, mode=a.ppmode, seed=a.seed, pca_inertia=a.pca_inertia, max_components=a.max_components, restarts=a.restarts, vb_iter=a.vb_iter, epsilon=a.epsilon, bound=a.bound)
         reports = f"{a.reports.rstrip('/')}/{a.label}" if a.reports else None
-        write_clustering(extract(spark, store.bank()[0], store.load_models(a.models), p, reports), a.outfile)
+        write_clustering(extract(spark, store.bank()[0], store.load_models(a.models), p, reports, a.state), a.outfile)
     return 0
 
 

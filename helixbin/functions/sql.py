@@ -1,4 +1,4 @@
-"""The sequence functions for SQL: temporary functions made of built-in expressions."""
+"""The sequence functions for SQL: temporary functions and table functions made of built-in expressions."""
 
 from __future__ import annotations
 
@@ -15,8 +15,23 @@ FUNCTIONS = {
 }
 
 
+#: Functions that give rows, for ``FROM t, LATERAL f(...)``: chunks as the bank cuts them, and the k-mers of a mask with their places, in canonical form.
+TABLES = {
+    "dna_chunks(s STRING, size INT, overlap INT, least INT)": """TABLE(chunk_ix INT, piece STRING) RETURN
+SELECT j, CASE WHEN merged AND j = n - 2 THEN concat(substring(s, j * (size - overlap) + 1, size), substring(s, (j + 1) * (size - overlap) + 1, size)) ELSE substring(s, j * (size - overlap) + 1, size) END
+FROM (SELECT n, n > 1 AND length(s) - (n - 1) * (size - overlap) < least AS merged FROM (SELECT CASE WHEN length(s) <= size THEN 1 ELSE CAST(ceil((length(s) - size) / (size - overlap)) AS INT) + 1 END AS n)),
+LATERAL explode(sequence(0, n - 1 - CAST(merged AS INT))) AS e(j)""",
+    "dna_kmers(s STRING, mask STRING)": f"""TABLE(place INT, kmer STRING) RETURN
+SELECT i, least(k, reverse(translate(k, '{CODES}', '{COMPLEMENTS}'))) FROM
+(SELECT i, array_join(transform(sequence(1, length(mask)), j -> CASE WHEN substring(mask, j, 1) = '1' THEN substring(s, i + j - 1, 1) ELSE 'x' END), '') AS k
+FROM (SELECT explode(CASE WHEN length(s) >= length(mask) THEN sequence(1, length(s) - length(mask) + 1) ELSE cast(array() AS ARRAY<INT>) END) AS i)) WHERE NOT contains(k, 'N')""",
+}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Creates them in the session; returns their names."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {body}")
-    return [head.split("(")[0] for head in FUNCTIONS]
+    for head, body in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {body}")
+    return [head.split("(")[0] for head in (*FUNCTIONS, *TABLES)]

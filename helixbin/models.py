@@ -49,13 +49,17 @@ class DistanceModel(Model):
 
 @dataclass
 class WordVectorModel(Model):
-    """Sentence vectors of k-mer words; ``fit`` trains word vectors unless a table (``word, vector``) is given."""
+    """Sentence vectors of k-mer words; ``fit`` trains word vectors unless a table (``word, vector``) or a word2vec file is given."""
 
     k: int = 4
     vectors: DataFrame | None = None
     size: int = 100
+    file: str | None = None
+    binary: bool = False
 
     def fit(self, bank: DataFrame) -> Model:
+        if self.vectors is None and self.file:
+            self.vectors = contig2vec.read_vectors(bank.sparkSession, self.file, self.binary)
         if self.vectors is None:
             self.vectors = contig2vec.train(bank, self.k, self.size)
         return self

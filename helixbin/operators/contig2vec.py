@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut, vector_array
-from .kmer import LETTERS, window_codes
+from .kmer import LETTERS, decode, window_codes
 from .reduce import _stack, gram
 
 
@@ -37,13 +37,129 @@ def frequencies(counts: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("total")))).select("word", (F.col("n") / F.col("total")).alias("p"))
 
 
-def train(bank: DataFrame, k: int = 4, size: int = 100, window: int = 5, seed: int = 666, min_count: int = 1, chunks_a_task: int = 5000) -> DataFrame:
-    """``word, vector``: word vectors of the bank's own k-mers; tasks train on ``chunks_a_task`` chunks and are averaged."""
-    from pyspark.ml.feature import Word2Vec
+#: Words up to which the products are done on the driver, over a table of 8 MB; beyond, where the rows are.
+FEW_WORDS = 1024
+#: Steps of the subspace iteration, columns beyond those asked for, and the logarithm's shift as the number of noise words.
+ITERATIONS, SPARE, NOISE = 15, 8, 5
 
-    partitions = max(1, -(-bank.count() // chunks_a_task))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="tokens", outputCol="v", numPartitions=partitions).fit(tokens(bank, k))
-    return model.getVectors().select("word", F.col("vector").cast("string").alias("_v")).select("word", F.from_json("_v", "array<double>").alias("vector"))
+
+def cooccurrences(bank: DataFrame, k: int, window: int = 5) -> DataFrame:
+    """``a, b, n``: how often word b stands at most ``window`` words from word a in a chunk, by the words' codes; symmetric, and 0 for each word with itself at least."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for seq in batch.column("seq").to_pylist():
+                x = window_codes(seq or "", "1" * k, both_strands=False)
+                words.append(np.unique(x))
+                for d in range(1, window + 1):
+                    left += [x[:-d], x[d:]]
+                    right += [x[d:], x[:-d]]
+            pairs, n = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1, return_counts=True)
+            alone = np.unique(np.concatenate(words))  # words without neighbours are words too
+            yield pa.record_batch([pa.array(np.concatenate([pairs[0], alone])), pa.array(np.concatenate([pairs[1], alone])), pa.array(np.concatenate([n, np.zeros(len(alone), np.int64)]))], names=["a", "b", "n"])
+
+    return bank.select("chunk_id", "seq").mapInArrow(work, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def information(pairs: DataFrame, noise: float = NOISE) -> DataFrame:
+    """``a, b, value``: positive pointwise mutual information of word pairs, shifted by ln(noise)."""
+    own = pairs.groupBy("a").agg(F.sum("n").alias("na"))
+    total = own.agg(F.sum("na")).first()[0] or 1
+    other = own.select(F.col("a").alias("b"), F.col("na").alias("nb"))
+    value = F.log(F.col("n") * F.lit(float(total)) / (F.col("na") * F.col("nb").cast("double") * noise))
+    return pairs.join(own, "a").join(other, "b").select("a", "b", value.alias("value")).where("value > 0")
+
+
+def train(bank: DataFrame, k: int = 4, size: int = 100, window: int = 5, seed: int = 666, iterations: int = ITERATIONS) -> DataFrame:
+    """``word, vector``: vectors of the bank's own k-mers, whatever the number of chunks and of partitions.
+
+    The leading eigenvectors of the words' shifted positive mutual information, each times the root of its eigenvalue's size: what skip-gram with
+    negative sampling factorises implicitly (Levy and Goldberg, NIPS 2014). Counts are sums; the eigenvectors come from a subspace
+    iteration whose products are done where the rows are. A step moves words x size numbers, words being 4^k at most.
+    """
+    spark = bank.sparkSession
+    pairs = cut(cooccurrences(bank, k, window))
+    codes = np.array(sorted(r["a"] for r in pairs.select("a").distinct().collect()), np.int64)  # words of the bank: 4^k at most
+    if not len(codes):
+        return spark.createDataFrame([], "word string, vector array<double>")
+    known = information(pairs)
+    if len(codes) <= FEW_WORDS:
+        held = known.toArrow()
+        matrix = np.zeros((len(codes), len(codes)))
+        matrix[np.searchsorted(codes, held.column("a").to_numpy()), np.searchsorted(codes, held.column("b").to_numpy())] = held.column("value").to_numpy()
+        return _leading(spark, k, codes, matrix.__matmul__, size, seed, iterations)
+    rows = cut(known.groupBy("a").agg(F.collect_list("b").alias("b"), F.collect_list("value").alias("value")))
+    def product(q: np.ndarray) -> np.ndarray:
+        """The matrix times ``q``."""
+        shared = spark.sparkContext.broadcast(q)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield pa.record_batch([pa.array([a]), pa.array([(np.array(value) @ shared.value[np.searchsorted(codes, b)]).tobytes()])], names=["a", "y"])
+
+        out = np.zeros_like(q)
+        for r in rows.select("a", "b", "value").mapInArrow(work, "a long, y binary").collect():
+            out[np.searchsorted(codes, r["a"])] = np.frombuffer(r["y"])
+        shared.unpersist()
+        return out
+
+    return _leading(spark, k, codes, product, size, seed, iterations)
+
+
+def _leading(spark: SparkSession, k: int, codes: np.ndarray, product, size: int, seed: int, iterations: int) -> DataFrame:
+    """``word, vector``: the leading eigenvectors of the symmetric matrix that ``product`` multiplies by."""
+    width = min(size + SPARE, len(codes))
+    q = np.linalg.qr(np.random.RandomState(seed % (1 << 32)).normal(size=(len(codes), width)))[0]
+    for _ in range(iterations):
+        q = np.linalg.qr(product(q))[0]
+    small = q.T @ product(q)
+    value, vector = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-np.abs(value), kind="stable")[:size]
+    x = (q @ vector[:, order]) * np.sqrt(np.abs(value[order]))
+    x *= np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1, 1)
+    x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
+    return spark.createDataFrame([(decode(c, "1" * k), v) for c, v in zip(codes.tolist(), x.tolist())], "word string, vector array<double>")
+
+
+def read_vectors(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """``word, vector`` of a word2vec file: text, or binary with numbers of four bytes; other numbers of values than the header says are an error."""
+    if binary:
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    head, _, body = data.partition(b"\n")
+                    n, d = map(int, head.split())
+                    words, vectors, at = [], np.zeros((n, d)), 0
+                    for i in range(n):
+                        end = body.index(b" ", at)
+                        words.append(body[at:end].decode().lstrip("\n"))
+                        vectors[i] = np.frombuffer(body, "<f4", d, end + 1)
+                        at = end + 1 + 4 * d
+                    yield pa.record_batch([pa.array(words), vector_array(vectors)], names=["word", "vector"])
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "word string, vector array<double>")  # a table of 4^k rows
+    lines = spark.read.text(path)
+    parts = F.split(F.trim("value"), r"\s+")
+    head = lines.where(F.size(parts) == 2).where(F.col("value").rlike(r"^\s*\d+\s+\d+\s*$")).limit(1).collect()
+    if not head:
+        raise ValueError(f"{path} has no header")
+    n, d = map(int, head[0]["value"].split())
+    rows = lines.where(F.trim("value") != "").where(~((F.size(parts) == 2) & F.col("value").rlike(r"^\s*\d+\s+\d+\s*$")))
+    checked = F.when(F.size(parts) == d + 1, F.slice(parts, 2, d)).otherwise(F.raise_error(F.lit(f"a word has not {d} values")))
+    return rows.select(F.get(parts, F.lit(0)).alias("word"), checked.cast("array<double>").alias("vector"))
+
+
+def write_vectors(vectors: DataFrame, path: str) -> str:
+    """A word2vec text file of ``word, vector`` in the order of the words, in a folder; a table of 4^k rows."""
+    rows = cut(vectors.select("word", "vector"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    head = rows.sparkSession.createDataFrame([("", f"{size['n']} {size['d'] or 0}")], "word string, value string")
+    text = rows.select("word", F.concat_ws(" ", "word", F.array_join(F.col("vector").cast("array<string>"), " ")).alias("value"))
+    head.unionByName(text).coalesce(1).sortWithinPartitions("word").select("value").write.mode("overwrite").text(path)
+    return path
 
 
 def weighted_means(counts: DataFrame, vectors: DataFrame, a: float = 1e-3) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce as fold
+
 from pyspark.sql import functions as F
 
-from .operators import coverage, reduce
+from .functions import sql
+from .operators import contig2vec, coverage, kmer, reduce
 from .operators.bank import BankSpec
-from .queries import AUTO, _dna_sql, bank
+from .queries import AUTO, _dna_sql, _kmer_sql, bank, contigs
+from .queries_more import ORACLES as MORE
+from .queries_more import _at
+from .scratch import cut, remove
+from .sources import fasta
 
 #: Chunks that overlap much, so that their k-mers repeat.
 DENSE = BankSpec(500, 1000, 400)
@@ -28,7 +36,79 @@ def kmer_coverage_histogram(spark, sf_dir):
     return coverage.kmer_counts_by_chunk(bank(spark, sf_dir, DENSE), K_COVERAGE).groupBy("count").agg(F.sum("n").alias("n"), F.count("*").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (sample_ids, kmer_coverage, kmer_coverage_histogram)}
+def _wrapped(lead: str):
+    return F.regexp_replace("seq", "(.{60})", f"$1\n{lead}")
+
+
+#: Records of the other formats, as text.
+RECORDS = {
+    "fastq": lambda: F.concat(F.lit("@"), "chunk_id", F.lit(" of "), "contig_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq"))),
+    "genbank": lambda: F.concat(F.lit("LOCUS       "), "chunk_id", F.lit("  DNA\nDEFINITION  of "), "contig_id", F.lit("\nORIGIN\n        1 "), _wrapped("        1 "), F.lit("\n//")),
+    "embl": lambda: F.concat(F.lit("ID   "), "chunk_id", F.lit("; SV 1;\nDE   of "), "contig_id", F.lit("\nSQ   Sequence\n     "), _wrapped("     "), F.lit(" 60\n//")),
+}
+
+
+def record_formats(spark, sf_dir):
+    """The bank as files of three formats, which are found by sniffing."""
+    b, out, paths = cut(bank(spark, sf_dir)), [], []
+    for name, record in RECORDS.items():
+        paths.append(_at(spark))
+        b.select(record().alias("value")).write.text(paths[-1])
+        out.append(fasta.read(spark, paths[-1], None).select(F.lit(name).alias("format"), F.col("contig_id").alias("chunk_id"), "description", F.md5("seq").alias("seq_md5")))
+    done = cut(fold(lambda x, y: x.unionByName(y), out))
+    remove(spark, *paths)
+    return done
+
+
+def fasta_sink(spark, sf_dir):
+    """The bank through the data source's writer and its splitting reader."""
+    fasta.register(spark)
+    path = _at(spark)
+    bank(spark, sf_dir).select("chunk_id", "contig_id", "seq").withColumnRenamed("contig_id", "description").write.format("fasta").mode("append").save(path)
+    done = cut(spark.read.format("fasta").option("splitBytes", 100_000).load(f"{path}/*.fasta").select("contig_id", "description", F.md5("seq").alias("seq_md5")))
+    remove(spark, path)
+    return done
+
+
+def _view(df) -> str:
+    name = f"view_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def sql_chunks(spark, sf_dir):
+    """The bank's chunks from SQL text alone."""
+    sql.register(spark)
+    t = _view(contigs(spark, sf_dir).where(f"length(seq) >= {AUTO.min_length}"))
+    return spark.sql(f"SELECT contig_id, chunk_ix, concat_ws('__', contig_id, chunk_ix) AS chunk_id, length(piece) AS length, md5(piece) AS seq_md5 FROM {t}, LATERAL dna_chunks(seq, {AUTO.chunk_size}, {AUTO.letters}, {AUTO.min_length})")
+
+
+def sql_spaced_kmers(spark, sf_dir):
+    sql.register(spark)
+    t = _view(bank(spark, sf_dir))
+    return spark.sql(f"SELECT chunk_id, kmer AS feature, count(*) AS n FROM {t}, LATERAL dna_kmers(seq, '1001001') GROUP BY 1, 2")
+
+
+def word_pairs(spark, sf_dir):
+    """Neighbouring words, and their shifted positive mutual information."""
+    pairs = cut(contig2vec.cooccurrences(bank(spark, sf_dir), 3))
+    both = pairs.where("n > 0").join(contig2vec.information(pairs), ["a", "b"], "left")
+    names = spark.createDataFrame([(int(c), kmer.decode(int(c), "111")) for c in sorted({r["a"] for r in pairs.select("a").distinct().collect()})], "code long, word string")  # 64 words
+    left, right = names.toDF("a", "word"), names.toDF("b", "other")
+    return both.join(left, "a").join(right, "b").select("word", "other", "n", (F.round(F.coalesce("value", F.lit(0.0)), 9) + 0.0).alias("value"))
+
+
+def word_vector_file(spark, sf_dir):
+    """Word vectors that count letters go through a word2vec file before the weighted means."""
+    counts = cut(contig2vec.word_counts(bank(spark, sf_dir), 3))
+    letters = [F.length("word") - F.length(F.replace("word", F.lit(x))) for x in "ACGT"]
+    path = contig2vec.write_vectors(counts.select("word").distinct().select("word", F.array(*(x.cast("double") for x in letters)).alias("vector")), _at(spark))
+    done = cut(contig2vec.weighted_means(counts, contig2vec.read_vectors(spark, path)))
+    remove(spark, path)
+    return done.select("chunk_id", *(F.round(F.col("features")[i], 9).alias(x) for i, x in enumerate("ACGT")))
+
+
+QUERIES = {f.__name__: f for f in (sample_ids, kmer_coverage, kmer_coverage_histogram, record_formats, fasta_sink, sql_chunks, sql_spaced_kmers, word_pairs, word_vector_file)}
 
 _COVERAGE = f"""WITH {_dna_sql(DENSE)}, w AS (SELECT chunk_id, seq, unnest(range(1, length(seq) - {K_COVERAGE} + 2)) AS i FROM bank WHERE length(seq) >= {K_COVERAGE}),
 x AS (SELECT chunk_id, least(substr(seq, i, {K_COVERAGE}), reverse(translate(substr(seq, i, {K_COVERAGE}), 'ATGC', 'TACG'))) AS k FROM w WHERE NOT contains(substr(seq, i, {K_COVERAGE}), 'N')),
@@ -38,4 +118,13 @@ ORACLES = {
     "sample_ids": f"WITH {_dna_sql(AUTO)} SELECT chunk_id FROM bank QUALIFY row_number() OVER (ORDER BY md5('666:' || chunk_id), chunk_id) <= (SELECT count(*) FROM bank) // 4",
     "kmer_coverage": f"{_COVERAGE} SELECT chunk_id, coalesce(median(c), 0.0) AS value FROM bank LEFT JOIN y USING (chunk_id) GROUP BY 1",
     "kmer_coverage_histogram": f"{_COVERAGE}, h AS (SELECT chunk_id, c, count(*) AS n FROM y GROUP BY 1, 2) SELECT CAST(c AS BIGINT) AS count, CAST(sum(n) AS BIGINT) AS n, count(*) AS chunks FROM h GROUP BY 1",
+    "record_formats": f"WITH {_dna_sql(AUTO)} SELECT f.format, chunk_id, 'of ' || contig_id AS description, md5(seq) AS seq_md5 FROM bank, (SELECT unnest(['fastq', 'genbank', 'embl']) AS format) f",
+    "fasta_sink": f"WITH {_dna_sql(AUTO)} SELECT chunk_id AS contig_id, contig_id AS description, md5(seq) AS seq_md5 FROM bank",
+    "sql_chunks": f"WITH {_dna_sql(AUTO)} SELECT contig_id, chunk_ix, chunk_id, CAST(length(seq) AS INTEGER) AS length, md5(seq) AS seq_md5 FROM bank",
+    "sql_spaced_kmers": _kmer_sql("1001001"),
+    "word_pairs": f"""WITH {_dna_sql(AUTO)}, w AS (SELECT chunk_id, list_filter(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3)), lambda x: NOT contains(x, 'N')) AS t FROM bank),
+x AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM w), d AS (SELECT t[i] AS u, unnest(t[i + 1 : i + 5]) AS v FROM x), e AS (SELECT u, v FROM d UNION ALL SELECT v, u FROM d),
+p AS (SELECT u, v, count(*) AS n FROM e GROUP BY 1, 2), m AS (SELECT u, sum(n) AS s FROM p GROUP BY 1)
+SELECT p.u AS word, p.v AS other, n, round(greatest(ln(n::DOUBLE * (SELECT sum(s) FROM m) / (a.s::DOUBLE * b.s * {contig2vec.NOISE})), 0), 9) + 0.0 AS value FROM p JOIN m a ON a.u = p.u JOIN m b ON b.u = p.v""",
+    "word_vector_file": MORE["sif_means"],
 }

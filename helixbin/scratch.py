@@ -33,19 +33,50 @@ def folder(spark: SparkSession) -> str:
     return made
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders through Hadoop's file system; one that isn't there is no error."""
+    for path in paths:
+        with contextlib.suppress(Exception):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` writes within are removed at its end, but for those handed to the function it gives."""
+    made: list[str] = []
+    _scopes.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = getattr(df, "_cut_path", None)
+        if path in made:
+            made.remove(path)
+            if len(_scopes) > 1:
+                _scopes[-2].append(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared scratch space and read again, which cuts the lineage; removed when the process ends."""
+    """Written to the shared scratch space and read again, which cuts the lineage; removed when its scope or the process ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/helixbin-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def numbered(rows: DataFrame, *order: str, name: str) -> DataFrame:

@@ -84,9 +84,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         import glob
         import os
+        import re
 
         out = []
-        for p in sorted(glob.glob(self.path)):
+        for p in sorted(glob.glob(re.sub("^file:/+", "/", self.path))):
             whole = os.path.getsize(p)
             step = whole or 1 if p.endswith(".gz") else self.size
             out += [Span(p, at, min(at + step, whole)) for at in range(0, whole, step)]

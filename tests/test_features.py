@@ -249,3 +249,58 @@ def test_word_means_in_the_task_equal_joined_ones(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
     with pytest.raises(KeyError):
         contig2vec.embed(b, 2, table.where("word <> 'GG'"))
+
+
+def test_word_vectors_do_not_depend_on_partitions_or_place(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"c{i}", "".join(rng.choice(list("AACGT"), 300)) + "N" + "ACG" * 20) for i in range(30)] + [("short", "TTT"), ("none", "N"), ("empty", "")]
+    b = spark.createDataFrame(rows, "chunk_id string, seq string")
+    one = {r["word"]: r["vector"] for r in contig2vec.train(b, 3, 10).collect()}
+    monkeypatch.setattr(contig2vec, "FEW_WORDS", 0)
+    for parts in (b, b.repartition(7)):
+        other = {r["word"]: r["vector"] for r in contig2vec.train(parts, 3, 10).collect()}
+        assert set(other) == set(one)
+        x, y = (np.array([v[w] for w in sorted(one)]) for v in (one, other))
+        assert np.linalg.norm(x @ x.T - y @ y.T) < 1e-4 * np.linalg.norm(x @ x.T)  # single columns turn where eigenvalues are close
+    # Against a count of all pairs, and the eigenvectors of the whole matrix.
+    words = sorted(one)
+    n = np.zeros((len(words), len(words)))
+    for _, s in rows:
+        t = [s[i : i + 3] for i in range(len(s) - 2) if "N" not in s[i : i + 3]]
+        for i, w in enumerate(t):
+            for v in t[i + 1 : i + 6]:
+                n[words.index(w), words.index(v)] += 1
+    n = n + n.T
+    own = n.sum(1)
+    with np.errstate(divide="ignore"):
+        m = np.maximum(np.log(n * n.sum() / np.outer(own, own) / contig2vec.NOISE), 0)
+    value, vector = np.linalg.eigh(m)
+    top = np.argsort(-np.abs(value))[:10]
+    want = (vector[:, top] * np.abs(value[top])) @ vector[:, top].T
+    got = np.array([one[w] for w in words])
+    assert np.linalg.norm(got @ got.T - want) < 0.05 * np.linalg.norm(want)
+    assert len(contig2vec.embed(b, 3, size=10).collect()) == 31
+
+
+def test_word_vector_files(spark, tmp_path):
+    import struct
+
+    vectors = {"AAA": [1.5, -2.0, 0.25], "ACG": [0.0, 1e-3, 7.0], "TTT": [3.0, 2.0, 1.0]}
+    table = spark.createDataFrame(list(vectors.items()), "word string, vector array<double>")
+    path = contig2vec.write_vectors(table, str(tmp_path / "v"))
+    assert {r["word"]: r["vector"] for r in contig2vec.read_vectors(spark, path).collect()} == vectors
+    for end in (b"", b"\n"):
+        (tmp_path / "v.bin").write_bytes(b"3 3\n" + b"".join(w.encode() + b" " + struct.pack("<3f", *v) + end for w, v in vectors.items()))
+        got = {r["word"]: r["vector"] for r in contig2vec.read_vectors(spark, str(tmp_path / "v.bin"), binary=True).collect()}
+        assert set(got) == set(vectors) and all(np.allclose(got[w], vectors[w]) for w in got)
+    (tmp_path / "bad.txt").write_text("2 3\nAAA 1 2 3\nAAC 1 2\n")
+    with pytest.raises(Exception, match="has not 3 values"):
+        contig2vec.read_vectors(spark, str(tmp_path / "bad.txt")).collect()
+    (tmp_path / "none.txt").write_text("AAA 1 2 3\n")
+    with pytest.raises(ValueError, match="no header"):
+        contig2vec.read_vectors(spark, str(tmp_path / "none.txt"))
+    from helixbin.models import WordVectorModel
+
+    b = spark.createDataFrame([("c", "AAACG")], "chunk_id string, seq string")
+    with pytest.raises(KeyError):
+        WordVectorModel(3, file=path).fit_transform(b)

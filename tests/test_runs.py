@@ -50,7 +50,7 @@ def test_fastq_and_data_source(spark, fasta_file, tmp_path):
     fasta.register(spark)
     assert {r["contig_id"]: r["seq"] for r in spark.read.format("fasta").load(str(z)).collect()} == {f"s{i}": s for i, s in enumerate(seqs)}
     with pytest.raises(ValueError):
-        fasta.read(spark, path, "embl")
+        fasta.read(spark, path, "sam")
 
 
 def test_gff_and_reports(spark, tmp_path):
@@ -85,6 +85,52 @@ def test_characterize_extract_and_store(spark, fasta_file, tmp_path):
         Extraction(init="x")
 
 
+def test_a_run_that_was_killed_goes_on(spark, fasta_file, tmp_path, monkeypatch):
+    from helixbin import scratch
+    from helixbin.operators import post, vbgmm
+
+    path, _ = fasta_file
+    bank = scratch.cut(banks.build(fasta.read(spark, path), BankSpec(100, 300, 0)))
+    models = {"kmers3": scratch.cut(DEFAULT_MODELS["kmers3"](bank))}
+    p = Extraction(max_iter=3, max_cluster=6, restarts=2, min_rows=10, vb_iter=20)
+    # One cluster is accepted at a time, so that several iterations run.
+    verdicts = post.verdicts
+    monkeypatch.setattr(post, "verdicts", lambda s: (v := verdicts(s)).withColumn("accepted", v["accepted"] & (v["cluster"] == v.where("accepted").selectExpr("min(cluster) AS c").first()["c"])))
+    table = lambda df: sorted(map(tuple, df.collect()))
+    whole, fit, calls = table(extract(spark, bank, models, p)), vbgmm.fit, []
+    assert len({r[2] for r in whole}) > 2
+
+    def dying(*a, **k):
+        calls.append(1)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return fit(*a, **k)
+
+    monkeypatch.setattr(vbgmm, "fit", dying)
+    state = str(tmp_path / "state")
+    with pytest.raises(KeyboardInterrupt):
+        extract(spark, bank, models, p, state=state)
+    assert spark.read.parquet(f"{state}/commits").count() == 1
+    assert table(extract(spark, bank, models, p, state=state)) == whole
+    done = len(calls)
+    assert table(extract(spark, bank, models, p, state=state)) == whole and len(calls) == done  # complete: read again
+    with pytest.raises(ValueError, match="other parameters"):
+        extract(spark, bank, models, Extraction(max_iter=4), state=state)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from helixbin import scratch
+
+    with scratch.scope(spark):
+        with scratch.scope(spark) as keep:
+            gone, kept = scratch.cut(spark.range(5)), keep(scratch.cut(spark.range(6)))
+            files = gone.inputFiles()[0].removeprefix("file://"), kept.inputFiles()[0].removeprefix("file://")
+        assert not os.path.exists(files[0]) and os.path.exists(files[1]) and kept.count() == 6
+    assert not os.path.exists(files[1])
+
+
 def test_command_line(spark, fasta_file, tmp_path, capsys):
     path, _ = fasta_file
     out = str(tmp_path / "cli")
