@@ -9,6 +9,7 @@ from .operators.bank import BankSpec, must_link_stats
 from .plans.pipeline import DEFAULT_MODELS, Extraction, characterize, extract
 from .session import session
 from .sources import fasta
+from .operators.reduce import KERNELS
 from .operators.vbgmm import DEFAULT_RESTARTS
 from .sources.tables import Store, rewrite, write_clustering
 
@@ -41,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--max_cluster", type=int, default=600)
     e.add_argument("--kpca_inertia", type=float, default=0.85)
     e.add_argument("--kpca_t", type=float, default=0.33)
+    e.add_argument("--kernel", default="cosine", choices=list(KERNELS))
     e.add_argument("--init", default="kmeans", choices=["kmeans", "mustlink"])
     e.add_argument("--ppmode", default="reassigntiny", choices=["nopostprocessing", "reassigntiny"])
     e.add_argument("--min_cluster_size", type=int, default=50)
@@ -78,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
             rewrite(store)
     else:
         store = Store(spark, a.input)
-        p = Extraction(max_iter=a.max_iter, max_cluster=a.max_cluster, min_rows=a.min_cluster_size, kpca={"inertia": a.kpca_inertia, "t": a.kpca_t}, init=a.init, mode=a.ppmode, seed=a.seed, pca_inertia=a.pca_inertia, max_components=a.max_components, restarts=a.restarts, vb_iter=a.vb_iter, epsilon=a.epsilon, bound=a.bound)
+        p = Extraction(max_iter=a.max_iter, max_cluster=a.max_cluster, min_rows=a.min_cluster_size, kpca={"inertia": a.kpca_inertia, "t": a.kpca_t, "kernel": a.kernel}, init=a.init, mode=a.ppmode, seed=a.seed, pca_inertia=a.pca_inertia, max_components=a.max_components, restarts=a.restarts, vb_iter=a.vb_iter, epsilon=a.epsilon, bound=a.bound)
         reports = f"{a.reports.rstrip('/')}/{a.label}" if a.reports else None
         write_clustering(extract(spark, store.bank()[0], store.load_models(a.models), p, reports, a.state), a.outfile)
     return 0

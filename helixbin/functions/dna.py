@@ -51,6 +51,11 @@ def check_mask(mask: str) -> str:
     return mask
 
 
+def valid_mask(mask: Column) -> Column:
+    """What ``check_mask`` asks for, as an expression."""
+    return mask.rlike("^1[01]*1$") & (mask == F.reverse(mask))
+
+
 def maskify(kmer: Column, mask: str) -> Column:
     """Positions under 0 become x, then the canonical form is taken."""
     check_mask(mask)

@@ -101,7 +101,11 @@ def chunk(contigs: DataFrame, spec: BankSpec) -> DataFrame:
 def build(contigs: DataFrame, spec: BankSpec | None = None) -> DataFrame:
     """The bank of ``contig_id, contig_ord, seq``; a later contig of the same id replaces an earlier one."""
     spec = spec or BankSpec()
-    kept = latest_by_id(keep_contigs(contigs, spec)).withColumn("seq", sanitize(F.col("seq"), spec.mode, spec.case))
+    kept = keep_contigs(contigs, spec)
+    # A look at the ids alone, for which no sequence is read where they have a column of their own.
+    if contigs.groupBy("contig_id").agg(F.count("*").alias("n")).where("n > 1 AND contig_id IS NOT NULL").limit(1).count():
+        kept = latest_by_id(kept)
+    kept = kept.withColumn("seq", sanitize(F.col("seq"), spec.mode, spec.case))
     return chunk(kept, spec).withColumn("seq_ord", F.shiftleft(F.col("contig_ord").cast("long"), 24) + F.col("chunk_ix"))
 
 
@@ -110,7 +114,7 @@ FEW_REPEATS = 1_000_000
 
 
 def latest_by_id(contigs: DataFrame) -> DataFrame:
-    """Keeps the last contig of each id. Ids alone are looked at first; sequences only move where many repeat."""
+    """Keeps the last contig of each id. Ids and lengths are looked at first; sequences only move where many repeat."""
     last = contigs.groupBy("contig_id").agg(F.max("contig_ord").alias("_last"), F.count("*").alias("_n")).where("_n > 1 AND contig_id IS NOT NULL").select("contig_id", "_last")
     n = last.limit(FEW_REPEATS + 1).count()
     if not n:

@@ -130,21 +130,67 @@ def z_scores(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "features").mapInArrow(work, VECTORS)
 
 
-def cosine_kpca(rows: DataFrame, inertia: float = 0.85, t: float = 0.2, min_comp: int = 3, seed: int = 666) -> tuple[DataFrame, np.ndarray]:
+def cosine_kpca(rows: DataFrame, inertia: float = 0.85, t: float = 0.2, min_comp: int = 3, seed: int = 666, unit: bool = True) -> tuple[DataFrame, np.ndarray]:
     """z-scored cosine kernel PCA, fitted on a share ``t`` of the rows; and the kept shares of variance.
 
-    Kept are the components whose cumulative share stays below ``inertia``, ``min_comp`` at least.
+    Kept are the components whose cumulative share stays below ``inertia``, ``min_comp`` at least. ``unit``: rows are scaled to length 1.
     """
     if not 0 < inertia <= 1 or not 0 < t <= 1:
         raise ValueError("inertia and t have to lie in (0, 1]")
     rows = cut(rows.select("chunk_id", "features"))  # read four times
     part = rows if t == 1 else sample(rows, max(2, int(rows.count() * t)), seed)
-    fitted = Projection.fit(part, True)
+    fitted = Projection.fit(part, unit)
     positive = int((fitted.ratio > 1e-12).sum())
     n = min(max(int((np.cumsum(fitted.ratio) < inertia).sum()), min_comp), max(positive, 1))
     return z_scores(cut(fitted.cut(n).transform(rows))), fitted.ratio[:n]
 
 
+#: Rows that a kernel other than the cosine is spanned by, at most.
+LANDMARKS = 1000
+KERNELS = ("cosine", "linear", "rbf", "poly", "sigmoid")
+
+
+def _kernel(x: np.ndarray, y: np.ndarray, kind: str, gamma: float, degree: int, coef0: float) -> np.ndarray:
+    if kind == "rbf":
+        return np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0))
+    dot = x @ y.T
+    return dot if kind == "linear" else (gamma * dot + coef0) ** degree if kind == "poly" else np.tanh(gamma * dot + coef0)
+
+
+def landmark_features(rows: DataFrame, kernel: str, gamma: float | None = None, degree: int = 3, coef0: float = 1.0, landmarks: int = LANDMARKS, seed: int = 666) -> DataFrame:
+    """``chunk_id, features`` whose inner products are the kernel's, as far as ``landmarks`` rows span it (Nystrom): exact where they are all rows.
+
+    A row's kernel with the landmarks times the root of their kernel's inverse. ``gamma`` is one over the number of columns if None. Of a
+    kernel that isn't positive the positive part is kept.
+    """
+    if kernel not in KERNELS[1:]:
+        raise ValueError(f"kernel has to be one of {', '.join(KERNELS[1:])}")
+    held = sample(rows.select("chunk_id", "features"), landmarks, seed).orderBy("chunk_id").select("features").toArrow()  # a bounded number of rows
+    if not len(held):
+        return rows.select("chunk_id", "features")
+    marks = held.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+    options = (kernel, 1 / marks.shape[1] if gamma is None else gamma, degree, coef0)
+    value, vector = np.linalg.eigh(_kernel(marks, marks, *options))
+    good = value > 1e-10 * max(value.max(), 0)
+    root = vector[:, good] / np.sqrt(value[good])
+    shared = rows.sparkSession.sparkContext.broadcast((marks, root))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _stack(batch)
+            if len(x):
+                yield pa.record_batch([batch.column(0), vector_array(_kernel(x, shared.value[0], *options) @ shared.value[1])], names=["chunk_id", "features"])
+
+    return rows.select("chunk_id", "features").mapInArrow(work, VECTORS)
+
+
+def kernel_pca(rows: DataFrame, inertia: float = 0.85, t: float = 0.2, min_comp: int = 3, seed: int = 666, kernel: str = "cosine", **options) -> tuple[DataFrame, np.ndarray]:
+    """``cosine_kpca``, or the same over another kernel's ``landmark_features`` (``options``: ``gamma, degree, coef0, landmarks``)."""
+    if kernel == "cosine":
+        return cosine_kpca(rows, inertia, t, min_comp, seed)
+    return cosine_kpca(landmark_features(rows, kernel, seed=seed, **options), inertia, t, min_comp, seed, unit=False)
+
+
 def coordinates(rows: DataFrame, path: str | None = None, force: bool = False) -> DataFrame:
     """``chunk_id, x, y``: the first two principal components of the z-scores, for plots. A table at ``path`` is reused unless ``force``."""
     spark = rows.sparkSession
@@ -182,7 +228,7 @@ def merge_models(models: dict[str, DataFrame], ids: DataFrame, pca_inertia: floa
     """
     kpca = {"seed": seed} | (kpca or {})
     n = ids.count()
-    reduced = {name: cosine_kpca(ids.join(df, "chunk_id"), **{**kpca, "t": sample_size(n, kpca.get("t", 0.2)) / n})[0] for name, df in models.items()}
+    reduced = {name: kernel_pca(ids.join(df, "chunk_id"), **{**kpca, "t": sample_size(n, kpca.get("t", 0.2)) / n})[0] for name, df in models.items()}
     rows = cut(joined(reduced, ids))
     fitted = Projection.fit(sample(rows, sample_size(n, kpca.get("t", 0.2)), seed), False)
     keep = int((np.cumsum(fitted.ratio) <= pca_inertia).sum()) + 1

@@ -66,7 +66,7 @@ def coverage_files(spark, sf_dir):
 
 
 def _genes(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("s"), "l_orderkey").alias("seqid"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 1000 + 1).cast("int").alias("start"), (F.col("l_partkey") % 1000 + F.col("l_quantity")).cast("int").alias("end"))
 
 
@@ -141,7 +141,7 @@ def observed_features(spark, sf_dir):
 
 
 def sanitised(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     modes = {f"{m}_{c}": F.md5(sanitize(F.col("text"), m, c)) for m in ("strict", "iupac") for c in ("preserve",)} | {"strict_upper": F.md5(sanitize(F.translate("text", "éèêëçàâäöüßñíóúáïîôûœæÉÈÊÇÀÂÄÖÜÑÍÓÚÁÔÛ", ""), "strict"))}
     return d.select("doc_id", *(c.alias(k) for k, c in modes.items()))
 
@@ -161,7 +161,7 @@ def sql_functions(spark, sf_dir):
     sql.register(spark)
     view = f"sql_functions_{uuid.uuid4().hex}"
     table(spark, sf_dir, "benchmark").createOrReplaceTempView(view)
-    return spark.sql(f"SELECT item_id, md5(reverse_complement(dna_from_letters(text))) AS rc_md5, dna_sanitize(substring(dna_from_letters(text), 1, 9)) AS head, canonical_kmer(substring(dna_from_letters(text), 1, 6)) AS first, array_join(kmers(substring(dna_from_letters(text), 1, 8), 5), ',') AS words FROM {view}")
+    return spark.sql(f"SELECT item_id, md5(reverse_complement(dna_from_letters(text))) AS rc_md5, md5(dna_sanitize(regexp_replace(text, '[^ -~]', ''))) AS sanitized, md5(canonical_kmer(dna_from_letters(text))) AS strand, md5(array_join(kmers(dna_from_letters(text), 5), ',')) AS words FROM {view}")
 
 
 def mustlink_report(spark, sf_dir):
@@ -223,7 +223,7 @@ QUERIES = {f.__name__: f for f in (
 
 _BANK = f"WITH {_dna_sql(AUTO)}"
 _V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), x AS (SELECT chunk_id, label, f, CAST(i AS INTEGER) AS i, f[i + 1] AS x FROM (SELECT *, unnest(range(0, len(f))) AS i FROM v))"
-_GENES = "g AS (SELECT 's' || l_orderkey AS seqid, l_linenumber AS i, CAST(l_partkey % 1000 + 1 AS INTEGER) AS s, CAST(l_partkey % 1000 + l_quantity AS INTEGER) AS e FROM lineitem WHERE l_linenumber <= 2)"
+_GENES = "g AS (SELECT 's' || l_orderkey AS seqid, l_linenumber AS i, CAST(l_partkey % 1000 + 1 AS INTEGER) AS s, CAST(l_partkey % 1000 + l_quantity AS INTEGER) AS e FROM lineitem)"
 _DNA = "translate(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ATGCATGCATGCATGCATGCATGCAN')"
 _RC = lambda x: f"reverse(translate({x}, 'ATGCYRSWKMBDHVN', 'TACGRYSWMKVHDBN'))"
 _ACCENTS = "éèêëçàâäöüßñíóúáïîôûœæÉÈÊÇÀÂÄÖÜÑÍÓÚÁÔÛ"
@@ -247,9 +247,9 @@ ORACLES = {
     + ", ".join(f"round(sum(w * (3 - length(replace(word, '{x}', '')))) / sum(n), 9) AS \"{x}\"" for x, _ in BLUE) + " FROM w GROUP BY 1",
     "tokens": f"{_BANK}, w AS (SELECT chunk_id, list_filter(list_transform(range(1, length(seq) - 2), lambda i: substr(seq, i, 4)), lambda x: NOT contains(x, 'N')) AS t FROM bank) SELECT chunk_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM w",
     "observed_features": f"SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS place FROM (SELECT DISTINCT feature FROM ({_kmer_sql('101')}))",
-    "sanitised": f"SELECT doc_id, md5(regexp_replace(text, '[^ATGCatgc]', 'N', 'g')) AS strict_preserve, md5(regexp_replace(text, '[^ATGCYRSWKMBDHVNatgcyrswkmbdhvn]', 'N', 'g')) AS iupac_preserve, md5(regexp_replace(upper(translate(text, '{_ACCENTS}', '')), '[^ATGC]', 'N', 'g')) AS strict_upper FROM documents WHERE text IS NOT NULL",
+    "sanitised": f"SELECT doc_id, md5(regexp_replace(text, '[^ATGCatgc]', 'N', 'g')) AS strict_preserve, md5(regexp_replace(text, '[^ATGCYRSWKMBDHVNatgcyrswkmbdhvn]', 'N', 'g')) AS iupac_preserve, md5(regexp_replace(upper(translate(text, '{_ACCENTS}', '')), '[^ATGC]', 'N', 'g')) AS strict_upper FROM documents",
     "mask_validation": "SELECT m AS mask, regexp_full_match(m, '1[01]*1') AND m = reverse(m) AS valid FROM (SELECT unnest([" + ", ".join(f"'{m}'" for m in MASKS) + "]) AS m)",
-    "sql_functions": f"SELECT item_id, md5({_RC(_DNA)}) AS rc_md5, regexp_replace(substr({_DNA}, 1, 9), '[^ATGC]', 'N', 'g') AS head, least(substr({_DNA}, 1, 6), {_RC(f'substr({_DNA}, 1, 6)')}) AS first, array_to_string(list_transform(range(1, length(substr({_DNA}, 1, 8)) - 3), lambda i: substr({_DNA}, i, 5)), ',') AS words FROM benchmark",
+    "sql_functions": f"SELECT item_id, md5({_RC(_DNA)}) AS rc_md5, md5(regexp_replace(upper(regexp_replace(text, '[^ -~]', '', 'g')), '[^ATGC]', 'N', 'g')) AS sanitized, md5(least({_DNA}, {_RC(_DNA)})) AS strand, md5(array_to_string(list_transform(range(1, length({_DNA}) - 3), lambda i: substr({_DNA}, i, 5)), ',')) AS words FROM benchmark",
     "mustlink_report": f"WITH {_TURNS} SELECT ci, cj, n, round(purity, 9) AS perc FROM m JOIN u ON u.cluster = m.ci",
     "mixture_moments": f"WITH {_V} SELECT label AS cluster, count(*) AS n, i, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x) + 1e-3::DOUBLE / count(*), 6) AS variance FROM x GROUP BY label, i",
     "single_component": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(0 AS INTEGER) AS cluster, CAST(2 AS BIGINT) AS restarts, CAST(1 AS INTEGER) AS n_clusters FROM embeddings",

@@ -7,10 +7,10 @@ from functools import reduce as fold
 
 from pyspark.sql import functions as F
 
-from .functions import sql
+from .functions import dna, sql
 from .operators import contig2vec, coverage, kmer, reduce
 from .operators.bank import BankSpec
-from .queries import AUTO, _dna_sql, _kmer_sql, bank, contigs
+from .queries import AUTO, _dna_sql, _kmer_sql, _labelled_vectors, bank, contigs, table
 from .queries_more import ORACLES as MORE
 from .queries_more import _at
 from .scratch import cut, remove
@@ -108,13 +108,36 @@ def word_vector_file(spark, sf_dir):
     return done.select("chunk_id", *(F.round(F.col("features")[i], 9).alias(x) for i, x in enumerate("ACGT")))
 
 
-QUERIES = {f.__name__: f for f in (sample_ids, kmer_coverage, kmer_coverage_histogram, record_formats, fasta_sink, sql_chunks, sql_spaced_kmers, word_pairs, word_vector_file)}
+def order_masks(spark, sf_dir):
+    """Order numbers in binary stand for masks."""
+    mask = F.conv(F.col("o_orderkey"), 10, 2)
+    return table(spark, sf_dir, "orders").select("o_orderkey", mask.alias("mask"), dna.valid_mask(mask).alias("valid"))
+
+
+def kernel_rows(spark, sf_dir):
+    """Where all rows are landmarks, the features' inner products with themselves and their sum are the kernel's: its diagonal and row sums."""
+    rows = _labelled_vectors(spark, sf_dir).select("chunk_id", "features")
+    n, out = rows.count(), []
+    for kernel in ("rbf", "poly"):
+        f = cut(reduce.landmark_features(rows, kernel, landmarks=n))
+        total = F.array(*map(F.lit, reduce.gram(f)[1].tolist()))
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        out.append(f.select(F.lit(kernel).alias("kernel"), "chunk_id", F.round(dot("features", "features"), 6).alias("own"), F.round(dot("features", total) / n, 6).alias("mean")))
+    return fold(lambda x, y: x.unionByName(y), out)
+
+
+QUERIES = {f.__name__: f for f in (kernel_rows, order_masks, sample_ids, kmer_coverage, kmer_coverage_histogram, record_formats, fasta_sink, sql_chunks, sql_spaced_kmers, word_pairs, word_vector_file)}
 
 _COVERAGE = f"""WITH {_dna_sql(DENSE)}, w AS (SELECT chunk_id, seq, unnest(range(1, length(seq) - {K_COVERAGE} + 2)) AS i FROM bank WHERE length(seq) >= {K_COVERAGE}),
 x AS (SELECT chunk_id, least(substr(seq, i, {K_COVERAGE}), reverse(translate(substr(seq, i, {K_COVERAGE}), 'ATGC', 'TACG'))) AS k FROM w WHERE NOT contains(substr(seq, i, {K_COVERAGE}), 'N')),
 o AS (SELECT k, count(*) AS c FROM x GROUP BY 1), y AS (SELECT chunk_id, c FROM x JOIN o USING (k))"""
 
 ORACLES = {
+    "kernel_rows": """WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS f, len(embedding) AS d FROM embeddings),
+k AS (SELECT a.chunk_id, b.chunk_id AS other, list_dot_product(a.f, b.f) AS ab, list_dot_product(a.f, a.f) AS aa, list_dot_product(b.f, b.f) AS bb, a.d FROM v a, v b),
+m AS (SELECT 'rbf' AS kernel, chunk_id, other, exp(-(aa - 2 * ab + bb) / d) AS x FROM k UNION ALL SELECT 'poly', chunk_id, other, (ab / d + 1) ** 3 FROM k)
+SELECT kernel, chunk_id, round(max(x) FILTER (other = chunk_id), 6) AS own, round(avg(x), 6) AS mean FROM m GROUP BY 1, 2""",
+    "order_masks": "SELECT o_orderkey, bin(o_orderkey) AS mask, regexp_full_match(bin(o_orderkey), '1[01]*1') AND bin(o_orderkey) = reverse(bin(o_orderkey)) AS valid FROM orders",
     "sample_ids": f"WITH {_dna_sql(AUTO)} SELECT chunk_id FROM bank QUALIFY row_number() OVER (ORDER BY md5('666:' || chunk_id), chunk_id) <= (SELECT count(*) FROM bank) // 4",
     "kmer_coverage": f"{_COVERAGE} SELECT chunk_id, coalesce(median(c), 0.0) AS value FROM bank LEFT JOIN y USING (chunk_id) GROUP BY 1",
     "kmer_coverage_histogram": f"{_COVERAGE}, h AS (SELECT chunk_id, c, count(*) AS n FROM y GROUP BY 1, 2) SELECT CAST(c AS BIGINT) AS count, CAST(sum(n) AS BIGINT) AS n, count(*) AS chunks FROM h GROUP BY 1",

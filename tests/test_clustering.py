@@ -241,3 +241,32 @@ def test_component_origins(spark):
     assert abs(got[0, 0]["r"] - 1) < 1e-9 and got[0, 0]["p"] < 1e-12
     assert got[0, 2]["r"] is None or np.isnan(got[0, 2]["r"])
     assert abs(got[1, 1]["r"] - np.corrcoef(x[:, 1], y[:, 1])[0, 1]) < 1e-9
+
+
+@pytest.mark.parametrize("kernel,options", [("rbf", {}), ("poly", {"degree": 2, "gamma": 0.5}), ("sigmoid", {"gamma": 0.05}), ("linear", {})])
+def test_kernels_equal_the_dense_ones_with_all_rows_as_landmarks(spark, kernel, options):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5))
+    f = np.array([r["features"] for r in reduce.landmark_features(frame(spark, x).repartition(3), kernel, landmarks=60, **options).orderBy("chunk_id").collect()])
+    k = reduce._kernel(x, x, kernel, options.get("gamma", 1 / 5), options.get("degree", 3), 1.0)
+    value, vector = np.linalg.eigh(k)
+    k = (vector * np.maximum(value, 0)) @ vector.T  # the positive part
+    assert np.allclose(f @ f.T, k, atol=1e-6)
+    centre = np.eye(60) - 1 / 60
+    value, vector = np.linalg.eigh(centre @ k @ centre)
+    got, ratio = reduce.kernel_pca(frame(spark, x), inertia=0.8, t=1, kernel=kernel, landmarks=60, **options)
+    n = max(3, int((np.cumsum(value[::-1] / value.sum()) < 0.8).sum()))
+    assert len(ratio) == n and np.allclose(ratio, value[::-1][:n] / value.sum(), atol=1e-6)
+    z = np.array([r["features"] for r in got.orderBy("chunk_id").collect()])
+    want = vector[:, ::-1][:, :n] * np.sqrt(60)
+    assert np.allclose(np.abs((z * want).mean(0)), 1, atol=1e-5)
+    with pytest.raises(ValueError):
+        reduce.landmark_features(frame(spark, x), "other")
+
+
+def test_few_landmarks_come_near(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    f = np.array([r["features"] for r in reduce.landmark_features(frame(spark, x), "rbf", landmarks=80).orderBy("chunk_id").collect()])
+    k = reduce._kernel(x, x, "rbf", 1 / 3, 3, 1.0)
+    assert f.shape[1] <= 80 and np.linalg.norm(f @ f.T - k) < 0.05 * np.linalg.norm(k)

@@ -304,3 +304,14 @@ def test_word_vector_files(spark, tmp_path):
     b = spark.createDataFrame([("c", "AAACG")], "chunk_id string, seq string")
     with pytest.raises(KeyError):
         WordVectorModel(3, file=path).fit_transform(b)
+
+
+def test_masks_as_an_expression(spark):
+    masks = ["1111", "110011", "1101", "011", "1", "101", "12021", "", None, "11", "10"]
+    df = spark.createDataFrame([(m,) for m in masks], "m string")
+    for r in df.select("m", dna.valid_mask(F.col("m")).alias("v")).collect():
+        try:
+            dna.check_mask(r["m"] or "")
+            assert r["v"]
+        except ValueError:
+            assert not r["v"]

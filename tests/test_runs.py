@@ -86,8 +86,11 @@ def test_characterize_extract_and_store(spark, fasta_file, tmp_path):
 
 
 def test_a_run_that_was_killed_goes_on(spark, fasta_file, tmp_path, monkeypatch):
+    import os
+
     from helixbin import scratch
     from helixbin.operators import post, vbgmm
+    from helixbin.plans import pipeline
 
     path, _ = fasta_file
     bank = scratch.cut(banks.build(fasta.read(spark, path), BankSpec(100, 300, 0)))
@@ -97,23 +100,28 @@ def test_a_run_that_was_killed_goes_on(spark, fasta_file, tmp_path, monkeypatch)
     verdicts = post.verdicts
     monkeypatch.setattr(post, "verdicts", lambda s: (v := verdicts(s)).withColumn("accepted", v["accepted"] & (v["cluster"] == v.where("accepted").selectExpr("min(cluster) AS c").first()["c"])))
     table = lambda df: sorted(map(tuple, df.collect()))
-    whole, fit, calls = table(extract(spark, bank, models, p)), vbgmm.fit, []
-    assert len({r[2] for r in whole}) > 2
+    fit, commit, calls = vbgmm.fit, pipeline.Log.commit, []
+    monkeypatch.setattr(vbgmm, "fit", lambda *a, **k: (calls.append(1), fit(*a, **k))[1])
+    whole, needed = table(extract(spark, bank, models, p)), len(calls)
+    assert len({r[2] for r in whole}) > 1
+    state = str(tmp_path / "state")
 
-    def dying(*a, **k):
-        calls.append(1)
-        if len(calls) == 2:
+    def dying(self, n, *a):
+        if len(calls) < needed + 2:  # before the first commit, then after it
             raise KeyboardInterrupt
-        return fit(*a, **k)
-
-    monkeypatch.setattr(vbgmm, "fit", dying)
-    state = str(tmp_path / "state")
-    with pytest.raises(KeyboardInterrupt):
-        extract(spark, bank, models, p, state=state)
-    assert spark.read.parquet(f"{state}/commits").count() == 1
-    assert table(extract(spark, bank, models, p, state=state)) == whole
-    done = len(calls)
-    assert table(extract(spark, bank, models, p, state=state)) == whole and len(calls) == done  # complete: read again
+        commit(self, n, *a)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(pipeline.Log, "commit", dying)
+    for commits in (0, 1):
+        with pytest.raises(KeyboardInterrupt):
+            extract(spark, bank, models, p, state=state)
+        assert os.path.exists(f"{state}/commits") == bool(commits)
+    monkeypatch.setattr(pipeline.Log, "commit", commit)
+    calls.clear()
+    assert table(extract(spark, bank, models, p, state=state)) == whole and len(calls) == needed - 1
+    calls.clear()
+    assert table(extract(spark, bank, models, p, state=state)) == whole and not calls  # complete: read again
     with pytest.raises(ValueError, match="other parameters"):
         extract(spark, bank, models, Extraction(max_iter=4), state=state)
 
