@@ -31,16 +31,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.withColumn("n_chars", F.when(F.col("_lost"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+#: Ids that may be broadcast to the texts, so that texts aren't shuffled; beyond, a join takes over.
+BROADCAST_IDS = 2_000_000
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """``ids``, broadcast if there are few enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group stays (5-word shingles, similarity 0.8).
 
     Of the texts of one id the first in order stays; rows with a null id stay.
     """
     docs = docs.select(*COLUMNS)
-    found = Written(minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")))
-    once = docs.join(found.df.where("n = 1"), "doc_id", "left_semi")
-    texts = docs.join(found.df.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
-    return once.unionByName(texts).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    found = minhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    # Only ids that go, or have several texts, meet the texts.
+    odd = Written(found.where("NOT kept OR n > 1")).df
+    once = docs.join(_bounded(odd.select("doc_id")), "doc_id", "left_anti")  # rows with a null id are among them
+    texts = docs.join(_bounded(odd.where("kept").select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return once.unionByName(texts).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +78,12 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = docs.select(*COLUMNS)
     members = Written(mixing.memberships(docs, table(spark, sf_dir, "labels"))[0]).df
     rates = mixing.fit_rates(members, mix_targets(members), shares=False, max_rate=1.0, floor=1.0).of(members)
-    taken = Written(rates.where(mixing.copies(F.col("rate"), F.col("ticket")) > 0).select("doc_id", "ticket").distinct()).df
-    some = docs.where("doc_id IS NOT NULL").join(taken.select("doc_id"), "doc_id", "left_semi")
+    taken = mixing.copies(F.col("rate"), F.col("ticket")) > 0
+    # A document's rows stay if one of them is taken; rows with a null id each by their own ticket. Only what goes meets the texts.
+    gone = Written(rates.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("ticket")).alias("ticket")).agg(F.max(taken).alias("taken")).where("NOT taken")).df
+    some = docs.where("doc_id IS NOT NULL").join(_bounded(gone.where("doc_id IS NOT NULL").select("doc_id")), "doc_id", "left_anti")
     rest = docs.where("doc_id IS NULL").withColumn("_ticket", mixing.ticket())
-    rest = rest.join(taken.where("doc_id IS NULL").select(F.col("ticket").alias("_ticket")), "_ticket", "left_semi")
+    rest = rest.join(gone.where("doc_id IS NULL").select(F.col("ticket").alias("_ticket")), "_ticket", "left_anti")
     return some.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
