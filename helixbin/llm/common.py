@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder as scratch
+from ..scratch import remove
 from ..session import ship
 
 #: Rows of an Arrow batch handed to Python; texts may be long, so batches stay short.
@@ -30,29 +30,6 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="helixbin-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return str(folder)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders of the scratch space through Hadoop's file system."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Written:
     """A table written to the shared scratch space, which cuts its lineage."""
 
