@@ -42,7 +42,7 @@ NEAREST_RECALL = 0.95
 NEAR = 0.3
 MARGIN = 1e-6
 SLACK = 0.1  # a beam is widened until its worst lies this far below the threshold
-WHOLE = 8  # beams of an eighth of a shard or more cost more than the whole shard
+WHOLE = 4  # a beam whose square is so many times the shard costs more steps than one product with the whole shard
 
 
 class Graph:
@@ -272,7 +272,7 @@ def _searched(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, b
     """Chunk by chunk: the queries asked, (query, point) of links at or above the threshold, and the queries' best similarities.
 
     Every query goes through the graph. One whose beam is full of near neighbours lies in a dense group and asks again with a
-    beam four times as wide; where that would be an eighth of the shard, the whole shard is its beam, compared as one product.
+    beam four times as wide; where that beam's square is ``WHOLE`` times the shard, the whole shard is its beam, compared as one product.
     """
     n = len(unit)
     todo, width = np.arange(len(q)), min(beam, n)
@@ -285,7 +285,7 @@ def _searched(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, b
         yield part, part[a], graph.loose[p], full.max(1)
     while len(todo):
         rest = []
-        whole = width > beam and WHOLE * width >= n
+        whole = width > beam and (width * width >= WHOLE * n or 2 * width >= n)
         chunk = max(16, (PAIRS if whole else SEEN) // n)
         for k in range(0, len(todo), chunk):
             part = todo[k : k + chunk]
