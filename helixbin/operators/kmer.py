@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,21 @@ _PAIR = np.array([LETTERS.index(COMPLEMENTS[CODES.index(c)]) for c in LETTERS],
 _N = LETTERS.index("N")
 
 
+#: Rows whose windows a task holds at once, and their letters.
+SLICE_ROWS, SLICE_LETTERS = 256, 1 << 18
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch with ``seq`` in parts of at most ``rows`` rows and ``SLICE_LETTERS`` letters, or of one row."""
+    ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch.column("seq")).to_pylist())])
+    at = 0
+    while at < batch.num_rows:
+        n = int(np.searchsorted(ends, ends[at] + SLICE_LETTERS, "right")) - 1 - at
+        n = max(1, min(n, rows, batch.num_rows - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def window_codes(seq: str, mask: str, both_strands: bool = True) -> np.ndarray:
     """Codes of a sequence's windows without N at the mask's ones; four bits a letter. Canonical for ``both_strands``."""
     raw = _RANK[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
@@ -59,7 +75,7 @@ def count(bank: DataFrame, mask: str, both_strands: bool = True) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, str] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, features, counts = [], [], []
             for chunk, seq in zip(batch.column("chunk_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
                 codes, n = np.unique(window_codes(seq or "", mask, both_strands), return_counts=True)
@@ -138,7 +154,7 @@ def dense(bank: DataFrame, mask: str) -> DataFrame:
     codes = codes[order]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = np.zeros((batch.num_rows, len(codes)))
             for i, seq in enumerate(batch.column("seq").to_pylist()):
                 found = window_codes(seq or "", mask)

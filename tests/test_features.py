@@ -315,3 +315,40 @@ def test_masks_as_an_expression(spark):
             assert r["v"]
         except ValueError:
             assert not r["v"]
+
+
+def test_word_pairs_of_many_chunks_stay_small(spark):
+    """What a task holds depends on a slice of a batch, not on the batch: the counts of all pairs took 160 bytes a letter of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    seqs = ["".join(random.Random(i).choice("ACGT") for _ in range(2000)) for i in range(1500)] + ["", None, "AC", "ANA"]
+    taken = {}
+
+    class Bank:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, work, schema):
+            taken["work"] = work
+            return spark.createDataFrame([], schema)
+
+    contig2vec.cooccurrences(Bank(), 3)
+    batch = pa.record_batch([pa.array([str(i) for i in range(len(seqs))]), pa.array(seqs, pa.string())], names=["chunk_id", "seq"])
+    tracemalloc.start()
+    rows = sum(len(b) for b in taken["work"](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 150e6
+    few = seqs[:3] + seqs[-4:]
+    want = {}
+    for s in few:
+        words = [s[i : i + 3] for i in range(len(s or "") - 2)] if s else []
+        words = [w for w in words if "N" not in w]
+        for i, w in enumerate(words):
+            want.setdefault((w, w), 0)
+            for v in words[max(0, i - 5) : i] + words[i + 1 : i + 6]:
+                want[w, v] = want.get((w, v), 0) + 1
+    got = contig2vec.cooccurrences(one_bank(spark, few).select("chunk_id", "seq"), 3).collect()
+    assert {(kmer.decode(r["a"], "111"), kmer.decode(r["b"], "111")): r["n"] for r in got} == want
