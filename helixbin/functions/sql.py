@@ -16,15 +16,17 @@ FUNCTIONS = {
 
 
 #: Functions that give rows, for ``FROM t, LATERAL f(...)``: chunks as the bank cuts them, and the k-mers of a mask with their places, in canonical form.
+#: Each is one generator over its arguments, so that Spark makes rows where ``t``'s rows are; a query around a generator would be joined back by the whole sequence.
 TABLES = {
     "dna_chunks(s STRING, size INT, overlap INT, least INT)": """TABLE(chunk_ix INT, piece STRING) RETURN
-SELECT j, CASE WHEN merged AND j = n - 2 THEN concat(substring(s, j * (size - overlap) + 1, size), substring(s, (j + 1) * (size - overlap) + 1, size)) ELSE substring(s, j * (size - overlap) + 1, size) END
-FROM (SELECT n, n > 1 AND length(s) - (n - 1) * (size - overlap) < least AS merged FROM (SELECT CASE WHEN length(s) <= size THEN 1 ELSE CAST(ceil((length(s) - size) / (size - overlap)) AS INT) + 1 END AS n)),
-LATERAL explode(sequence(0, n - 1 - CAST(merged AS INT))) AS e(j)""",
+SELECT chunk_ix, piece FROM inline(flatten(transform(array(CASE WHEN length(s) <= size THEN 1 ELSE CAST(ceil((length(s) - size) / (size - overlap)) AS INT) + 1 END),
+n -> transform(sequence(0, n - 1 - CAST(n > 1 AND length(s) - (n - 1) * (size - overlap) < least AS INT)),
+j -> struct(j AS chunk_ix, CASE WHEN n > 1 AND length(s) - (n - 1) * (size - overlap) < least AND j = n - 2 THEN concat(substring(s, j * (size - overlap) + 1, size), substring(s, (j + 1) * (size - overlap) + 1, size)) ELSE substring(s, j * (size - overlap) + 1, size) END AS piece)))))""",
     "dna_kmers(s STRING, mask STRING)": f"""TABLE(place INT, kmer STRING) RETURN
-SELECT i, least(k, reverse(translate(k, '{CODES}', '{COMPLEMENTS}'))) FROM
-(SELECT i, array_join(transform(sequence(1, length(mask)), j -> CASE WHEN substring(mask, j, 1) = '1' THEN substring(s, i + j - 1, 1) ELSE 'x' END), '') AS k
-FROM (SELECT explode(CASE WHEN length(s) >= length(mask) THEN sequence(1, length(s) - length(mask) + 1) ELSE cast(array() AS ARRAY<INT>) END) AS i)) WHERE NOT contains(k, 'N')""",
+SELECT place, kmer FROM inline(filter(transform(CASE WHEN length(s) >= length(mask) THEN sequence(1, length(s) - length(mask) + 1) ELSE cast(array() AS ARRAY<INT>) END,
+i -> struct(i AS place, element_at(transform(transform(array(substring(s, i, length(mask))),
+w -> array_join(transform(sequence(1, length(mask)), j -> CASE WHEN substring(mask, j, 1) = '1' THEN substring(w, j, 1) ELSE 'x' END), '')),
+k -> least(k, reverse(translate(k, '{CODES}', '{COMPLEMENTS}')))), 1) AS kmer)), e -> NOT contains(e.kmer, 'N')))""",
 }
 
 

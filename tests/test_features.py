@@ -352,3 +352,19 @@ def test_word_pairs_of_many_chunks_stay_small(spark):
                 want[w, v] = want.get((w, v), 0) + 1
     got = contig2vec.cooccurrences(one_bank(spark, few).select("chunk_id", "seq"), 3).collect()
     assert {(kmer.decode(r["a"], "111"), kmer.decode(r["b"], "111")): r["n"] for r in got} == want
+
+
+def test_table_functions_join_nothing(spark):
+    """A function's rows are made where its arguments are: no join by the sequence, which gave every k-mer its whole sequence."""
+    from helixbin.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([("a", "ACGTNACGTTGA" * 3), ("b", None), ("c", "AC"), ("d", "")], "id string, s string").createOrReplaceTempView("table_function_rows")
+    for call in ("dna_kmers(s, '1001001')", "dna_chunks(s, 10, 2, 5)"):
+        df = spark.sql(f"SELECT * FROM table_function_rows, LATERAL {call}")
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() > 0
+    rows = spark.sql("SELECT place, kmer FROM table_function_rows, LATERAL dna_kmers(s, '1001') WHERE id = 'a'").collect()
+    s, pair = "ACGTNACGTTGA" * 3, str.maketrans("ACGTN", "TGCAN")
+    want = {i + 1: min(k, k.translate(pair)[::-1]) for i in range(len(s) - 3) if "N" not in (k := f"{s[i]}xx{s[i + 3]}")}
+    assert {r["place"]: r["kmer"] for r in rows} == want
