@@ -368,3 +368,24 @@ def test_table_functions_join_nothing(spark):
     s, pair = "ACGTNACGTTGA" * 3, str.maketrans("ACGTN", "TGCAN")
     want = {i + 1: min(k, k.translate(pair)[::-1]) for i in range(len(s) - 3) if "N" not in (k := f"{s[i]}xx{s[i + 3]}")}
     assert {r["place"]: r["kmer"] for r in rows} == want
+
+
+def test_words_are_cut_from_letters(spark):
+    """Words are cut once from a slice's letters (a window's place cost time in built-in expressions); nothing crosses a chunk's end."""
+    seqs = ["ACGTAC", "", "AC", "GGNTTTTA", None, "ACG" * 50]
+    b = one_bank(spark, seqs)
+    df = contig2vec.tokens(b, 3)
+    assert "substring" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: r["tokens"] for r in df.collect()}
+    assert got == {f"c{i}__0": [w for p in range(len(s or "") - 2) if "N" not in (w := s[p : p + 3])] for i, s in enumerate(seqs)}
+    totals = {r["word"]: r["n"] for r in contig2vec.word_totals(b, 3).collect()}
+    assert totals == {r["word"]: r["n"] for r in contig2vec.word_counts(b, 3).groupBy("word").agg(F.sum("n").alias("n")).collect()}
+
+
+def test_coverage_by_position_of_many_files(spark, tmp_path):
+    """Values in several files, of which the scan reads the largest first, keep the order of the files' names."""
+    from helixbin.sources import tables
+
+    for name, values in (("part-0", [0]), ("part-1", range(1, 500)), ("part-2", range(500, 530))):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{v}\n" for v in values))
+    assert sorted((r["row_ord"], r["value"]) for r in tables.coverage_csv(spark, str(tmp_path)).collect()) == [(i, float(i)) for i in range(530)]
