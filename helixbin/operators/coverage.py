@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut, numbered
+from .kmer import slices
 from ..sources.tables import coverage_csv, coverage_tsv, file_format
 
 
@@ -104,11 +105,12 @@ def super_kmers(bank: DataFrame, k: int, buckets: int) -> DataFrame:
     m = min(MINIMIZER, k)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             seqs = [(s or "").encode("latin-1", "replace") for s in batch.column("seq").to_pylist()]
             data = b"\n".join(seqs)  # no k-mer reaches over the break
             codes = _CODE[np.frombuffer(data, np.uint8)]
-            good = _packed(codes, k)[1]
+            bad = np.concatenate([[0], np.cumsum(codes == 4)])
+            good = bad[k:] == bad[:-k] if len(codes) >= k else np.zeros(0, bool)
             if not good.any():
                 continue
             low = _minimizers(codes, k, m)
@@ -131,6 +133,13 @@ def _kmers_of(letters: list[bytes], k: int) -> np.ndarray:
     return kmers[good]
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of small numbers, and how often each occurs; as one number each, since rows sort ten times slower."""
+    width = int(b.max(initial=0)) + 1
+    found, n = np.unique(a.astype(np.int64) * width + b, return_counts=True)
+    return *np.divmod(found, width), n
+
+
 def kmer_counts_by_chunk(bank: DataFrame, k: int = 31) -> DataFrame:
     """``chunk_id, count, n``: n of the chunk's k-mers occur ``count`` times in the whole bank, strands alike; k-mers with N don't count.
 
@@ -147,8 +156,8 @@ def kmer_counts_by_chunk(bank: DataFrame, k: int = 31) -> DataFrame:
         owners = group.column("chunk_id").combine_chunks().dictionary_encode()
         owner = np.repeat(owners.indices.to_numpy(), group.column("n").to_numpy())
         _, inverse, times = np.unique(_kmers_of(group.column("letters").to_pylist(), k), return_inverse=True, return_counts=True)
-        own, n = np.unique(np.stack([owner, times[inverse]]), axis=1, return_counts=True)
-        return pa.table({"chunk_id": owners.dictionary.take(pa.array(own[0])), "count": pa.array(own[1].astype(np.int64)), "n": pa.array(n)})
+        own, count, n = _pairs(owner, times[inverse])
+        return pa.table({"chunk_id": owners.dictionary.take(pa.array(own)), "count": pa.array(count), "n": pa.array(n)})
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +165,9 @@ def kmer_counts_by_chunk(bank: DataFrame, k: int = 31) -> DataFrame:
                 continue
             owners = batch.column("chunk_id").dictionary_encode()
             owner = np.repeat(owners.indices.to_numpy(), batch.column("n").to_numpy())
-            own, n = np.unique(np.stack([owner.astype(np.int64), _kmers_of(batch.column("letters").to_pylist(), k).view(np.int64)]), axis=1, return_counts=True)
-            yield pa.record_batch([owners.dictionary.take(pa.array(own[0])), pa.array(own[1]), pa.array(n)], names=["chunk_id", "kmer", "n"])
+            kmers, place = np.unique(_kmers_of(batch.column("letters").to_pylist(), k), return_inverse=True)
+            own, at, n = _pairs(owner, place)
+            yield pa.record_batch([owners.dictionary.take(pa.array(own)), pa.array(kmers[at].view(np.int64)), pa.array(n)], names=["chunk_id", "kmer", "n"])
 
     out = supers.join(hot, "bucket", "left_anti").groupBy("bucket").applyInArrow(counted, "chunk_id string, count long, n long")
     if hot.limit(1).count():
