@@ -58,8 +58,7 @@ def store_round_trip(spark, sf_dir):
 def coverage_files(spark, sf_dir):
     """A CSV file by position (chunk lengths) and a TSV file by id, where every second chunk has no value."""
     b, path = cut(bank(spark, sf_dir)), _at(spark)
-    ordered = b.orderBy("seq_ord").select(F.length("seq").alias("v"))
-    ordered.coalesce(1).write.csv(f"{path}/a.csv")
+    b.select("seq_ord", F.length("seq").alias("v")).orderBy("seq_ord").select("v").write.csv(f"{path}/a.csv")
     b.where("chunk_ix % 2 = 0").select("chunk_id", F.col("chunk_ix").alias("cov")).write.option("header", True).option("sep", "\t").csv(f"{path}/b.tsv")
     f = CoverageModel([f"{path}/a.csv", f"{path}/b.tsv", f"{path}/c.txt"]).fit_transform(b)
     return f.select("chunk_id", F.col("features")[0].alias("cov_0"), F.col("features")[1].alias("cov_1"))

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bank import BankSpec, with_positions
+from ..operators.bank import BankSpec
+from ..scratch import cut
 
 GFF = "seqid string, source string, type string, start int, end int, score string, strand string, phase string, attributes string"
 
@@ -23,11 +24,21 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coverage_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``row_ord, value``: a file without header and with one numeric column, in row order."""
+    """``row_ord, value``: a file without header and with one numeric column, in row order; of a folder, files in the order of their names.
+
+    The scan deals parts of files to tasks in any order, so rows are numbered by file, part and place in the part; a part is a row at the driver.
+    """
     rows = spark.read.csv(path)
     if len(rows.columns) != 1:
         raise ValueError(f"{path} has to have one column, it has {len(rows.columns)}")
-    return with_positions(rows.select(F.col(rows.columns[0]).cast("double").alias("value")), "row_ord")
+    part = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    placed = cut(rows.select(*part, F.monotonically_increasing_id().alias("place"), F.col(rows.columns[0]).cast("double").alias("value")))
+    parts = sorted(placed.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("n")).collect())
+    ends = [0]
+    for r in parts:
+        ends.append(ends[-1] + r["n"])
+    base = spark.createDataFrame([(r["file"], r["start"], at - r["first"]) for r, at in zip(parts, ends)], "file string, start long, base long")
+    return placed.join(F.broadcast(base), ["file", "start"]).select((F.col("base") + F.col("place")).alias("row_ord"), "value")
 
 
 def coverage_tsv(spark: SparkSession, path: str) -> DataFrame:
