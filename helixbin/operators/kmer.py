@@ -94,8 +94,10 @@ def count_sql(bank: DataFrame, mask: str) -> DataFrame:
     """``count`` in built-in expressions: counts first, canonical form after."""
     check_mask(mask)
     w = len(mask)
-    windows = bank.where(F.length("seq") >= w).select("chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - w + 1), lambda i: F.substring("seq", i, F.lit(w)))).alias("k"))
-    raw = windows.groupBy("chunk_id", "k").count()
+    # Cut on bytes, where a window costs its own length wherever it lies.
+    letters = bank.select("chunk_id", F.col("seq").cast("binary").alias("b")).where(F.length("b") >= w)
+    windows = letters.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("b") - w + 1), lambda i: F.substring("b", i, F.lit(w)))).alias("k"))
+    raw = windows.groupBy("chunk_id", "k").count().withColumn("k", F.col("k").cast("string"))
     made = canonical(F.col("k")) if "0" not in mask else maskify(F.col("k"), mask)
     return raw.select("chunk_id", made.alias("feature"), F.col("count").alias("n")).where(F.instr("feature", "N") == 0).groupBy("chunk_id", "feature").agg(F.sum("n").alias("n"))
 
