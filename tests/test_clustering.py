@@ -281,3 +281,10 @@ def test_kernel_sums_by_blocks(spark):
         got = {r["chunk_id"]: (r["own"], r["total"]) for r in reduce.kernel_sums(rows, kernel, block=10).collect()}
         assert len(got) == 45 and np.allclose([got[f"c{i}"] for i in range(45)], np.stack([np.diagonal(want), want.sum(1)], 1))
     assert reduce.kernel_sums(rows.limit(0), "rbf").collect() == []
+
+
+def test_totals_by_label():
+    x, label = np.random.default_rng(1).normal(size=(70_000, 3)), np.random.default_rng(2).integers(0, 5, 70_000)
+    want = np.zeros((6, 3))
+    np.add.at(want, label, x)
+    assert np.allclose(vbgmm._totals(x, label, 6), want) and not vbgmm._totals(x[:0], label[:0], 6).any()
