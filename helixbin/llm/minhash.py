@@ -12,7 +12,8 @@ link with nothing. Documents link if the Jaccard similarity of their full sets r
 3. ``family_links``: candidates, that share a table key, are checked by their sketches; only those whose estimate reaches
    ``ALIKE`` (over five standard deviations below 0.8) make families, so that documents which share a template don't percolate into
    one. A document is compared with the smallest id of all its buckets, then with those of buckets that this leaves in another
-   family; buckets that are still in several families are compared in full, in blocks that return forests.
+   family; buckets that are still in several families are compared in full, in blocks that return forests, and the buckets of
+   one half key at once where that makes fewer pairs.
 4. ``verified_links``: candidates are confirmed on full sets of 128-bit shingles, within families. Families beyond a block
    are compared with up to ``LEADERS`` of their members first; what links to these is done with each other, and only the rest
    is compared with everything, a pair of blocks a task. No pairs are emitted; no family has to fit into a task.
@@ -153,11 +154,27 @@ def shared_halves(reps: DataFrame, m: int = M) -> DataFrame:
     return own.select("id", F.filter("x", lambda h: h["place"] < m).alias("a"), F.filter("x", lambda h: h["place"] >= m).alias("b"))
 
 
-def table_keys(halves: DataFrame) -> DataFrame:
-    """``halves`` with ``key`` for each pair of half keys, one from each collection; equal only within a table."""
-    key = lambda a: F.transform("b", lambda b: F.xxhash64(a["place"], a["half"], b["place"], b["half"]))
+def table_keys(halves: DataFrame, sides: bool = False) -> DataFrame:
+    """``halves`` with ``key`` for each pair of half keys, one from each collection; equal only within a table. With ``sides``, ``side`` tells the first of the two."""
+    key = lambda a, b: F.xxhash64(a["place"], a["half"], b["place"], b["half"])
+    both = lambda a, b: F.struct(F.xxhash64(a["place"], a["half"]).alias("side"), key(a, b).alias("key"))
+    made = F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: (both if sides else key)(a, b)))))
     kept = [c for c in halves.columns if c not in ("a", "b")]
-    return halves.select(*kept, F.explode(F.flatten(F.transform("a", key))).alias("key"))
+    return halves.select(*kept, made.alias("e")).select(*kept, "e.*") if sides else halves.select(*kept, made.alias("key"))
+
+
+def fewest_meetings(members: DataFrame) -> DataFrame:
+    """``key, id, c, n``: groups in which all those meet that meet in the buckets of ``members`` (``key, side, id, c``, and ``n`` of the bucket).
+
+    Documents that share a passage meet again in most buckets of a half key. Where all documents of its buckets make no more pairs than the
+    buckets one by one, they meet once, as one group, so that a document is in 2*m groups or fewer and not in m*m.
+    """
+    members = Written(members).df
+    once = Written(members.groupBy("side", "id").agg(F.min("c").alias("c"), F.sum("n").alias("pairs"))).df
+    sizes = once.groupBy("side").agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs"))
+    merged = Written(sizes.where("n * n <= pairs").select("side", "n")).df
+    apart = members.join(merged, "side", "left_anti").select("key", "id", "c", "n")
+    return apart.unionByName(once.join(merged, "side").select(F.col("side").alias("key"), "id", "c", "n"))
 
 
 def _estimates(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -184,10 +201,10 @@ def family_links(halves: DataFrame, sketches: DataFrame, block_docs: int) -> Dat
         rows = pairs.join(sketches, "id").join(sketches.select(F.col("id").alias("low"), F.col("sketch").alias("other")), "low")
         return Written(rows.select("id", "low", "sketch", "other").mapInArrow(judge, "id long, low long, alike boolean")).df.where("alike").select("id", "low")
 
-    def keyed(links: DataFrame) -> DataFrame:
-        """``id, c, key``: keys with the component of ``links`` that a document is in."""
+    def keyed(links: DataFrame, sides: bool = False) -> DataFrame:
+        """``id, c, key``: keys with the component of ``links`` that a document is in; with their ``side`` if asked for."""
         of = components(links, "id", "low").select(F.col("node").alias("id"), F.col("component").alias("c"))
-        return table_keys(Written(halves.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))).df)
+        return table_keys(Written(halves.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))).df, sides)
 
     def still_open(keys: DataFrame) -> DataFrame:
         """``key, first, n`` of the buckets that hold several components."""
@@ -204,11 +221,11 @@ def family_links(halves: DataFrame, sketches: DataFrame, block_docs: int) -> Dat
     if not open_keys.where("n > 2").limit(1).count():
         return alike
     # A bucket of two has been compared; larger ones are open where they still hold several components.
-    keys = keyed(alike)
+    keys = keyed(alike, sides=True)
     some = still_open(keys).where("n > 2")
     if not some.limit(1).count():
         return alike
-    members = keys.join(some.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
+    members = fewest_meetings(keys.join(some.select("key", "n"), "key")).withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.join(sketches, "id").select("key", "id", "c", "sketch", "block", F.explode(_meetings(F.lit(0), F.col("blocks"), F.col("block"))).alias("at"))
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixbin.llm import minhash
 from helixbin.llm.common import components
@@ -98,6 +99,28 @@ def test_template_without_true_links(spark, make_docs):
     assert max(sizes, default=1) <= 3
 
 
+def test_sharers_of_a_passage_meet_once(spark, make_docs):
+    """Documents that share a passage meet in few groups, not in each of their tables, and every pair of a bucket meets still."""
+    rng = np.random.default_rng(4)
+    base = [f"t{k}" for k in range(90)]
+    texts = [" ".join(base + [f"u{k}" for k in rng.integers(0, 10**6, 30)]) for _ in range(60)] + family(rng, 20)
+    halves = minhash.shared_halves(minhash.signatures(make_docs(texts), width=4).select("id", "half"))
+    keys = minhash.table_keys(halves, sides=True).withColumn("c", F.col("id"))
+    members = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    before, after = (df.select("key", "id", "n").collect() for df in (members, minhash.fewest_meetings(members)))
+
+    def pairs(rows):
+        groups = {}
+        for r in rows:
+            groups.setdefault(r["key"], set()).add(r["id"])
+        assert all(len(groups[r["key"]]) == r["n"] for r in rows)
+        return {(a, b) for g in groups.values() for a in g for b in g if a < b}
+
+    assert pairs(before) <= pairs(after)
+    assert len(after) < len(before) / 4 and sum(r["n"] for r in after) < sum(r["n"] for r in before) / 2
+    assert len(after) <= 2 * minhash.M * len(texts)
+
+
 def test_one_id_with_two_texts(spark, make_docs):
     """Id 5 has a text of its own and a copy of 2's: both rows, and what is like either, are one document."""
     own = "one lone text that is like no other text at all"
