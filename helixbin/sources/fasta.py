@@ -77,6 +77,11 @@ class Span(InputPartition):
     end: int
 
 
+#: Parts up to which ``splitBytes`` alone gives their size; a task costs far more than 100 kB of records, so more parts are only
+#: made where they would be larger than ``LARGE`` bytes.
+PARTS, LARGE = 256, 64 << 20
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, size: int) -> None:
         self.path, self.size = path, size
@@ -86,10 +91,10 @@ class _Reader(DataSourceReader):
         import os
         import re
 
-        out = []
-        for p in sorted(glob.glob(re.sub("^file:/+", "/", self.path))):
-            whole = os.path.getsize(p)
-            step = whole or 1 if p.endswith(".gz") else self.size
+        out, sizes = [], {p: os.path.getsize(p) for p in sorted(glob.glob(re.sub("^file:/+", "/", self.path)))}
+        size = max(self.size, min(LARGE, -(-sum(sizes.values()) // PARTS)))
+        for p, whole in sizes.items():
+            step = whole or 1 if p.endswith(".gz") else size
             out += [Span(p, at, min(at + step, whole)) for at in range(0, whole, step)]
         return out
 
@@ -97,6 +102,7 @@ class _Reader(DataSourceReader):
         import gzip
 
         packed = partition.path.endswith(".gz")
+        letters = lambda lines: "".join(b"".join(lines).decode("utf-8", "replace").split())
         name, rest, parts = None, "", []
         with (gzip.open if packed else open)(partition.path, "rb") as f:
             at = partition.start
@@ -104,22 +110,21 @@ class _Reader(DataSourceReader):
                 f.seek(at - 1)
                 at += len(f.readline()) - 1  # the line that began before belongs to the part before
             for raw in f:
-                line = raw.decode("utf-8", "replace")
-                if line.startswith(">"):
+                if raw.startswith(b">"):
                     if name is not None:
-                        yield name, rest, "".join(parts)
+                        yield name, rest, letters(parts)
                         name = None
                     if not packed and at >= partition.end:
                         return
-                    name, _, rest = line[1:].strip().partition(" ")
+                    name, _, rest = raw[1:].decode("utf-8", "replace").strip().partition(" ")
                     parts = []
                 elif name is not None:
-                    parts.append("".join(line.split()))
+                    parts.append(raw)
                 elif not packed and at >= partition.end:
                     return
                 at += len(raw)
         if name is not None:
-            yield name, rest, "".join(parts)
+            yield name, rest, letters(parts)
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -171,7 +176,7 @@ class _Writer(DataSourceWriter):
 
 
 class FastaDataSource(DataSource):
-    """``spark.read.format('fasta').load(pattern)`` for files that every executor reaches, in parts of ``splitBytes`` (64 MiB) cut between records;
+    """``spark.read.format('fasta').load(pattern)`` for files that every executor reaches, in parts of ``splitBytes`` (64 MiB), or larger ones beyond ``PARTS`` parts, cut between records;
     ``df.write.format('fasta').save(folder)`` of ``chunk_id`` or ``contig_id``, ``seq`` and perhaps ``description``, all or nothing, with ``width`` letters (80) a line."""
 
     @classmethod

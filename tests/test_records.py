@@ -79,6 +79,13 @@ def test_source_splits_and_sink_commits(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(rows)
     assert sorted(map(tuple, fasta.read(spark, out).select("contig_id", "description", "seq").collect())) == sorted(rows)
 
+    # Small parts of much text don't become a task each, and miss no record.
+    with open(tmp_path / "large.fa", "w") as f:
+        f.write(as_text(records(2000), "fasta"))
+    parts = (reader := fasta._Reader(str(tmp_path / "*.fa"), 100)).partitions()
+    assert fasta.PARTS / 2 < len(parts) <= fasta.PARTS
+    assert [r for p in parts for r in reader.read(p)] == records(2000)
+
     # A task that fails leaves no record, neither its own nor others'.
     bad = spark.createDataFrame([(f"n{i}", "A") for i in range(50)] + [(None, "C")], "chunk_id string, seq string").repartition(4)
     with pytest.raises(Exception, match="no id"):
