@@ -7,7 +7,7 @@ same in built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -41,6 +41,13 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         at += n
 
 
+def by_slices(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` for work that goes by ``slices``: a worker is handed no more rows at once than a slice has, so what it holds doesn't grow with its task."""
+    out = rows.mapInArrow(work, schema)
+    out.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
+    return out
+
+
 def window_codes(seq: str, mask: str, both_strands: bool = True) -> np.ndarray:
     """Codes of a sequence's windows without N at the mask's ones; four bits a letter. Canonical for ``both_strands``."""
     raw = _RANK[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
@@ -87,7 +94,7 @@ def count(bank: DataFrame, mask: str, both_strands: bool = True) -> DataFrame:
                 counts.append(n)
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(features, pa.string()), pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]), pa.int64())], names=["chunk_id", "feature", "n"])
 
-    return bank.select("chunk_id", "seq").mapInArrow(work, "chunk_id string, feature string, n long")
+    return by_slices(bank.select("chunk_id", "seq"), work, "chunk_id string, feature string, n long")
 
 
 def count_sql(bank: DataFrame, mask: str) -> DataFrame:
@@ -164,4 +171,4 @@ def dense(bank: DataFrame, mask: str) -> DataFrame:
                 x[i, order] = np.bincount(at[codes[at] == found], minlength=len(codes))
             yield pa.record_batch([batch.column("chunk_id"), vector_array(x)], names=["chunk_id", "features"])
 
-    return bank.select("chunk_id", "seq").mapInArrow(work, "chunk_id string, features array<double>")
+    return by_slices(bank.select("chunk_id", "seq"), work, "chunk_id string, features array<double>")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +390,18 @@ def test_coverage_by_position_of_many_files(spark, tmp_path):
     for name, values in (("part-0", [0]), ("part-1", range(1, 500)), ("part-2", range(500, 530))):
         (tmp_path / f"{name}.csv").write_text("".join(f"{v}\n" for v in values))
     assert sorted((r["row_ord"], r["value"]) for r in tables.coverage_csv(spark, str(tmp_path)).collect()) == [(i, float(i)) for i in range(530)]
+
+
+@pytest.mark.parametrize("query", ["word_counts", "tokens", "word_totals", "cooccurrences"])
+def test_workers_are_handed_no_more_rows_than_a_slice(spark, query):
+    """What a worker holds doesn't grow with the rows of its task."""
+    bank = spark.range(0, 3 * kmer.SLICE_ROWS, 1, 1).selectExpr("CAST(id AS STRING) AS chunk_id", "'ACGTNACGGT' AS seq")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    getattr(contig2vec, query)(bank, 3).count()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    found = [r["n"] for r in bank.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 3 * kmer.SLICE_ROWS and max(found) <= kmer.SLICE_ROWS
