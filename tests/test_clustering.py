@@ -288,3 +288,23 @@ def test_totals_by_label():
     want = np.zeros((6, 3))
     np.add.at(want, label, x)
     assert np.allclose(vbgmm._totals(x, label, 6), want) and not vbgmm._totals(x[:0], label[:0], 6).any()
+
+
+def test_fits_go_by_blocks_of_rows(spark):
+    """Neither way holds an array of rows by components, and a pass over the cluster reads a few binaries."""
+    import tracemalloc
+
+    x = np.random.default_rng(3).normal(size=(60_000, 8))
+    tracemalloc.start()
+    labels, state = vbgmm.fit_one(x, 20, max_iter=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == len(x) and peak < len(x) * 20 * 8
+    z = state.responsibilities(x)
+    y = x[:, None] - state.mean
+    dist = state.nu * np.einsum("nki,kij,nkj->nk", y, state.w, y) - state.log_lambda + x.shape[1] / state.beta
+    want = state.pi * np.exp(-0.5 * (dist - dist.min(1, keepdims=True)))
+    assert np.allclose(z, want / want.sum(1, keepdims=True), atol=2 * vbgmm.MIN_Z) and (labels == z.argmax(1)).all()
+    rows = frame(spark, x[:9000]).selectExpr("chunk_id", "features", "xxhash64(chunk_id) AS ids", "array(0, 1) AS start").repartition(2)
+    blocks = vbgmm.packed(rows)
+    assert blocks.count() <= 4 and tuple(blocks.selectExpr("sum(length(x))", "sum(length(ids))", "sum(length(start))").first()) == (9000 * 64, 9000 * 8, 9000 * 8)
