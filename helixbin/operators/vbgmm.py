@@ -31,7 +31,7 @@ SEED_STEP = 1009
 DEFAULT_RESTARTS = 10
 KMEANS_STEPS = 1000
 #: A matrix of up to so many bytes goes to one task a restart; beyond, a pass over the cluster takes less time than such a task.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 #: Rows of a block, and the numbers that an E step holds of some of them, so that they stay in the processor's caches.
 BLOCK_ROWS, BLOCK_NUMBERS = 4096, 1 << 18
 #: Moments that a task adds up in one pass, and those of restarts that run together; sums beyond ``WIDE_BYTES`` reach the driver once.

@@ -308,3 +308,15 @@ def test_fits_go_by_blocks_of_rows(spark):
     rows = frame(spark, x[:9000]).selectExpr("chunk_id", "features", "xxhash64(chunk_id) AS ids", "array(0, 1) AS start").repartition(2)
     blocks = vbgmm.packed(rows)
     assert blocks.count() <= 4 and tuple(blocks.selectExpr("sum(length(x))", "sum(length(ids))", "sum(length(start))").first()) == (9000 * 64, 9000 * 8, 9000 * 8)
+
+
+def test_marks_tell_labellings_apart():
+    """A pass of k-means finds each row's nearest centre once: the marks of two passes are equal where no label changed, however rows are dealt."""
+    rng = np.random.default_rng(4)
+    ids, label = rng.integers(-(1 << 62), 1 << 62, 5000), rng.integers(0, 9, 5000)
+    value = lambda *parts: sum(int(low) + (int(high) << 32) for low, high in parts) % (1 << 64)
+    order = rng.permutation(5000)
+    whole = value(vbgmm._mark(ids, label, 9))
+    assert whole == value(vbgmm._mark(ids[order[:70]], label[order[:70]], 9), vbgmm._mark(ids[order[70:]], label[order[70:]], 9))
+    label[17] = (label[17] + 1) % 9
+    assert whole != value(vbgmm._mark(ids, label, 9))
