@@ -75,3 +75,18 @@ def test_pairs_are_counted_as_numbers(monkeypatch):
     own, other, n = coverage._pairs(a, b)
     assert Counter(zip(a.tolist(), b.tolist())) == dict(zip(zip(own.tolist(), other.tolist()), n.tolist()))
     assert [len(x) for x in coverage._pairs(a[:0], b[:0])] == [0, 0, 0]
+
+
+def test_rows_are_dealt_by_slice_and_cell(spark, monkeypatch):
+    """A super-k-mer isn't a row of its own, nor are its letters a byte each; ids that repeat count as one chunk."""
+    rows = [(f"{i}-{c}", s) for i in range(20) for c, s in sequences()]
+    monkeypatch.setattr(coverage, "CELLS", 8)
+    whole = coverage.dealt(spark.createDataFrame(rows, "chunk_id string, seq string").coalesce(1), 31)
+    n, kmers, size = whole.where("cell >= 0").selectExpr("count(*)", "sum(n)", "sum(length(letters))").first()
+    assert n <= 8 and kmers == sum(sum(c.values()) for c in brute(rows, 31)[1].values()) and size < 2 * kmers
+    twice = [("c", s) for _, s in sequences()[:3]]
+    bank = spark.createDataFrame(twice, "chunk_id string, seq string").repartition(3)
+    total = Counter(min(w, w.translate(TABLE)[::-1]) for _, s in twice for w in (s[p : p + 31] for p in range(len(s) - 30)))
+    want = Counter(n for w, n in total.items() for _ in range(n))
+    assert {(r["chunk_id"], r["count"]): r["n"] for r in coverage.kmer_counts_by_chunk(bank).collect()} == {("c", c): n for c, n in want.items()}
+    assert [r["value"] for r in coverage.from_kmers(bank).collect()] == [median(want.elements())] * 3
