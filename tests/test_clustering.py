@@ -320,3 +320,23 @@ def test_marks_tell_labellings_apart():
     assert whole == value(vbgmm._mark(ids[order[:70]], label[order[:70]], 9), vbgmm._mark(ids[order[70:]], label[order[70:]], 9))
     label[17] = (label[17] + 1) % 9
     assert whole != value(vbgmm._mark(ids, label, 9))
+
+
+def test_kernel_sums_meet_blocks_once(spark, monkeypatch):
+    """Polynomials are summed without pairs; for other kernels half of the pairs of blocks are enough, and a power beyond the moments' size too."""
+    x = np.random.default_rng(6).normal(size=(70, 5))
+    rows = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, features array<double>")
+    whole = reduce._pair_sums
+    hints, hint = [], type(rows).hint
+    monkeypatch.setattr(type(rows), "hint", lambda df, *a: hints.append(a) or hint(df, *a))
+    for kernel, options, size in (("linear", {}, None), ("poly", {"degree": 2, "gamma": 0.3, "coef0": -1.0}, None), ("poly", {"degree": 3}, None), ("poly", {"degree": 3}, 8), ("sigmoid", {}, None), ("rbf", {}, None)):
+        if size is not None:
+            monkeypatch.setattr(reduce, "MOMENTS", size)
+        gamma, degree, coef0 = options.get("gamma", 1 / 5), options.get("degree", 3), options.get("coef0", 1.0)
+        want = reduce._kernel(x, x, kernel, gamma, degree, coef0)
+        got = {r["chunk_id"]: (r["own"], r["total"]) for r in reduce.kernel_sums(rows, kernel, block=10, **options).collect()}
+        assert np.allclose([got[f"c{i}"] for i in range(70)], np.stack([np.diagonal(want), want.sum(1)], 1), rtol=1e-11)
+        assert len(hints) == {"linear": 0, "poly": int(size == 8), "sigmoid": 2, "rbf": 3}[kernel]
+    a, b = whole(x[:30], x[30:], "rbf", 0.2, 3, 1.0)
+    want = reduce._kernel(x[:30], x[30:], "rbf", 0.2, 3, 1.0)
+    assert np.allclose(a, want.sum(1)) and np.allclose(b, want.sum(0))
