@@ -405,3 +405,23 @@ def test_workers_are_handed_no_more_rows_than_a_slice(spark, query):
 
     found = [r["n"] for r in bank.mapInArrow(sizes, "n long").collect()]
     assert sum(found) == 3 * kmer.SLICE_ROWS and max(found) <= kmer.SLICE_ROWS
+
+
+def test_kmer_rows_by_numbers_and_by_letters():
+    """The k-mers of a batch are cut in numpy, not window by window in expressions; letters or masks that numbers don't hold go another way."""
+    import pyarrow as pa
+
+    from helixbin.functions import sql
+    from helixbin.functions.dna import CODES, COMPLEMENTS
+
+    rng, pair = np.random.default_rng(8), str.maketrans(CODES, COMPLEMENTS)
+    rows = ["".join(rng.choice(list("ACGTN"), n)) for n in (0, 3, 6, 7, 8, 200)] + [None, "", "RYKMACGT" * 3, "ACG"]
+    for texts in (rows, [*rows, "acgTTGACCA-ACGTNAC"], [*rows, "ACGT\u00e9ACGTTGCA"], [None], []):
+        for mask in ("1001001", "11", "111111", "10011", None):
+            got = sql.kmer_rows(pa.array(texts, pa.string()), pa.array([mask] * len(texts), pa.string())).to_pylist()
+            want, m = [], mask or ""
+            for s in texts:
+                cut = [(i + 1, "".join(c if b == "1" else "x" for c, b in zip(s[i:], m))) for i in range(len(s) - len(m) + 1)] if s and m else []
+                want.append([{"place": i, "kmer": min(k, k.translate(pair)[::-1])} for i, k in cut if "N" not in k])
+            assert got == want
+    assert sql._all_kmers(["ACGT"], "11") is not None and sql._all_kmers(["acgt"], "11") is None
