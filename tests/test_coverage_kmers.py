@@ -90,3 +90,10 @@ def test_rows_are_dealt_by_slice_and_cell(spark, monkeypatch):
     want = Counter(n for w, n in total.items() for _ in range(n))
     assert {(r["chunk_id"], r["count"]): r["n"] for r in coverage.kmer_counts_by_chunk(bank).collect()} == {("c", c): n for c, n in want.items()}
     assert [r["value"] for r in coverage.from_kmers(bank).collect()] == [median(want.elements())] * 3
+
+
+def test_counts_of_a_chunk_come_from_one_task(spark):
+    """Counts come back by slice, so a histogram over chunks shuffles no row for each bucket that a chunk has k-mers in."""
+    bank = spark.createDataFrame(sequences(), "chunk_id string, seq string").repartition(3)
+    plan = coverage.kmer_counts_by_chunk(bank)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(slice" in plan and "hashpartitioning(chunk_id" not in plan
